@@ -30,7 +30,9 @@ SAMPLE = 1500
 EPOCHS = 6
 STEPS = 200
 BATCH = 64
-RATE = 0.1
+RATE = 0.05
+#: Standard errors by which a log-odds must differ from zero to count at the start.
+CERTAIN = 2.75
 DECAY = 1e-7
 EPSILON = 1e-6
 #: Words without meaning that every document is padded with, so that a short text is not judged by one word.
@@ -134,11 +136,17 @@ def fit(texts_: list[str], labels: list[int], seed: int = 7) -> Model:
     parts = [bags([tokens(t) for t in texts_[at : at + BATCH]]) for at in range(0, len(y), BATCH)]
     bucket, value = np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([p[1] for p in parts]).astype(np.float32)
     ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+    share = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)])
+    # Start: the first coordinate of an n-gram is what is certain of its log-odds, scaled to unit variance over documents.
+    doc = np.repeat(np.arange(len(y)), np.diff(ends))
+    has = [np.bincount(bucket[y[doc] == c], minlength=BUCKETS) + 0.5 for c in (0, 1)]
+    value = np.where((has[0] + has[1])[bucket] > LEAST_DOCS, value, 0)
+    odds = np.log(has[1] / ((y == 1).sum() + 1)) - np.log(has[0] / ((y == 0).sum() + 1))
+    sure = np.sign(odds) * np.maximum(0, np.abs(odds) - CERTAIN * np.sqrt(1 / has[0] + 1 / has[1]))
     vector = rng.normal(0, 0.01, (DIM, BUCKETS))
+    spread = np.bincount(doc, sure[bucket] * value, len(y)).std()
+    vector[0] += sure / spread if spread > 0 else 0
     weight, bias = np.stack([-np.ones(DIM), np.ones(DIM)]) / 2, np.zeros(2)
-    share = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)])
-    seen = np.bincount(bucket, minlength=BUCKETS)
-    value = np.where(seen[bucket] >= LEAST_DOCS, value, 0)
     first, second, step = [[np.zeros_like(x) for x in (vector, weight, bias)] for _ in range(2)] + [0]
     for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(y)))):
         order = rng.permutation(len(y))
