@@ -38,13 +38,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = texts(docs, id_col, text_col).select(
         "doc_id", "text", F.sha2("text", 256).alias("text_sha256"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
     )
-    salted = rows.groupBy("salt", "text_sha256", "text").agg(F.collect_list(F.struct("doc_id")).alias("ids"), F.max("doc_id").alias("winner"))
+    salted = rows.groupBy("salt", "text_sha256", "text").agg(F.collect_list(F.struct("doc_id")).alias("ids")).withColumn("winner", F.array_max("ids")["doc_id"])
     same = W.partitionBy("text_sha256", "text")
-    # Both uses of ``salted`` read the same columns, so that its shuffle of texts is made once.
+    # Both uses of ``salted`` take the same aggregate, and the join infers no filter, so that its shuffle of texts is made once.
     verdict = salted.select("text_sha256", "text", "winner", F.size("ids").cast("long").alias("n")).select(
         F.col("text_sha256").alias("g_sha"), F.col("winner").alias("g_winner"), F.max("winner").over(same).alias("keep_id"), F.sum("n").over(same).alias("group_size")
     )
-    found = salted.join(verdict, salted.winner.eqNullSafe(verdict.g_winner) & (salted.text_sha256 == verdict.g_sha))
+    found = salted.join(verdict, salted.winner.eqNullSafe(verdict.g_winner) & salted.text_sha256.eqNullSafe(verdict.g_sha))
     ids = F.array_sort("ids")
     return (
         found.select("keep_id", "group_size", "text_sha256", F.posexplode(ids).alias("at", "id"), F.array_position(ids, F.struct(F.col("keep_id").alias("doc_id"))).alias("first_at"))
