@@ -14,7 +14,7 @@ give candidates, and J_P of the whole texts decides.
 Hot buckets: documents with the same weighted shingles are one node; in a bucket
 every node is compared with one leader instead of all pairs, and those that do
 not match their leader meet each other in tiles of compact sketches, which emit
-only pairs close to the threshold.  Leaders differ between bands.
+only the closest pairs, and never all of them.  Leaders differ between bands.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ BLOCK_DOCS = 500
 TILE = 512
 #: Sketches below this share of equal registers are not verified: 0.8 is over six standard deviations away.
 SKETCH_FLOOR = 0.6
+#: Of the close sketches in a tile, a node is verified against so many of the closest.  A class needs one link that
+#: holds per node, and each of a node's bands gives it further tiles with other partners.
+PARTNERS = 4
 
 U = np.uint64
 
@@ -144,23 +147,30 @@ def _tiles(rows: DataFrame) -> DataFrame:
         sketch = np.frombuffer(b"".join(tile["sketch"]), np.uint16).reshape(len(tile), -1)
         node, own = tile["node"].to_numpy(), tile["own"].to_numpy()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
+        found = set()
         for a in left:
             others = right[right > a] if i == j else right
-            hit = others[(sketch[others] == sketch[a]).mean(1) >= SKETCH_FLOOR]
-            found += [(min(node[a], node[b]), max(node[a], node[b])) for b in hit]
+            share = (sketch[others] == sketch[a]).mean(1)
+            near = np.flatnonzero(share >= SKETCH_FLOOR)
+            if len(near) > PARTNERS:
+                near = near[np.argsort(-share[near], kind="stable")[:PARTNERS]]
+            found |= {(int(min(node[a], node[b])), int(max(node[a], node[b]))) for b in others[near]}
+        found = sorted(found)
         return pd.DataFrame(found, columns=["a", "b"])
 
     return pairs.groupBy("band", "key", "i", "j").applyInPandas(close, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) with J_P >= threshold over whole texts."""
+    """Pairs (a, b) with J_P >= threshold over whole texts.
+
+    The joins merge at every size: what is broadcast would grow with the corpus.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = settle(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
+    held = settle(docs.join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
     left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rank = F.xxhash64("node", F.col("band") % 4)
     lead = banded.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), "node")).alias("lead"), F.count("*").alias("n"))
     lead = settle(lead.where("n > 1").select("band", "key", F.col("lead.node").alias("leader")), "near-leaders")
-    joined = settle(banded.join(lead, ["band", "key"]), "near-buckets")
+    joined = settle(banded.join(lead.hint("merge"), ["band", "key"]), "near-buckets")
     pairs = joined.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = settle(_verified(settle(pairs, "near-pairs"), rows, threshold), "near-links")
     # Those without a link to their bucket's leader meet each other.
