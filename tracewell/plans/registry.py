@@ -1,9 +1,213 @@
-"""Queries over the driver tables and their SQL."""
+"""Queries over the driver tables, bound through small adapter views, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import history, metrics, search, snapshots, stats
+
+TODAY = "2024-01-31"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def usage(spark, sf_dir: str) -> DataFrame:
+    """Events as usage: model=event_type, tokens=props.k, cost=value, session=user and day."""
+    e = read(spark, sf_dir, "events")
+    day = F.to_date("ts")
+    return e.select(
+        "event_id", "ts", "user_id", F.col("event_type").alias("model"), F.get_json_object("props", "$.k").try_cast("long").alias("tokens"), F.col("value").alias("cost"),
+        day.alias("day"), F.concat_ws("/", "user_id", day).alias("session"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ms"),
+    )
+
+
+USAGE = "u AS (SELECT event_id, ts, user_id, event_type AS model, (props->>'$.k')::BIGINT AS tokens, value AS cost, ts::DATE AS day, user_id || '/' || ts::DATE AS session, epoch(date_trunc('second', ts))::BIGINT AS second, epoch_ms(ts) AS ms FROM events)"
+
+
+@query(f"WITH {USAGE} SELECT sum(tokens)::BIGINT AS tokens, floor(sum(cost) * 1e4 + 0.5) / 1e4 AS cost, count(*) AS messages, count(DISTINCT session) AS sessions, count(DISTINCT day) AS active_days FROM u")
+def stats_totals(spark, d):
+    return stats.totals(usage(spark, d))
+
+
+@query(f"WITH {USAGE}, g AS (SELECT model, sum(tokens)::BIGINT AS tokens, floor(sum(cost) * 1e4 + 0.5) / 1e4 AS cost, count(*) AS messages FROM u GROUP BY model) SELECT *, floor(tokens / sum(tokens) OVER () * 1e6 + 0.5) / 1e6 AS share FROM g")
+def stats_by_model(spark, d):
+    return stats.by_model(usage(spark, d))
+
+
+@query(f"WITH {USAGE} SELECT day, sum(tokens)::BIGINT AS tokens FROM u WHERE day >= DATE '{TODAY}' - 6 GROUP BY day")
+def stats_by_day_7d(spark, d):
+    return stats.by_day(stats.in_range(usage(spark, d), TODAY, 7))
+
+
+@query(f"WITH {USAGE} SELECT day, sum(tokens)::BIGINT AS tokens FROM u GROUP BY day ORDER BY tokens DESC, day LIMIT 1")
+def stats_top_day(spark, d):
+    return stats.top_day(usage(spark, d))
+
+
+@query(f"WITH {USAGE} SELECT session, max(second) - min(second) AS seconds FROM u GROUP BY session ORDER BY seconds DESC, session LIMIT 10")
+def stats_longest_sessions(spark, d):
+    return stats.longest_sessions(usage(spark, d))
+
+
+@query(f"""WITH {USAGE}, days AS (SELECT DISTINCT user_id, day FROM u), r AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS run FROM days),
+i AS (SELECT user_id, min(day) AS f, max(day) AS l, count(*) AS n FROM r GROUP BY user_id, run)
+SELECT user_id, max(n) AS longest, max(CASE WHEN l >= DATE '{TODAY}' - 1 THEN (least(l, DATE '{TODAY}') - f) + 1 ELSE 0 END)::BIGINT AS current FROM i GROUP BY user_id""")
+def stats_streaks(spark, d):
+    return stats.streaks(usage(spark, d), ["user_id"], TODAY)
+
+
+@query(f"WITH {USAGE}, g AS (SELECT day, sum(tokens)::BIGINT AS tokens FROM u GROUP BY day) SELECT day, tokens, least(4, greatest(1, ceil(4.0 * tokens / max(tokens) OVER ())))::BIGINT AS level FROM g")
+def stats_heat(spark, d):
+    return stats.heat(usage(spark, d))
+
+
+IDENTITY = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
+
+
+@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, {IDENTITY} AS k, row_number() OVER (PARTITION BY {IDENTITY} ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1 AND k <> ''")
+def history_keep_first(spark, d):
+    return history.keep_first(read(spark, d, "conversations"), ["conv_id", "turn"]).select("conv_id", "turn")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'the')")
+def history_token_filter(spark, d):
+    return history.token_filter(read(spark, d, "documents"), "  THE  license ").select("doc_id")
+
+
+@query(f"SELECT conv_id, turn FROM conversations WHERE {IDENTITY} NOT IN (SELECT {IDENTITY} FROM conversations WHERE conv_id % 7 = 0)")
+def history_visible(spark, d):
+    c = read(spark, d, "conversations")
+    from ..functions.scalars import identity
+
+    hidden = c.where("conv_id % 7 = 0").select(F.concat(F.lit("sha256:"), F.sha2(identity(F.col("text")), 256)).alias("key")).distinct()
+    return history.visible(c, hidden).select("conv_id", "turn")
+
+
+@query("""WITH g AS (SELECT conv_id, role, count(*) AS messages, sum(strlen(text))::BIGINT AS bytes FROM conversations GROUP BY ALL)
+SELECT conv_id, role, messages, bytes, ceil(bytes / 4)::BIGINT AS tokens, greatest(0, 500 - ceil(bytes / 4))::BIGINT AS headroom, ceil(bytes / 4) > 500 AS exceeded FROM g""")
+def history_context_budget(spark, d):
+    return history.context_budget(read(spark, d, "conversations"), ["conv_id"], 500)
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
+def history_last_record(spark, d):
+    return history.last_record(read(spark, d, "conversations"), ["conv_id"], ["turn", "text"]).select("conv_id", "turn", "role")
+
+
+@query(f"""WITH {USAGE}, s AS (SELECT user_id, event_id, tokens % 10 AS before, (tokens // 10) AS after FROM u), l AS (SELECT *, lag(after) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM s)
+SELECT user_id, arg_min(before, event_id) AS before, arg_max(after, event_id) AS after, count(*) AS steps, NOT bool_or(prev IS NOT NULL AND prev <> before) AS continuous FROM l GROUP BY user_id""")
+def history_continuity(spark, d):
+    u = usage(spark, d).select("user_id", "event_id", (F.col("tokens") % 10).alias("before"), F.floor(F.col("tokens") / 10).alias("after"))
+    return history.continuity(u, ["user_id"], "event_id")
+
+
+def _snapshots(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
+    at = lambda status: F.sha1(F.concat_ws("#", "k", status))
+    path = F.concat(F.lit("orders:"), "k").alias("path")
+    base = o.where("k % 10 <> 0").select(path, at(F.col("o_orderstatus")).alias("sha"))
+    new = o.where("k % 10 <> 1").select(path, at(F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))).alias("sha"))
+    return base, new
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 10 <> 0), c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 10 <> 1)
+SELECT 'orders:' || coalesce(b.k, c.k) AS path, CASE WHEN b.k IS NULL THEN 'added' WHEN c.k IS NULL THEN 'deleted' WHEN b.s <> c.s THEN 'modified' ELSE 'untouched' END AS change FROM b FULL JOIN c USING (k)""")
+def snapshot_delta(spark, d):
+    return snapshots.delta(*_snapshots(spark, d))
+
+
+@query("""SELECT 'customer:' || c_custkey AS path, coalesce(n, 0)::BIGINT AS added, 0::BIGINT AS deleted FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def snapshot_overlay(spark, d):
+    status = read(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("path"))
+    counts = read(spark, d, "orders").groupBy(F.concat(F.lit("customer:"), "o_custkey").alias("path")).agg(F.count("*").alias("added"), F.lit(0).cast("long").alias("deleted"))
+    return snapshots.overlay(status, counts)
+
+
+def lineage(spark, d) -> DataFrame:
+    """Foreign keys as edges importer -> target; edge_index is the importer's key."""
+    edge = lambda t, a, ak, b, bk: read(spark, d, t).select(F.col(ak).cast("long").alias("edge_index"), F.concat(F.lit(f"{a}:"), ak).alias("importer"), F.concat(F.lit(f"{b}:"), bk).alias("target"))
+    out = edge("orders", "orders", "o_orderkey", "customer", "o_custkey")
+    for e in (("customer", "customer", "c_custkey", "nation", "c_nationkey"), ("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"), ("nation", "nation", "n_nationkey", "region", "n_regionkey")):
+        out = out.unionByName(edge(*e))
+    return out
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'orders:' || o_orderkey AS importer, 'customer:' || o_custkey AS target FROM orders UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer
+UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
+r AS (SELECT importer, target AS via, 1 AS depth FROM e WHERE target = 'region:1' UNION ALL SELECT e.importer, e.target, r.depth + 1 FROM r JOIN e ON e.target = r.importer WHERE r.depth < 10)
+SELECT importer, depth::BIGINT AS depth, via FROM r""")
+def graph_dependents(spark, d):
+    return snapshots.dependents(lineage(spark, d), spark.createDataFrame([("region:1",)], "path string"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS entry_index, p_type AS kind, p_name AS name, lower(p_name) AS l FROM part), q AS (SELECT 'steel' AS q), g AS (SELECT *, list_distinct(CASE WHEN length(l) >= 3 THEN list_transform(range(1, length(l) - 1), i -> substr(l, i, 3)) ELSE [] END) AS t FROM e),
+s AS (SELECT *, len(list_intersect(t, ['ste', 'tee', 'eel'])) AS n FROM g), j AS (SELECT *, n / (3 + len(t) - n) AS j FROM s),
+x AS (SELECT entry_index, kind, name, greatest(CASE WHEN l = 'steel' THEN 1.0 ELSE 0 END, CASE WHEN starts_with(l, 'steel') THEN 0.75 ELSE 0 END, CASE WHEN contains(l, 'steel') THEN 0.6 ELSE 0 END, CASE WHEN j >= 0.35 THEN 0.5 * j ELSE 0 END)::DOUBLE AS score FROM j)
+SELECT entry_index, kind, name, floor(score * 1e4 + 0.5) / 1e4 AS score FROM x WHERE score > 0""")
+def search_lexical(spark, d):
+    return search.lexical(read(spark, d, "part").select(F.col("p_partkey").alias("entry_index"), F.col("p_type").alias("kind"), F.col("p_name").alias("name")), "Steel")
+
+
+STATE = "CASE WHEN tokens % 10 = 0 THEN 'unavailable' WHEN tokens % 10 = 1 THEN 'unsupported' ELSE 'reported' END"
+
+
+@query(f"WITH {USAGE}, s AS (SELECT *, {STATE} AS state FROM u) SELECT model, user_id % 4 AS class, count(*) AS responses, count_if(state = 'reported')::BIGINT AS reported, count_if(state = 'unavailable')::BIGINT AS unavailable, count_if(state = 'unsupported')::BIGINT AS unsupported, sum(CASE WHEN state = 'reported' THEN tokens ELSE 0 END)::BIGINT AS total FROM s GROUP BY ALL")
+def metrics_rollup(spark, d):
+    u = usage(spark, d).withColumn("class", F.col("user_id") % 4).withColumn("state", F.expr(STATE))
+    return metrics.rollup(u.unionByName(u.where("event_id % 5 = 0").withColumn("ms", F.col("ms") + 1)), ["model", "class"], "tokens", "state", "ms", "event_id")
+
+
+@query("""WITH l AS (SELECT p_name, regexp_extract(lower(p_name), '^[a-z]+') AS family, sum(p_size) AS used, sum(p_retailprice) AS budget FROM part GROUP BY 1, 2)
+SELECT family, count(*) AS members, floor(sum(used) / sum(budget) * 100 * 1e4 + 0.5) / 1e4 AS percent FROM l GROUP BY family""")
+def allowance_by_family(spark, d):
+    limits = read(spark, d, "part").groupBy("p_name").agg(F.sum("p_size").alias("used"), F.sum("p_retailprice").alias("budget"))
+    return metrics.allowance(limits.withColumn("family", F.regexp_extract(F.lower("p_name"), "^[a-z]+", 0)))
+
+
+@query("""WITH s AS (SELECT l_returnflag, list_sort(list(l_quantity)) AS v, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_returnflag, v[1] AS least, v[ceil(n * 0.5)::INT] AS p50, v[ceil(n * 0.95)::INT] AS p95, v[ceil(n * 0.99)::INT] AS p99, v[n] AS most, v[(n // 2 + 1)::INT] AS upper_median FROM s""")
+def metrics_percentiles(spark, d):
+    return metrics.nearest_rank(read(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
+
+
+@query(f"WITH {USAGE}, c AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) AS recent FROM u) SELECT * FROM c WHERE recent > 5")
+def monitor_flood(spark, d):
+    return metrics.flood(usage(spark, d), "user_id", "ms", 86_400_000, 5).select("user_id", "event_id", "recent")
+
+
+@query(f"WITH {USAGE}, h AS (SELECT user_id, event_id, tokens >= 90 AS high, lag(tokens >= 90) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS before FROM u) SELECT user_id, event_id FROM h WHERE high AND NOT coalesce(before, false)")
+def monitor_latch(spark, d):
+    return metrics.latch(usage(spark, d), "user_id", ["ms", "event_id"], "tokens", 90).select("user_id", "event_id")
+
+
+@query("""SELECT o_custkey, sum(l_quantity)::BIGINT AS lines, CASE WHEN bool_or(l_returnflag = 'R') OR sum(l_quantity) > 400 THEN 'high' WHEN bool_and(l_linestatus = 'O') THEN 'low' ELSE 'medium' END AS tier, least(200, ceil(sum(l_quantity) / 2))::BIGINT AS budget
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def risk_tiers(spark, d):
+    joined = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_linestatus").join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = joined.select("o_custkey", F.col("l_quantity").cast("long").alias("lines"), (F.col("l_returnflag") == "R").alias("sensitive"), (F.col("l_linestatus") == "O").alias("document"))
+    return metrics.risk(rows, ["o_custkey"])
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def proofs_latest(spark, d):
+    return metrics.latest(read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT 'region ' || n_regionkey AS model, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS members FROM nation GROUP BY n_regionkey")
+def routing_summary(spark, d):
+    return metrics.routing(read(spark, d, "nation").select(F.concat(F.lit("region "), "n_regionkey").alias("model"), F.col("n_name").alias("member")))
