@@ -155,12 +155,12 @@ def graph_dependents(spark, d):
     return snapshots.dependents(lineage(spark, d), spark.createDataFrame([("region:1",)], "path string"))
 
 
-@query("""WITH e AS (SELECT p_partkey AS entry_index, p_type AS kind, p_name AS name, lower(p_name) AS l FROM part), q AS (SELECT 'steel' AS q), g AS (SELECT *, list_distinct(CASE WHEN length(l) >= 3 THEN [substr(l, i, 3) for i in range(1, length(l) - 1)] ELSE [] END) AS t FROM e),
-s AS (SELECT *, len(list_intersect(t, ['ste', 'tee', 'eel'])) AS n FROM g), j AS (SELECT *, n / (3 + len(t) - n) AS j FROM s),
-x AS (SELECT entry_index, kind, name, greatest(CASE WHEN l = 'steel' THEN 1.0 ELSE 0 END, CASE WHEN starts_with(l, 'steel') THEN 0.75 ELSE 0 END, CASE WHEN contains(l, 'steel') THEN 0.6 ELSE 0 END, CASE WHEN j >= 0.35 THEN 0.5 * j ELSE 0 END)::DOUBLE AS score FROM j)
+@query("""WITH e AS (SELECT p_partkey AS entry_index, p_type AS kind, p_name AS name, lower(p_name) AS l FROM part), q AS (SELECT 'blue rod' AS q), g AS (SELECT *, list_distinct(CASE WHEN length(l) >= 3 THEN [substr(l, i, 3) for i in range(1, length(l) - 1)] ELSE [] END) AS t FROM e),
+s AS (SELECT *, len(list_intersect(t, ['blu', 'lue', 'ue ', 'e r', ' ro', 'rod'])) AS n FROM g), j AS (SELECT *, n / (6 + len(t) - n) AS j FROM s),
+x AS (SELECT entry_index, kind, name, greatest(CASE WHEN l = 'blue rod' THEN 1.0 ELSE 0 END, CASE WHEN starts_with(l, 'blue rod') THEN 0.75 ELSE 0 END, CASE WHEN (contains(l, 'blue') AND contains(l, 'rod')) THEN 0.6 ELSE 0 END, CASE WHEN j >= 0.35 THEN 0.5 * j ELSE 0 END)::DOUBLE AS score FROM j)
 SELECT entry_index, kind, name, floor(score * 1e4 + 0.5) / 1e4 AS score FROM x WHERE score > 0""")
 def search_lexical(spark, d):
-    return search.lexical(read(spark, d, "part").select(F.col("p_partkey").alias("entry_index"), F.col("p_type").alias("kind"), F.col("p_name").alias("name")), "Steel")
+    return search.lexical(read(spark, d, "part").select(F.col("p_partkey").alias("entry_index"), F.col("p_type").alias("kind"), F.col("p_name").alias("name")), "Blue rod")
 
 
 STATE = "CASE WHEN tokens % 10 = 0 THEN 'unavailable' WHEN tokens % 10 = 1 THEN 'unsupported' ELSE 'reported' END"
