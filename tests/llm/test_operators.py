@@ -134,13 +134,56 @@ def test_near_dedup_against_brute_force(spark, docs, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
-def test_tiles_find_what_leaders_miss(spark):
+def test_tiles_find_all_close_pairs_of_different_components(spark):
     rng = np.random.default_rng(5)
-    sketch = rng.integers(0, 1 << 16, (1300, 160)).astype(np.uint16)
-    sketch[1200:] = sketch[:100]
+    sketch = rng.integers(0, 1 << 16, (1400, 160)).astype(np.uint16)
+    sketch[1200:] = sketch[:200]
     sketch[1200:, :30] = 0
-    rows = spark.createDataFrame([(0, 7, i, bytearray(s.tobytes())) for i, s in enumerate(sketch)], "band int, key long, node long, sketch binary")
-    assert {(r.a, r.b) for r in near_dup._tiles(rows).collect()} >= {(i, 1200 + i) for i in range(100)}
+    sketch[700, :], sketch[701, :150] = sketch[0], sketch[1200, :150]
+    part = [0 if i < 600 or 1390 <= i else i for i in range(1400)]
+    main = sum(p == 0 for p in part)
+    rows = [(7, i, p, p == 0, main, 1400 - main, bytearray(s.tobytes())) for i, (p, s) in enumerate(zip(part, sketch, strict=True))]
+    table = spark.createDataFrame(rows, "key long, node long, component long, main boolean, n_main long, n_other long, sketch binary")
+    share = {}
+    for i in range(1400):
+        for j, x in enumerate((sketch[i + 1 :] == sketch[i]).mean(1), i + 1):
+            if x >= near_dup.SKETCH_FLOOR and part[i] != part[j]:
+                share[i, j] = x
+    got = [(r.a, r.b) for r in near_dup._tiles(table, False).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(share)
+    best = {(r.a, r.b) for r in near_dup._tiles(table, True).collect()}
+    assert best <= set(share) and {i for p in best for i in p} == {i for p in share for i in p}
+    for i in {i for p in share for i in p}:
+        assert max(share[p] for p in best if i in p) == max(x for p, x in share.items() if i in p)
+
+
+def test_near_copies_of_one_text_that_differ_among_themselves(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(3):
+        base = [rng.choice(words) for _ in range(250)]
+        for k in range(120):
+            near = list(base)
+            for _ in range(rng.choice([1, 2, 4, 6, 7, 9]) if k else 0):
+                near[rng.randrange(250)] = rng.choice(words)
+            rows.append((1000 * g + k, " ".join(near)))
+    rng.shuffle(rows)
+    sets = {i: near_dup.shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        if near_dup.probability_jaccard(sets[i], sets[j]) >= 0.8:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: find(i) for i in sets}
+    assert len({find(i) for i in sets}) > 3
 
 
 def brute_spans(text):

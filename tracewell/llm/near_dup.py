@@ -11,10 +11,15 @@ equal registers estimates the probability Jaccard similarity
 which is the Jaccard similarity where all counts are one.  Bands of registers
 give candidates, and J_P of the whole texts decides.
 
-Hot buckets: documents with the same weighted shingles are one node; in a bucket
-every node is compared with one leader instead of all pairs, and those that do
-not match their leader meet each other in tiles of compact sketches, which emit
-only the closest pairs, and never all of them.  Leaders differ between bands.
+Hot buckets: documents with the same weighted shingles are one node.  The leader
+of a bucket is the node whose bands lie in the fullest buckets, which for copies
+of one text is the text itself or what is closest to it.  Every node is verified
+with the leader it shares most bands with, and what links is contracted.  Only
+buckets that still hold several components go on: their nodes meet in tiles of
+compact sketches, members of the largest component with the others alone.  Every
+node is first verified with its closest partner of another component; after a
+second contraction all close pairs of different components are verified.  Pairs
+inside one component can change no class and are never made.
 """
 
 from __future__ import annotations
@@ -36,11 +41,10 @@ REGISTERS = BANDS * ROWS
 #: Documents whose registers are computed at once; nodes per side of a tile.
 BLOCK_DOCS = 500
 TILE = 512
-#: Sketches below this share of equal registers are not verified: 0.8 is over six standard deviations away.
-SKETCH_FLOOR = 0.6
-#: Of the close sketches in a tile, a node is verified against so many of the closest.  A class needs one link that
-#: holds per node, and each of a node's bands gives it further tiles with other partners.
-PARTNERS = 4
+#: Sketches below this share of equal registers are not verified; it is 4.7 standard deviations below 0.8, a few pairs in a million.
+SKETCH_FLOOR = 0.65
+#: Bytes of a band in a sketch of 16 bits a register.
+BAND_BYTES = 2 * ROWS
 
 U = np.uint64
 
@@ -110,75 +114,122 @@ def registers(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) ->
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint of the weighted shingles (null without words), bands, sketch (16 bits a register)."""
+    """doc_id, fingerprint of the weighted shingles (null without words), sketch (16 bits a register, band by band)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), BLOCK_DOCS):
                 block = batch.iloc[at : at + BLOCK_DOCS]
                 sets = [shingles(t) for t in block["text"]]
-                held = registers(sets)
-                bands = np.zeros((len(sets), BANDS), np.uint64)
-                for k in range(ROWS):
-                    bands = _mix(bands * U(0x9E3779B97F4A7C15) + held.reshape(-1, BANDS, ROWS)[:, :, k] + U(1))
-                sketch = _mix(held).astype(np.uint16)
+                sketch = _mix(registers(sets)).astype(np.uint16)
                 yield pd.DataFrame(
                     {
                         "doc_id": block["doc_id"].to_numpy(),
                         "fingerprint": [xxhash.xxh128_digest(h.tobytes() + w.tobytes()) if len(h) else None for h, w in sets],
-                        "bands": list(bands.view(np.int64)),
                         "sketch": [row.tobytes() for row in sketch],
                     }
                 )
 
-    return docs.mapInPandas(run, "doc_id long, fingerprint binary, bands array<long>, sketch binary")
+    return docs.mapInPandas(run, "doc_id long, fingerprint binary, sketch binary")
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket whose sketches are close; rows: band, key, node, sketch."""
-    size = settle(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "tile-counts")
-    placed = rows.join(size, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node", "band"), F.col("tiles")).cast("int"))
-    # Tile pair (i, j), i <= j, needs the nodes of tiles i and j.
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = pairs.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "sketch")
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """key, node, leader: members of the buckets that hold several nodes; of ``nodes`` (node, sketch)."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring("sketch", k * BAND_BYTES + 1, F.lit(BAND_BYTES)), k))
+    banded = nodes.select("node", F.explode(keys).alias("key"))
+    sizes = settle(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-bucket-sizes")
+    members = settle(banded.join(sizes.hint("merge"), "key"), "near-members")
+    popular = settle(members.groupBy("node").agg(F.sum("n").alias("popular")), "near-popular")
+    ranked = members.join(popular.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("popular", F.negative("node").alias("minus"))).alias("lead"))
+    lead = settle(ranked.select("key", F.negative("lead.minus").alias("leader")), "near-leaders")
+    return settle(members.select("key", "node").join(lead.hint("merge"), "key"), "near-buckets")
+
+
+def _open_members(buckets: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, component, main, n_main, n_other, sketch: members of buckets that hold several components.
+
+    main tells the members of the bucket's largest component.
+    """
+    placed = settle(buckets.select("key", "node").join(linked.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-placed")
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    several = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    several = settle(several.select("key", F.col("top.component").alias("largest"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other")), "near-several")
+    left = placed.join(several.hint("merge"), "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main"), "n_main", "n_other")
+    return settle(left.join(nodes.select("node", "sketch").hint("merge"), "node"), "near-open")
+
+
+def _tiles(members: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of close nodes of one bucket and of different components.
+
+    With best, of every node only the closest partner.  Members of the largest
+    component meet the others only, so they are sent once per tile of others.
+    """
+    tiles = {False: F.ceil(F.col("n_other") / TILE).cast("int"), True: F.ceil(F.col("n_main") / TILE).cast("int")}
+    own = F.pmod(F.xxhash64("node", "key"), F.when(F.col("main"), tiles[True]).otherwise(tiles[False])).cast("int")
+    # A tile is (i, j): others i with main members j >= 0, or others i with others -1 - j.
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    spots = F.when(F.col("main"), F.transform(upto(tiles[False]), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(
+        F.concat(
+            F.transform(upto(tiles[True]), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))),
+            F.transform(upto(tiles[False]), lambda j: F.struct(F.least("own", j).alias("i"), (-1 - F.greatest("own", j)).alias("j"))),
+        )
+    )
+    sent = members.withColumn("own", own).withColumn("spot", F.explode(spots)).select("key", "spot.i", "spot.j", "own", "main", "node", "component", "sketch")
 
     def close(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[2], key[3]
+        i, j = key[1], key[2]
         sketch = np.frombuffer(b"".join(tile["sketch"]), np.uint16).reshape(len(tile), -1)
-        node, own = tile["node"].to_numpy(), tile["own"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = set()
+        node, own, part, main = (tile[c].to_numpy() for c in ("node", "own", "component", "main"))
+        left = np.flatnonzero(~main & (own == i))
+        right = np.flatnonzero(main if j >= 0 else own == -1 - j)
+        same = j < 0 and i == -1 - j
+        top, who = np.zeros(len(tile)), np.full(len(tile), -1)
+        found = [np.zeros((0, 2), np.int64)]
+        shares = [np.zeros(0)]
         for a in left:
-            others = right[right > a] if i == j else right
+            others = right[right > a] if same else right
+            others = others[part[others] != part[a]]
             share = (sketch[others] == sketch[a]).mean(1)
-            near = np.flatnonzero(share >= SKETCH_FLOOR)
-            if len(near) > PARTNERS:
-                near = near[np.argsort(-share[near], kind="stable")[:PARTNERS]]
-            found |= {(int(min(node[a], node[b])), int(max(node[a], node[b]))) for b in others[near]}
-        found = sorted(found)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return pairs.groupBy("band", "key", "i", "j").applyInPandas(close, "a long, b long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) with J_P >= threshold over whole texts.
+            near = share >= SKETCH_FLOOR
+            others, share = others[near], share[near]
+            if not len(others):
+                continue
+            if best:
+                better = share > top[others]
+                top[others[better]], who[others[better]] = share[better], a
+                if share.max() > top[a]:
+                    top[a], who[a] = share.max(), others[share.argmax()]
+            else:
+                found.append(np.column_stack((np.full(len(others), node[a]), node[others])))
+                shares.append(share)
+        if best:
+            some = np.flatnonzero(who >= 0)
+            found, shares = [np.column_stack((node[some], node[who[some]]))], [top[some]]
+        found = np.concatenate(found)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "share": np.concatenate(shares)})
+
+    pairs = sent.groupBy("key", "i", "j").applyInPandas(close, "a long, b long, share double")
+    if best:
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("share", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) with J_P >= threshold over whole texts; held: doc_id, text.
 
     The joins merge at every size: what is broadcast would grow with the corpus.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = settle(docs.join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
     left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b")
+    both = pairs.select("a", "b").hint("merge").join(left, "a").join(right.hint("merge"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: list = [(None, None), (None, None)]
         for batch in batches:
-            keep, last, held_a = [], None, None
-            for ta, tb in zip(batch["text_a"], batch["text_b"], strict=True):
-                if ta != last:
-                    last, held_a = ta, shingles(ta)
-                keep.append(probability_jaccard(held_a, shingles(tb)) >= threshold)
+            keep = []
+            for pair in zip(batch["text_a"], batch["text_b"], strict=True):
+                last = [old if old[0] == t else (t, shingles(t)) for old, t in zip(last, pair, strict=True)]
+                keep.append(probability_jaccard(last[0][1], last[1][1]) >= threshold)
             yield batch.loc[keep, ["a", "b"]]
 
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
@@ -196,27 +247,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
     found = settle(features(rows), "near-features")
     # Equal weighted shingles: one node, the smallest id.
-    nodes = settle(found.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "near-nodes")
-    named = settle(found.select("doc_id", "fingerprint").join(nodes, "fingerprint", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")), "near-named")
-    only = found.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").where("fingerprint is not null")
-    banded = only.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
-    # Leaders of a bucket: least rank; the rank differs between four kinds of bands.
-    rank = F.xxhash64("node", F.col("band") % 4)
-    lead = banded.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), "node")).alias("lead"), F.count("*").alias("n"))
-    lead = settle(lead.where("n > 1").select("band", "key", F.col("lead.node").alias("leader")), "near-leaders")
-    joined = settle(banded.join(lead.hint("merge"), ["band", "key"]), "near-buckets")
-    pairs = joined.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = settle(_verified(settle(pairs, "near-pairs"), rows, threshold), "near-links")
-    # Those without a link to their bucket's leader meet each other.
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = joined.where("node <> leader").join(both.select(F.col("a").alias("node"), F.col("b").alias("leader")), ["node", "leader"], "left_anti")
-    sketched = rest.select("band", "key", "node").join(only.select(F.col("doc_id").alias("node"), "sketch"), "node")
-    more = settle(_tiles(settle(sketched, "near-rest")).distinct().join(links, ["a", "b"], "left_anti"), "near-more")
-    links = links.unionByName(settle(_verified(more, rows, threshold), "near-more-links"))
+    nodes = settle(found.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "near-nodes")
+    named = settle(found.select("doc_id", "fingerprint").join(nodes.select("fingerprint", "node").hint("merge"), "fingerprint", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")), "near-named")
+    buckets = _buckets(nodes)
+    ids = buckets.select(F.col("node").alias("doc_id")).distinct()
+    held = settle(rows.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    # Every node with the leader it shares most bands with (b: the leader, which may be hot).
+    first = buckets.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("hits"))
+    first = first.groupBy("node").agg(F.max(F.struct("hits", "leader")).alias("x")).select(F.col("node").alias("a"), F.col("x.leader").alias("b"))
+    first = settle(first, "near-first")
+    links = settle(_verified(first, held, threshold), "near-links")
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for best in (True, False):
+        linked = components(links).withColumnRenamed("id", "node")
+        pairs = settle(_tiles(_open_members(buckets, linked, nodes), best).join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(settle(_verified(pairs, held, threshold), "near-links"))
     linked = settle(components(links).withColumnRenamed("id", "node"), "near-components")
-    classed = settle(named.join(linked, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id")), "near-classes")
+    classed = settle(named.join(linked.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id")), "near-classes")
     sizes = settle(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "near-sizes")
-    return classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return classed.join(sizes.hint("merge"), "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
