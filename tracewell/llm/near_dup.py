@@ -41,6 +41,8 @@ REGISTERS = BANDS * ROWS
 #: Documents whose registers are computed at once; nodes per side of a tile.
 BLOCK_DOCS = 500
 TILE = 512
+#: Rows of small buckets that share a task call, on average: a call of its own for each would cost more than its work.
+BIN = 8192
 #: Sketches below this share of equal registers are not verified; it is 4.7 standard deviations below 0.8, a few pairs in a million.
 SKETCH_FLOOR = 0.65
 #: Bytes of a band in a sketch of 16 bits a register.
@@ -174,16 +176,27 @@ def _tiles(members: DataFrame, best: bool) -> DataFrame:
             F.transform(upto(tiles[False]), lambda j: F.struct(F.least("own", j).alias("i"), (-1 - F.greatest("own", j)).alias("j"))),
         )
     )
-    sent = members.withColumn("own", own).withColumn("spot", F.explode(spots)).select("key", "spot.i", "spot.j", "own", "main", "node", "component", "sketch")
-
-    def close(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        sketch = np.frombuffer(b"".join(tile["sketch"]), np.uint16).reshape(len(tile), -1)
-        node, own, part, main = (tile[c].to_numpy() for c in ("node", "own", "component", "main"))
+    bins = max(1, -(-members.count() // BIN))
+    call = F.when(F.col("n_main") + F.col("n_other") <= TILE, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.xxhash64("key", "spot.i", "spot.j"))
+    sent = members.withColumn("own", own).withColumn("spot", F.explode(spots)).select(call.alias("call"), "key", "spot.i", "spot.j", "own", "main", "node", "component", "sketch")
+
+    def calls(rows: pd.DataFrame) -> pd.DataFrame:
+        """All tiles of one call."""
+        rows = rows.sort_values(["key", "i", "j"], kind="stable")
+        key, i, j = (rows[c].to_numpy() for c in ("key", "i", "j"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
+        columns = [rows[c].to_numpy() for c in ("node", "own", "component", "main")]
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        made = [close(i[a], j[a], sketch[a:b], *(c[a:b] for c in columns)) for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)]
+        found = np.concatenate([f for f, _ in made])
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "share": np.concatenate([x for _, x in made])})
+
+    def close(i: int, j: int, sketch: np.ndarray, node: np.ndarray, own: np.ndarray, part: np.ndarray, main: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one tile and their shares of equal registers."""
         left = np.flatnonzero(~main & (own == i))
         right = np.flatnonzero(main if j >= 0 else own == -1 - j)
         same = j < 0 and i == -1 - j
-        top, who = np.zeros(len(tile)), np.full(len(tile), -1)
+        top, who = np.zeros(len(node)), np.full(len(node), -1)
         found = [np.zeros((0, 2), np.int64)]
         shares = [np.zeros(0)]
         for a in left:
@@ -205,10 +218,9 @@ def _tiles(members: DataFrame, best: bool) -> DataFrame:
         if best:
             some = np.flatnonzero(who >= 0)
             found, shares = [np.column_stack((node[some], node[who[some]]))], [top[some]]
-        found = np.concatenate(found)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "share": np.concatenate(shares)})
+        return np.concatenate(found), np.concatenate(shares)
 
-    pairs = sent.groupBy("key", "i", "j").applyInPandas(close, "a long, b long, share double")
+    pairs = sent.groupBy("call").applyInPandas(calls, "a long, b long, share double")
     if best:
         pairs = pairs.groupBy("a").agg(F.max(F.struct("share", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
