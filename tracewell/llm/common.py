@@ -46,8 +46,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex of ``edges`` (a, b); component is the smallest id reachable.
 
-    Large-star and small-star steps (Kiveris et al., 2014) until the edge set
-    stands still.  Minima are taken with map-side combination and written before
+    Large-star and small-star steps (Kiveris et al., 2014) until only stars are
+    left.  Minima are taken with map-side combination and written before
     the join, so the join's sides are plain exchanges that AQE can split at hubs.
     Null ends and loops are left out.  No edge: an empty result.
     """
@@ -58,12 +58,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         "edges",
     )
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def are_stars(df: DataFrame) -> bool:
+        """Whether every leaf u has one centre v and no centre is a leaf; as v < u, each centre is the smallest of its star."""
+        roles = df.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(df.select(F.col("v").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        return roles.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf + centre > 1").count() == 0
 
-    last = mark(e)
     for _ in range(rounds):
-        if not last[0]:
+        if are_stars(e):
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
@@ -72,10 +73,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = settle(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        now = mark(e)
-        if now == last:
-            break
-        last = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -247,6 +247,17 @@ def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def _contracted(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after more links (a, b): they are joined between components, not between nodes."""
+    if links.isEmpty():
+        return linked
+    of = lambda end: linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")).hint("merge")
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = settle(components(ends).select(F.col("id").alias("component"), F.col("component").alias("lowest")), "near-joined")
+    moved = linked.join(joined.hint("merge"), "component", "left").select("node", F.coalesce("lowest", "component").alias("component"))
+    return settle(moved.unionByName(joined.select(F.col("component").alias("node"), F.col("lowest").alias("component"))).distinct(), "near-linked")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, kept.
 
@@ -260,7 +271,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = settle(features(rows), "near-features")
     # Equal weighted shingles: one node, the smallest id.
     nodes = settle(found.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "near-nodes")
-    named = settle(found.select("doc_id", "fingerprint").join(nodes.select("fingerprint", "node").hint("merge"), "fingerprint", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")), "near-named")
     buckets = _buckets(nodes)
     ids = buckets.select(F.col("node").alias("doc_id")).distinct()
     held = settle(rows.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
@@ -268,14 +278,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = buckets.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("hits"))
     first = first.groupBy("node").agg(F.max(F.struct("hits", "leader")).alias("x")).select(F.col("node").alias("a"), F.col("x.leader").alias("b"))
     first = settle(first, "near-first")
-    links = settle(_verified(first, held, threshold), "near-links")
+    linked = settle(components(_verified(first, held, threshold)).withColumnRenamed("id", "node"), "near-linked")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for best in (True, False):
-        linked = components(links).withColumnRenamed("id", "node")
-        pairs = settle(_tiles(_open_members(buckets, linked, nodes), best).join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
+        members = _open_members(buckets, linked, nodes)
+        if members.isEmpty():
+            break
+        pairs = settle(_tiles(members, best).join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
         tried = tried.unionByName(pairs)
-        links = links.unionByName(settle(_verified(pairs, held, threshold), "near-links"))
-    linked = settle(components(links).withColumnRenamed("id", "node"), "near-components")
+        linked = _contracted(linked, settle(_verified(pairs, held, threshold), "near-links"))
+    named = found.select("doc_id", "fingerprint").join(nodes.select("fingerprint", "node").hint("merge"), "fingerprint", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
     classed = settle(named.join(linked.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id")), "near-classes")
     sizes = settle(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "near-sizes")
     return classed.join(sizes.hint("merge"), "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
