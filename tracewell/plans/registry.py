@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import history, metrics, search, snapshots, stats
+from ..operators import history, metrics, search, snapshots, stats, work
 
 TODAY = "2024-01-31"
 QUERIES: dict = {}
@@ -211,3 +211,37 @@ def proofs_latest(spark, d):
 @query("SELECT 'region ' || n_regionkey AS model, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS members FROM nation GROUP BY n_regionkey")
 def routing_summary(spark, d):
     return metrics.routing(read(spark, d, "nation").select(F.concat(F.lit("region "), "n_regionkey").alias("model"), F.col("n_name").alias("member")))
+
+
+@query("""WITH n AS (SELECT p_partkey AS node, p_brand AS area, p_type AS topic, string_split(p_name, ' ') AS tags FROM part), s AS (SELECT * FROM n WHERE node = 1),
+r AS (SELECT n.node, concat_ws(',', CASE WHEN n.area = s.area THEN 'area' END, CASE WHEN len(list_intersect(n.tags, s.tags)) > 0 THEN 'tag' END, CASE WHEN n.area = s.area AND n.topic = s.topic THEN 'topic' END) AS reasons FROM n, s WHERE n.node <> 1)
+SELECT node, reasons FROM r WHERE reasons <> ''""")
+def work_related(spark, d):
+    return work.related(read(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("area"), F.col("p_type").alias("topic"), F.split("p_name", " ").alias("tags")), 1)
+
+
+@query("SELECT p_partkey, p_name AS name, p_brand AS file, p_type AS kind FROM part WHERE lower(p_name) = 'blue rod'")
+def symbol_lookup(spark, d):
+    return work.symbols(read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("kind")), name="Blue ROD")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 50 OFFSET 100")
+def page_of_orders(spark, d):
+    return work.page(read(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority", "o_orderkey"], 100, 60)
+
+
+@query("SELECT event_type, count(*) AS n, floor(sum(value) * 1e4 + 0.5) / 1e4 AS total, max(value) AS most FROM events GROUP BY 1")
+def phase_metrics(spark, d):
+    return work.phases(read(spark, d, "events"), "event_type", "value")
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size > 5 THEN floor(p_size / 10.0::DOUBLE * 1e6 + 0.5) / 1e6 END AS input, CASE WHEN p_size > 5 THEN floor(p_retailprice / 900.0::DOUBLE * 1e6 + 0.5) / 1e6 END AS output FROM part)
+SELECT *, greatest(input, output) AS blended FROM r""")
+def price_ratios(spark, d):
+    size = F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).otherwise(0.0)
+    return work.price_ratio(read(spark, d, "part").select(F.col("p_partkey").alias("id"), size.alias("input"), F.col("p_retailprice").alias("output"), F.lit(10.0).alias("base_input"), F.lit(900.0).alias("base_output")))
+
+
+@query("SELECT conv_id, turn, running FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations) WHERE running <= 500")
+def budgeted_turns(spark, d):
+    return work.char_budget(read(spark, d, "conversations").withColumn("size", F.length("text")), ["conv_id"], ["turn", "text"], "size", 500).select("conv_id", "turn", "running")
