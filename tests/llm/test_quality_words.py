@@ -1,0 +1,89 @@
+"""Operator 7: junk of ordinary letters, and the model of words against brute force."""
+
+import math
+import random
+
+import pytest
+
+from tracewell.llm import quality
+
+SCHEMA = "doc_id long, text string, lang string"
+SYLLABLES = {"en": "ba na tor el in so".split(), "de": "sch ei ung kel wo tra".split(), "fr": "que eau oi ment pli ru".split()}
+
+
+def corpus():
+    """Clean texts of 30 words a language; junk of the same syllables put together otherwise."""
+    rng = random.Random(7)
+    words = {lang: sorted({"".join(rng.choices(s, k=rng.randint(1, 3))) for _ in range(60)})[:30] for lang, s in SYLLABLES.items()}
+    clean = lambda lang, n=60: " ".join(rng.choices(words[lang], k=n))
+    junk = lambda lang: " ".join("".join(rng.choices(SYLLABLES[lang], k=rng.randint(4, 6))) for _ in range(60))
+    rows = [(i, clean("en"), "en") for i in range(200)] + [(i, clean("de"), "de") for i in range(200, 400)] + [(i, clean("fr", 40), "fr") for i in range(400, 412)]
+    rest = [(1000 + i, junk("en"), "en") for i in range(20)] + [(1100 + i, junk("en"), None) for i in range(20)] + [(1200 + i, junk("de"), "xx") for i in range(20)]
+    rest += [(1300 + i, clean("en"), None) for i in range(20)] + [(1400 + i, clean("fr", 40), "fr") for i in range(20)]
+    return rows, rest
+
+
+@pytest.fixture(scope="module")
+def verdicts(spark):
+    rows, rest = corpus()
+    docs = spark.createDataFrame(rows + rest, SCHEMA)
+    return {r.doc_id: r for r in quality.score_documents(docs, docs.where("doc_id < 1000")).collect()}
+
+
+def kept(verdicts, first):
+    return sum(verdicts[first + i].kept for i in range(20))
+
+
+def test_junk_of_ordinary_letters_is_found(verdicts):
+    assert kept(verdicts, 1000) == 0
+    assert sum(verdicts[i].kept for i in range(200)) >= 190
+
+
+def test_probabilities_against_brute_force(spark):
+    trusted = spark.createDataFrame([("en", 0, "a b c a b d . a b c"), ("en", 0, "b c a a b"), ("de", 0, "a x y x")], "lang string, half int, text string")
+    vocabulary = ["a", "b", "c", "d", ".", "x", "y", "new"]
+    rows = spark.createDataFrame([(i, "en", 1, False, f"a b {w}") for i, w in enumerate(vocabulary)], "key long, name string, half int, twice boolean, text string")
+    found = quality.document_words(rows)
+    log_p = quality.probabilities(quality.count_words(trusted), found.drop("key", "name", "n").dropDuplicates(["g3"]))
+    last = {}
+    for r in found.join(log_p, "g3").collect():
+        last.setdefault(r.key, []).append(r.log_p)
+    texts = {"en": ["a b c a b d . a b c", "b c a a b"], "*": ["a b c a b d . a b c", "b c a a b", "a x y x"]}
+    for i, w in enumerate(vocabulary):
+        assert math.isclose(sum(last[i]), sum(math.log(brute(texts, ["\n", "\n", "a", "b", w], at)) for at in (2, 3, 4)), rel_tol=1e-9)
+    # Over the known words and what each unknown word gets, the shares of a context sum to one.
+    assert math.isclose(sum(brute(texts, ["\n", "a", "b", w], 3) for w in vocabulary), 1, rel_tol=1e-9)
+
+
+def brute(texts, words, at):
+    """Probability of words[at] after the two before it; interpolated modified Kneser-Ney, language over all languages over even shares."""
+
+    def levels(name):
+        three = {}
+        for t in texts[name]:
+            w = ["\n", "\n", *t.split()]
+            for i in range(2, len(w)):
+                three[tuple(w[i - 2 : i + 1])] = three.get(tuple(w[i - 2 : i + 1]), 0) + 1
+        two, one = {}, {}
+        for g in three:
+            two[g[1:]] = two.get(g[1:], 0) + 1
+        for g in two:
+            one[g[1:]] = one.get(g[1:], 0) + 1
+        return {3: three, 2: two, 1: one}
+
+    def cuts(level):
+        n = [sum(c == i for c in level.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        d = [max(0.1, min(i - 0.1, i - (i + 1) * y * n[i + 1] / n[i])) if i < 4 and n[i] and n[1] else 0.5 for i in (1, 2, 3)]
+        return {g: d[min(c, 3) - 1] for g, c in level.items()}
+
+    def p(name, k):
+        if k == 0:
+            return 1 / (len(levels("*")[1]) + 1) if name == "*" else p("*", 1)
+        level, gram = levels(name)[k], tuple(words[at - k + 1 : at + 1])
+        cut, same = cuts(level), [g for g in level if g[:-1] == gram[:-1]]
+        if not same:
+            return p(name, k - 1)
+        return (level.get(gram, 0) - cut.get(gram, 0) + sum(cut[g] for g in same) * p(name, k - 1)) / sum(level[g] for g in same)
+
+    return p("en", 3)

@@ -1,19 +1,25 @@
-"""Operator 7: quality by an interpolated modified Kneser-Ney model of character n-grams.
-
-The model is trained per language on trusted text (rows labelled quality 1).
-Characters fall into 32 classes - letters without case, space, digits, groups of
-marks, and capitals that follow a letter - so a language has at most 32**4
-n-grams of order four.  Tasks count n-grams of their rows and send sums; the
-counts are sharded by language and context and joined order by order to give
-discounts, back-off weights and probabilities.  What scoring tasks receive is at
-most 32**4 floats per language, however large the corpus.
-
-A document's perplexity is held against a quantile of its language's trusted
-documents.
+"""Operator 7: quality by an interpolated modified Kneser-Ney model of word n-grams.
+
+The model is trained on trusted text (rows labelled quality 1), per language and
+over all languages, which is the lowest level that every language's model backs
+off to.  Words are counted in tasks, summed by Spark, and joined order by order
+on 64-bit hashes of model and words; probabilities are found once per distinct
+n-gram and joined to the n-grams of each document.  No table of the model passes
+through the driver or is broadcast; only a row per model and order is.
+
+Documents fall into two halves by their text, and each half is scored by models
+of the other half's trusted text.  So no trusted document is scored by itself,
+and a document's perplexity may be held against a quantile of its language's
+trusted documents.
+
+``ngrams`` to ``dense`` are the model of character classes that came before;
+operator 7 does not use it.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +27,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, settle, texts
+from .common import read, settle
 
 ORDER = 4
 CLASSES = 32
 SIZE = CLASSES**ORDER
 #: Share of a language's trusted documents that lie below the threshold.
 QUANTILE = 0.99
-#: Characters of average trusted text that every document is taken to have besides its own.
-PRIOR = 60
-#: Languages with fewer trusted n-grams are scored by the model of all languages.
+#: Words of average trusted text that every document is taken to have besides its own.
+PRIOR = 10
+WORD_ORDER = 3
+#: Words that a task turns into n-grams at once; a longer document is taken in such pieces.
+BLOCK_WORDS = 300_000
+TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+START = "\n"
+#: Trusted n-grams from which a language had a model of its own.
 LEAST_COUNTS = 20_000
 ALL = "*"
 PIECE = 1 << 20
@@ -150,48 +161,185 @@ def dense(table: pd.DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    code, distinct = pd.factorize(np.array(words, dtype=object))
+    return pd.util.hash_array(distinct, categorize=False)[code]
+
+
+def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(document's place, hashes of each word, the one before and the one before that), block by block; whole texts."""
+    place, words, n = [], [], 0
+
+    def block() -> tuple[np.ndarray, list[np.ndarray]]:
+        h = _hashes(list(itertools.chain.from_iterable(words)))
+        keep = np.concatenate([np.r_[[False] * 2, [True] * (len(w) - 2)] for w in words])
+        now = np.flatnonzero(keep)
+        return np.repeat(place, [len(w) - 2 for w in words]), [h[now], h[now - 1], h[now - 2]]
+
+    for i, text in enumerate(texts):
+        found, last = (m.group() for m in TOKEN.finditer(text)), [START, START]
+        while piece := list(itertools.islice(found, BLOCK_WORDS)):
+            place.append(i)
+            words.append(last + piece)
+            last = words[-1][-2:]
+            n += len(piece)
+            if n >= BLOCK_WORDS:
+                yield block()
+                place, words, n = [], [], 0
+    if words:
+        yield block()
+
+
+def _keys(h: list[np.ndarray], seed: np.ndarray) -> dict[str, np.ndarray]:
+    """g3, g2, g1: n-grams that end at each word; c3, c2: contexts.  Suffixes and contexts of n-grams are n-grams."""
+    w, p, q = h
+    pair = lambda g, before: _mix(g * np.uint64(0x9E3779B97F4A7C15) ^ _mix(before + np.uint64(1)))
+    g1, c2 = _mix(w ^ seed), _mix(p ^ seed)
+    g2, c3 = pair(g1, p), pair(c2, q)
+    return {"g3": pair(g2, q), "g2": g2, "g1": g1, "c3": c3, "c2": c2}
+
+
+KEYS = ("g3", "g2", "g1", "c3", "c2")
+KEY_TYPES = ", ".join(f"{k} long" for k in KEYS)
+
+
+def _model(name: str, half: int) -> str:
+    """The model of one half's trusted text."""
+    return f"{name}\n{half}"
+
+
+def count_words(trusted: DataFrame) -> DataFrame:
+    """(g3, g2, g1, c3, c2, model, n) over trusted rows (lang, half, text): each text counts in its language's model and in that of all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, h in _blocks(batch["text"].tolist()):
+                for name in (batch["lang"].tolist(), [ALL] * len(batch)):
+                    model = np.array([_model(*x) for x in zip(name, batch["half"], strict=True)], dtype=object)
+                    keys = _keys(h, _hashes(model.tolist())[at])
+                    _, first, n = np.unique(keys["g3"], return_index=True, return_counts=True)
+                    yield pd.DataFrame({k: keys[k][first].view(np.int64) for k in KEYS} | {"model": model[at][first], "n": n})
+
+    rows = trusted.select("lang", "half", "text").mapInPandas(run, f"{KEY_TYPES}, model string, n long")
+    same = [F.first(k).alias(k) for k in (*KEYS[1:], "model")]
+    return rows.groupBy("g3").agg(*same, F.sum("n").alias("n"))
+
+
+def _discounted(level: DataFrame) -> DataFrame:
+    """``level`` (model, n) with cut, what modified Kneser-Ney takes from each count."""
+    of = level.groupBy("model").agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    # Of short texts a ratio may be missing or at its end; a little mass always goes to what was not seen.
+    ratio = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.5)
+    discounts = settle(of.select("model", *[ratio(i).alias(f"d{i}") for i in (1, 2, 3)]), "word-discounts")
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return level.join(F.broadcast(discounts), "model").withColumn("cut", cut).drop("d1", "d2", "d3")  # a row per model
+
+
+def probabilities(counts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(g3, log_p) of the n-grams ``needed`` (g3, g2, g1, c3, c2, a1, model, base) under the models of ``counts``.
+
+    a1 is the word in the model of all languages, base that model's name.  Joins merge at every size: AQE splits the hot keys.
+    """
+    tables, level = {}, settle(counts, "word-counts-3")
+    for k in range(WORD_ORDER, 0, -1):
+        tables[k] = settle(_discounted(level), f"word-cuts-{k}")
+        if k > 1:
+            below = [f"g{i}" for i in range(k - 2, 0, -1)] + [f"c{i}" for i in range(k - 1, 1, -1)] + ["model"]
+            level = settle(level.groupBy(f"g{k - 1}").agg(*[F.first(c).alias(c) for c in below], F.count("*").alias("n")), f"word-counts-{k - 1}")
+    sums = lambda df, key: df.groupBy(key).agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"), F.count("*").alias("types"))
+    share = ((F.col("n") - F.col("cut")) / F.col("total")).alias("share")
+    one = settle(sums(tables[1], "model"), "word-models")  # a row per model
+    even = 1.0 / ((one.agg(F.max("types")).first()[0] or 0) + 1)
+    words = settle(tables[1].join(F.broadcast(one), "model").select("g1", share), "word-shares")
+    rest = one.select("model", (F.col("mass") / F.col("total")).alias("rest"))
+    of_all = rest.select(F.col("model").alias("base"), F.col("rest").alias("rest_all"))
+
+    need = settle(needed, "word-needed")
+    single = need.select("g1", "a1", "model", "base").distinct()
+    p = single.join(words.hint("merge"), "g1", "left").join(words.select(F.col("g1").alias("a1"), F.col("share").alias("share_all")).hint("merge"), "a1", "left")
+    p = p.join(F.broadcast(rest), "model", "left").join(F.broadcast(of_all), "base", "left")
+    over_all = F.coalesce("share_all", F.lit(0.0)) + F.coalesce("rest_all", F.lit(1.0)) * even
+    lower = F.when(F.col("model") == F.col("base"), over_all).otherwise(F.coalesce("share", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * over_all)
+    p = settle(p.select("g1", lower.alias("p")), "word-p-1")
+    for k in range(2, WORD_ORDER + 1):
+        seen = tables[k].select(f"g{k}", (F.col("n") - F.col("cut")).alias("own"))
+        context = settle(sums(tables[k], f"c{k}"), f"word-contexts-{k}")
+        want = need if k == WORD_ORDER else need.groupBy("g2").agg(F.first("g1").alias("g1"), F.first("c2").alias("c2"))
+        want = want.select(f"g{k}", f"g{k - 1}", f"c{k}").join(seen.hint("merge"), f"g{k}", "left")
+        want = want.join(context.hint("merge"), f"c{k}", "left").join(p.hint("merge"), f"g{k - 1}")
+        value = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("mass") * F.col("p")) / F.col("total"))
+        p = settle(want.select(f"g{k}", value.alias("p")), f"word-p-{k}")
+    return p.select("g3", F.log("p").alias("log_p"))
+
+
+def document_words(rows: DataFrame) -> DataFrame:
+    """(key, name, n, g3, ...) of rows (key, name, half, twice, text): n-grams of each document under the models of the other half.
+
+    Where twice is true, they come under the model of all languages besides.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            key, half, twice = batch["key"].to_numpy(), batch["half"].to_numpy(), batch["twice"].to_numpy(bool)
+            base = np.array([_model(ALL, 1 - x) for x in half], dtype=object)
+            for at, h in _blocks(batch["text"].tolist()):
+                over_all = _hashes(base.tolist())[at]
+                for name, keep in ((batch["name"].to_numpy(object), np.ones(len(at), bool)), (np.full(len(batch), ALL, object), twice[at])):
+                    if not keep.any():
+                        continue
+                    model = np.array([_model(*x) for x in zip(name, 1 - half, strict=True)], dtype=object)
+                    own, part = at[keep], [x[keep] for x in h]
+                    keys = _keys(part, _hashes(model.tolist())[own]) | {"a1": _mix(part[0] ^ over_all[keep])}
+                    order = np.lexsort((keys["g3"], own))
+                    g, d = keys["g3"][order], own[order]
+                    start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])])
+                    first, n = order[start], np.diff(np.r_[start, len(g)])
+                    yield pd.DataFrame({k: v[first].view(np.int64) for k, v in keys.items()} | {"key": key[own[first]], "name": name[own[first]], "model": model[own[first]], "base": base[own[first]], "n": n})
+
+    return rows.select("key", "name", "half", "twice", "text").mapInPandas(run, f"{KEY_TYPES}, a1 long, key long, name string, model string, base string, n long")
+
+
 def score_documents(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """One row per document: doc_id, lang, n_grams, perplexity, threshold, trusted, kept.
+    """One row per document: doc_id, lang, n_grams (words), perplexity, threshold, trusted, kept.
 
     trusted: ids of trusted documents (doc_id).  Null texts count as empty and get
-    the perplexity of the average trusted text; null languages, and those with
-    little trusted text, go by the model and threshold of all languages.  Repeated
-    rows repeat; without any trusted text every document is kept.
+    the perplexity of the average trusted text; null languages, and those without
+    trusted text, go by the model of all languages.  Repeated rows repeat; without any
+    trusted text every document is kept.
     """
     lang = F.coalesce(F.col(lang_col), F.lit("")).alias("lang")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang)
-    known = settle(trusted.select("doc_id").where("doc_id is not null").distinct(), "trusted-ids")
-    counts = settle(count_ngrams(rows.join(known, "doc_id", "left_semi").select("lang", "text")), "ngram-counts")
-    enough = counts.groupBy("lang").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_COUNTS} and lang <> '{ALL}'").select("lang")
-    every = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "gram", "n")
-    table = kneser_ney(counts.join(enough, "lang", "left_semi").unionByName(every)).toPandas()  # at most 2 * 32**4 rows a language
-    models = {name: dense(part) for name, part in table.groupby("lang")}
-    held = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = held.value
-        for batch in batches:
-            total, n, by = [], [], []
-            for name, text in zip(batch["lang"], batch["text"], strict=True):
-                by.append(name if name in model else ALL)
-                log_p, s, m = model.get(by[-1]), 0.0, 0
-                for at in range(0, len(text), PIECE):
-                    g = ngrams(text[max(0, at - ORDER + 1) : at + PIECE] if at else text[:PIECE])[1 if at else 0 :]
-                    m += len(g)
-                    s += float(log_p[g].sum(dtype=np.float64)) if log_p is not None else 0.0
-                total.append(s)
-                n.append(m)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "model": by, "total": total, "n_grams": n})
-
-    scored = rows.mapInPandas(run, "doc_id long, lang string, model string, total double, n_grams long")
-    scored = settle(scored, "quality-scores").join(known.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    mean = scored.where("trusted and n_grams > 0").groupBy("model").agg((F.sum("total") / F.sum("n_grams")).alias("mean"))
-    mean = settle(mean, "quality-means")
+    known = settle(trusted.select("doc_id").where("doc_id is not null").distinct(), "trusted-ids").withColumn("trusted", F.lit(True))
+    rows = rows.join(known.hint("merge"), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    rows = settle(rows.withColumn("key", F.monotonically_increasing_id()).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "quality-rows")
+    named = settle(rows.where(f"trusted and lang not in ('', '{ALL}')").select("lang").distinct(), "trusted-languages").withColumn("name", F.col("lang"))
+    rows = rows.join(F.broadcast(named), "lang", "left").withColumn("name", F.coalesce("name", F.lit(ALL)))  # a row per language
+    rows = rows.withColumn("twice", F.lit(False))
+
+    found = document_words(rows)
+    needed = found.groupBy("g3").agg(*[F.first(c).alias(c) for c in ("g2", "g1", "c3", "c2", "a1", "model", "base")])
+    log_p = probabilities(count_words(rows.where("trusted")), needed)
+    sums = found.select("key", "name", "n", "g3").join(log_p.hint("merge"), "g3").groupBy("key", "name").agg(F.sum(F.col("n") * F.col("log_p")).alias("total"), F.sum("n").alias("n_grams"))
+    sums = settle(sums, "quality-sums")
+
+    about = rows.select("key", "doc_id", "lang", "trusted", "name", F.lit(True).alias("own"))
+    about = about.unionByName(rows.where("twice").select("key", "doc_id", "lang", "trusted", F.lit(ALL).alias("name"), F.lit(False).alias("own")))
+    scored = about.join(sums.hint("merge"), ["key", "name"], "left").na.fill({"total": 0.0, "n_grams": 0})
+    scored = settle(scored, "quality-scores")
+    mean = settle(scored.where("trusted and n_grams > 0").groupBy("name").agg((F.sum("total") / F.sum("n_grams")).alias("mean")), "quality-means")
     smooth = F.exp(-(F.col("total") + PRIOR * F.coalesce("mean", F.lit(0.0))) / (F.col("n_grams") + PRIOR))
-    judged = scored.join(F.broadcast(mean), "model", "left").withColumn("perplexity", smooth)  # a row per language model
-    limit = settle(judged.where("trusted").groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")), "quality-limits")
+    judged = scored.join(F.broadcast(mean), "name", "left").withColumn("perplexity", smooth)  # a row per language
+    limit = settle(judged.where("trusted").groupBy("name").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")), "quality-limits")
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return judged.join(F.broadcast(limit), "model", "left").select("doc_id", "lang", "n_grams", "perplexity", "threshold", "trusted", kept.alias("kept"))
+    return judged.where("own").join(F.broadcast(limit), "name", "left").select("doc_id", "lang", "n_grams", "perplexity", "threshold", "trusted", kept.alias("kept"))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
