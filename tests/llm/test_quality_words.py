@@ -16,7 +16,7 @@ def corpus():
     rng = random.Random(7)
     words = {lang: sorted({"".join(rng.choices(s, k=rng.randint(1, 3))) for _ in range(60)})[:30] for lang, s in SYLLABLES.items()}
     clean = lambda lang, n=60: " ".join(rng.choices(words[lang], k=n))
-    junk = lambda lang: " ".join("".join(rng.choices(SYLLABLES[lang], k=rng.randint(4, 6))) for _ in range(60))
+    junk = lambda lang: " ".join("".join(rng.choices(SYLLABLES[lang], k=rng.randint(1, 3))) for _ in range(60))
     rows = [(i, clean("en"), "en") for i in range(200)] + [(i, clean("de"), "de") for i in range(200, 400)] + [(i, clean("fr", 40), "fr") for i in range(400, 412)]
     rest = [(1000 + i, junk("en"), "en") for i in range(20)] + [(1100 + i, junk("en"), None) for i in range(20)] + [(1200 + i, junk("de"), "xx") for i in range(20)]
     rest += [(1300 + i, clean("en"), None) for i in range(20)] + [(1400 + i, clean("fr", 40), "fr") for i in range(20)]
@@ -87,3 +87,9 @@ def brute(texts, words, at):
         return (level.get(gram, 0) - cut.get(gram, 0) + sum(cut[g] for g in same) * p(name, k - 1)) / sum(level[g] for g in same)
 
     return p("en", 3)
+
+
+def test_rows_without_a_language_model_are_judged_by_all_trusted_text(verdicts):
+    assert kept(verdicts, 1100) == 0 and kept(verdicts, 1200) == 0  # null language; one without trusted rows
+    assert kept(verdicts, 1300) >= 18
+    assert verdicts[1100].threshold == verdicts[1200].threshold == verdicts[1300].threshold > 0

@@ -312,8 +312,9 @@ def score_documents(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
 
     trusted: ids of trusted documents (doc_id).  Null texts count as empty and get
     the perplexity of the average trusted text; null languages, and those without
-    trusted text, go by the model of all languages.  Repeated rows repeat; without any
-    trusted text every document is kept.
+    trusted text, go by the model of all languages, whose mean and threshold come from
+    all trusted documents.  Repeated rows repeat; without any trusted text every
+    document is kept.
     """
     lang = F.coalesce(F.col(lang_col), F.lit("")).alias("lang")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang)
@@ -322,7 +323,9 @@ def score_documents(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id",
     rows = settle(rows.withColumn("key", F.monotonically_increasing_id()).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "quality-rows")
     named = settle(rows.where(f"trusted and lang not in ('', '{ALL}')").select("lang").distinct(), "trusted-languages").withColumn("name", F.col("lang"))
     rows = rows.join(F.broadcast(named), "lang", "left").withColumn("name", F.coalesce("name", F.lit(ALL)))  # a row per language
-    rows = rows.withColumn("twice", F.lit(False))
+    # The threshold over all languages is wanted only where a document goes by it.
+    stray = not rows.where(F.col("name") == ALL).isEmpty()
+    rows = rows.withColumn("twice", F.col("trusted") & (F.col("name") != ALL) & F.lit(stray))
 
     found = document_words(rows)
     needed = found.groupBy("g3").agg(*[F.first(c).alias(c) for c in ("g2", "g1", "c3", "c2", "a1", "model", "base")])
