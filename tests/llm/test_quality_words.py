@@ -93,3 +93,8 @@ def test_rows_without_a_language_model_are_judged_by_all_trusted_text(verdicts):
     assert kept(verdicts, 1100) == 0 and kept(verdicts, 1200) == 0  # null language; one without trusted rows
     assert kept(verdicts, 1300) >= 18
     assert verdicts[1100].threshold == verdicts[1200].threshold == verdicts[1300].threshold > 0
+
+
+def test_a_rare_language_has_its_own_threshold(verdicts):
+    assert verdicts[1400].threshold != verdicts[1300].threshold
+    assert kept(verdicts, 1400) >= 15

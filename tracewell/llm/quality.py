@@ -41,8 +41,6 @@ WORD_ORDER = 3
 BLOCK_WORDS = 300_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 START = "\n"
-#: Trusted n-grams from which a language had a model of its own.
-LEAST_COUNTS = 20_000
 ALL = "*"
 PIECE = 1 << 20
 
