@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: After so many levels those found are written together, so that a plan stays short.
+MERGE_LEVELS = 16
+
 
 def delta(base: DataFrame, candidate: DataFrame) -> DataFrame:
     """(path, change) of two snapshots (path, sha): added, deleted, modified or untouched."""
@@ -30,15 +33,17 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dependents(edges: DataFrame, targets: DataFrame, transitive: bool = True, levels: int = 50) -> DataFrame:
+def dependents(edges: DataFrame, targets: DataFrame, transitive: bool = True) -> DataFrame:
     """(importer, depth, via) of everything that reaches ``targets`` (path) over edges (edge_index, importer, target).
 
-    Level by level; an importer is taken at its least depth, and within a level
-    the edge of largest index names ``via``.  Targets themselves are left out.
+    Level by level until one is empty, which comes as each level adds new nodes; an
+    importer is taken at its least depth, and within a level the edge of largest
+    index names ``via``.  Targets themselves are left out.
     """
     seen = frontier = targets.select("path").distinct()
-    found = None
-    for depth in range(1, levels + 1):
+    found, depth = None, 0
+    while True:
+        depth += 1
         step = edges.join(frontier.withColumnRenamed("path", "target"), "target").join(seen.withColumnRenamed("path", "importer"), "importer", "left_anti")
         level = _cut(step.groupBy("importer").agg(F.max_by("target", "edge_index").alias("via")).withColumn("depth", F.lit(depth).cast("long")))
         if level.isEmpty():
@@ -48,6 +53,8 @@ def dependents(edges: DataFrame, targets: DataFrame, transitive: bool = True, le
         seen = seen.unionByName(frontier)
         if not transitive:
             break
+        if depth % MERGE_LEVELS == 0:
+            found, seen = _cut(found), _cut(seen)
     if found is None:
         found = edges.limit(0).select("importer", F.col("target").alias("via"), F.lit(0).cast("long").alias("depth"))
     return found.select("importer", "depth", "via")

@@ -155,6 +155,17 @@ def graph_dependents(spark, d):
     return snapshots.dependents(lineage(spark, d), spark.createDataFrame([("region:1",)], "path string"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'lineitem:' || l_orderkey || '-' || l_linenumber AS importer, 'orders:' || l_orderkey AS target FROM lineitem UNION ALL SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey FROM orders
+UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
+r AS (SELECT importer, target AS via, 1 AS depth FROM e WHERE target = 'region:1' UNION ALL SELECT e.importer, e.target, r.depth + 1 FROM r JOIN e ON e.target = r.importer)
+SELECT importer, depth::BIGINT AS depth, via FROM r""")
+def graph_dependents_lines(spark, d):
+    """The graph with its largest table; lines that repeat an order and a number are one importer."""
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("edge_index"), F.concat(F.lit("lineitem:"), line).alias("importer"), F.concat(F.lit("orders:"), "l_orderkey").alias("target"))
+    return snapshots.dependents(lineage(spark, d).unionByName(lines), spark.createDataFrame([("region:1",)], "path string"))
+
+
 @query("""WITH e AS (SELECT p_partkey AS entry_index, p_type AS kind, p_name AS name, lower(p_name) AS l FROM part), q AS (SELECT 'blue rod' AS q), g AS (SELECT *, list_distinct(CASE WHEN length(l) >= 3 THEN [substr(l, i, 3) for i in range(1, length(l) - 1)] ELSE [] END) AS t FROM e),
 s AS (SELECT *, len(list_intersect(t, ['blu', 'lue', 'ue ', 'e r', ' ro', 'rod'])) AS n FROM g), j AS (SELECT *, n / (6 + len(t) - n) AS j FROM s),
 x AS (SELECT entry_index, kind, name, greatest(CASE WHEN l = 'blue rod' THEN 1.0 ELSE 0 END, CASE WHEN starts_with(l, 'blue rod') THEN 0.75 ELSE 0 END, CASE WHEN (contains(l, 'blue') AND contains(l, 'rod')) THEN 0.6 ELSE 0 END, CASE WHEN j >= 0.35 THEN 0.5 * j ELSE 0 END)::DOUBLE AS score FROM j)
