@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
 
 
+def _traits(nodes: DataFrame) -> Column:
+    """Distinct, ordered (reason, value) of a node: area, topic within it, tags, and declared references where there is a column refs."""
+    fold = lambda c: F.lower(F.trim(c))
+    area, topic = fold(F.col("area")), fold(F.col("topic"))
+    trait = lambda reason, value: F.struct(F.lit(reason).alias("reason"), value.alias("value"))
+    parts = [
+        F.array(F.when(area != "", trait("area", area)), F.when((area != "") & (topic != ""), trait("topic", F.concat_ws("\n", area, topic)))),
+        F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.when(fold(t) != "", trait("tag", fold(t)))),
+    ]
+    if "refs" in nodes.columns:
+        ref = lambda r: F.when(r.isNotNull(), trait("ref", F.to_json(F.struct(r["kind"].alias("kind"), r["repository"].alias("repository"), r["id"].alias("id")))))
+        parts.append(F.coalesce(F.transform("refs", ref), F.array()))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*parts))))
+
+
 def related(nodes: DataFrame, source: str | int) -> DataFrame:
-    """node, reasons: what shares an area, a topic within its area, or a tag with the source node, itself left out.
+    """node, reasons: what shares a reference, an area, a topic within its area, or a tag with the source node, itself left out.
 
-    Nodes are (node, area, topic, tags).  Each gives one row per trait, and traits
-    meet in an equi-join with those of the source, so no pairs of nodes are made.
-    Comparison ignores case; a null or blank trait relates nothing.
+    Nodes are (node, area, topic, tags) and, if they declare any, refs (kind,
+    repository, id).  Each gives one row per trait, and traits meet in an equi-join
+    with those of the source, so no pairs of nodes are made.  Comparison ignores case,
+    but for refs; a null or blank trait relates nothing.
     """
-    fold = lambda c: F.lower(F.trim(c))
-    area, topic = fold(F.col("area")), fold(F.col("topic"))
-    traits = F.concat(
-        F.array(
-            F.when(area != "", F.struct(F.lit("area").alias("reason"), area.alias("value"))),
-            F.when((area != "") & (topic != ""), F.struct(F.lit("topic").alias("reason"), F.concat_ws("\n", area, topic).alias("value"))),
-        ),
-        F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.when(fold(t) != "", F.struct(F.lit("tag").alias("reason"), fold(t).alias("value")))),
-    )
-    rows = nodes.select("node", F.explode(F.array_compact(traits)).alias("t")).select("node", "t.reason", "t.value")
+    rows = nodes.select("node", F.explode(_traits(nodes)).alias("t")).select("node", "t.reason", "t.value")
     own = rows.where(F.col("node") == source).select("reason", "value").distinct()
     return rows.where(F.col("node") != source).join(own, ["reason", "value"]).groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
+def related_all(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, reasons) as ``related`` of every node that ``sources`` (node) names.
+
+    Nodes of equal traits are one profile; profiles meet by trait, and only what is
+    related comes back to nodes.
+    """
+    traits = nodes.select("node", _traits(nodes).alias("traits")).where(F.size("traits") > 0)
+    of = traits.select("node", F.sha2(F.to_json("traits"), 256).alias("profile"), "traits")
+    rows = of.groupBy("profile").agg(F.first("traits").alias("traits")).select("profile", F.explode("traits").alias("t")).select("profile", "t.reason", "t.value")
+    asked = of.join(sources.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("source"), F.col("profile").alias("own"))
+    wanted = rows.join(asked.select(F.col("own").alias("profile")).distinct(), "profile", "left_semi").withColumnRenamed("profile", "own")
+    pairs = wanted.join(rows, ["reason", "value"]).groupBy("own", "profile").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    return asked.join(pairs, "own").join(of.select("node", "profile"), "profile").where("node <> source").select("source", "node", "reasons").distinct()
+
+
 def symbols(entries: DataFrame, name: str | None = None, file: str | None = None, kind: str | None = None) -> DataFrame:
     """Entries (name, file, kind) whose name is equal but for case, whose file and kind are equal; None asks nothing."""
     for column, want in ((F.lower("name"), name and name.lower()), (F.col("file"), file), (F.col("kind"), kind)):
@@ -37,6 +59,23 @@ def symbols(entries: DataFrame, name: str | None = None, file: str | None = None
     return entries
 
 
+def symbols_all(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """``symbols`` for a table of queries (query, name, file, kind): every entry with the query in front; null asks nothing.
+
+    Queries are joined by equality on the first of name, file and kind that they ask for.
+    """
+    q = queries.select("query", F.lower("name").alias("want_name"), F.col("file").alias("want_file"), F.col("kind").alias("want_kind"))
+    e = entries.withColumn("__name", F.lower("name"))
+    own = {"want_name": "__name", "want_file": "file", "want_kind": "kind"}
+    found = q.where(" and ".join(f"{w} is null" for w in own)).crossJoin(e)
+    for i, want in enumerate(own):
+        asked = q.where(" and ".join([f"{want} is not null", *[f"{w} is null" for w in list(own)[:i]]]))
+        found = found.unionByName(asked.join(e, F.col(want) == F.col(own[want])))
+    for want, column in own.items():
+        found = found.where(F.col(want).isNull() | (F.col(want) == F.col(column)))
+    return found.select("query", *entries.columns)
+
+
 def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """One page of the ordered rows; the limit is held between 1 and 50."""
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(50, max(1, limit)))

@@ -256,3 +256,35 @@ def price_ratios(spark, d):
 @query("SELECT conv_id, turn, running FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations) WHERE running <= 500")
 def budgeted_turns(spark, d):
     return work.char_budget(read(spark, d, "conversations").withColumn("size", F.length("text")), ["conv_id"], ["turn", "text"], "size", 500).select("conv_id", "turn", "running")
+
+
+@query("""WITH n AS (SELECT p_partkey AS node, p_brand AS area, p_type AS topic, string_split(p_name, ' ') AS tags, p_size AS ref FROM part),
+r AS (SELECT s.node AS source, n.node, concat_ws(',', CASE WHEN n.area = s.area THEN 'area' END, CASE WHEN n.ref = s.ref THEN 'ref' END, CASE WHEN len(list_intersect(n.tags, s.tags)) > 0 THEN 'tag' END, CASE WHEN n.area = s.area AND n.topic = s.topic THEN 'topic' END) AS reasons FROM n, n AS s WHERE s.node % 100 = 0 AND n.node <> s.node)
+SELECT source, node, reasons FROM r WHERE reasons <> ''""")
+def work_related_all(spark, d):
+    """Every part whose key is divisible by 100 against all parts; the size is a declared reference."""
+    ref = F.struct(F.lit("size").alias("kind"), F.lit("part").alias("repository"), F.col("p_size").cast("string").alias("id"))
+    nodes = read(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("area"), F.col("p_type").alias("topic"), F.split("p_name", " ").alias("tags"), F.when(F.col("p_size").isNotNull(), F.array(ref)).alias("refs"))
+    return work.related_all(nodes, nodes.where("node % 100 = 0"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS entry_index, 'part' AS kind, p_name AS name FROM part UNION ALL SELECT doc_id, 'document', substr(text, 1, 60) FROM documents UNION ALL SELECT item_id, 'benchmark', substr(text, 1, 60) FROM benchmark),
+n AS (SELECT DISTINCT name, lower(name) AS l FROM e WHERE name IS NOT NULL), g AS (SELECT *, list_distinct(CASE WHEN length(l) >= 3 THEN [substr(l, i, 3) for i in range(1, length(l) - 1)] ELSE [] END) AS t FROM n),
+d AS (SELECT DISTINCT lower(name) AS q FROM e WHERE entry_index % 100 = 0 AND name IS NOT NULL), w AS (SELECT q, list_distinct(CASE WHEN length(q) >= 3 THEN [substr(q, i, 3) for i in range(1, length(q) - 1)] ELSE [q] END) AS u, [x for x in string_split_regex(q, '[^a-z0-9]+') if x <> ''] AS words FROM d),
+s AS (SELECT *, len(list_intersect(t, u)) AS m FROM g, w), j AS (SELECT *, m / (len(u) + len(t) - m) AS j FROM s),
+x AS (SELECT q, name, greatest(CASE WHEN l = q THEN 1.0 ELSE 0 END, CASE WHEN starts_with(l, q) THEN 0.75 ELSE 0 END, CASE WHEN len(words) > 0 AND len([y for y in words if contains(l, y)]) = len(words) THEN 0.6 ELSE 0 END, CASE WHEN len(t) > 0 AND j >= 0.35 THEN 0.5 * j ELSE 0 END)::DOUBLE AS score FROM j)
+SELECT a.kind || ':' || a.entry_index AS query, e.kind, e.entry_index, floor(score * 1e4 + 0.5) / 1e4 AS score FROM e AS a JOIN x ON lower(a.name) = q JOIN e ON e.name = x.name WHERE a.entry_index % 100 = 0 AND score > 0""")
+def search_lexical_all(spark, d):
+    """Every part, document and benchmark item whose id is divisible by 100 against all of them."""
+    entry = lambda t, key, kind, name: read(spark, d, t).select(F.col(key).cast("long").alias("entry_index"), F.lit(kind).alias("kind"), name.alias("name"))
+    head = F.substring("text", 1, 60)
+    entries = entry("part", "p_partkey", "part", F.col("p_name")).unionByName(entry("documents", "doc_id", "document", head)).unionByName(entry("benchmark", "item_id", "benchmark", head))
+    return search.lexical_all(entries, entries.where("entry_index % 100 = 0").select(F.concat_ws(":", "kind", "entry_index").alias("query"), F.col("name").alias("text")))
+
+
+@query("SELECT q.p_partkey AS query, e.p_partkey, e.p_name AS name, e.p_brand AS file, e.p_type AS kind FROM part AS q JOIN part AS e ON lower(e.p_name) = lower(q.p_name) WHERE q.p_partkey % 100 = 0")
+def symbol_lookup_all(spark, d):
+    """The upper-cased name of every part whose key is divisible by 100 against all parts."""
+    entries = read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("kind"))
+    nothing = F.lit(None).cast("string")
+    return work.symbols_all(entries, entries.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query"), F.upper("name").alias("name"), nothing.alias("file"), nothing.alias("kind")))
