@@ -7,6 +7,7 @@ and returns the columns of ``documents``; the last returns pieces of sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.llm import exact_dedup, near_dup, packing, secrets, toxicity
 from tracewell.llm.common import read, settle
@@ -17,20 +18,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id the verdict keeps; of repeated ids one row, and rows without an id as they are."""
-    ids = verdict.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key of each row, written once, so that a verdict is of one row and not of all that share an id or have none."""
+    return settle(docs.withColumn("__key", F.monotonically_increasing_id()), name)
+
+
+def _kept(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    return keyed.join(keys.hint("merge"), "__key", "left_semi").drop("__key")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays (operator 8)."""
-    return _kept(docs, exact_dedup.exact_duplicates(docs))
+    """Of equal texts, the row with the largest id stays (operator 8)."""
+    keyed = _keyed(docs, "rows-exact")
+    verdict = exact_dedup.exact_duplicates(keyed.select(F.struct("doc_id", "__key").alias("doc_id"), "text"))
+    return _kept(keyed, verdict.where("kept").select(F.col("doc_id.__key").alias("__key"))).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, the document with the smallest id stays (operator 2)."""
-    return _kept(docs, near_dup.near_duplicates(docs))
+    """Of near duplicates, the row with the smallest id stays (operator 2)."""
+    keyed = _keyed(docs, "rows-near")
+    verdict = near_dup.near_duplicates(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "class_id")
+    ranked = verdict.join(keyed.select("__key", "doc_id").hint("merge"), "__key").select("class_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key").alias("row"))
+    best = ranked.groupBy("class_id").agg(F.min("row").alias("row")).select(F.col("row.__key").alias("__key"))
+    return _kept(keyed, best).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
