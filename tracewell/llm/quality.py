@@ -221,11 +221,12 @@ def count_words(trusted: DataFrame) -> DataFrame:
             for at, h in _blocks(batch["text"].tolist()):
                 for name in (batch["lang"].tolist(), [ALL] * len(batch)):
                     model = np.array([_model(*x) for x in zip(name, batch["half"], strict=True)], dtype=object)
-                    keys = _keys(h, _hashes(model.tolist())[at])
+                    seed = _hashes(model.tolist())[at]
+                    keys = _keys(h, seed)
                     _, first, n = np.unique(keys["g3"], return_index=True, return_counts=True)
-                    yield pd.DataFrame({k: keys[k][first].view(np.int64) for k in KEYS} | {"model": model[at][first], "n": n})
+                    yield pd.DataFrame({k: keys[k][first].view(np.int64) for k in KEYS} | {"model": seed[first].view(np.int64), "n": n})
 
-    rows = trusted.select("lang", "half", "text").mapInPandas(run, f"{KEY_TYPES}, model string, n long")
+    rows = trusted.select("lang", "half", "text").mapInPandas(run, f"{KEY_TYPES}, model long, n long")
     same = [F.first(k).alias(k) for k in (*KEYS[1:], "model")]
     return rows.groupBy("g3").agg(*same, F.sum("n").alias("n"))
 
@@ -295,14 +296,15 @@ def document_words(rows: DataFrame) -> DataFrame:
                         continue
                     model = np.array([_model(*x) for x in zip(name, 1 - half, strict=True)], dtype=object)
                     own, part = at[keep], [x[keep] for x in h]
-                    keys = _keys(part, _hashes(model.tolist())[own]) | {"a1": _mix(part[0] ^ over_all[keep])}
+                    seed = _hashes(model.tolist())[own]
+                    keys = _keys(part, seed) | {"a1": _mix(part[0] ^ over_all[keep])}
                     order = np.lexsort((keys["g3"], own))
                     g, d = keys["g3"][order], own[order]
                     start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])])
                     first, n = order[start], np.diff(np.r_[start, len(g)])
-                    yield pd.DataFrame({k: v[first].view(np.int64) for k, v in keys.items()} | {"key": key[own[first]], "name": name[own[first]], "model": model[own[first]], "base": base[own[first]], "n": n})
+                    yield pd.DataFrame({k: v[first].view(np.int64) for k, v in keys.items()} | {"key": key[own[first]], "name": name[own[first]], "model": seed[first].view(np.int64), "base": over_all[keep][first].view(np.int64), "n": n})
 
-    return rows.select("key", "name", "half", "twice", "text").mapInPandas(run, f"{KEY_TYPES}, a1 long, key long, name string, model string, base string, n long")
+    return rows.select("key", "name", "half", "twice", "text").mapInPandas(run, f"{KEY_TYPES}, a1 long, key long, name string, model long, base long, n long")
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
