@@ -74,6 +74,25 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
+def test_equal_rows_of_one_partition_make_one_local_group(spark):
+    rows = [(i, "one text of all") for i in range(1000)] + [(None, "one text of all"), (5000, None), (5000, ""), (6, "other")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert exact_dedup.local_groups(common.texts(table), 64).count() == 3
+    assert sorted((r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table).collect() if r.kept) == [(6, 1, True), (999, 1001, True), (5000, 2, True)]
+
+
+def test_kept_rows_of_exact_dedup(docs, none):
+    rows = docs.withColumn("winner", F.lit(1))
+    got = exact_dedup.distinct_rows(rows).collect()
+    last = {}
+    for r in rows.collect():
+        key = r.text or ""
+        if key not in last or (r.doc_id or -1) > (last[key].doc_id or -1):
+            last[key] = r
+    assert {(r.doc_id, r.text or "") for r in got} == {(r.doc_id, k) for k, r in last.items()} and len(got) == len(last)
+    assert exact_dedup.distinct_rows(rows).columns == rows.columns and exact_dedup.distinct_rows(none).count() == 0
+
+
 def brute_jaccard(a, b):
     a, b = (Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.lower().split()) else Counter() for t in (a, b))
     both = set(a) & set(b)
@@ -130,31 +149,53 @@ def test_near_dedup_against_brute_force(spark, docs, none):
     odd = near_dup.near_duplicates(docs).collect()
     classes = {r.doc_id: r.class_id for r in odd}
     assert classes[15] == classes[16] == classes[17] == 15 and classes[0] == 0 and classes[1] == 1 and classes[2] == 2
-    assert len(odd) == docs.where("doc_id is not null").count()
+    assert len(odd) == docs.count() and sum(r.kept for r in odd) == len({r.class_id for r in odd})
     assert near_dup.near_duplicates(none).count() == 0
 
 
 def test_tiles_find_all_close_pairs_of_different_components(spark):
+    """Two buckets of one band each: every close pair in one tile, in the first band it shares, with both ends told."""
     rng = np.random.default_rng(5)
     sketch = rng.integers(0, 1 << 16, (1400, 160)).astype(np.uint16)
     sketch[1200:] = sketch[:200]
     sketch[1200:, :30] = 0
     sketch[700, :], sketch[701, :150] = sketch[0], sketch[1200, :150]
     part = [0 if i < 600 or 1390 <= i else i for i in range(1400)]
-    main = sum(p == 0 for p in part)
-    rows = [(7, i, p, p == 0, main, 1400 - main, bytearray(s.tobytes())) for i, (p, s) in enumerate(zip(part, sketch, strict=True))]
-    table = spark.createDataFrame(rows, "key long, node long, component long, main boolean, n_main long, n_other long, sketch binary")
-    share = {}
+    rows = [(32 * 7 + band, i, p, p == 0, 1, bytearray(s.tobytes())) for band in (0, 6) for i, (p, s) in enumerate(zip(part, sketch, strict=True))]
+    table = spark.createDataFrame(rows, "key long, node long, component long, main boolean, size int, sketch binary")
+    bands = sketch.reshape(1400, 32, 5)
+    share = set()
     for i in range(1400):
-        for j, x in enumerate((sketch[i + 1 :] == sketch[i]).mean(1), i + 1):
-            if x >= near_dup.SKETCH_FLOOR and part[i] != part[j]:
-                share[i, j] = x
-    got = [(r.a, r.b) for r in near_dup._tiles(table, False).collect()]
-    assert len(got) == len(set(got)) and set(got) == set(share)
-    best = {(r.a, r.b) for r in near_dup._tiles(table, True).collect()}
-    assert best <= set(share) and {i for p in best for i in p} == {i for p in share for i in p}
-    for i in {i for p in share for i in p}:
-        assert max(share[p] for p in best if i in p) == max(x for p, x in share.items() if i in p)
+        for j in np.flatnonzero((sketch[i + 1 :] == sketch[i]).mean(1) >= near_dup.SKETCH_FLOOR) + i + 1:
+            first = int((bands[i] == bands[j]).all(1).argmax())
+            if part[i] != part[j] and first in (0, 6):
+                share.add((32 * 7 + first, i, int(j)))
+    got = []
+    for _, call in near_dup._dealt(table).toPandas().groupby("call"):
+        for tile, pairs, _ in near_dup._tiles(call):
+            node = tile["node"].to_numpy()
+            got += [(int(tile["key"].iloc[0]), *sorted((int(node[a]), int(node[b])))) for a, b in pairs]
+    assert len(got) == len(set(got)) and set(got) == share and {k for k, _, _ in share} == {224, 230}
+    ends = near_dup._with_partner(table.drop("size", "sketch"), table.select("node", "sketch").dropDuplicates(["node"])).collect()
+    assert {(r.key, r.node) for r in ends} == {(k, i) for k, *p in share for i in p}
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text + " x"), (7, text), (7, text.upper()), (7, "other words"), (None, "alone"), (None, "alone"), ((1 << 53) + 1, "other  words"), (None, None), (None, "")]
+    table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int")
+    got = Counter(map(tuple, near_dup.near_duplicates(table).collect()))
+    want = [(None, 7, 4, False)] * 2 + [(7, 7, 4, True), (7, 7, 4, False), (7, 7, 2, True), ((1 << 53) + 1, 7, 2, False), (None, None, 2, True), (None, None, 2, False), (None, None, 1, True), (None, None, 1, True)]
+    assert got == Counter(want)
+
+
+def test_near_dedup_recall_on_the_tables(spark, sf):
+    """All rows with an id divisible by 10 against all rows of sf0.01 by brute force: every link lies inside a class."""
+    table = common.read(spark, sf.replace("0.001", "0.01"), "documents")
+    sets = {r.doc_id: near_dup.shingles(r.text or "") for r in table.collect()}
+    of = {r.doc_id: r.class_id for r in near_dup.near_duplicates(table).collect()}
+    links = [(i, j) for i in sets if i % 10 == 0 for j in sets if i != j and near_dup.probability_jaccard(sets[i], sets[j]) >= near_dup.THRESHOLD]
+    assert len(links) >= 10 and all(of[i] == of[j] for i, j in links)
 
 
 def test_near_copies_of_one_text_that_differ_among_themselves(spark):

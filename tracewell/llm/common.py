@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,30 +19,83 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, which the session must name.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
+    Where the session names none, a session of one process gets a temporary folder;
+    on a cluster that is an error, as such a folder would be seen by the driver alone.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Paths written by ``settle`` inside the innermost ``tidy``.
+_scratch: list[list[str]] = []
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet into the shared folder and reads it back.
 
     Later jobs read the files, so a lost executor costs a re-read, not a
-    recomputation of everything before.
+    recomputation of everything before.  Inside ``tidy`` the files go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Removes at its end what ``settle`` wrote inside it, but for tables settled by the function it yields."""
+    mine: list[str] = []
+    _scratch.append(mine)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = settle(df, name)
+        path = mine.pop()
+        if len(_scratch) > 1:
+            _scratch[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in mine:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], list]], schema: str, block: int = 500) -> DataFrame:
+    """The columns of ``rows`` but ``text``, unchanged, and those of ``schema``, computed from ``text`` in Arrow batches.
+
+    make() is called once per task and gives a function from at most ``block`` texts
+    to a list of columns.  The other columns never become pandas values, so that null
+    ids and ids above 2**53 stay what they are.
+    """
+    new = StructType.fromDDL(schema)
+    rest = [c for c in rows.columns if c != "text"]
+    out = StructType([StructField(f.name, f.dataType) for f in rows.schema if f.name != "text"] + list(new))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                columns = work(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[*rest, *new.names])
+
+    return rows.mapInArrow(run, out)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and text only; a null text counts as empty."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

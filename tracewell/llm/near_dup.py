@@ -16,10 +16,11 @@ of a bucket is the node whose bands lie in the fullest buckets, which for copies
 of one text is the text itself or what is closest to it.  Every node is verified
 with the leader it shares most bands with, and what links is contracted.  Only
 buckets that still hold several components go on: their nodes meet in tiles of
-compact sketches, members of the largest component with the others alone.  Every
-node is first verified with its closest partner of another component; after a
-second contraction all close pairs of different components are verified.  Pairs
-inside one component can change no class and are never made.
+compact sketches, members of the largest component with the others alone, which
+tells the nodes with a close partner of another component.  Those meet again, now
+with their texts; a tile verifies its close pairs, the closest first, leaves out
+pairs that its links have joined already, and gives the links of a forest.  A
+pair that shares several buckets is taken in the first.  Pairs are never rows.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, read, settle, texts
+from .common import components, map_texts, read, settle, texts, tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -41,8 +43,10 @@ REGISTERS = BANDS * ROWS
 #: Documents whose registers are computed at once; nodes per side of a tile.
 BLOCK_DOCS = 500
 TILE = 512
-#: Rows of small buckets that share a task call, on average: a call of its own for each would cost more than its work.
-BIN = 8192
+#: Rows of small buckets that share a call, on average: a call of its own for each would cost more than its work.
+BIN = 512
+#: A text counts as one node more for each such number of characters, so that a tile's texts stay within some megabytes.
+TILE_CHARS = 32_768
 #: Sketches below this share of equal registers are not verified; it is 4.7 standard deviations below 0.8, a few pairs in a million.
 SKETCH_FLOOR = 0.65
 #: Bytes of a band in a sketch of 16 bits a register.
@@ -115,29 +119,27 @@ def registers(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) ->
     return held.reshape(-1, m)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint of the weighted shingles (null without words), sketch (16 bits a register, band by band)."""
+def features(rows: DataFrame) -> DataFrame:
+    """``rows`` with text replaced by fingerprint (of the weighted shingles, null without words) and sketch (16 bits a register, band by band)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_DOCS):
-                block = batch.iloc[at : at + BLOCK_DOCS]
-                sets = [shingles(t) for t in block["text"]]
-                sketch = _mix(registers(sets)).astype(np.uint16)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": block["doc_id"].to_numpy(),
-                        "fingerprint": [xxhash.xxh128_digest(h.tobytes() + w.tobytes()) if len(h) else None for h, w in sets],
-                        "sketch": [row.tobytes() for row in sketch],
-                    }
-                )
+    def make():
+        def run(block: list[str]) -> list:
+            sets = [shingles(t) for t in block]
+            prints = [xxhash.xxh128_digest(h.tobytes() + w.tobytes()) if len(h) else None for h, w in sets]
+            return [pa.array(prints, pa.binary()), pa.array([row.tobytes() for row in _mix(registers(sets)).astype(np.uint16)], pa.binary())]
+
+        return run
 
-    return docs.mapInPandas(run, "doc_id long, fingerprint binary, sketch binary")
+    return map_texts(rows, make, "fingerprint binary, sketch binary", BLOCK_DOCS)
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """key, node, leader: members of the buckets that hold several nodes; of ``nodes`` (node, sketch)."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring("sketch", k * BAND_BYTES + 1, F.lit(BAND_BYTES)), k))
+    """key, node, leader: members of the buckets that hold several nodes; of ``nodes`` (node, sketch).
+
+    The lowest bits of a key are the number of its band.
+    """
+    band = lambda k: F.xxhash64(F.substring("sketch", k * BAND_BYTES + 1, F.lit(BAND_BYTES)), k)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: band(k) - F.pmod(band(k), F.lit(BANDS)) + k)
     banded = nodes.select("node", F.explode(keys).alias("key"))
     sizes = settle(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-bucket-sizes")
     members = settle(banded.join(sizes.hint("merge"), "key"), "near-members")
@@ -147,28 +149,25 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return settle(members.select("key", "node").join(lead.hint("merge"), "key"), "near-buckets")
 
 
-def _open_members(buckets: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key, node, component, main, n_main, n_other, sketch: members of buckets that hold several components.
-
-    main tells the members of the bucket's largest component.
-    """
+def _open_members(buckets: DataFrame, linked: DataFrame) -> DataFrame:
+    """key, node, component, main: members of the buckets that hold several components; main: of the bucket's largest component."""
     placed = settle(buckets.select("key", "node").join(linked.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-placed")
     counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    several = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    several = settle(several.select("key", F.col("top.component").alias("largest"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other")), "near-several")
-    left = placed.join(several.hint("merge"), "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main"), "n_main", "n_other")
-    return settle(left.join(nodes.select("node", "sketch").hint("merge"), "node"), "near-open")
+    several = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    several = settle(several.select("key", F.col("top.component").alias("largest")), "near-several")
+    return settle(placed.join(several.hint("merge"), "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main")), "near-open")
 
 
-def _tiles(members: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of close nodes of one bucket and of different components.
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` (key, node, component, main, size, ...) dealt over tiles: call, key, i, j and own besides.
 
-    With best, of every node only the closest partner.  Members of the largest
-    component meet the others only, so they are sent once per tile of others.
+    size is what a member counts as in a tile.  Members of the largest component
+    meet the others only: a tile (i, j) holds others i with main members j >= 0,
+    or others i with others -1 - j.
     """
-    tiles = {False: F.ceil(F.col("n_other") / TILE).cast("int"), True: F.ceil(F.col("n_main") / TILE).cast("int")}
+    side = members.groupBy("key").agg(F.sum(F.when(F.col("main"), F.col("size")).otherwise(0)).alias("n_main"), F.sum(F.when(F.col("main"), 0).otherwise(F.col("size"))).alias("n_other"))
+    tiles = {main: F.greatest(F.lit(1), F.ceil(F.col(n) / TILE)).cast("int") for main, n in ((True, "n_main"), (False, "n_other"))}
     own = F.pmod(F.xxhash64("node", "key"), F.when(F.col("main"), tiles[True]).otherwise(tiles[False])).cast("int")
-    # A tile is (i, j): others i with main members j >= 0, or others i with others -1 - j.
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     spots = F.when(F.col("main"), F.transform(upto(tiles[False]), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))).otherwise(
         F.concat(
@@ -178,61 +177,88 @@ def _tiles(members: DataFrame, best: bool) -> DataFrame:
     )
     bins = max(1, -(-members.count() // BIN))
     call = F.when(F.col("n_main") + F.col("n_other") <= TILE, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.xxhash64("key", "spot.i", "spot.j"))
-    sent = members.withColumn("own", own).withColumn("spot", F.explode(spots)).select(call.alias("call"), "key", "spot.i", "spot.j", "own", "main", "node", "component", "sketch")
-
-    def calls(rows: pd.DataFrame) -> pd.DataFrame:
-        """All tiles of one call."""
-        rows = rows.sort_values(["key", "i", "j"], kind="stable")
-        key, i, j = (rows[c].to_numpy() for c in ("key", "i", "j"))
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
-        columns = [rows[c].to_numpy() for c in ("node", "own", "component", "main")]
-        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        made = [close(i[a], j[a], sketch[a:b], *(c[a:b] for c in columns)) for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)]
-        found = np.concatenate([f for f, _ in made])
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "share": np.concatenate([x for _, x in made])})
-
-    def close(i: int, j: int, sketch: np.ndarray, node: np.ndarray, own: np.ndarray, part: np.ndarray, main: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of one tile and their shares of equal registers."""
-        left = np.flatnonzero(~main & (own == i))
-        right = np.flatnonzero(main if j >= 0 else own == -1 - j)
-        same = j < 0 and i == -1 - j
-        top, who = np.zeros(len(node)), np.full(len(node), -1)
-        found = [np.zeros((0, 2), np.int64)]
-        shares = [np.zeros(0)]
+    placed = members.join(settle(side, "near-sides").hint("merge"), "key").withColumn("own", own).withColumn("spot", F.explode(spots))
+    return placed.select(call.alias("call"), "key", "spot.i", "spot.j", "own", *[c for c in members.columns if c not in ("key", "size")])
+
+
+def _tiles(rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Of each tile of one call: its rows, and its close pairs (two columns of places) with their shares of equal registers.
+
+    Close: of different components, with SKETCH_FLOOR of equal registers, and with the tile's band as the first that they share.
+    """
+    rows = rows.sort_values(["key", "i", "j"], kind="stable", ignore_index=True)
+    key, i, j = (rows[c].to_numpy() for c in ("key", "i", "j"))
+    starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+    for at, end in zip(starts, [*starts[1:], len(rows)], strict=True):
+        tile = rows.iloc[at:end]
+        sketch = np.frombuffer(b"".join(tile["sketch"]), np.uint16).reshape(len(tile), BANDS, ROWS)
+        own, part, main = (tile[c].to_numpy() for c in ("own", "component", "main"))
+        left = np.flatnonzero(~main & (own == i[at]))
+        right = np.flatnonzero(main if j[at] >= 0 else own == -1 - j[at])
+        same, band = j[at] < 0 and i[at] == -1 - j[at], key[at] & (BANDS - 1)
+        pairs, shares = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
         for a in left:
             others = right[right > a] if same else right
             others = others[part[others] != part[a]]
-            share = (sketch[others] == sketch[a]).mean(1)
-            near = share >= SKETCH_FLOOR
-            others, share = others[near], share[near]
-            if not len(others):
-                continue
-            if best:
-                better = share > top[others]
-                top[others[better]], who[others[better]] = share[better], a
-                if share.max() > top[a]:
-                    top[a], who[a] = share.max(), others[share.argmax()]
-            else:
-                found.append(np.column_stack((np.full(len(others), node[a]), node[others])))
-                shares.append(share)
-        if best:
-            some = np.flatnonzero(who >= 0)
-            found, shares = [np.column_stack((node[some], node[who[some]]))], [top[some]]
-        return np.concatenate(found), np.concatenate(shares)
-
-    pairs = sent.groupBy("call").applyInPandas(calls, "a long, b long, share double")
-    if best:
-        pairs = pairs.groupBy("a").agg(F.max(F.struct("share", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            equal = sketch[others] == sketch[a]
+            share = equal.mean((1, 2))
+            near = np.flatnonzero(share >= SKETCH_FLOOR)
+            bands = equal[near].all(2)
+            near = near[bands[:, band] & (bands.argmax(1) == band)] if len(near) else near
+            pairs.append(np.column_stack((np.full(len(near), a), others[near])))
+            shares.append(share[near])
+        yield tile, np.concatenate(pairs), np.concatenate(shares)
+
+
+def _with_partner(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, component, main of the members that are in a close pair."""
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [tile.iloc[np.unique(pairs)] for tile, pairs, _ in _tiles(rows)]
+        return pd.concat(found)[["key", "node", "component", "main"]]
+
+    sent = _dealt(members.join(nodes.select("node", "sketch").hint("merge"), "node").withColumn("size", F.lit(1)))
+    return sent.groupBy("call").applyInPandas(find, "key long, node long, component long, main boolean").distinct()
+
+
+def _tile_links(members: DataFrame, nodes: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) with J_P >= threshold over whole texts between close members: of each tile a spanning forest."""
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        for tile, pairs, shares in _tiles(rows):
+            node, text, root = tile["node"].to_numpy(), tile["text"].to_numpy(), {c: c for c in tile["component"].tolist()}
+            part = tile["component"].tolist()
+            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for a, b in pairs[np.argsort(-shares, kind="stable")].tolist():
+                if top(part[a]) == top(part[b]):
+                    continue
+                for x in (a, b):
+                    if x not in sets:
+                        sets[x] = shingles(text[x])
+                if probability_jaccard(sets[a], sets[b]) >= threshold:
+                    root[top(part[a])] = top(part[b])
+                    links.append((node[a], node[b]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    whole = members.join(nodes.select("node", "sketch").hint("merge"), "node").join(held.hint("merge"), "node")
+    sent = _dealt(settle(whole.withColumn("size", 1 + F.floor(F.char_length("text") / TILE_CHARS)), "near-whole"))
+    return sent.groupBy("call").applyInPandas(find, "a long, b long")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) with J_P >= threshold over whole texts; held: doc_id, text.
+    """Pairs (a, b) with J_P >= threshold over whole texts; held: node, text.
 
     The joins merge at every size: what is broadcast would grow with the corpus.
     """
-    left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").hint("merge").join(left, "a").join(right.hint("merge"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,38 +285,39 @@ def _contracted(linked: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size, kept.
-
-    class_id is the smallest id of the documents linked directly or through
-    others; the row with that id is kept.  Words are what white space separates,
-    in lower case.  Texts without words (null, empty, blank) link with nothing.
-    Rows with a null id are left out, as no pair can name them; a repeated id is
-    taken with any one of its texts and its rows share a class.
+    """One row per input row: doc_id, class_id, class_size (rows), kept.
+
+    class_id is the smallest id of the rows linked directly or through others; one
+    row with that id is kept.  Words are what white space separates, in lower case.
+    Texts without words (null, empty, blank) link with nothing.  Rows with a null id
+    are compared like any other; a class of such rows alone has a null class_id and
+    keeps one of them.  Rows that repeat an id are rows of their own: each is compared
+    by its own text.  Other columns are ignored; no row gives no row.
     """
-    rows = texts(docs, id_col, text_col).where("doc_id is not null")
-    found = settle(features(rows), "near-features")
-    # Equal weighted shingles: one node, the smallest id.
-    nodes = settle(found.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "near-nodes")
-    buckets = _buckets(nodes)
-    ids = buckets.select(F.col("node").alias("doc_id")).distinct()
-    held = settle(rows.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-    # Every node with the leader it shares most bands with (b: the leader, which may be hot).
-    first = buckets.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("hits"))
-    first = first.groupBy("node").agg(F.max(F.struct("hits", "leader")).alias("x")).select(F.col("node").alias("a"), F.col("x.leader").alias("b"))
-    first = settle(first, "near-first")
-    linked = settle(components(_verified(first, held, threshold)).withColumnRenamed("id", "node"), "near-linked")
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for best in (True, False):
-        members = _open_members(buckets, linked, nodes)
-        if members.isEmpty():
-            break
-        pairs = settle(_tiles(members, best).join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
-        tried = tried.unionByName(pairs)
-        linked = _contracted(linked, settle(_verified(pairs, held, threshold), "near-links"))
-    named = found.select("doc_id", "fingerprint").join(nodes.select("fingerprint", "node").hint("merge"), "fingerprint", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
-    classed = settle(named.join(linked.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id")), "near-classes")
-    sizes = settle(classed.groupBy("class_id").agg(F.count("*").alias("class_size")), "near-sizes")
-    return classed.join(sizes.hint("merge"), "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    with tidy(docs.sparkSession) as keep:
+        rows = texts(docs, id_col, text_col).withColumn("of_text", F.xxhash64("text"))
+        found = settle(features(rows.withColumn("row", F.monotonically_increasing_id())), "near-features")
+        # Equal weighted shingles: one node, and a row that has its text.
+        nodes = found.where("fingerprint is not null").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "of_text")).alias("sample"), F.first("sketch").alias("sketch"))
+        nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+        buckets = _buckets(nodes)
+        wanted = nodes.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.col("sample.doc_id").alias("id"), F.col("sample.of_text").alias("hash"))
+        same = rows["doc_id"].eqNullSafe(F.col("id")) & (rows["of_text"] == F.col("hash"))
+        held = settle(rows.join(wanted.hint("merge"), same).select("node", "text").dropDuplicates(["node"]), "near-texts")
+        # Every node with the leader it shares most bands with (b: the leader, which may be hot).
+        first = buckets.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("hits"))
+        first = first.groupBy("node").agg(F.max(F.struct("hits", "leader")).alias("x")).select(F.col("node").alias("a"), F.col("x.leader").alias("b"))
+        linked = settle(components(_verified(settle(first, "near-first"), held, threshold)).withColumnRenamed("id", "node"), "near-linked")
+        members = settle(_with_partner(_open_members(buckets, linked), nodes), "near-partners")
+        linked = _contracted(linked, settle(_tile_links(members, nodes, held, threshold), "near-links"))
+        named = found.select("row", "doc_id", "fingerprint").join(nodes.select("fingerprint", "node").hint("merge"), "fingerprint", "left")
+        # Rows without words are classes of their own, below zero.
+        classed = named.join(linked.hint("merge"), "node", "left").select("row", "doc_id", F.coalesce("component", "node", -1 - F.col("row")).alias("class"))
+        classed = settle(classed, "near-classes")
+        first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+        each = settle(classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), first_row.alias("kept_row")), "near-each")
+        done = classed.join(each.hint("merge"), "class").select("doc_id", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("kept"))
+        return keep(done, "near-done")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
