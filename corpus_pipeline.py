@@ -14,42 +14,35 @@ from tracewell.llm.common import read, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that operator 3 rejects go; the labels are those of the corpus."""
+    """Documents that operator 3 rejects go; the labels are those of the corpus.  Null texts count as empty and stay."""
     return toxicity.keep_clean(docs, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a key of each row, written once, so that a verdict is of one row and not of all that share an id or have none."""
-    return settle(docs.withColumn("__key", F.monotonically_increasing_id()), name)
-
-
-def _kept(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    return keyed.join(keys.hint("merge"), "__key", "left_semi").drop("__key")
-
-
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id stays (operator 8)."""
-    keyed = _keyed(docs, "rows-exact")
-    verdict = exact_dedup.exact_duplicates(keyed.select(F.struct("doc_id", "__key").alias("doc_id"), "text"))
-    return _kept(keyed, verdict.where("kept").select(F.col("doc_id.__key").alias("__key"))).select(docs.columns)
+    """Of equal texts, the row with the largest id stays (operator 8); null counts as empty, null ids rank lowest."""
+    return exact_dedup.distinct_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, the row with the smallest id stays (operator 2)."""
-    keyed = _keyed(docs, "rows-near")
+    """Of near duplicates, the row with the smallest id stays (operator 2); null ids rank last.
+
+    Every row gets a key, written once, so that a verdict is of one row and not of
+    all that share an id or have none.  Null and empty texts link with nothing.
+    """
+    keyed = settle(docs.withColumn("__key", F.monotonically_increasing_id()), "rows-near")
     verdict = near_dup.near_duplicates(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), "class_id")
     ranked = verdict.join(keyed.select("__key", "doc_id").hint("merge"), "__key").select("class_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key").alias("row"))
     best = ranked.groupBy("class_id").agg(F.min("row").alias("row")).select(F.col("row.__key").alias("__key"))
-    return _kept(keyed, best).select(docs.columns)
+    return keyed.join(best.hint("merge"), "__key", "left_semi").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced by a mark; no document goes (operator 10)."""
+    """Found secrets are replaced by a mark; no document goes (operator 10).  Null texts stay null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences (operator 9)."""
+    """Pieces of sequences (operator 9).  A null or empty text is the end id alone."""
     return packing.pack_documents(docs)
 
 
