@@ -147,7 +147,8 @@ class Memo:
 
     def missing(self, need: set) -> set:
         """Keys of ``need`` to be put into ``now``; the others are there already."""
-        new = need - self.now.keys()
+        now = self.now
+        new = {k for k in need if k not in now}
         if len(self.now) + len(new) > self.size:
             self.now, self.before = {}, self.now
             new = need

@@ -11,6 +11,7 @@ piece of its block.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,13 +21,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import TrieBpe, chunks_of
+from .bpe import MARKS, TrieBpe, chunks_of
 from .common import Memo, read, texts
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
-#: Most chunks, and words, in each generation of a Python worker's memory; documents handled at once.
+#: Most words in each generation of a Python worker's memory; documents handled at once.
 CACHE = 350_000
 BLOCK_DOCS = 500
 #: Pieces that one task packs together; the next such block starts new windows.
@@ -95,7 +96,10 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray,
 
 
 class IdBytes:
-    """Ids of chunks as little-endian 32-bit numbers, each distinct one encoded by the library once while remembered."""
+    """Ids of words as little-endian 32-bit numbers, each distinct word encoded by the library once while remembered."""
+
+    #: A mark between a letter and white space is a word of its own.
+    MARK = re.compile(r"[.,;:!?](?<=[a-zß-öø-ÿ][.,;:!?])(?=\s|\Z)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -105,35 +109,44 @@ class IdBytes:
             spec = json.load(f)
         #: The same model for words that are normalised and cut already.
         self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-        self.chunks, self.words = Memo(CACHE), Memo(CACHE)
+        self.words = Memo(CACHE)
+
+    def cut(self, text: str) -> list[str]:
+        """Words of a text; of one in Latin-1, in lower case and without the marks that end them, so that fewer are distinct."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return chunks_of(text)
+        return chunks_of(text if "<|" in text else self.MARK.sub(r" \g<0>", text.lower()))
 
     @staticmethod
-    def _each(library, todo: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _each(library, keys: list[str], todo: list[str]) -> Iterator[tuple[str, bytes]]:
         if todo:
             got = library.encode(todo, is_pretokenized=True, add_special_tokens=False)
             raw, at = np.array(got.ids, dtype="<u4").tobytes(), 0
             counts = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(todo))
-            for text, end in zip(todo, (4 * np.cumsum(counts)).tolist(), strict=True):
-                yield text, raw[at:end]
+            for key, end in zip(keys, (4 * np.cumsum(counts)).tolist(), strict=True):
+                yield key, raw[at:end]
                 at = end
 
-    def learn(self, chunks: set[str]) -> None:
-        cut = {c: TrieBpe.plain(c) for c in self.chunks.missing(chunks)}
-        new = self.words.missing({w for ws in cut.values() if ws for w in ws})
-        self.words.now.update(self._each(self.model, list(new)))
-        words = self.words.now
-        self.chunks.now.update((c, words[ws[0]] if len(ws) == 1 else words[ws[0]] + words[ws[1]]) for c, ws in cut.items() if ws)
-        self.chunks.now.update(self._each(self.library, [c for c, ws in cut.items() if not ws and "<|" not in c]))
-        for c in cut:  # a special token belongs to no word
-            if "<|" in c and c not in self.chunks.now:
-                self.chunks.now[c] = np.array(self.library.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def learn(self, words: set[str]) -> None:
+        new = self.words.missing(words)
+        plain = {w: w if w in MARKS else x[0] for w in new if w in MARKS or (x := TrieBpe.plain(w)) and len(x) == 1}
+        self.words.now.update(self._each(self.model, list(plain), list(plain.values())))
+        other = [w for w in new if w not in plain]
+        self.words.now.update(self._each(self.library, other, other) if not any("<|" in w for w in other) else self._special(other))
+
+    def _special(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """One by one, as a special token belongs to no word."""
+        for w in words:
+            yield w, np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, block: list[str]) -> Iterator[bytes]:
-        cut = [chunks_of(t) for t in block]
-        self.learn({c for parts in cut for c in parts})
-        known = self.chunks.now
+        cut = [self.cut(t) for t in block]
+        self.learn(set().union(*cut))
+        known = self.words.now.__getitem__
         for parts in cut:
-            yield b"".join([known[c] for c in parts])
+            yield b"".join(map(known, parts))
 
 
 _encoders: dict[str, IdBytes] = {}
