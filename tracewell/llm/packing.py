@@ -28,7 +28,7 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
 #: Most words in each generation of a Python worker's memory; documents handled at once.
-CACHE = 350_000
+CACHE = 800_000
 BLOCK_DOCS = 500
 #: Pieces that one task packs together; the next such block starts new windows.
 BLOCK_PIECES = 500_000
