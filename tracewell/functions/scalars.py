@@ -17,6 +17,16 @@ def identity(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
+def dedup_key(text: Column) -> Column:
+    """White space runs become one space, ends are trimmed, then the first 120 characters in lower case."""
+    return F.lower(F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, 120))
+
+
+def fold(text: Column) -> Column:
+    """NFC is taken as given; ends are trimmed, letters lower-cased."""
+    return F.lower(F.trim(text))
+
+
 def blob_sha(content: Column) -> Column:
     """Content address of a blob: SHA-1 over a header with its length, and its bytes."""
     return F.sha1(F.concat(F.lit("blob ").cast("binary"), F.octet_length(content).cast("string").cast("binary"), F.lit(b"\0"), content.cast("binary")))

@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import identity
+from ..functions.scalars import dedup_key, identity
 
 
 def keep_first(entries: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """The first entry of each identity in ``order``; blank texts are dropped."""
-    key = identity(F.col(text))
-    first = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return entries.where(key != "").withColumn("rank", first).where("rank = 1").drop("rank")
+    """The first entry of each key (120 characters, in any case) in ``order``; blank and null texts are dropped.
+
+    A minimum with map-side combination, so that a prompt of a third of all rows needs no task of its own.
+    """
+    whole, at = F.struct(*[F.col(f"`{c}`") for c in entries.columns]), F.struct(*[F.col(c) for c in order])
+    kept = entries.where(dedup_key(F.col(text)) != "").groupBy(dedup_key(F.col(text)).alias("__key")).agg(F.min_by(whole, at).alias("__row"))
+    return kept.select("__row.*")
 
 
 def visible(entries: DataFrame, tombstones: DataFrame, text: str = "text") -> DataFrame:
     """Entries whose identity no tombstone names, by its SHA-256 or its first 120 characters (column key)."""
-    keyed = entries.withColumn("__sha", F.concat(F.lit("sha256:"), F.sha2(identity(F.col(text)), 256))).withColumn("__old", F.lower(F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, 120)))
+    keyed = entries.withColumn("__sha", F.concat(F.lit("sha256:"), F.sha2(identity(F.col(text)), 256))).withColumn("__old", dedup_key(F.col(text)))
     for name in ("__sha", "__old"):
         keyed = keyed.join(tombstones.select(F.col("key").alias(name)), name, "left_anti")
     return keyed.select(entries.columns)
@@ -41,13 +44,46 @@ def context_budget(messages: DataFrame, keys: list[str], limit: int) -> DataFram
 
 def last_record(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last record of each key in ``order``."""
-    last = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return records.withColumn("rank", last).where("rank = 1").drop("rank")
+    whole, at = F.struct(*[F.col(f"`{c}`") for c in records.columns]), F.struct(*[F.col(c) for c in order])
+    return records.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max_by(whole, at).alias("__row")).select("__row.*")
+
 
+def continuity(changes: DataFrame, keys: list[str], order: str, id_col: str | None = None) -> DataFrame:
+    """Per key: first before, last after, steps, and whether each before equals the previous after.
 
-def continuity(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Per key: first before, last after, and whether each before equals the previous after."""
+    Of records that share an id the first counts; a record that changes nothing is
+    left out; null is a state of its own, so a null after is followed by a null before.
+    """
+    if id_col:
+        whole = F.struct(*[F.col(f"`{c}`") for c in changes.columns])
+        changes = changes.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(whole, order).alias("__row")).select("__row.*")
     step = W.partitionBy(*keys).orderBy(order)
-    broken = F.lag("after").over(step).isNotNull() & ~F.lag("after").over(step).eqNullSafe(F.col("before"))
-    marked = changes.withColumn("broken", broken)
-    return marked.groupBy(*keys).agg(F.min_by("before", order).alias("before"), F.max_by("after", order).alias("after"), F.count("*").alias("steps"), (~F.bool_or("broken")).alias("continuous"))
+    moved = changes.where(~F.col("before").eqNullSafe(F.col("after")))
+    broken = (F.row_number().over(step) > 1) & ~F.lag("after").over(step).eqNullSafe(F.col("before"))
+    marked = moved.withColumn("__broken", broken)
+    return marked.groupBy(*keys).agg(F.min_by("before", order).alias("before"), F.max_by("after", order).alias("after"), F.count("*").alias("steps"), (~F.bool_or("__broken")).alias("continuous"))
+
+
+def drain(entries: DataFrame, file: str = "file", line: str = "line_no", at: str = "ts", fallback: str = "mtime") -> DataFrame:
+    """Entries by file, the file of the newest entry first, and within a file the last line first: key __file_at, then file, then line down.
+
+    A file without any time goes by its own (``fallback``).
+    """
+    newest = entries.groupBy(file).agg(F.coalesce(F.max(at), F.max(fallback)).alias("file_at"))
+    return entries.join(newest, file).orderBy(F.desc("file_at"), file, F.desc(line))
+
+
+def prompts(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """(file, line_no, text, ts): user prompts of session logs (file, line_no, raw JSON, mtime).
+
+    A prompt is a user message whose content is a string, or the text blocks of a
+    list, joined; its time is the message's, else the line's, else the file's.
+    Malformed lines and blank prompts are left out.
+    """
+    j = lambda p: F.get_json_object(raw, p)
+    blocks = F.from_json(j("$.message.content"), "array<struct<type:string,text:string>>")
+    joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
+    text = F.when(j("$.message.content").startswith("["), joined).otherwise(j("$.message.content"))
+    millis = lambda p: F.coalesce(j(p).try_cast("long"), F.unix_millis(F.try_to_timestamp(j(p))))
+    rows = lines.where(j("$.type") == "message").where(j("$.message.role") == "user")
+    return rows.select("file", "line_no", text.alias("text"), F.coalesce(millis("$.message.timestamp"), millis("$.timestamp"), F.col("mtime")).alias("ts")).where(F.trim("text") != "")

@@ -9,17 +9,75 @@ from pyspark.sql import functions as F
 from ..functions.scalars import half_up
 
 
+def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key; a minimum with map-side combination."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.min_by(whole, order).alias("__row")).select("__row.*")
+
+
+MOST_TOKENS, MOST_MS = 1_000_000_000, 86_400_000
+
+
+def valid(tokens: list[str], headers: str = "headers", full: str = "full"):
+    """Whether a response's measures are sound; each measure m has columns m_state and m.
+
+    A token count is a whole number from 0 to 10**9 where reported, a time from 0 to a
+    day where measured; unavailable and unsupported ones have no value.  Headers do
+    not come after the full response where both are measured.
+    """
+
+    def sound(m: str, present: str, most: int):
+        state, value = F.col(f"{m}_state"), F.col(m)
+        inside = (value >= 0) & (value <= most)
+        if present == "reported":
+            inside = inside & (value == F.floor(value))
+        return F.coalesce(F.when(state == present, inside).when(state.isin("unavailable", "unsupported"), value.isNull()), F.lit(False))
+
+    out = sound(headers, "measured", MOST_MS) & sound(full, "measured", MOST_MS)
+    for m in tokens:
+        out = out & sound(m, "reported", MOST_TOKENS)
+    both = (F.col(f"{headers}_state") == "measured") & (F.col(f"{full}_state") == "measured")
+    return out & F.coalesce(~both | (F.col(headers) <= F.col(full)), F.lit(False))
+
+
+def rollup_all(responses: DataFrame, dims: list[str], measures: list[str], arrival: str, key: str) -> DataFrame:
+    """Per group of all ``dims``: responses, and of each measure the count of each state and the sum of what is reported or measured.
+
+    One response per key, the first to arrive; null dims are a group of their own.
+    There is no capacity: nothing is refused or evicted.
+    """
+    aggregates = []
+    for m in measures:
+        state = F.col(f"{m}_state")
+        aggregates += [F.count_if(state.isin("reported", "measured")).alias(f"{m}_present"), F.count_if(state == "unavailable").alias(f"{m}_unavailable"), F.count_if(state == "unsupported").alias(f"{m}_unsupported"), F.sum(F.when(state.isin("reported", "measured"), F.col(m)).otherwise(0)).alias(f"{m}_sum")]
+    return first_of(responses, key, arrival).groupBy(*dims).agg(F.count("*").alias("responses"), *aggregates)
+
+
+def evidence(response: str, selected: str, observed: str):
+    """(model, source): the response's model, else the selected, else the observed, which is labelled selected, else unknown."""
+    r, s, o = F.col(response), F.col(selected), F.col(observed)
+    model = F.coalesce(r, s, o, F.lit("unknown"))
+    source = F.when(r.isNotNull(), "response").when(s.isNotNull() | o.isNotNull(), "selected").otherwise("unknown")
+    return model, source
+
+
+def composition(launches: DataFrame, dims: list[str], status: str = "status") -> DataFrame:
+    """Launches by ``dims``, with how many are settled and a count of each status."""
+    kinds = ("running", "queued", "waiting", "finished")
+    known = F.when(F.col(status).isin("running", "queued", "waiting"), F.col(status)).otherwise("finished")
+    return launches.groupBy(*dims).agg(F.count("*").alias("launches"), *[F.count_if(known == k).alias(k) for k in kinds])
+
+
 def rollup(responses: DataFrame, dims: list[str], measure: str, state: str, arrival: str, key: str) -> DataFrame:
     """Per group: responses, each state's count, and the sum of what was reported; one response per key, the first."""
-    first = F.row_number().over(W.partitionBy(key).orderBy(arrival))
-    once = responses.withColumn("rank", first).where("rank = 1")
+    once = first_of(responses, key, arrival)
     states = [F.count_if(F.col(state) == s).alias(s) for s in ("reported", "unavailable", "unsupported")]
     return once.groupBy(*dims).agg(F.count("*").alias("responses"), *states, F.sum(F.when(F.col(state) == "reported", F.col(measure)).otherwise(0)).alias("total"))
 
 
 def allowance(limits: DataFrame) -> DataFrame:
-    """Per family: sum of used over sum of budget in percent - only where every member has a budget."""
-    percent = F.when(F.every(F.col("budget") > 0), half_up(F.sum("used") / F.sum("budget") * 100, 4))
+    """Per family: sum of used over sum of budget in percent - only where every member has a budget above 0; a null use counts as 0."""
+    percent = F.when(F.every(F.coalesce(F.col("budget") > 0, F.lit(False))), half_up(F.try_divide(F.sum(F.coalesce("used", F.lit(0))), F.sum("budget")) * 100, 4))
     return limits.groupBy("family").agg(F.count("*").alias("members"), percent.alias("percent"))
 
 
@@ -37,7 +95,7 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def flood(lines: DataFrame, key: str, ms: str, window_ms: int, most: int) -> DataFrame:
-    """Lines at which more than ``most`` lines of the key fall into the last ``window_ms`` milliseconds."""
+    """Lines at which more than ``most`` lines of the key fall into the last ``window_ms`` milliseconds; adds recent, their number."""
     recent = W.partitionBy(key).orderBy(ms).rangeBetween(-(window_ms - 1), 0)
     return lines.withColumn("recent", F.count("*").over(recent)).where(F.col("recent") > most)
 
@@ -47,7 +105,7 @@ def latch(values: DataFrame, key: str, order: list[str], value: str, at: float)
     step = W.partitionBy(key).orderBy(*order)
     high = F.when(F.col(value).isNotNull(), F.col(value) >= at)
     before = F.last(high, ignorenulls=True).over(step.rowsBetween(W.unboundedPreceding, -1))
-    return values.withColumn("fires", high & ~F.coalesce(before, F.lit(False))).where("fires").drop("fires")
+    return values.withColumn("__fires", high & ~F.coalesce(before, F.lit(False))).where("__fires").drop("__fires")
 
 
 def risk(changes: DataFrame, keys: list[str], most_lines: int = 400) -> DataFrame:
@@ -59,10 +117,75 @@ def risk(changes: DataFrame, keys: list[str], most_lines: int = 400) -> DataFram
 
 def latest(records: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The latest record per key."""
-    last = F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
-    return records.withColumn("rank", last).where("rank = 1").drop("rank")
+    whole, at = F.struct(*[F.col(f"`{c}`") for c in records.columns]), F.struct(*[F.col(c) for c in order])
+    return records.groupBy(F.col(key).alias("__key")).agg(F.max_by(whole, at).alias("__row")).select("__row.*")
 
 
 def routing(members: DataFrame) -> DataFrame:
     """Per model: how many members, and their names sorted (a bounded configuration table)."""
     return members.groupBy("model").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("member")), ",").alias("members"))
+
+
+def families(limits: DataFrame) -> DataFrame:
+    """Limits (name, used, budget) with family (leading letters of the name, in lower case), percent and the order in which a panel lists them.
+
+    Families come by their own percent, or their first member's where they have
+    none, and members by percent; equals by name.  place counts from 1 within the
+    family, family_percent is null where a member has no budget.
+    """
+    named = limits.withColumn("family", F.lower(F.regexp_extract("name", r"^([A-Za-z]*)", 1)))
+    own = half_up(F.try_divide(F.coalesce("used", F.lit(0)), F.when(F.col("budget") > 0, F.col("budget"))) * 100, 4)
+    rows = named.withColumn("percent", own).join(allowance(named).select("family", F.col("percent").alias("family_percent")), "family")
+    step = W.partitionBy("family").orderBy(F.desc_nulls_last("percent"), "name")
+    return rows.withColumn("place", F.row_number().over(step).cast("long")).select("family", "name", "percent", "family_percent", "place")
+
+
+def status_histogram(tasks: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
+    """Per key: running, queued, waiting, and all others as finished."""
+    is_ = lambda k: F.count_if(F.coalesce(F.col(status) == k, F.lit(False)))
+    rest = F.count_if(~F.coalesce(F.col(status).isin("running", "queued", "waiting"), F.lit(False)))
+    return tasks.groupBy(*keys).agg(is_("running").alias("running"), is_("queued").alias("queued"), is_("waiting").alias("waiting"), rest.alias("finished"))
+
+
+def usage_counters(asked: DataFrame, keys: list[str], most_shapes: int = 5) -> DataFrame:
+    """Per key: answered, empty, unavailable and failed queries (outcome), the bytes of distinct (path, sha) answers, tokens saved, and the last empty shapes.
+
+    saved is (baseline - response) / 4 without its fraction, null where there is no baseline.
+    """
+    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in ("answered", "empty", "unavailable", "error")]
+    base = asked.where("path is not null").groupBy(*keys, "path", "sha").agg(F.max("baseline").alias("b")).groupBy(*keys).agg(F.sum("b").alias("baseline"))
+    shapes = asked.where("outcome = 'empty'").groupBy(*keys, "shape").agg(F.max("seq").alias("seq"))
+    last = W.partitionBy(*keys).orderBy(F.desc("seq"))
+    few = shapes.withColumn("__at", F.row_number().over(last)).where(F.col("__at") <= most_shapes).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "shape"))), lambda x: x["shape"]), ",").alias("shapes"))
+    out = asked.groupBy(*keys).agg(*counts, F.sum("response").alias("response")).join(base, keys, "left").join(few, keys, "left")
+    quarter = (F.col("baseline") - F.col("response")) / 4
+    return out.withColumn("saved", F.when(quarter < 0, F.ceil(quarter)).otherwise(F.floor(quarter)).cast("long"))
+
+
+def slice_size(changes: DataFrame, keys: list[str], most: int = 400) -> DataFrame:
+    """Per key: added and deleted lines but for generated paths and binaries (null counts), and whether they are more than ``most``."""
+    generated = F.col("path").rlike(r"(^|/)(dist|build|vendor|node_modules)/|\.(lock|snap|min\.js)$")
+    counted = F.sum(F.when(~generated & F.col("added").isNotNull() & F.col("deleted").isNotNull(), F.col("added") + F.col("deleted")).otherwise(0)).cast("long")
+    return changes.groupBy(*keys).agg(counted.alias("lines"), (counted > most).alias("large"))
+
+
+def review_route(changes: DataFrame, keys: list[str], hot: str, most: int = 400) -> DataFrame:
+    """Per key: the route of a review and its dominant lens, from flags over paths.
+
+    trivial where all paths are documents, full where one matches ``hot`` or the lines
+    are more than ``most``, else standard; lens: risk, resilience, reliability,
+    readability, in that order.
+    """
+    some = lambda p: F.bool_or(F.col("path").rlike(p))
+    lines = F.sum(F.coalesce("lines", F.lit(0)))
+    route = F.when(F.every(F.col("path").rlike(r"\.(md|txt)$")), "trivial").when(some(hot) | (lines > most), "full").otherwise("standard")
+    lens = F.when(some(hot), "risk").when(some(r"(retry|queue|timeout)"), "resilience").when(some(r"(test|spec)"), "reliability").otherwise("readability")
+    return changes.groupBy(*keys).agg(lines.cast("long").alias("lines"), route.alias("route"), lens.alias("lens"))
+
+
+def verdict(executed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key of ``expected`` (keys, test): tests without a run in ``executed`` (keys, test, passed), and green where there are none and all runs passed."""
+    runs = executed.groupBy(*keys, "test").agg(F.every(F.coalesce("passed", F.lit(False))).alias("passed"))
+    both = expected.select(*keys, "test").distinct().join(runs, [*keys, "test"], "left")
+    missing = F.count_if(F.col("passed").isNull())
+    return both.groupBy(*keys).agg(F.count("*").alias("tests"), missing.alias("unaccounted"), F.every(F.coalesce("passed", F.lit(False))).alias("green"))

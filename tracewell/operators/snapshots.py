@@ -19,8 +19,47 @@ def delta(base: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def overlay(status: DataFrame, numstat: DataFrame) -> DataFrame:
-    """Left join of changed paths with their line counts; missing counts are 0."""
-    return status.join(numstat, "path", "left").na.fill(0, ["added", "deleted"])
+    """Left join of changed paths with their line counts; missing counts are 0.
+
+    Of counts that repeat a path the one of the largest pos holds, where there is such
+    a column, else the largest; untracked copies of installed packages are left out.
+    """
+    at = F.struct(*[F.col(c) for c in (["pos"] if "pos" in numstat.columns else []) + ["added", "deleted"]])
+    once = numstat.groupBy("path").agg(F.max_by(F.struct("added", "deleted"), at).alias("n")).select("path", "n.added", "n.deleted")
+    kept = status.where(~F.col("path").rlike(r"(^|/)node_modules\.backup-")) if "state" not in status.columns else status.where(~(F.col("path").rlike(r"(^|/)node_modules\.backup-") & (F.col("state") == "??")))
+    return kept.join(once, "path", "left").na.fill(0, ["added", "deleted"])
+
+
+def index_delta(previous: DataFrame, scan: DataFrame) -> DataFrame:
+    """(path, change) of previous hashes (path, sha) against a scan (path, sha, status); a scanned status "deleted" wins."""
+    b, c = previous.select("path", F.col("sha").alias("old")), scan.select("path", F.col("sha").alias("new"), "status")
+    gone = F.coalesce(F.col("status") == "deleted", F.lit(False)) | F.col("new").isNull()
+    change = F.when(gone, "deleted").when(F.col("old").isNull(), "added").when(F.col("old") != F.col("new"), "modified").otherwise("untouched")
+    # What is scanned as deleted and was never there is no change.
+    return b.join(c, "path", "full_outer").where(~(gone & F.col("old").isNull())).select("path", change.alias("change"))
+
+
+def change_rollup(changes: DataFrame) -> DataFrame:
+    """Per root: files, lines added and deleted."""
+    return changes.groupBy("root").agg(F.count_distinct("path").alias("files"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
+
+
+def flat_changes(changes: DataFrame) -> DataFrame:
+    """(path, added, deleted) over all roots; the path begins with the root's name only where there are several roots."""
+    several = F.broadcast(changes.agg((F.count_distinct("root") > 1).alias("several")))  # one row
+    path = F.when(F.col("several"), F.concat_ws("/", "root", "path")).otherwise(F.col("path"))
+    return changes.crossJoin(several).select(path.alias("path"), "added", "deleted")
+
+
+def closure(parents: DataFrame, kept: DataFrame) -> DataFrame:
+    """(id) of everything that must stay: ``kept`` (id) and all their ancestors over ``parents`` (id, parent)."""
+    seen = frontier = _cut(kept.select("id").where("id is not null").distinct())
+    while True:
+        step = parents.join(frontier, "id").select(F.col("parent").alias("id")).where("id is not null").distinct()
+        frontier = _cut(step.join(seen, "id", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def usage(spark, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     day = F.to_date("ts")
     return e.select(
-        "event_id", "ts", "user_id", F.col("event_type").alias("model"), F.get_json_object("props", "$.k").try_cast("long").alias("tokens"), F.col("value").alias("cost"),
+        "event_id", "ts", "user_id", F.col("event_type").alias("model"), F.get_json_object("props", "$.k").try_cast("long").alias("tokens"), F.col("value").cast("decimal(18,9)").alias("cost"),
         day.alias("day"), F.concat_ws("/", "user_id", day).alias("session"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ms"),
     )
 
@@ -39,12 +39,12 @@ def usage(spark, sf_dir: str) -> DataFrame:
 USAGE = "u AS (SELECT event_id, ts, user_id, event_type AS model, (props->>'$.k')::BIGINT AS tokens, value AS cost, ts::DATE AS day, user_id || '/' || ts::DATE AS session, epoch(date_trunc('second', ts))::BIGINT AS second, epoch_ms(ts) AS ms FROM events)"
 
 
-@query(f"WITH {USAGE} SELECT sum(tokens)::BIGINT AS tokens, floor(sum(cost) * 1e4 + 0.5) / 1e4 AS cost, count(*) AS messages, count(DISTINCT session) AS sessions, count(DISTINCT day) AS active_days FROM u")
+@query(f"WITH {USAGE} SELECT sum(tokens)::BIGINT AS tokens, floor(sum(cost::DECIMAL(18,9))::DOUBLE * 1e9 + 0.5) / 1e9 AS cost, count(*) AS messages, count(DISTINCT session) AS sessions, count(DISTINCT day) AS active_days FROM u")
 def stats_totals(spark, d):
     return stats.totals(usage(spark, d))
 
 
-@query(f"WITH {USAGE}, g AS (SELECT model, sum(tokens)::BIGINT AS tokens, floor(sum(cost) * 1e4 + 0.5) / 1e4 AS cost, count(*) AS messages FROM u GROUP BY model) SELECT *, floor(tokens / sum(tokens) OVER () * 1e6 + 0.5) / 1e6 AS share FROM g")
+@query(f"WITH {USAGE}, g AS (SELECT model, sum(tokens)::BIGINT AS tokens, floor(sum(cost::DECIMAL(18,9))::DOUBLE * 1e9 + 0.5) / 1e9 AS cost, count(*) AS messages FROM u GROUP BY model) SELECT *, floor(tokens / sum(tokens) OVER () * 1e6 + 0.5) / 1e6 AS share FROM g")
 def stats_by_model(spark, d):
     return stats.by_model(usage(spark, d))
 
@@ -76,12 +76,16 @@ def stats_heat(spark, d):
     return stats.heat(usage(spark, d))
 
 
+KEY = r"lower(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 120))"
 IDENTITY = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 
 
-@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, {IDENTITY} AS k, row_number() OVER (PARTITION BY {IDENTITY} ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1 AND k <> ''")
+@query(f"""WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 13 > 0 THEN CASE WHEN conv_id % 3 = 0 THEN repeat('Long prompt. ', 12) || turn ELSE text END END AS text FROM conversations)
+SELECT conv_id, turn FROM (SELECT conv_id, turn, {KEY} AS k, row_number() OVER (PARTITION BY {KEY} ORDER BY conv_id, turn) AS r FROM c) WHERE r = 1 AND k <> ''""")
 def history_keep_first(spark, d):
-    return history.keep_first(read(spark, d, "conversations"), ["conv_id", "turn"]).select("conv_id", "turn")
+    """Turns, some without a text and some of more than 120 characters that differ only at their ends."""
+    text = F.when(F.col("conv_id") % 13 > 0, F.when(F.col("conv_id") % 3 == 0, F.concat(F.repeat(F.lit("Long prompt. "), 12), F.col("turn"))).otherwise(F.col("text")))
+    return history.keep_first(read(spark, d, "conversations").withColumn("text", text), ["conv_id", "turn"]).select("conv_id", "turn")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'the')")
@@ -109,11 +113,14 @@ def history_last_record(spark, d):
     return history.last_record(read(spark, d, "conversations"), ["conv_id"], ["turn", "text"]).select("conv_id", "turn", "role")
 
 
-@query(f"""WITH {USAGE}, s AS (SELECT user_id, event_id, tokens % 10 AS before, (tokens // 10) AS after FROM u), l AS (SELECT *, lag(after) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM s)
-SELECT user_id, arg_min(before, event_id) AS before, arg_max(after, event_id) AS after, count(*) AS steps, NOT bool_or(prev IS NOT NULL AND prev <> before) AS continuous FROM l GROUP BY user_id""")
+@query(f"""WITH {USAGE}, s AS (SELECT user_id, event_id, CASE WHEN tokens % 10 > 0 THEN tokens % 5 END AS before, CASE WHEN tokens // 10 > 1 THEN tokens // 10 % 5 END AS after FROM u), m AS (SELECT * FROM s WHERE before IS DISTINCT FROM after),
+l AS (SELECT *, row_number() OVER w AS n, lag(after) OVER w AS prev FROM m WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, arg_min(struct_pack(x := before), event_id).x AS before, arg_max(struct_pack(x := after), event_id).x AS after, count(*) AS steps, NOT bool_or(n > 1 AND prev IS DISTINCT FROM before) AS continuous FROM l GROUP BY user_id""")
 def history_continuity(spark, d):
-    u = usage(spark, d).select("user_id", "event_id", (F.col("tokens") % 10).alias("before"), F.floor(F.col("tokens") / 10).alias("after"))
-    return history.continuity(u, ["user_id"], "event_id")
+    """States with nulls; every event comes twice under one id."""
+    t = F.col("tokens")
+    u = usage(spark, d).select("user_id", "event_id", F.when(t % 10 > 0, t % 5).alias("before"), F.when(F.floor(t / 10) > 1, F.floor(t / 10) % 5).alias("after"))
+    return history.continuity(u.unionByName(u.withColumn("event_id", F.col("event_id"))), ["user_id"], "event_id", "event_id")
 
 
 def _snapshots(spark, d):
@@ -131,11 +138,12 @@ def snapshot_delta(spark, d):
     return snapshots.delta(*_snapshots(spark, d))
 
 
-@query("""SELECT 'customer:' || c_custkey AS path, coalesce(n, 0)::BIGINT AS added, 0::BIGINT AS deleted FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+@query("""SELECT 'customer:' || c_custkey AS path, coalesce(n, 0)::BIGINT AS added, coalesce(m, 0)::BIGINT AS deleted FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey % 100, o_orderkey) AS n, arg_max(o_orderkey % 7, o_orderkey) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def snapshot_overlay(spark, d):
+    """Every order is a line of counts for its customer; the last holds."""
     status = read(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("path"))
-    counts = read(spark, d, "orders").groupBy(F.concat(F.lit("customer:"), "o_custkey").alias("path")).agg(F.count("*").alias("added"), F.lit(0).cast("long").alias("deleted"))
-    return snapshots.overlay(status, counts)
+    k = F.col("o_orderkey")
+    return snapshots.overlay(status, read(spark, d, "orders").select(F.concat(F.lit("customer:"), "o_custkey").alias("path"), k.alias("pos"), (k % 100).alias("added"), (k % 7).alias("deleted")))
 
 
 def lineage(spark, d) -> DataFrame:
