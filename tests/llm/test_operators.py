@@ -264,10 +264,10 @@ def test_redaction(docs):
 
 def test_packing(docs, none):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    table = docs.dropDuplicates(["doc_id"])
+    table = docs.dropDuplicates(["doc_id"]).withColumn("part", F.lit("clash"))
     ids = {r.doc_id: [*lib.encode(r.text or "", add_special_tokens=False).ids, 1] for r in table.collect()}
     pieces, sequences = defaultdict(list), defaultdict(list)
-    for r in packing.pack_documents(table.where("doc_id is not null")).collect():
+    for r in packing.pack_documents(table).collect():
         piece = ids[r.doc_id][r.start : r.start + r.length]
         assert r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
         pieces[r.doc_id].append((r.start, r.length))
@@ -281,6 +281,48 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_of_null_and_repeated_ids(spark):
+    big = (1 << 53) + 1
+    rows = [(None, "a b"), (None, "c"), (big, "a b"), (big, "a b"), (big, None), (1, "word " * 5000)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == Counter({(None, 3): 1, (None, 2): 1, (big, 3): 2, (big, 1): 1, (1, 5001): 1})
+    assert sum(r.length for r in got) == 3 + 2 + 3 + 3 + 1 + 5001
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.sequence_id].append((r.offset, r.length))
+    assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] and sum(n for _, n in x) <= 2048 for x in spans.values())
+
+
+def test_packing_in_latin_1_and_beyond_equals_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), packing.IdBytes(path)
+    rng = random.Random(1)
+    odd = ["".join(rng.choice("abcXYZéÀß.,;:!?'\" \n\t()123-_ªºµ\xa0\x85\x1c\u0300İœ<|>$") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    odd += ["it's. A's, ÀB. x... a.) e.g., foo!? ¿que? WE'LL. 1st. a\x85b. c\xa0d.", "İstanbul. ΣΑΣ. œuvre, <|endoftext|>. a.<|startoftext|>b.\n"]
+    for text, raw in zip(odd, own.encode(odd), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_word_of_two_hundred_thousand_letters():
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghij") for _ in range(200_000))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, lib = bpe.TrieBpe(path), Tokenizer.from_file(path)
+    ids = next(coder.encode([word]))
+    assert "".join(coder.text[i].removesuffix("</w>") for i in ids) == word
+    assert next(coder.encode([word[:5000]])) == lib.encode(word[:5000], add_special_tokens=False).ids
+
+
+def test_token_counts_of_irregular_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counts, lib = token_counts.TokenCounter(path), Tokenizer.from_file(path)
+    rng = random.Random(2)
+    odd = ["".join(rng.choice("ab,.\n\t  \n \r\x0b\xa0\u3000é1'\x85\x1c<|") for _ in range(rng.randint(0, 16))) for _ in range(3000)]
+    odd += ["  hi <|endoftext|>  x", "hello\t\tworld  \n  again\n\nend \n", "\n\n\n", "\t", "a  b", " a", "a "]
+    assert counts.count(odd) == [len(lib.encode(x, add_special_tokens=False).ids) for x in odd]
+    assert sum(counts.plan(x) is not None for x in odd) > 1500
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 101, 400)

@@ -20,9 +20,10 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, read, texts
+from .common import Memo, map_texts, read, texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Most chunks, and words, in each of the two generations that a Python worker keeps.
@@ -139,11 +140,11 @@ class TrieBpe:
             node[end + word[-1]] = word
         fits, follows, width, backwards = self.fits, self.follows, self.width, self.backwards
         last = [0] * (1 + max(map(len, words), default=0))  # last[d]: last token of the current prefix of d symbols
-        walk = [("", iter(root.items()))]
+        path: list[str] = []  # symbols of the current prefix; it grows and shrinks with the walk, so a long word is held once
+        walk = [iter(root.items())]
         while walk:
-            prefix, nodes = walk[-1]
-            for symbol, below in nodes:
-                node, k = backwards.get(symbol), len(prefix)
+            for symbol, below in walk[-1]:
+                node, k = backwards.get(symbol), len(path)
                 found = []
                 while node is not None:
                     if "" in node:
@@ -151,7 +152,7 @@ class TrieBpe:
                     if not k:
                         break
                     k -= 1
-                    node = node.get(prefix[k])
+                    node = node.get(path[k])
                 for k, token in reversed(found):
                     if not k:
                         break
@@ -159,22 +160,22 @@ class TrieBpe:
                     if follows(last[k], token) if fit is None else fit:
                         break
                 else:
-                    raise ValueError(f"no token ends {prefix + symbol!r}")
-                done = len(symbol) > 1
-                path = below if done else prefix + symbol
-                depth = len(path)
-                if not done:
-                    last[depth] = token
-                    walk.append((path, iter(below.items())))
+                    raise ValueError(f"no token ends {''.join(path) + symbol!r}")
+                if len(symbol) == 1:
+                    path.append(symbol)
+                    last[len(path)] = token
+                    walk.append(iter(below.items()))
                     break
                 out = [token]
-                depth -= width[token]
+                depth = len(path) + 1 - width[token]
                 while depth:
                     out.append(last[depth])
                     depth -= width[last[depth]]
                 yield below, tuple(out[::-1])
             else:
                 walk.pop()
+                if path:
+                    path.pop()
 
     @staticmethod
     def plain(chunk: str) -> list[str] | None:
@@ -241,14 +242,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         bpe = coder(path)
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_DOCS):
-                block = batch.iloc[at : at + BLOCK_DOCS]
-                yield pd.DataFrame({"doc_id": block["doc_id"], "ids": list(bpe.encode(block["text"].tolist()))})
+        return lambda block: [pa.array(list(bpe.encode(block)), pa.list_(pa.int32()))]
 
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_texts(texts(docs, id_col, text_col), make, "ids array<int>", BLOCK_DOCS)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -271,27 +269,25 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         bpe = coder(path)
         number, words = {i: str(i) for i in bpe.text}, bpe.text
         said = bpe.said
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_DOCS):
-                block = batch.iloc[at : at + BLOCK_DOCS]
-                cut = [chunks_of(t) for t in block["text"]]
-                new = said.missing({c for parts in cut for c in parts})
-                said.now.update((c, (" ".join([number[i] for i in ids]), " ".join([words[i] for i in ids]))) for c, ids in bpe.learn(new))
-                known = said.now
-                rows = []
-                for parts in cut:
-                    pairs = [known[c] for c in parts]
-                    ids, text = " ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
-                    rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-                out.insert(0, "doc_id", block["doc_id"].to_numpy())
-                yield out
-
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+        def run(block: list[str]) -> list:
+            cut = [chunks_of(t) for t in block]
+            new = said.missing(set().union(*cut))
+            said.now.update((c, (" ".join([number[i] for i in ids]), " ".join([words[i] for i in ids]))) for c, ids in bpe.learn(new))
+            known, rows = said.now.__getitem__, []
+            for parts in cut:
+                pairs = [*map(known, parts)]
+                ids, text = " ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
+                rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+
+        return run
+
+    return map_texts(texts(docs, id_col, text_col), make, "n_tokens long, ids_sha256 string, decoded_sha256 string", BLOCK_DOCS)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -74,11 +76,26 @@ def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]
             at.getFileSystem(conf).delete(at, True)
 
 
+#: Bytes of text that a task turns into Python strings at once, unless one text alone is longer.
+BLOCK_BYTES = 1 << 22
+
+
+def blocks(batch: pa.RecordBatch, rows: int = 500, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows and BLOCK_BYTES of text; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + BLOCK_BYTES, side="right"))), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], list]], schema: str, block: int = 500) -> DataFrame:
     """The columns of ``rows`` but ``text``, unchanged, and those of ``schema``, computed from ``text`` in Arrow batches.
 
-    make() is called once per task and gives a function from at most ``block`` texts
-    to a list of columns.  The other columns never become pandas values, so that null
+    make() is called once per task and gives a function from at most ``block`` texts,
+    of BLOCK_BYTES together, to a list of columns.  The other columns never become pandas values, so that null
     ids and ids above 2**53 stay what they are.
     """
     new = StructType.fromDDL(schema)
@@ -88,8 +105,7 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], list]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
+            for part in blocks(batch, block):
                 columns = work(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[*rest, *new.names])
 

@@ -13,27 +13,29 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .bpe import MARKS, TrieBpe, chunks_of
-from .common import Memo, read, texts
+from .common import Memo, blocks, read, texts
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
 END_ID = 1
 #: Most words in each generation of a Python worker's memory; documents handled at once.
-CACHE = 800_000
+CACHE = 400_000
 BLOCK_DOCS = 500
 #: Pieces that one task packs together; the next such block starts new windows.
 BLOCK_PIECES = 500_000
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class CapacityTree:
@@ -149,6 +151,35 @@ class IdBytes:
             yield b"".join(map(known, parts))
 
 
+class _Pieces:
+    """Pieces of documents in arrays: the document's place, start, length, crc32 and the document's tokens."""
+
+    def __init__(self) -> None:
+        self.doc, self.start, self.length, self.crc, self.tokens = (array("q") for _ in range(5))
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def cut(self, doc: int, raw: bytes, window: int) -> None:
+        """Full windows first, then what is left."""
+        n, view = len(raw) // 4, memoryview(raw)
+        for start in range(0, n, window):
+            piece = view[4 * start : 4 * (start + window)]
+            self.doc.append(doc)
+            self.start.append(start)
+            self.length.append(len(piece) // 4)
+            self.crc.append(zlib.crc32(piece))
+            self.tokens.append(n)
+
+    def packed(self, docs: list[pa.Array], window: int, first: int) -> tuple[Iterator[pa.RecordBatch], int]:
+        """Record batches of these pieces in sequences from ``first`` on, and the number of sequences."""
+        columns = [np.frombuffer(x, np.int64) for x in (self.start, self.length, self.crc, self.tokens)]
+        sequence, offset, n = best_fit(columns[1], window)
+        ids = pa.concat_arrays(docs).take(pa.array(np.frombuffer(self.doc, np.int64)))
+        whole = pa.RecordBatch.from_arrays([ids, *map(pa.array, columns), pa.array(sequence + first), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return (whole.slice(at, 100_000) for at in range(0, len(self), 100_000)), n
+
+
 _encoders: dict[str, IdBytes] = {}
 
 
@@ -168,40 +199,29 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     path = path or public_tokenizers.path(VOCABULARY)
     end = np.array([end_id], dtype="<u4").tobytes()
+    rows = texts(docs, id_col, text_col).withColumn("part", F.spark_partition_id())
+    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *StructType.fromDDL(PIECE)])
 
-    def pieces_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path)
+        docs_: list[pa.Array] = []
+        held = _Pieces()
+        seen = first = part = 0
         for batch in batches:
-            part = int(batch["part"].iloc[0]) if len(batch) else 0
-            for at in range(0, len(batch), BLOCK_DOCS):
-                block = batch.iloc[at : at + BLOCK_DOCS]
-                rows = []
-                for doc, raw in zip(block["doc_id"].tolist(), ids_of.encode(block["text"].tolist()), strict=True):
-                    raw, n = raw + end, len(raw) // 4 + 1
-                    for start in range(0, n, window):
-                        piece = raw[4 * start : 4 * (start + window)]
-                        rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n))
-                yield part, rows
-
-    def packed(rows: list, part: int, first: int) -> tuple[pd.DataFrame, int]:
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        sequence, out["offset"], n = best_fit(out["length"].to_numpy(np.int64), window)
-        out.insert(5, "sequence_id", sequence + (part << 33) + first)
-        return out, first + n
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = []
-        first = part = 0
-        for part, rows in pieces_of(batches):
-            held += rows
-            if len(held) >= BLOCK_PIECES:
-                out, first = packed(held, part, first)
-                yield out
-                held = []
-        if held:
-            yield packed(held, part, first)[0]
-
-    return texts(docs, id_col, text_col).withColumn("part", F.spark_partition_id()).mapInPandas(run, SCHEMA)
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            for block in blocks(batch, BLOCK_DOCS):
+                docs_.append(block.column("doc_id"))
+                for raw in ids_of.encode(block.column("text").to_pylist()):
+                    held.cut(seen, raw + end, window)
+                    seen += 1
+                if len(held) >= BLOCK_PIECES:
+                    out, n = held.packed(docs_, window, (part << 33) + first)
+                    yield from out
+                    docs_, held, seen, first = [], _Pieces(), 0, first + n
+        if len(held):
+            yield from held.packed(docs_, window, (part << 33) + first)[0]
+
+    return rows.mapInArrow(run, schema)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

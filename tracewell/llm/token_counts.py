@@ -7,21 +7,22 @@ rest once per worker while the bounded memo holds it.
 
 A byte-level vocabulary never joins a token across a single space or line feed
 between two visible characters, so such texts are counted word by word.  Any
-other text (runs of white space, tabs, white space at its ends) is counted whole
-by the library.
+other run of white space is counted by the library, with the words at both its
+sides and nothing else: a token may cross white space only from a word's end into
+the run, or from its last space into the word after it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, read, texts
+from .common import Memo, map_texts, read, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Most merged words in each generation of a Python worker's memory; documents handled at once.
@@ -30,6 +31,12 @@ BLOCK_DOCS = 500
 LIMIT = 1024
 
 
+#: White space that is not a single space or line feed between two other characters.
+ODD_SPACE = re.compile(r"\s\s+|[^\S \n]|\A\s|\s\Z")
+#: Characters that Python takes for white space and the vocabulary's pattern does not.
+NOT_SPACE = re.compile("[\x1c-\x1f]")
+
+
 class TokenCounter:
     """Counts of one byte-level BPE vocabulary (a tokenizers .json file)."""
 
@@ -51,28 +58,51 @@ class TokenCounter:
         words = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False).word_ids
         return np.bincount(np.array(words, dtype=np.int64), minlength=len(pieces))
 
+    @staticmethod
+    def plan(text: str) -> tuple[int, list[list[str]]] | None:
+        """Line feeds that count as one token each, and the pieces to be counted on their own; None where only the library can tell.
+
+        After a space, a word takes the space along; at a line's start it has none.
+        Of a longer run, all but the last character is a piece, unless nothing follows.
+        """
+        words = text.split()
+        gaps = text.count(" ") + text.count("\n")
+        cut = lambda part: [line.replace(" ", "\n ").split("\n") for line in part.split("\n")]
+        if len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(text):
+            lines = cut(text)
+            return len(lines) - 1, lines
+        if NOT_SPACE.search(text) or "<|" in text:
+            return None
+        feeds, pieces, at, space = 0, [], 0, ""
+        for run in ODD_SPACE.finditer(text):
+            if run.start() > at:
+                lines = cut(text[at : run.start()])
+                lines[0][0] = space + lines[0][0]
+                feeds, space = feeds + len(lines) - 1, ""
+                pieces += lines
+            white, at = run.group(), run.end()
+            if at == len(text):
+                pieces.append([white])
+            else:
+                space = " " if white[-1] == " " else ""
+                pieces.append([x for x in (white[:-1], "" if space else white[-1]) if x])
+        if at < len(text):
+            lines = cut(text[at:])
+            lines[0][0] = space + lines[0][0]
+            feeds += len(lines) - 1
+            pieces += lines
+        return feeds, pieces
+
     def count(self, block: list[str]) -> list[int]:
         """Token counts of texts."""
-        plans: list[list[list[str]] | None] = []
-        need: set[str] = set()
-        for text in block:
-            words = text.split()
-            gaps = text.count(" ") + text.count("\n")
-            if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(text):
-                plans.append(None)
-                continue
-            # After a space, a word takes the space along; at a line's start it has none.
-            lines = [line.replace(" ", "\n ").split("\n") for line in text.split("\n")]
-            need.update(*lines)
-            plans.append(lines)
+        plans = [self.plan(text) for text in block]
+        need = set().union(*[line for p in plans if p for line in p[1]])
         new = list(self.merged.missing(need - self.whole))
         self.merged.now.update(zip(new, self.count_pieces(new).tolist(), strict=True))
         whole, merged = self.whole, self.merged.now
         return [
-            len(self.library.encode(text, add_special_tokens=False).ids)
-            if lines is None
-            else len(lines) - 1 + sum([1 if w in whole else merged[w] for line in lines for w in line])
-            for text, lines in zip(block, plans, strict=True)
+            len(self.library.encode(text, add_special_tokens=False).ids) if plan is None else plan[0] + sum([1 if w in whole else merged[w] for line in plan[1] for w in line])
+            for text, plan in zip(block, plans, strict=True)
         ]
 
 
@@ -93,15 +123,12 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         counts = counter(path)
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_DOCS):
-                block = batch.iloc[at : at + BLOCK_DOCS]
-                yield pd.DataFrame({"doc_id": block["doc_id"], "n_bytes": block["n_bytes"], "n_tokens": counts.count(block["text"].tolist())})
+        return lambda block: [pa.array(counts.count(block), pa.int64())]
 
     rows = texts(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    counted = rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = map_texts(rows, make, "n_tokens long", BLOCK_DOCS)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

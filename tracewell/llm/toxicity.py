@@ -16,11 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, read, texts
+from .common import Memo, blocks, map_texts, read, texts
 
 BUCKETS = 1 << 17
 DIM = 4
@@ -197,30 +197,31 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = train(rows, labels, sample)
     held = docs.sparkSession.sparkContext.broadcast((model.scores, model.bias))  # BUCKETS floats
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         mine = Model(*held.value)
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_DOCS):
-                block = batch.iloc[at : at + BLOCK_DOCS]
-                yield pd.DataFrame({"doc_id": block["doc_id"], "score": mine.score(block["text"].tolist())})
+        return lambda block: [pa.array(mine.score(block), pa.float64())]
 
-    scored = rows.mapInPandas(run, "doc_id long, score double")
+    scored = map_texts(rows, make, "score double", BLOCK_DOCS)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, train_docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` not predicted toxic, with all their columns; the model is fitted on ``train_docs``."""
+    """Rows of ``docs`` not predicted toxic, with all their columns; the model is fitted on ``train_docs``.
+
+    A null text counts as empty.  Rows keep their columns as they are, names that
+    operators use elsewhere included.
+    """
     model = train(texts(train_docs), labels)
     held = docs.sparkSession.sparkContext.broadcast((model.scores, model.bias))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Model(*held.value)
         for batch in batches:
-            yield pd.Series([x for at in range(0, len(batch), BLOCK_DOCS) for x in mine.score(batch.iloc[at : at + BLOCK_DOCS].tolist())], dtype=float)
+            for part in blocks(batch, BLOCK_DOCS):
+                yield part.filter(pa.array(np.array(mine.score([t or "" for t in part.column("text").to_pylist()])) < CUT))
 
-    score = F.pandas_udf(run, "double")
-    return docs.where(score(F.coalesce(F.col("text"), F.lit(""))) < CUT)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
