@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewell.llm import bpe, common, embedding_dedup, exact_dedup, near_dup, packing, quality, secrets, token_counts, toxicity, url_filter
+from tracewell.llm import bpe, common, embedding_dedup, exact_dedup, near_dup, packing, secrets, token_counts, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node long, blob string"
 ODD = [
@@ -392,23 +392,6 @@ def test_toxicity_generalises(spark, none):
     assert toxicity.score_documents(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark, docs, none, sf):
-    trusted = common.read(spark, sf, "documents").select("lang", "text")
-    counts = quality.count_ngrams(trusted)
-    want = Counter()
-    for r in trusted.collect():
-        want.update((r.lang, int(g)) for g in quality.ngrams(r.text))
-    assert {(r.lang, r.gram): r.n for r in counts.collect()} == want
-    table = quality.kneser_ney(counts).toPandas()
-    for _, part in table.groupby("lang"):
-        p = np.exp(quality.dense(part).astype(float)).reshape(-1, 32).sum(1)
-        assert np.allclose(p, 1, atol=1e-3)
-    got = quality.score_documents(docs, docs.where("doc_id > 2")).collect()
-    assert len(got) == docs.count() and all(r.perplexity > 0 for r in got)
-    assert all(r.kept for r in quality.score_documents(docs, docs.limit(0)).collect())
-    assert quality.score_documents(none, none).count() == 0
-
-
 def test_url_filter(spark):
     entries = spark.createDataFrame([("b.com", "block", 10), ("b.com", "remove", 20), ("b.com", "block", 30), ("a.b.com", "allow", 12), (None, "block", 1), ("com", "block", None), ("b.com", "allow", 10)], "key string, action string, listed_at int")
     urls = [(1, "http://x.b.com/p", 9), (2, "http://x.b.com/p", 10), (3, "https://u@A.B.com:80/?q", 15), (4, "http://b.com", 25), (5, "http://b.com#x", 31), (6, None, 15), (7, "nonsense", 15), (8, "http://a.b.com", None), (3, "https://u@A.B.com:80/?q", 15)]

@@ -1,348 +1,289 @@
-"""Operator 7: quality by an interpolated modified Kneser-Ney model of word n-grams.
+"""Operator 7: quality by an interpolated modified Kneser-Ney model of character n-grams.
 
 The model is trained on trusted text (rows labelled quality 1), per language and
 over all languages, which is the lowest level that every language's model backs
-off to.  Words are counted in tasks, summed by Spark, and joined order by order
-on 64-bit hashes of model and words; probabilities are found once per distinct
-n-gram and joined to the n-grams of each document.  No table of the model passes
-through the driver or is broadcast; only a row per model and order is.
-
-Documents fall into two halves by their text, and each half is scored by models
-of the other half's trusted text.  So no trusted document is scored by itself,
-and a document's perplexity may be held against a quantile of its language's
-trusted documents.
-
-``ngrams`` to ``dense`` are the model of character classes that came before;
-operator 7 does not use it.
+off to.  N-grams are of four characters of the whole alphabet, as they are, so text
+of any script can be judged.
+
+Trusted text is counted in tasks and summed by Spark; counts, continuations and
+contexts are tables keyed by model and n-gram, and probabilities come from joins
+of them, order by order, once per distinct n-gram.  Documents are dealt into blocks
+of bounded size.  Each block asks for its distinct n-grams, the shards of the table
+answer, and the answers come back to the block, which sums the log probabilities of
+each document.  So what is shuffled is the distinct n-grams of blocks, not the
+n-grams of documents, nothing of the model passes through the driver, and nothing
+is broadcast but a row per language, behind a check of their number.
+
+One in ten trusted documents, told by a hash of their text, is not trained on; of a
+language with less than a hundred, ten or the half, and one at least.  These give
+each language's mean and the quantile above which documents are rejected.
 """
 
 from __future__ import annotations
 
-import itertools
-import re
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import read, settle
+from .common import read, settle, shared_dir, tidy
 
 ORDER = 4
-CLASSES = 32
-SIZE = CLASSES**ORDER
-#: Share of a language's trusted documents that lie below the threshold.
+#: Share of a language's held-out trusted documents that lie below the threshold.
 QUANTILE = 0.99
-#: Words of average trusted text that every document is taken to have besides its own.
-PRIOR = 10
-WORD_ORDER = 3
-#: Words that a task turns into n-grams at once; a longer document is taken in such pieces.
-BLOCK_WORDS = 300_000
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-START = "\n"
+#: Characters of average trusted text that every document is taken to have besides its own.
+PRIOR = 60
+#: One in so many trusted documents is held out, and so many of a language that has less than the square of it.
+HELD = 10
+#: Characters of a block of documents, and of the pieces in which a task works on it.
+BLOCK_CHARS = 16_000_000
+PIECE_CHARS = 2_000_000
+#: Rows of a table with a row per language that may be broadcast; beyond it the join merges.
+FEW_ROWS = 10_000
+START = "\n" * (ORDER - 1)
+#: The model of all languages; those of languages begin with "=".
 ALL = "*"
-PIECE = 1 << 20
-
-SPACE, DIGIT, STOP, PAUSE, SYMBOL, CAPITAL, OTHER = 0, 27, 28, 29, 30, 31, 26
-
-
-def _classes() -> np.ndarray:
-    table = np.full(0x250, OTHER, np.uint8)
-    for code in range(0x250):
-        c = chr(code)
-        base = c.lower()[0]
-        if "a" <= base <= "z":
-            table[code] = 1 + min(ord(base) - ord("a"), 24)
-        elif c.isspace() or code < 33:
-            table[code] = SPACE
-        elif c.isdigit():
-            table[code] = DIGIT
-        elif c in ".!?":
-            table[code] = STOP
-        elif c in ",;:'\"()-":
-            table[code] = PAUSE
-        elif not c.isalpha():
-            table[code] = SYMBOL
-    return table
-
-
-TABLE = _classes()
-UPPER = np.array([chr(c).isupper() for c in range(0x250)])
-ALPHA = np.array([chr(c).isalpha() for c in range(0x250)])
-
-
-def codes(text: str) -> np.ndarray:
-    """Class of every character, after a space; runs of the same white space or mark stay as they are."""
-    raw = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.minimum(raw, 0x24F)
-    out = TABLE[c].copy()
-    out[raw >= 0x250] = OTHER
-    shout = np.zeros(len(c), bool)
-    shout[1:] = UPPER[c[1:]] & ALPHA[c[:-1]]
-    out[shout] = CAPITAL
-    return out
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Code of the four classes that end at each character from the fourth on; whole text."""
-    c = codes(text).astype(np.int32)
-    if len(c) < ORDER:
-        return np.zeros(0, np.int32)
-    return ((c[:-3] * CLASSES + c[1:-2]) * CLASSES + c[2:-1]) * CLASSES + c[3:]
+def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """(text's place, number of the n-gram) of each character and the distinct n-grams, piece by piece; whole texts.
 
+    A character's n-gram is itself and the three before it; START comes before a text.
+    """
+    parts: list[str] = []
+    place: list[int] = []
+    size: list[int] = []
+    total = 0
+
+    def work() -> tuple[np.ndarray, np.ndarray, list[str]]:
+        joined = "".join(parts)
+        n = np.array(size)
+        first = np.cumsum(n + ORDER - 1) - n  # where each part's own characters begin
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        gram = pd.factorize(code[at])[0].astype(np.int64)
+        for back in range(1, ORDER):
+            gram = pd.factorize(gram * 0x110000 + code[at - back])[0].astype(np.int64)
+        one = np.zeros(gram.max() + 1, np.int64)
+        one[gram[::-1]] = at[::-1]
+        return np.repeat(np.array(place), n), gram, [joined[i - ORDER + 1 : i + 1] for i in one.tolist()]
 
-def count_ngrams(trusted: DataFrame) -> DataFrame:
-    """(lang, gram, n) over the rows (lang, text): tasks send their sums, Spark adds them up."""
+    for i, text in enumerate(texts):
+        for start in range(0, len(text), PIECE_CHARS):
+            parts += [text[start - ORDER + 1 : start] if start else START, text[start : start + PIECE_CHARS]]
+            place.append(i)
+            size.append(len(parts[-1]))
+            total += size[-1]
+            if total >= PIECE_CHARS:
+                yield work()
+                parts, place, size, total = [], [], [], 0
+    if size:
+        yield work()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, np.ndarray] = {}
 
-        def drain() -> Iterator[pd.DataFrame]:
-            for lang, n in held.items():
-                gram = np.flatnonzero(n)
-                yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int32), "n": n[gram]})
-            held.clear()
+def _blocked(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, ...) with block, the same for neighbours of one partition with about BLOCK_CHARS characters together."""
+    out = StructType([*rows.schema, StructField("block", LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto = 0
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                if lang not in held and len(held) >= 8:
-                    yield from drain()
-                held.setdefault(lang, np.zeros(SIZE, np.int64))
-                for at in range(0, max(1, len(text)), PIECE):  # neighbouring pieces share three characters
-                    g = ngrams(text[max(0, at - ORDER + 1) : at + PIECE] if at else text[:PIECE])
-                    held[lang] += np.bincount(g[1 if at else 0 :], minlength=SIZE) if len(g) > 50_000 else 0
-                    if len(g) <= 50_000:
-                        np.add.at(held[lang], g[1 if at else 0 :], 1)
-        yield from drain()
-
-    return trusted.mapInPandas(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, order, gram, value): log-free tables of the interpolated model.
-
-    For order k, rows with gram in 32**k hold the discounted share max(c - D(c), 0) / c(context),
-    rows with order -k hold the back-off weight of context ``gram``.  Counts of the
-    highest order are occurrences, those below are continuation counts.
+            if not batch.num_rows:
+                continue
+            ends = upto + np.cumsum(pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            upto = int(ends[-1])
+            block = (batch.column("part")[0].as_py() << 24) + ends // BLOCK_CHARS
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+@contextlib.contextmanager
+def _in_buckets(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` written into the shared folder as a table in buckets by ``key``, so that it meets others by that key without a shuffle; dropped at the end."""
+    spark = df.sparkSession
+    name = f"tracewell_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tracewell/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A written table with a row per language: broadcast while it is known to be small, else merged."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df.hint("merge")
+
+
+def count_trusted(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(name, gram, n) over the texts of ``blocks`` (block, row, lang, text) that ``trusted`` (block, row) names."""
+
+    def count(docs: pa.Table, known: pa.Table) -> pa.Table:
+        rows = docs.filter(pc.is_in(docs.column("row"), known.column("row").combine_chunks()))
+        out = []
+        for lang in pc.unique(rows.column("lang")).to_pylist():
+            sums: dict[str, int] = {}
+            for _, gram, names in pieces(rows.filter(pc.equal(rows.column("lang"), lang)).column("text").to_pylist()):
+                for g, n in zip(names, np.bincount(gram).tolist(), strict=True):
+                    sums[g] = sums.get(g, 0) + n
+            out.append(pa.table({"name": pa.array(["=" + lang] * len(sums)), "gram": pa.array(list(sums), pa.string()), "n": pa.array(list(sums.values()), pa.int64())}))
+        return pa.concat_tables(out) if out else pa.table({"name": pa.array([], pa.string()), "gram": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+
+    rows = blocks.select("block", "row", "lang", "text").groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(count, "name string, gram string, n long")
+    return rows.groupBy("name", "gram").agg(F.sum("n").alias("n"))
+
+
+def tables(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Of each order: (name, gram, own), the discounted count, and (name, context, total, mass), what contexts have and give away.
+
+    counts: (name, gram, n) of order ORDER.  Counts of the highest order are
+    occurrences, those below tell before how many characters an n-gram stands.
     """
-    out = []
-    level = settle(counts.where("n > 0"), "kn-counts")
+    out, level = {}, settle(counts, f"gram-counts-{ORDER}")
     for k in range(ORDER, 0, -1):
-        of = level.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)])
+        of = level.groupBy("name").agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        ratio = lambda i: F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(i)), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))))
-        discounts = of.select("lang", *[F.coalesce(F.when(F.col("n1") + F.col("n2") > 0, ratio(i)), F.lit(0.5)).alias(f"d{i}") for i in (1, 2, 3)])
+        # Of short texts a ratio may be missing or at its end; a little mass always goes to what was not seen.
+        ratio = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.5)
+        discounts = settle(of.select("name", *[ratio(i).alias(f"d{i}") for i in (1, 2, 3)]), f"gram-discounts-{k}")
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        sharded = level.join(F.broadcast(discounts), "lang").withColumn("context", F.floor(F.col("gram") / CLASSES).cast("int")).withColumn("cut", F.least(cut, F.col("n").cast("double")))
-        by_context = sharded.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
-        share = sharded.join(by_context, ["lang", "context"]).select("lang", F.lit(k).alias("order"), "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value"))
-        out += [share, by_context.select("lang", F.lit(-k).alias("order"), F.col("context").alias("gram"), (F.col("mass") / F.col("total")).alias("value"))]
-        level = settle(level.groupBy("lang", (F.col("gram") % CLASSES ** (k - 1)).cast("int").alias("gram")).agg(F.count("*").alias("n")), "kn-continuations") if k > 1 else None
-    table = out[0]
-    for part in out[1:]:
-        table = table.unionByName(part)
-    return table
-
-
-def dense(table: pd.DataFrame) -> np.ndarray:
-    """Log probability of each of the 32**4 n-grams of one language, interpolated down to the even share."""
-    p = np.full(1, 1.0 / CLASSES)
-    for k in range(1, ORDER + 1):
-        share, rest = np.zeros(CLASSES**k), np.ones(CLASSES ** (k - 1))
-        seen = table[table["order"] == k]
-        share[seen["gram"].to_numpy()] = seen["value"].to_numpy()
-        back = table[table["order"] == -k]
-        rest[back["gram"].to_numpy()] = back["value"].to_numpy()
-        lower = np.tile(p, len(share) // len(p))  # the n-gram without its first character
-        p = share + np.repeat(rest, CLASSES) * lower
-    return np.log(p).astype(np.float32)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _hashes(words: list[str]) -> np.ndarray:
-    code, distinct = pd.factorize(np.array(words, dtype=object))
-    return pd.util.hash_array(distinct, categorize=False)[code]
-
-
-def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(document's place, hashes of each word, the one before and the one before that), block by block; whole texts."""
-    place, words, n = [], [], 0
-
-    def block() -> tuple[np.ndarray, list[np.ndarray]]:
-        h = _hashes(list(itertools.chain.from_iterable(words)))
-        keep = np.concatenate([np.r_[[False] * 2, [True] * (len(w) - 2)] for w in words])
-        now = np.flatnonzero(keep)
-        return np.repeat(place, [len(w) - 2 for w in words]), [h[now], h[now - 1], h[now - 2]]
-
-    for i, text in enumerate(texts):
-        found, last = (m.group() for m in TOKEN.finditer(text)), [START, START]
-        while piece := list(itertools.islice(found, BLOCK_WORDS)):
-            place.append(i)
-            words.append(last + piece)
-            last = words[-1][-2:]
-            n += len(piece)
-            if n >= BLOCK_WORDS:
-                yield block()
-                place, words, n = [], [], 0
-    if words:
-        yield block()
-
-
-def _keys(h: list[np.ndarray], seed: np.ndarray) -> dict[str, np.ndarray]:
-    """g3, g2, g1: n-grams that end at each word; c3, c2: contexts.  Suffixes and contexts of n-grams are n-grams."""
-    w, p, q = h
-    pair = lambda g, before: _mix(g * np.uint64(0x9E3779B97F4A7C15) ^ _mix(before + np.uint64(1)))
-    g1, c2 = _mix(w ^ seed), _mix(p ^ seed)
-    g2, c3 = pair(g1, p), pair(c2, q)
-    return {"g3": pair(g2, q), "g2": g2, "g1": g1, "c3": c3, "c2": c2}
-
-
-KEYS = ("g3", "g2", "g1", "c3", "c2")
-KEY_TYPES = ", ".join(f"{k} long" for k in KEYS)
-
-
-def _model(name: str, half: int) -> str:
-    """The model of one half's trusted text."""
-    return f"{name}\n{half}"
-
-
-def count_words(trusted: DataFrame) -> DataFrame:
-    """(g3, g2, g1, c3, c2, model, n) over trusted rows (lang, half, text): each text counts in its language's model and in that of all."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at, h in _blocks(batch["text"].tolist()):
-                for name in (batch["lang"].tolist(), [ALL] * len(batch)):
-                    model = np.array([_model(*x) for x in zip(name, batch["half"], strict=True)], dtype=object)
-                    seed = _hashes(model.tolist())[at]
-                    keys = _keys(h, seed)
-                    _, first, n = np.unique(keys["g3"], return_index=True, return_counts=True)
-                    yield pd.DataFrame({k: keys[k][first].view(np.int64) for k in KEYS} | {"model": seed[first].view(np.int64), "n": n})
-
-    rows = trusted.select("lang", "half", "text").mapInPandas(run, f"{KEY_TYPES}, model long, n long")
-    same = [F.first(k).alias(k) for k in (*KEYS[1:], "model")]
-    return rows.groupBy("g3").agg(*same, F.sum("n").alias("n"))
-
-
-def _discounted(level: DataFrame) -> DataFrame:
-    """``level`` (model, n) with cut, what modified Kneser-Ney takes from each count."""
-    of = level.groupBy("model").agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    # Of short texts a ratio may be missing or at its end; a little mass always goes to what was not seen.
-    ratio = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.5)
-    discounts = settle(of.select("model", *[ratio(i).alias(f"d{i}") for i in (1, 2, 3)]), "word-discounts")
-    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    return level.join(F.broadcast(discounts), "model").withColumn("cut", cut).drop("d1", "d2", "d3")  # a row per model
+        cuts = level.join(few(discounts), "name").select("name", "gram", "n", cut.alias("cut"))
+        contexts = cuts.groupBy("name", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"), F.count("*").alias("types"))
+        out[k] = (settle(cuts.select("name", "gram", (F.col("n") - F.col("cut")).alias("own")), f"gram-own-{k}"), settle(contexts, f"gram-contexts-{k}"))
+        if k > 1:
+            level = settle(level.groupBy("name", F.substring("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n")), f"gram-counts-{k - 1}")
+    return out
 
 
 def probabilities(counts: DataFrame, needed: DataFrame) -> DataFrame:
-    """(g3, log_p) of the n-grams ``needed`` (g3, g2, g1, c3, c2, a1, model, base) under the models of ``counts``.
+    """(name, gram, p) of the n-grams ``needed`` (name, gram) under the models of ``counts``; ALL must be among them.
 
-    a1 is the word in the model of all languages, base that model's name.  Joins merge at every size: AQE splits the hot keys.
-    """
-    tables, level = {}, settle(counts, "word-counts-3")
-    for k in range(WORD_ORDER, 0, -1):
-        tables[k] = settle(_discounted(level), f"word-cuts-{k}")
-        if k > 1:
-            below = [f"g{i}" for i in range(k - 2, 0, -1)] + [f"c{i}" for i in range(k - 1, 1, -1)] + ["model"]
-            level = settle(level.groupBy(f"g{k - 1}").agg(*[F.first(c).alias(c) for c in below], F.count("*").alias("n")), f"word-counts-{k - 1}")
-    sums = lambda df, key: df.groupBy(key).agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"), F.count("*").alias("types"))
-    share = ((F.col("n") - F.col("cut")) / F.col("total")).alias("share")
-    one = settle(sums(tables[1], "model"), "word-models")  # a row per model
-    even = 1.0 / ((one.agg(F.max("types")).first()[0] or 0) + 1)
-    words = settle(tables[1].join(F.broadcast(one), "model").select("g1", share), "word-shares")
-    rest = one.select("model", (F.col("mass") / F.col("total")).alias("rest"))
-    of_all = rest.select(F.col("model").alias("base"), F.col("rest").alias("rest_all"))
-
-    need = settle(needed, "word-needed")
-    single = need.select("g1", "a1", "model", "base").distinct()
-    p = single.join(words.hint("merge"), "g1", "left").join(words.select(F.col("g1").alias("a1"), F.col("share").alias("share_all")).hint("merge"), "a1", "left")
-    p = p.join(F.broadcast(rest), "model", "left").join(F.broadcast(of_all), "base", "left")
-    over_all = F.coalesce("share_all", F.lit(0.0)) + F.coalesce("rest_all", F.lit(1.0)) * even
-    lower = F.when(F.col("model") == F.col("base"), over_all).otherwise(F.coalesce("share", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * over_all)
-    p = settle(p.select("g1", lower.alias("p")), "word-p-1")
-    for k in range(2, WORD_ORDER + 1):
-        seen = tables[k].select(f"g{k}", (F.col("n") - F.col("cut")).alias("own"))
-        context = settle(sums(tables[k], f"c{k}"), f"word-contexts-{k}")
-        want = need if k == WORD_ORDER else need.groupBy("g2").agg(F.first("g1").alias("g1"), F.first("c2").alias("c2"))
-        want = want.select(f"g{k}", f"g{k - 1}", f"c{k}").join(seen.hint("merge"), f"g{k}", "left")
-        want = want.join(context.hint("merge"), f"c{k}", "left").join(p.hint("merge"), f"g{k - 1}")
-        value = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("mass") * F.col("p")) / F.col("total"))
-        p = settle(want.select(f"g{k}", value.alias("p")), f"word-p-{k}")
-    return p.select("g3", F.log("p").alias("log_p"))
-
-
-def document_words(rows: DataFrame) -> DataFrame:
-    """(key, name, n, g3, ...) of rows (key, name, half, twice, text): n-grams of each document under the models of the other half.
-
-    Where twice is true, they come under the model of all languages besides.
+    The lowest order of a language goes on to that of all languages, and that to the
+    even share of its characters and one more.  Joins merge at every size.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            key, half, twice = batch["key"].to_numpy(), batch["half"].to_numpy(), batch["twice"].to_numpy(bool)
-            base = np.array([_model(ALL, 1 - x) for x in half], dtype=object)
-            for at, h in _blocks(batch["text"].tolist()):
-                over_all = _hashes(base.tolist())[at]
-                for name, keep in ((batch["name"].to_numpy(object), np.ones(len(at), bool)), (np.full(len(batch), ALL, object), twice[at])):
-                    if not keep.any():
-                        continue
-                    model = np.array([_model(*x) for x in zip(name, 1 - half, strict=True)], dtype=object)
-                    own, part = at[keep], [x[keep] for x in h]
-                    seed = _hashes(model.tolist())[own]
-                    keys = _keys(part, seed) | {"a1": _mix(part[0] ^ over_all[keep])}
-                    order = np.lexsort((keys["g3"], own))
-                    g, d = keys["g3"][order], own[order]
-                    start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])])
-                    first, n = order[start], np.diff(np.r_[start, len(g)])
-                    yield pd.DataFrame({k: v[first].view(np.int64) for k, v in keys.items()} | {"key": key[own[first]], "name": name[own[first]], "model": seed[first].view(np.int64), "base": over_all[keep][first].view(np.int64), "n": n})
-
-    return rows.select("key", "name", "half", "twice", "text").mapInPandas(run, f"{KEY_TYPES}, a1 long, key long, name string, model long, base long, n long")
+    found, p = tables(counts), None
+    needs = {ORDER: settle(needed.distinct(), f"gram-needed-{ORDER}")}
+    for k in range(ORDER - 1, 0, -1):
+        needs[k] = settle(needs[k + 1].select("name", F.substring("gram", 2, k).alias("gram")).distinct(), f"gram-needed-{k}")
+    own, one = found[1]
+    rest = one.select("name", "total", "mass", (1.0 / (F.col("types") + 1)).alias("even"))
+    chars = needs[1].join(own.hint("merge"), ["name", "gram"], "left").join(few(rest), "name", "left")
+    in_all = own.where(F.col("name") == ALL).select("gram", F.col("own").alias("own_all"))
+    of_all = few(rest.where(F.col("name") == ALL).select(F.col("total").alias("total_all"), F.col("mass").alias("mass_all"), F.col("even").alias("even_all")))
+    chars = chars.join(in_all.hint("merge"), "gram", "left").join(of_all, how="left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base = (zero("own_all") + F.col("mass_all") * F.col("even_all")) / F.col("total_all")
+    p = F.when((F.col("name") == ALL) | F.col("total").isNull(), base).otherwise((zero("own") + F.col("mass") * base) / F.col("total"))
+    p = settle(chars.select("name", "gram", p.alias("p")), "gram-p-1")
+    for k in range(2, ORDER + 1):
+        own, context = found[k]
+        below = p.select("name", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        want = needs[k].withColumn("suffix", F.substring("gram", 2, k - 1)).withColumn("context", F.substring("gram", 1, k - 1))
+        want = want.join(own.hint("merge"), ["name", "gram"], "left").join(context.hint("merge"), ["name", "context"], "left").join(below.hint("merge"), ["name", "suffix"])
+        value = F.when(F.col("total").isNull(), F.col("lower")).otherwise((zero("own") + F.col("mass") * F.col("lower")) / F.col("total"))
+        p = settle(want.select("name", "gram", value.alias("p")), f"gram-p-{k}")
+    return p
+
+
+def _models(table: pa.Table) -> Iterator[tuple[str, pa.Table]]:
+    """(name, rows) of a block: each row under its own model, and the held-out ones under that of all languages too."""
+    for name in pc.unique(table.column("name")).to_pylist():
+        yield name, table.filter(pc.equal(table.column("name"), name))
+    both = table.filter(pc.and_(table.column("held"), pc.not_equal(table.column("name"), ALL)))
+    if both.num_rows:
+        yield ALL, both
+
+
+def requests(blocks: DataFrame) -> DataFrame:
+    """(block, name, gram): the distinct n-grams of each block (block, name, held, text) and model."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        grams: dict[str, set[str]] = {}
+        for name, rows in _models(table):
+            for _, _, names in pieces(rows.column("text").to_pylist()):
+                grams.setdefault(name, set()).update(names)
+        block = table.column("block")[0].as_py()
+        out = [pa.table({"block": pa.array([block] * len(g), pa.int64()), "name": pa.array([name] * len(g)), "gram": pa.array(sorted(g), pa.string())}) for name, g in grams.items()]
+        return pa.concat_tables(out) if out else pa.table({"block": pa.array([], pa.int64()), "name": pa.array([], pa.string()), "gram": pa.array([], pa.string())})
+
+    return blocks.select("block", "name", "held", "text").groupBy("block").applyInArrow(ask, "block long, name string, gram string")
+
+
+def sums(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """(row, name, total, n_grams): summed log probability of each document of a block (block, row, name, held, text); answers: (block, name, gram, log_p)."""
+
+    def add(table: pa.Table, told: pa.Table) -> pa.Table:
+        out = [pa.table({"row": pa.array([], pa.int64()), "name": pa.array([], pa.string()), "total": pa.array([], pa.float64()), "n_grams": pa.array([], pa.int64())})]
+        for name, rows in _models(table):
+            mine = told.filter(pc.equal(told.column("name"), name))
+            known = dict(zip(mine.column("gram").to_pylist(), mine.column("log_p").to_pylist(), strict=True))
+            total, n = np.zeros(rows.num_rows), np.zeros(rows.num_rows, np.int64)
+            for place, gram, names in pieces(rows.column("text").to_pylist()):
+                value = np.fromiter(map(known.__getitem__, names), float, len(names))
+                total += np.bincount(place, value[gram], len(total))
+                n += np.bincount(place, minlength=len(n))
+            out.append(pa.table({"row": rows.column("row").combine_chunks(), "name": pa.array([name] * len(n)), "total": pa.array(total), "n_grams": pa.array(n)}))
+        return pa.concat_tables(out)
+
+    held = blocks.select("block", "row", "name", "held", "text")
+    return held.groupBy("block").cogroup(answers.select("block", "name", "gram", "log_p").groupBy("block")).applyInArrow(add, "row long, name string, total double, n_grams long")
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """One row per document: doc_id, lang, n_grams (words), perplexity, threshold, trusted, kept.
+    """One row per document: doc_id, lang, n_grams (characters), perplexity, threshold, trusted, kept.
 
     trusted: ids of trusted documents (doc_id).  Null texts count as empty and get
-    the perplexity of the average trusted text; null languages, and those without
-    trusted text, go by the model of all languages, whose mean and threshold come from
-    all trusted documents.  Repeated rows repeat; without any trusted text every
-    document is kept.
+    the perplexity of the average held-out trusted text.  Null languages, and those
+    with less than two trusted texts, go by the model of all
+    languages, whose mean and threshold come from all held-out trusted documents.
+    Repeated rows repeat; without any held-out trusted text every document is kept.
+    Other columns are ignored; no row gives no row.
     """
-    lang = F.coalesce(F.col(lang_col), F.lit("")).alias("lang")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang)
-    known = settle(trusted.select("doc_id").where("doc_id is not null").distinct(), "trusted-ids").withColumn("trusted", F.lit(True))
-    rows = rows.join(known.hint("merge"), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    rows = settle(rows.withColumn("key", F.monotonically_increasing_id()).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "quality-rows")
-    named = settle(rows.where(f"trusted and lang not in ('', '{ALL}')").select("lang").distinct(), "trusted-languages").withColumn("name", F.col("lang"))
-    rows = rows.join(F.broadcast(named), "lang", "left").withColumn("name", F.coalesce("name", F.lit(ALL)))  # a row per language
-    # The threshold over all languages is wanted only where a document goes by it.
-    stray = not rows.where(F.col("name") == ALL).isEmpty()
-    rows = rows.withColumn("twice", F.col("trusted") & (F.col("name") != ALL) & F.lit(stray))
-
-    found = document_words(rows)
-    needed = found.groupBy("g3").agg(*[F.first(c).alias(c) for c in ("g2", "g1", "c3", "c2", "a1", "model", "base")])
-    log_p = probabilities(count_words(rows.where("trusted")), needed)
-    sums = found.select("key", "name", "n", "g3").join(log_p.hint("merge"), "g3").groupBy("key", "name").agg(F.sum(F.col("n") * F.col("log_p")).alias("total"), F.sum("n").alias("n_grams"))
-    sums = settle(sums, "quality-sums")
-
-    about = rows.select("key", "doc_id", "lang", "trusted", "name", F.lit(True).alias("own"))
-    about = about.unionByName(rows.where("twice").select("key", "doc_id", "lang", "trusted", F.lit(ALL).alias("name"), F.lit(False).alias("own")))
-    scored = about.join(sums.hint("merge"), ["key", "name"], "left").na.fill({"total": 0.0, "n_grams": 0})
-    scored = settle(scored, "quality-scores")
-    mean = settle(scored.where("trusted and n_grams > 0").groupBy("name").agg((F.sum("total") / F.sum("n_grams")).alias("mean")), "quality-means")
-    smooth = F.exp(-(F.col("total") + PRIOR * F.coalesce("mean", F.lit(0.0))) / (F.col("n_grams") + PRIOR))
-    judged = scored.join(F.broadcast(mean), "name", "left").withColumn("perplexity", smooth)  # a row per language
-    limit = settle(judged.where("trusted").groupBy("name").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")), "quality-limits")
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return judged.where("own").join(F.broadcast(limit), "name", "left").select("doc_id", "lang", "n_grams", "perplexity", "threshold", "trusted", kept.alias("kept"))
+    text, lang = F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text, lang, F.monotonically_increasing_id().alias("row"), F.spark_partition_id().cast("long").alias("part"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("held", F.pmod("hash", F.lit(HELD)) == 0)
+    with tidy(docs.sparkSession) as keep, _in_buckets(_blocked(rows).drop("part"), "block") as blocks:
+        known = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
+        about = blocks.select("block", "row", "doc_id", "lang", "hash", "held").join(known.hint("merge"), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+        about = settle(about, "quality-labels")
+        share = F.greatest(F.lit(1.0 / HELD), F.least(F.lit(0.5), HELD / F.count("*")))
+        least = settle(about.where("trusted").groupBy("lang").agg(F.min("hash").alias("least"), share.alias("share")), "quality-least")
+        # The shares are nested: who is held out of a tenth is held out of any share.
+        place = (F.floor(F.pmod(F.col("hash"), F.lit(1000 * HELD)) / HELD) + 1000 * F.pmod("hash", F.lit(HELD))) / (1000 * HELD)
+        out = F.col("held") | F.coalesce((place < F.col("share")) | (F.col("hash") == F.col("least")), F.lit(False))
+        about = settle(about.join(few(least), "lang", "left").withColumn("out", out).drop("hash", "least", "share"), "quality-rows")
+        own = settle(count_trusted(blocks, about.where("trusted and not out").select("block", "row")), "gram-counts")
+        counts = own.unionByName(own.groupBy(F.lit(ALL).alias("name"), "gram").agg(F.sum("n").alias("n")))
+        # A language has a model of its own where it has trusted text to train on; one text is always held out.
+        trained = about.where("trusted and lang <> ''").groupBy("lang").agg(F.bool_or(~F.col("out")).alias("some")).where("some")
+        named = settle(trained.select("lang", F.concat(F.lit("="), "lang").alias("name")), "quality-languages")
+        name = lambda df: df.join(few(named), "lang", "left").withColumn("name", F.coalesce("name", F.lit(ALL)))
+        asked = settle(requests(name(blocks)), "gram-requests")
+        p = probabilities(counts, asked.select("name", "gram"))
+        # Without trusted text there is no model: every n-gram is as likely as any other.
+        answers = asked.join(p.hint("merge"), ["name", "gram"], "left").select("block", "name", "gram", F.coalesce(F.log("p"), F.lit(0.0)).alias("log_p"))
+        found = settle(sums(name(blocks), answers), "quality-sums")
+        own_rows = name(about)
+        both = own_rows.withColumn("own", F.lit(True)).unionByName(own_rows.where(f"held and name <> '{ALL}'").withColumn("name", F.lit(ALL)).withColumn("own", F.lit(False)))
+        scored = settle(both.join(found.hint("merge"), ["row", "name"], "left").na.fill({"total": 0.0, "n_grams": 0}), "quality-scores")
+        fair = f"trusted and case when name = '{ALL}' then held else out end"
+        mean = settle(scored.where(fair).where("n_grams > 0").groupBy("name").agg((F.sum("total") / F.sum("n_grams")).alias("mean")), "quality-means")
+        smooth = F.exp(-(F.col("total") + PRIOR * F.coalesce("mean", F.lit(0.0))) / (F.col("n_grams") + PRIOR))
+        judged = scored.join(few(mean), "name", "left").withColumn("perplexity", smooth)
+        limit = settle(judged.where(fair).groupBy("name").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")), "quality-limits")
+        kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+        return keep(judged.where("own").join(few(limit), "name", "left").select("doc_id", "lang", "n_grams", "perplexity", "threshold", "trusted", kept.alias("kept")), "quality-done")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
