@@ -260,6 +260,9 @@ def test_redaction(docs):
         want = text + (r.text or "")[upto:] if upto else r.text
         assert got[r.doc_id].text == want
     assert secrets.redact(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit("x") for c in ("__found", "__key", "__blob", "__new", "findings", "row", "changed", "new")})
+    assert sorted(str(r.text) for r in secrets.redact(clash).collect()) == sorted(str(r.text) for r in secrets.redact(docs).collect())
+    assert {r["row"] for r in secrets.redact(clash).collect()} == {"x"} and secrets.redact(docs.limit(0)).count() == 0
 
 
 def test_packing(docs, none):
@@ -361,6 +364,26 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_null_ids_and_extreme_sizes(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1e-200, 0.0]), (4, [0.0, 5e-324]), (5, [0.0, 1e308]), (None, [1e200, 1e200]), (None, [1.0, 1.0]), (6, [1.0, 1.0]), (6, [2.0, 2.0])]
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in embedding_dedup.near_vectors(table).collect()), key=str)
+    want = [(1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (None, 0, None, True), (None, 0, None, True), (6, 3, 1, False), (6, 3, 1, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_joined_labels():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a, b = rng.integers(0, 40, 25), rng.integers(0, 40, 25)
+        label = embedding_dedup.joined(embedding_dedup.joined(np.arange(40), a[:10], b[:10]), a[10:], b[10:])
+        want = list(range(40))
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = sorted((want[p], want[q]))
+            want = [x if w == y else w for w in want]
+        assert label.tolist() == want
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]

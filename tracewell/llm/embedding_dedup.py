@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, read, settle
+from .common import components, read, settle, tidy
 
 THRESHOLD = 0.93
 TILE = 2048
@@ -53,19 +53,40 @@ def linked_pairs(left: np.ndarray, right: np.ndarray, threshold: float, same: bo
             yield a[cosine >= threshold], b[cosine >= threshold]
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (of each place, the least place of its component) after the links between places a and b."""
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return label
+        low = np.minimum(la[apart], lb[apart])
+        np.minimum.at(label, np.maximum(la[apart], lb[apart]), low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Rows compare only where labels are equal and not null.  Vectors that are null,
     empty, zero or hold a null or non-finite component link with nothing, nor do
     vectors of different lengths.  A repeated id is a row of its own and links as such.
+    A row with a null id links with nothing: n_links 0, no component, kept.
     """
+    with tidy(vectors.sparkSession) as keep:
+        return keep(_near_vectors(vectors, id_col, vector_col, label_col, threshold), "vector-result")
+
+
+def _near_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, threshold: float) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
     fit = F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = rows.where(F.col("label").isNotNull() & F.coalesce(fit, F.lit(False)) & F.col("vec_id").isNotNull())
     # -0.0 and 0.0 are one number, as grouping takes them.
-    nodes = settle(usable.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).withColumn("dim", F.size("v")), "vector-nodes")
+    nodes = usable.groupBy("label", "v").agg(F.min("vec_id").alias("vec"), F.count("*").alias("n"))
+    # A number of its own for each, as one id may come with several vectors.
+    nodes = settle(nodes.withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     tiles = settle(nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "vector-tiles")
     placed = nodes.join(tiles, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -75,26 +96,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         i, j = key[2], key[3]
         own, node, n = tile["own"].to_numpy(), tile["node"].to_numpy(), tile["n"].to_numpy()
         x = np.stack(tile["v"].to_numpy()).astype(float)
+        # By powers of two, which changes no digit, so that no square over- or underflows.
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        count, root = np.zeros(len(tile), np.int64), list(range(len(tile)))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        forest = []
+        count, label = np.zeros(len(tile), np.int64), np.arange(len(tile))
         if len(left) and len(right):
             for a, b in linked_pairs(x[left], x[right], threshold, i == j):
                 a, b = left[a], right[b]
                 np.add.at(count, a, n[b])
                 np.add.at(count, b, n[a])
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                    rp, rq = find(p), find(q)
-                    if rp != rq:
-                        root[rp] = rq
-                        forest.append((node[p], node[q]))
+                label = joined(label, a, b)
+        forest = [(node[p], node[label[p]]) for p in np.flatnonzero(label != np.arange(len(tile)))]
         some = np.flatnonzero(count)
         return pd.DataFrame(
             {
@@ -107,10 +119,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = settle(pairs.groupBy("label", "dim", "i", "j").applyInPandas(links_of, "node long, other long, links long"), "vector-links")
     linked = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "node")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    done = settle(nodes.join(counts, "node", "left").join(linked, "node", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vector-done")
+    placed = nodes.select("node", "vec", "n").join(counts, "node", "left").join(linked, "node", "left")
+    placed = settle(placed.select("node", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "vector-placed")
+    least = placed.groupBy("component").agg(F.min("vec").alias("component_id"))
+    told = placed.join(least, "component").select("node", "n_links", "component_id")
+    done = settle(nodes.select("node", "label", "v").join(told, "node").select("label", "v", "n_links", "component_id"), "vector-done")
     back = rows.join(done, ["label", "v"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return back.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+    links = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
+    return back.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -86,24 +86,27 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are merged.  n_chars, where present, is counted again for
     changed texts.  Needs the column text; the scan runs once per distinct text.
+    Null texts stay null, repeated rows repeat, and columns of any name stay.
     """
-    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    known = settle(update_ledger(docs.select(blob.alias("blob"), F.coalesce("text", F.lit("")).alias("text"))), "secret-ledger")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("blob", F.sha2("text", 256))
+    known = settle(update_ledger(rows.select("blob", "text")), "secret-ledger").select("blob", "findings")
+    upto = lambda acc: acc["upto"].cast("int")
     cut = F.aggregate(
-        "__found",
+        "findings",
         F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["upto"], s["end"]).alias("upto"),
-            F.when(s["start"] >= acc["upto"], F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["upto"].cast("int") + 1, (s["start"] - acc["upto"]).cast("int")), F.lit(mark)))).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["upto"], F.concat(acc["out"], F.array(F.substring(F.col("text"), upto(acc) + 1, (s["start"] - acc["upto"]).cast("int")), F.lit(mark)))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["upto"].cast("int") + 1, F.char_length("text"))),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), upto(acc) + 1, F.char_length("text"))),
     )
-    hit = known.select(F.col("blob").alias("__blob"), F.col("findings").alias("__found"))
-    joined = docs.withColumn("__key", blob).join(hit, F.col("__key") == F.col("__blob"), "left")
-    changed = F.size("__found") > 0
-    out = joined.withColumn("__new", F.when(changed, cut).otherwise(F.col("text")))
-    named = {"text": F.col("__new"), "n_chars": F.when(changed, F.char_length("__new").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[named[c].alias(c) if named.get(c) is not None else F.col(c) for c in docs.columns])
+    changed = F.size("findings") > 0
+    out = rows.join(known, "blob", "left").select("row", changed.alias("changed"), F.when(changed, cut).alias("new"))
+    named = {"text": F.when(F.col("changed"), F.col("new")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        named["n_chars"] = F.when(F.col("changed"), F.char_length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[(named[c] if c in named else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ EPOCHS = 6
 STEPS = 200
 BATCH = 64
 RATE = 0.05
+#: Characters of the longest text that is fitted on, so that what the driver collects is bounded; scoring takes texts of any length.
+LONGEST = 50_000
 #: Standard errors by which a log-odds must differ from zero to count at the start.
 CERTAIN = 2.75
 DECAY = 1e-7
@@ -125,8 +127,9 @@ def bags(block: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(texts_: list[str], labels: list[int], seed: int = 7) -> Model:
     """Joint training of n-gram vectors and softmax by momentum on mini-batches, classes weighted alike.
 
-    Steps are scaled by one running norm per matrix, not per entry: n-grams that
-    many toxic texts share must outgrow those by which single texts are told apart.
+    Steps are scaled by running norms of each entry.  N-grams start from what is
+    certain of their log-odds, so that few labelled rows go far; README has both
+    parts alone.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, int)
@@ -173,16 +176,18 @@ def fit(texts_: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` rows of each class, those with the least hash of their id.
+    """Fits on at most ``sample`` rows of each class, those with the least hash of their id, but for texts longer than LONGEST.
 
     Only rows outside the held-out third are taken (crc32 of the id as text,
-    modulo 3, is 1 for the held-out); labels other than 0 and 1 are left out.
+    modulo 3, is 1 for the held-out); labels other than 0 and 1 are left out.  Of rows
+    that share an id, the least text is taken; of labels that do, the greater.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).withColumn("rank", F.xxhash64("doc_id"))
     chosen = [known.where(F.col("toxic") == c).orderBy("rank").limit(sample) for c in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "toxic"))  # at most 2 * sample rows
-    rows = docs.join(picked, "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    short = docs.where(F.char_length("text") <= LONGEST).join(picked, "doc_id")
+    rows = short.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
 
 
