@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import half_up, identity, query_tokens, trigrams
 from tracewell.operators import history, metrics, search, snapshots, stats
-from tracewell.plans import facts, more  # noqa: F401 - they add their queries
+from tracewell.plans import facts, more, texts  # noqa: F401 - they add their queries
 from tracewell.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
