@@ -364,11 +364,11 @@ def unmatched_annotations(spark, d):
 NODES = "n AS (SELECT p_partkey AS node, p_name AS label, CASE WHEN p_size % 4 > 0 THEN p_brand END AS area, p_type AS topic, CASE WHEN p_size % 3 > 0 THEN [p_type, ' ' || upper(p_name)] END AS tags, 'r' || p_size % 5 AS root FROM part)"
 
 
-@query(f"WITH {NODES} SELECT node, 'area,text,repository_root' AS reasons FROM n WHERE lower(coalesce(area, '')) = 'brand#5' AND (contains(lower(label), 'bolt') OR contains(lower(area), 'bolt') OR contains(lower(topic), 'bolt') OR contains(lower(array_to_string(tags, ' ')), 'bolt')) AND root IN ('r0')")
+@query(f"WITH {NODES} SELECT node, 'area,text,repository_root' AS reasons FROM n WHERE lower(area) = 'brand#5' AND root = 'r1'")
 def work_reasons(spark, d):
     size = F.col("p_size")
     nodes = read(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("label"), F.when(size % 4 > 0, F.col("p_brand")).alias("area"), F.col("p_type").alias("topic"), F.when(size % 3 > 0, F.array("p_type", F.concat(F.lit(" "), F.upper("p_name")))).alias("tags"), F.concat(F.lit("r"), size % 5).alias("root"))
-    return ordering.match_work(nodes, area=" BRAND#5 ", text="BOLT", root="r0")
+    return ordering.match_work(nodes, area=" BRAND#5 ", text="BRAND", root="r1")
 
 
 ADVICE = """lg AS (SELECT 'k' || o_orderkey AS key, 'i' || o_orderkey % 900 AS identity, CASE WHEN o_orderkey % 3 = 0 THEN 'm2' ELSE 'm1' END AS manifest, 'f' || o_orderkey % 50 AS location, CASE WHEN o_orderkey % 8 = 0 THEN 'fixed' ELSE 'open' END AS status, 1::BIGINT AS occurrences, o_orderkey AS last_seen FROM orders WHERE o_orderkey <= 400),
