@@ -18,10 +18,10 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import Memo, map_texts, read, texts
 
@@ -250,15 +250,23 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per row of (doc_id, ids): doc_id, text; null ids count as none."""
+    """One row per row of (doc_id, ids): doc_id, text; null ids count as none.
+
+    Null and large doc_ids stay what they are, rows repeat, other columns are ignored.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = encoded.select("doc_id", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": ["" if x is None else bpe.decode(map(int, x)) for x in batch["ids"]]})
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(at, BLOCK_DOCS)
+                texts_ = [bpe.decode(x or ()) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts_, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("text", StringType())]))
 
 
 def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ PRIOR = 60
 #: One in so many trusted documents is held out, and so many of a language that has less than the square of it.
 HELD = 10
 #: Characters of a block of documents, and of the pieces in which a task works on it.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 PIECE_CHARS = 2_000_000
 #: Rows of a table with a row per language that may be broadcast; beyond it the join merges.
 FEW_ROWS = 10_000
@@ -113,7 +113,7 @@ def _in_buckets(df: DataFrame, key: str) -> Iterator[DataFrame]:
     path = f"{shared_dir(spark).rstrip('/')}/tracewell/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+        df.write.bucketBy(n, key).option("path", path).option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").saveAsTable(name)
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -38,9 +38,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per capture (page_id, url, fetched_at): host, matched_key, verdict, kept.
 
     Captures that match nothing, or have no host or fetch time, are "unlisted"
-    and kept.  Only suffixes that occur in the list are expanded into rows; the
-    join is on the key, so a hot host is one that AQE may split.  Repeated rows
-    each get their own verdict.
+    and kept.  Every distinct host and time is looked up once, under each suffix of
+    the host; the join is on the key, so a hot one is one that AQE may split.
+    Repeated rows each get their own verdict.  An empty list leaves every capture
+    unlisted, no capture gives no row; columns other than the three are ignored.
     """
     rows = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched_at")
     parts = F.split("host", r"\.")
