@@ -424,6 +424,14 @@ def test_url_filter(spark):
     ) or sorted(map(str, [(r.page_id, r.verdict, r.matched_key) for r in got])) == sorted(map(str, [(1, "unlisted", None), (2, "block", "b.com"), (3, "allow", "a.b.com"), (3, "allow", "a.b.com"), (4, "unlisted", None), (5, "block", "b.com"), (6, "unlisted", None), (7, "unlisted", None), (8, "unlisted", None)]))
 
 
+def test_url_filter_of_empty_tables(spark):
+    entries = spark.createDataFrame([("b.com", "block", 1)], "key string, action string, listed_at int")
+    captures = spark.createDataFrame([(1, "http://b.com", 2, "x"), (1, "http://b.com", 2, "x"), (None, "http://c.com", 2, "x")], "page_id long, url string, fetched_at int, verdict string")
+    assert [r.verdict for r in url_filter.filter_captures(captures, entries.limit(0)).collect()] == ["unlisted"] * 3
+    assert sorted((r.page_id or 0, r.verdict) for r in url_filter.filter_captures(captures, entries).collect()) == [(0, "unlisted"), (1, "block"), (1, "block")]
+    assert url_filter.filter_captures(captures.limit(0), entries).count() == 0
+
+
 def test_pipeline_stages_against_single_operators(spark, sf):
     import corpus_pipeline
 

@@ -14,3 +14,20 @@ def test_rows_without_an_id_or_with_a_shared_one(spark):
     near = corpus_pipeline.drop_near_copies(spark, docs, "")
     want = [(1, "copy of a text"), (2, "other words here"), (2, "quite another page"), (None, None), (2, long), (None, "alone"), (None, "copy of a note")]
     assert near.columns == docs.columns and show(near) == sorted((str(i), str(t)) for i, t in want)
+
+
+def test_stages_of_odd_rows(spark, sf):
+    """Nulls in every column, empty texts, repeated rows, an extra column with a name used inside, and no rows at all."""
+    odd = [(None, None, None, None, None), (None, None, None, None, None), (1, "", "en", None, 0), (2, "plain words of no harm", None, "s", None), (2, "plain words of no harm", None, "s", None), (3, "password: hunter22 and more", "en", "s", 3)]
+    docs = spark.createDataFrame([(*r, "x") for r in odd], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, sf), stage(spark, docs.limit(0), sf)
+        assert none.count() == 0 and none.columns == out.columns
+        rows = out.collect()
+        if name == "packing":
+            assert sorted((r.doc_id or 0, r.start) for r in rows) == sorted((r.doc_id or 0, 0) for r in docs.collect())
+            break
+        assert out.columns == docs.columns
+        assert len(rows) == {"toxicity": 6, "exact_dedup": 3, "near_dedup": 3, "secrets": 3}[name]
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert any(r.text == "[secret] and more" for r in docs.collect())
