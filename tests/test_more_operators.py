@@ -101,6 +101,15 @@ def test_continuity_with_nulls(spark):
     assert got == {"a": ("x", "z", 2, False), "b": ("x", "z", 2, True)}
 
 
+def test_prompts_of_session_logs(spark):
+    log = ['{"type":"session","version":3,"timestamp":"2024-01-01T00:00:00Z"}', '{"type":"message","timestamp":"2024-01-01T00:00:02Z","message":{"role":"user","content":"hi"}}', '{"type":"message","message":{"role":"user","timestamp":5,"content":[{"type":"text","text":" a"},{"type":"image"},{"type":"text","text":"b "}]}}', '{"type":"message","message":{"role":"user","content":"late"}}', '{"type":"message","message":{"role":"assistant","content":"no"}}', '{"type":"message","message":{"role":"user","content":"  "}}', '{"role":"user" broken', '{"type":"message","message":{"role":"user","content":"' + "x" * 16_385 + '"}}', None]
+    rows = [("f", i, x, 9) for i, x in enumerate(log)] + [("new", 0, '{"type":"session","version":4}', 9), ("new", 1, log[1], 9), ("bare", 0, log[1], 9), ("old", 0, " ", 9), ("old", 1, '{"type":"session"}', 9), ("old", 2, log[3], 9)]
+    table = spark.createDataFrame(rows, "file string, line_no long, raw string, mtime long")
+    base = 1_704_067_200_000
+    assert {(r.file, r.line_no, r.text, r.ts) for r in history.prompts(table).collect()} == {("f", 1, "hi", base + 2000), ("f", 2, "a b", 5), ("f", 3, "late", base), ("old", 2, "late", 9)}
+    assert [tuple(r) for r in history.skipped_lines(table).collect()] == [("f", 1)]
+
+
 def test_allowance_needs_every_budget(spark):
     rows = spark.createDataFrame([("f", 1, 10), ("f", None, 10), ("g", 5, 10), ("g", 5, None), ("h", 1, 0)], "family string, used long, budget long")
     assert {r.family: (r.members, r.percent) for r in metrics.allowance(rows).collect()} == {"f": (2, 5.0), "g": (2, None), "h": (1, None)}

@@ -73,17 +73,32 @@ def drain(entries: DataFrame, file: str = "file", line: str = "line_no", at: str
     return entries.join(newest, file).orderBy(F.desc("file_at"), file, F.desc(line))
 
 
+#: Characters of the longest prompt that is taken, and the newest version of session logs that is read.
+LONGEST_PROMPT, VERSION = 16_384, 3
+
+
 def prompts(lines: DataFrame, raw: str = "raw") -> DataFrame:
-    """(file, line_no, text, ts): user prompts of session logs (file, line_no, raw JSON, mtime).
+    """(file, line_no, text, ts) of user prompts in session logs (file, line_no, raw JSON, mtime in milliseconds).
 
+    A log begins with a session line of a version up to VERSION; others are left out.
     A prompt is a user message whose content is a string, or the text blocks of a
-    list, joined; its time is the message's, else the line's, else the file's.
-    Malformed lines and blank prompts are left out.
+    list, joined by a space and trimmed; its time is the message's, else the line's,
+    else the log's, else the file's.  Malformed lines, and prompts that are blank or
+    longer than LONGEST_PROMPT, are left out; ``skipped_lines`` counts the former.
     """
     j = lambda p: F.get_json_object(raw, p)
-    blocks = F.from_json(j("$.message.content"), "array<struct<type:string,text:string>>")
-    joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
-    text = F.when(j("$.message.content").startswith("["), joined).otherwise(j("$.message.content"))
     millis = lambda p: F.coalesce(j(p).try_cast("long"), F.unix_millis(F.try_to_timestamp(j(p))))
-    rows = lines.where(j("$.type") == "message").where(j("$.message.role") == "user")
-    return rows.select("file", "line_no", text.alias("text"), F.coalesce(millis("$.message.timestamp"), millis("$.timestamp"), F.col("mtime")).alias("ts")).where(F.trim("text") != "")
+    first = lines.where(F.trim(raw) != "").groupBy("file").agg(F.min_by(F.struct(j("$.type").alias("kind"), j("$.version").try_cast("long").alias("version"), millis("$.timestamp").alias("ts")), "line_no").alias("head"))
+    logs = first.where("head.kind = 'session'").where(F.coalesce("head.version", F.lit(1)) <= VERSION).select("file", F.col("head.ts").alias("head_ts"))
+    blocks = F.from_json(j("$.message.content"), "array<struct<type:string,text:string>>")
+    joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), " ")
+    text = F.trim(F.when(j("$.message.content").startswith("["), joined).otherwise(j("$.message.content")))
+    rows = lines.where(j("$.type") == "message").where(j("$.message.role") == "user").join(logs, "file")
+    rows = rows.select("file", "line_no", text.alias("text"), F.coalesce(millis("$.message.timestamp"), millis("$.timestamp"), "head_ts", "mtime").alias("ts"))
+    return rows.where((F.col("text") != "") & (F.char_length("text") <= LONGEST_PROMPT))
+
+
+def skipped_lines(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """(file, skipped): lines that look like user messages and are no JSON, per file that has any."""
+    bad = F.try_parse_json(raw).isNull() & F.col(raw).contains('"role":"user"')
+    return lines.where(bad).groupBy("file").agg(F.count("*").alias("skipped"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import surfaces
+from ..operators import history, surfaces
 from ..sources import contracts, texts
 from ..streaming import coalesce
 from .more import E, ev
@@ -84,3 +84,14 @@ def notifications(spark, d):
     """Events of a user as occurrences, hours as if they were tenths of a second; no SQL: tests hold it against written cases."""
     at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 36)
     return coalesce.coalesced_batch(ev(spark, d).select(F.col("user_id").cast("string").alias("session"), at.alias("now_ms"), F.col("event_id").cast("string").alias("key"), (F.col("k") % 4).cast("int").alias("priority"), (at - F.col("k") * 30).alias("occurred_ms")))
+
+
+@query("SELECT 'c' || conv_id AS file, turn + 1 AS line_no, trim(text) AS text, 1704067200000 + conv_id AS ts FROM conversations WHERE role = 'user' AND trim(text) <> '' AND length(text) <= 16384 AND conv_id % 7 > 0")
+def session_prompts(spark, d):
+    """Conversations as session logs; every seventh has a header of a version that is not read."""
+    c, conv = read(spark, d, "conversations"), F.col("conv_id")
+    file = F.concat(F.lit("c"), conv).alias("file")
+    head = F.to_json(F.struct(F.lit("session").alias("type"), F.when(conv % 7 > 0, 3).otherwise(4).alias("version"), (F.lit(1_704_067_200_000) + conv).alias("timestamp")))
+    said = F.to_json(F.struct(F.lit("message").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    rows = c.select(file, (F.col("turn") + 1).alias("line_no"), said.alias("raw")).unionByName(c.select(file, F.lit(0).cast("long").alias("line_no"), head.alias("raw")).distinct())
+    return history.prompts(rows.withColumn("mtime", F.lit(7).cast("long")))
