@@ -27,7 +27,9 @@ from .common import Memo, map_texts, read, texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Most chunks, and words, in each of the two generations that a Python worker keeps.
-CACHE = 200_000
+CACHE = 400_000
+#: Most pairs of tokens whose fit is remembered.
+FITS = 2_000_000
 #: Words per trie, and documents handled at once.
 TRIE_WORDS = 20_000
 BLOCK_DOCS = 500
@@ -115,7 +117,7 @@ class TrieBpe:
 
     def follows(self, before: int, token: int) -> bool:
         """Whether merging the symbols of both leaves exactly these two tokens."""
-        if len(self.fits) > 10 * CACHE:
+        if len(self.fits) > FITS:
             self.fits.clear()
         pair = [self.text[before], self.text[token]]
         found = self.fits[before << 20 | token] = self.merge([x for t in pair for x in self.symbols[t]]) == pair
