@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -153,6 +154,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, *, settled=settle) -> DataFrame:
+    """``rows`` with ``idx``, the place from 0 in its group by ``order`` (nulls first), and ``n``, the group's rows, both long.
+
+    No group meets in one task: rows are dealt by ranges of (group, order, position
+    in the input), so that a group of any size, or of equal rows, spreads over as
+    many tasks as it needs; counts per task and group, at most one row for each task
+    that a group touches, give the places before each task by a running sum.
+    """
+    keys = [*group, *order]
+    placed = rows.withColumn("__tie", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(*keys, "__tie").sortWithinPartitions(*keys, "__tie").drop("__tie")
+    placed = settled(placed.withColumn("__at", F.monotonically_increasing_id()), name).withColumn("__part", F.shiftright("__at", 33))
+    mine = W.partitionBy(*group)
+    spans = placed.groupBy(*group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__count"))
+    spans = spans.select(*group, "__part", "__first", F.sum("__count").over(mine).alias("n"), F.coalesce(F.sum("__count").over(mine.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(spans, [*group, "__part"]).withColumn("idx", F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__part", "__first", "__before")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of an ASCII string expression, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x::BIGINT) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+
+
 class Memo:
     """Bounded memory of a Python worker: at most ``size`` entries of the current generation and of the one before."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, near_dup, packing, quality, secrets, token_counts, toxicity, url_filter
+from . import bpe, embedding_dedup, exact_dedup, language_id, merkle, near_dup, packing, prefix_trie, quality, secrets, token_counts, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -17,10 +17,15 @@ QUERIES = {
         exact_dedup.op8_exact_dedup,
         packing.op9_packing,
         secrets.op10_secret_scan,
+        prefix_trie.op11_prefix_trie,
+        language_id.op12_language_id,
+        merkle.op13_merkle_manifest,
     )
 }
 ORACLE_SQL = {
     "op5_embedding_dedup": embedding_dedup.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
