@@ -131,7 +131,8 @@ def test_pages_and_ranges(spark):
     found, more = ordering.page_of(rows, ["id"], 2, 3)
     assert [r.id for r in found.collect()] == [2, 3, 4] and more == 5
     assert ordering.page_of(rows, ["id"], 5, 99)[1] is None
-    assert ordering.visible_range(0, 10, 4) == (0, 4) and ordering.visible_range(9, 10, 4) == (6, 10) and ordering.visible_range(5, 3, 9) == (0, 3)
+    shown = lambda sel, n, most: [r.place for r in ordering.visible(spark.range(n).selectExpr("0 as k", "id", f"id = {sel} as sel"), ["k"], ["id"], "sel", most).orderBy("place").collect()]
+    assert shown(0, 10, 4) == [0, 1, 2, 3] and shown(9, 10, 4) == [6, 7, 8, 9] and shown(5, 3, 9) == [0, 1, 2]
 
 
 def test_findings_move_and_are_marked(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import half_up
+from .scalars import half_up, trimmed
 
 MINUTE, HOUR, DAY, WEEK = 60, 3600, 86_400, 604_800
 #: What a public name of a model or provider looks like, and its greatest length.
@@ -46,14 +46,14 @@ def display_label(text: Column, most: int = 120) -> Column:
 
 def provider(name: Column) -> Column:
     """A provider in lower case; unknown where null or blank, custom where it is no public name."""
-    low = F.lower(F.trim(name))
+    low = F.lower(trimmed(name))
     return F.when(F.coalesce(low, F.lit("")) == "", "unknown").when((F.char_length(low) <= PROVIDER_LENGTH) & low.rlike(PUBLIC), low).otherwise("custom")
 
 
 def model(provider_name: Column, name: Column) -> Column:
     """struct(provider, id): the last part of the id in lower case; a private id is custom and makes its provider custom, but for opencode."""
-    blank = (F.coalesce(F.trim(provider_name), F.lit("")) == "") | (F.coalesce(F.trim(name), F.lit("")) == "")
-    last = F.lower(F.element_at(F.split(F.trim(name), "/"), -1))
+    blank = (F.coalesce(trimmed(provider_name), F.lit("")) == "") | (F.coalesce(trimmed(name), F.lit("")) == "")
+    last = F.lower(F.element_at(F.split(trimmed(name), "/"), -1))
     public = (F.char_length(last) <= MODEL_LENGTH) & last.rlike(PUBLIC)
     own = provider(provider_name)
     pair = lambda p, i: F.struct(p.alias("provider"), i.alias("id"))
@@ -62,7 +62,11 @@ def model(provider_name: Column, name: Column) -> Column:
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """``digits`` digits of the double itself, not of its shortest text: 1.45, which is a little less, gives 1.4; what lies exactly between goes up."""
+    x = x.cast("double")
+    scaled = x * float(10**digits)
+    between = (x * 1024.0 == F.floor(x * 1024.0)) & (scaled - F.floor(scaled) == 0.5)
+    return F.replace(F.format_number(F.when(between, (F.floor(scaled) + 1) / float(10**digits)).otherwise(x), digits), F.lit(","), F.lit(""))
 
 
 def tokens_text(n: Column) -> Column:

@@ -15,14 +15,19 @@ from __future__ import annotations
 import posixpath
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.strings import extension
 from .snapshots import _cut, delta
 
 LOCAL = ("typescript", "filesystem")
 MEMBER = r"^\s*(?:(?:static|async)\s+)*([A-Za-z_$][A-Za-z0-9_$]*)"
 #: Display names by file extension.
-LANGUAGES = {"ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "py": "Python", "go": "Go", "rs": "Rust", "md": "Markdown", "json": "JSON", "yaml": "YAML", "yml": "YAML", "sql": "SQL"}
+LANGUAGES = {".mjs": "javascript", ".js": "javascript", ".cjs": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".py": "python", ".go": "go"}
+#: What a tier does not count, and which importers are tests.
+ASIDE = r"^(tests|docs)/|\.md$"
+TEST_FILE = r"(^|/)(tests?|__tests__)/|\.(test|spec)\.[cm]?[jt]sx?$"
 
 
 def category(specifier: Column) -> Column:
@@ -31,9 +36,9 @@ def category(specifier: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    """Display language by extension; "other" where it is unknown."""
+    """Display language by extension, in any case; "unknown" where it has none that is listed."""
     names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("other"))
+    return F.coalesce(F.try_element_at(names, extension(path)), F.lit("unknown"))
 
 
 def local_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -182,9 +187,11 @@ def usage_sites(names: DataFrame, symbols: DataFrame, references: DataFrame, edg
     by_symbol = low.join(symbols.select("path", F.lower(F.col("name")).alias("low")), "low").select("name", "path")
     held = symbols.where("kind = 'class'").select("path", F.explode(F.regexp_extract_all("signature", F.lit(r" ([^ (]+)\("), F.lit(1))).alias("name"))
     declared = by_symbol.unionByName(held.join(asked, "name").select("name", "path")).distinct()
-    importers = edges.where("target is not null").select(F.col("importer").alias("file"), F.col("target").alias("path")).distinct().join(declared, "path").select("name", "file").distinct().withColumn("hit", F.lit(True))
     sites = references.select("name", F.col("path").alias("file")).distinct().join(asked, "name").join(declared.withColumnRenamed("path", "file"), ["name", "file"], "left_anti")
-    return sites.join(importers, ["name", "file"], "left").select("name", "file", F.coalesce("hit", F.lit(False)).alias("imports_declaration"))
+    # From the sites, not from the edges: a file that declares very many names multiplies nothing.
+    imported = edges.where("target is not null").select(F.col("importer").alias("file"), F.col("target").alias("path")).distinct()
+    hits = sites.join(imported, "file").join(declared, ["name", "path"], "left_semi").select("name", "file").distinct().withColumn("hit", F.lit(True))
+    return sites.join(hits, ["name", "file"], "left").select("name", "file", F.coalesce("hit", F.lit(False)).alias("imports_declaration"))
 
 
 def entities_where(entities: DataFrame, name: str | None = None, path: str | None = None, kind: str | None = None) -> DataFrame:
@@ -203,18 +210,14 @@ def relations_where(relations: DataFrame, from_id: str | None = None, to_id: str
 def entity_rows(entities: DataFrame, relations: DataFrame, most: int = 4) -> DataFrame:
     """Per entity: its first ``most`` relations, outgoing before incoming, as "kind > name" and "kind < name"; an unknown end keeps its id."""
     names = entities.select(F.col("id").alias("other"), F.col("name").alias("other_name")).dropDuplicates(["other"])
-    sides = relations.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), F.lit(">").alias("way"), "kind")
-    sides = sides.unionByName(relations.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), F.lit("<").alias("way"), "kind"))
-    told = sides.join(names, "other", "left").select("id", F.struct((F.col("way") == "<").alias("incoming"), F.concat_ws(" ", F.col("kind"), F.col("way"), F.coalesce("other_name", "other")).alias("text")).alias("one"))
-    told = told.distinct()
-    # Only the first few are gathered: each is the least after the one before, found by map-side combined minima.
-    counts, left, lists = told.groupBy("id").agg(F.count("*").alias("n")), told, None
-    for _ in range(most):
-        low = left.groupBy("id").agg(F.min("one").alias("one"))
-        lists = low if lists is None else lists.unionByName(low)
-        left = left.join(low, ["id", "one"], "left_anti")
-    first = lists.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["text"]), "; ").alias("relations")).join(counts, "id")
-    return entities.join(first, "id", "left").select("id", "name", F.coalesce("relations", F.lit("")).alias("relations"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    sides = relations.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), F.lit(False).alias("incoming"), F.concat("kind", F.lit(" >")).alias("how"))
+    sides = sides.unionByName(relations.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), F.lit(True).alias("incoming"), F.concat("kind", F.lit(" <")).alias("how")))
+    told = sides.join(names, "other", "left").select("id", "incoming", F.concat_ws(" ", "how", F.coalesce("other_name", "other")).alias("text")).distinct()
+    # The limit of a group applies before its rows are shuffled: no more than ``most`` of an id leave a task.
+    first = told.withColumn("at", F.row_number().over(W.partitionBy("id").orderBy("incoming", "text"))).where(F.col("at") <= most)
+    lists = first.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "; ").alias("relations"))
+    counts = told.groupBy("id").agg(F.count("*").alias("n"))
+    return entities.join(lists, "id", "left").join(counts, "id", "left").select("id", "name", F.coalesce("relations", F.lit("")).alias("relations"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def index_entries(files: DataFrame, symbols: DataFrame, entities: DataFrame, docs: DataFrame) -> DataFrame:
@@ -241,12 +244,17 @@ def import_rows(edges: DataFrame, most: int = 20) -> DataFrame:
 
 
 def resolution_summary(edges: DataFrame, examples: int = 3) -> DataFrame:
-    """(category, n, examples): resolved edges and the unresolved by category, with the first few distinct relative specifiers."""
-    rows = edges.select(F.when(F.col("target").isNotNull(), "resolved").otherwise(category(F.col("specifier"))).alias("category"), "specifier")
-    counts = rows.groupBy("category").agg(F.count("*").alias("n"))
-    few = rows.where("category = 'relative'").select("specifier").distinct().orderBy("specifier").limit(examples)
-    shown = few.agg(F.array_join(F.array_sort(F.collect_list("specifier")), ",").alias("shown"))
-    return counts.crossJoin(F.broadcast(shown)).select("category", "n", F.when(F.col("category") == "relative", F.col("shown")).otherwise("").alias("examples"))
+    """(category, n, examples): edges resolved, and unresolved by category; examples are the first relative ones as "importer -> specifier".
+
+    What is resolved is told by its evidence, which the compiler or the file system
+    gives; what has none of the known kinds counts nowhere.
+    """
+    unresolved = F.when(F.col("evidence") == "unresolved", category(F.col("specifier")))
+    rows = edges.select(F.when(F.col("evidence").isin(*LOCAL), "resolved").otherwise(unresolved).alias("category"), "importer", "specifier").where("category is not null")
+    few = rows.where("category = 'relative'").orderBy("importer", "specifier").limit(examples)
+    line = F.concat_ws(" -> ", "importer", "specifier")
+    shown = few.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("importer", "specifier", line.alias("line")))), lambda x: x["line"]), "\n").alias("shown"))  # a few rows
+    return rows.groupBy("category").agg(F.count("*").alias("n")).crossJoin(F.broadcast(shown)).select("category", "n", F.when(F.col("category") == "relative", F.col("shown")).otherwise("").alias("examples"))
 
 
 def boundary_edges(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -257,15 +265,39 @@ def boundary_edges(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return both.select("importer", "target", F.when(F.col("importer_changed"), "importer").otherwise("target").alias("side"))
 
 
-def tier_proposal(changed: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group of ``changed`` (keys, path): dependents outside it and a tier - low where all are documents, high where others depend on it."""
-    links = edges.where("target is not null").select("importer", F.col("target").alias("path")).distinct()
+def tier_proposal(changed: DataFrame, edges: DataFrame, keys: list[str], ledger: DataFrame | None = None) -> DataFrame:
+    """Per group of ``changed`` (keys, path): files, dependents, boundary, tier and rationale, a proposal that decides nothing.
+
+    low where all files are tests, documents or markdown; else high where files
+    outside the change depend on it, else medium.  dependents: distinct importers
+    outside the change; boundary: distinct edges of which one end is in the change.
+    rationale: all rules that hold, sorted, one a line.  ledger: (keys, open, fixed)
+    advisories, which are told and change nothing.
+    """
+    links = edges.where("target is not null").select("importer", "target").distinct()
     touched = changed.select(*keys, "path").distinct()
-    inside = touched.withColumnRenamed("path", "importer")
-    depend = touched.join(links, "path").join(inside, [*keys, "importer"], "left_anti").groupBy(*keys).agg(F.count_distinct("importer").alias("dependents"))
-    docs = touched.groupBy(*keys).agg(F.count("*").alias("files"), F.every(F.col("path").rlike(r"(?i)\.(md|txt|rst)$")).alias("documents"))
-    out = docs.join(depend, keys, "left").na.fill(0, ["dependents"])
-    return out.select(*keys, "files", "dependents", F.when(F.col("documents"), "low").when(F.col("dependents") > 0, "high").otherwise("medium").alias("tier"))
+    end = lambda name, other: touched.withColumnRenamed("path", name).join(links, name).join(touched.withColumnRenamed("path", other), [*keys, other], "left_anti").select(*keys, "importer", "target", F.lit(other).alias("outside"))
+    crossing = end("target", "importer").unionByName(end("importer", "target"))
+    depend = crossing.groupBy(*keys).agg(F.count_distinct(F.when(F.col("outside") == "importer", F.col("importer"))).alias("dependents"), F.count("*").alias("boundary"))
+    aside = F.col("path").rlike(ASIDE)
+    files = touched.groupBy(*keys).agg(F.count("*").alias("files"), F.count_if(~aside).alias("outside"))
+    out = files.join(depend, keys, "left")
+    if ledger is not None:
+        out = out.join(ledger.select(*keys, "open", "fixed"), keys, "left")
+    out = out.na.fill(0)
+    low, high, edge = F.col("outside") == 0, F.col("dependents") > 0, F.col("boundary") > 0
+    said = lambda test, *parts: F.when(test, F.concat(*[F.lit(p) if isinstance(p, str) and p[0] != "$" else F.col(p[1:]).cast("string") for p in parts]))
+    lines = [
+        said(low, "all changed files are tests/docs/markdown: fixture or documentation-only change"),
+        said(~low & high, "changed files outside tests/docs affect ", "$dependents", " unchanged dependents: proposing high tier"),
+        said(~low & ~high & edge, "$boundary", " module-boundary edge(s) touched: proposing at least medium tier"),
+        said(~low & ~high & ~edge, "$outside", " changed file(s) outside tests/docs with no other signal: proposing medium tier"),
+        said(~low & high & edge, "$boundary", " module-boundary edge(s) touched (context; high tier already applies)"),
+    ]
+    if ledger is not None:
+        lines += [said(F.col("open") > 0, "$open", " prior open advisories in ledger"), said(F.col("fixed") > 0, "$fixed", " prior advisories fixed in ledger")]
+    tier = F.when(low, "low").when(high, "high").otherwise("medium")
+    return out.select(*keys, "files", "dependents", "boundary", tier.alias("tier"), F.array_join(F.array_sort(F.array_compact(F.array(*lines))), "\n").alias("rationale"))
 
 
 def summary(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -273,12 +305,25 @@ def summary(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return files.agg(F.count_distinct("path").alias("files")).crossJoin(F.broadcast(symbols.agg(F.count("*").alias("symbols"))))
 
 
-def contract_edges(imports: DataFrame, entities: DataFrame) -> DataFrame:
-    """(importer, to_id, kind): relative imports (path, specifier) that lead to a file with entities; tests validate, others consume."""
+def _imported(imports: DataFrame, entities: DataFrame) -> DataFrame:
+    """(importer, path, test): relative imports (path, specifier) that lead to a file with entities."""
     joined = F.concat_ws("/", F.regexp_replace("path", r"/?[^/]*$", ""), "specifier")
     # "." parts go, and ".." takes the part before it along.
     parts = F.filter(F.split(joined, "/"), lambda x: (x != "") & (x != "."))
     whole = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))), lambda acc: F.array_join(acc, "/"))
-    named = imports.where(F.col("specifier").startswith(".")).select(F.col("path").alias("importer"), whole.alias("path"))
-    kind = F.when(F.col("importer").rlike(r"(?i)(^|/)tests?/|\.(test|spec)\."), "validates").otherwise("consumes")
-    return named.join(entities.select("path", F.col("id").alias("to_id")), "path").select("importer", "to_id", kind.alias("kind")).distinct()
+    named = imports.where(F.col("specifier").startswith(".")).select(F.col("path").alias("importer"), whole.alias("path")).distinct()
+    contracts = entities.select("path").distinct()
+    return named.join(contracts, "path").join(contracts.withColumnRenamed("path", "importer"), "importer", "left_anti").withColumn("test", F.col("importer").rlike(TEST_FILE))
+
+
+def contract_entities(imports: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, kind, name, path): a consumer, or a test, for each file that imports a contract and is none itself."""
+    kind = F.when(F.col("test"), "test").otherwise("consumer")
+    return _imported(imports, entities).select(F.concat_ws(":", kind, "importer").alias("id"), kind.alias("kind"), F.regexp_extract("importer", "([^/]*)$", 1).alias("name"), F.col("importer").alias("path")).distinct()
+
+
+def contract_edges(imports: DataFrame, entities: DataFrame) -> DataFrame:
+    """(from_id, importer, to_id, kind): imports of contract files as relations to their entities; tests validate, others consume."""
+    kind = F.when(F.col("test"), "validates").otherwise("consumes")
+    of = F.concat_ws(":", F.when(F.col("test"), "test").otherwise("consumer"), "importer")
+    return _imported(imports, entities).join(entities.select("path", F.col("id").alias("to_id")), "path").select(of.alias("from_id"), "importer", "to_id", kind.alias("kind")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dedup_key, identity
+from ..functions.scalars import dedup_key, identity, trimmed
 
 
 def keep_first(entries: DataFrame, order: list[str], text: str = "text") -> DataFrame:
@@ -88,11 +88,11 @@ def prompts(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """
     j = lambda p: F.get_json_object(raw, p)
     millis = lambda p: F.coalesce(j(p).try_cast("long"), F.unix_millis(F.try_to_timestamp(j(p))))
-    first = lines.where(F.trim(raw) != "").groupBy("file").agg(F.min_by(F.struct(j("$.type").alias("kind"), j("$.version").try_cast("long").alias("version"), millis("$.timestamp").alias("ts")), "line_no").alias("head"))
+    first = lines.where(trimmed(raw) != "").groupBy("file").agg(F.min_by(F.struct(j("$.type").alias("kind"), j("$.version").try_cast("long").alias("version"), millis("$.timestamp").alias("ts")), "line_no").alias("head"))
     logs = first.where("head.kind = 'session'").where(F.coalesce("head.version", F.lit(1)) <= VERSION).select("file", F.col("head.ts").alias("head_ts"))
     blocks = F.from_json(j("$.message.content"), "array<struct<type:string,text:string>>")
     joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), " ")
-    text = F.trim(F.when(j("$.message.content").startswith("["), joined).otherwise(j("$.message.content")))
+    text = trimmed(F.when(j("$.message.content").startswith("["), joined).otherwise(j("$.message.content")))
     rows = lines.where(j("$.type") == "message").where(j("$.message.role") == "user").join(logs, "file")
     rows = rows.select("file", "line_no", text.alias("text"), F.coalesce(millis("$.message.timestamp"), millis("$.timestamp"), "head_ts", "mtime").alias("ts"))
     return rows.where((F.col("text") != "") & (F.char_length("text") <= LONGEST_PROMPT))

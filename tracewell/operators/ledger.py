@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import trimmed
+
 ADVICE = ("key", "identity", "manifest", "location", "status", "occurrences", "last_seen")
 
 
@@ -90,7 +92,7 @@ def append_artifact(ledger: DataFrame, proofs: DataFrame) -> DataFrame:
 
 def append_prompts(prompts: DataFrame, text: str = "text") -> DataFrame:
     """Prompts that a store takes: not null, not blank, no /command."""
-    return prompts.where((F.trim(text) != "") & ~F.ltrim(text).startswith("/"))
+    return prompts.where((trimmed(text) != "") & ~trimmed(text, "left").startswith("/"))
 
 
 def compaction(files: DataFrame, entries: DataFrame, hidden: DataFrame, newest: int = 10, most_files: int = 50, most_entries: int = 5000) -> DataFrame:

@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
+from ..functions.strings import extension, path_tokens
+from .snapshots import _cut
+
+#: Lines of a large change, most lines of a correction, and the lenses of a full review.
+SLICE_LINES, MOST_BUDGET = 400, 200
+LENSES = ("review-risk", "review-resilience", "review-readability", "review-reliability")
+#: Patterns over paths that decide a change's size, route and risk.
+GENERATED = r"(^|/)(pnpm-lock\.yaml|package-lock\.json|yarn\.lock|bun\.lockb?|Cargo\.lock|go\.sum|poetry\.lock|composer\.lock|Gemfile\.lock)$|\.min\.(js|css)$"
+GOLDEN = r"^testdata/golden(?:/|$)"
+DOCUMENT = r"(?i)(?:^|/)(?:readme|changelog|contributing|license)(?:\.(?:md|mdx|rst|adoc|txt))?$|(?:^|/)(?:docs?|documentation)/.+\.(?:md|mdx|rst|adoc|txt)$"
+CONFIGURATION = r"(?i)(?:^|/)(?:requirements(?:-[^/]*)?\.txt|cmakelists\.txt|package(?:-lock)?\.json|pnpm-lock\.yaml|yarn\.lock|tsconfig(?:\.[^/]*)?\.json|dockerfile|makefile|\.env(?:\.[^/]*)?|[^/]+\.(?:jsonc?|ya?ml|toml|ini|conf|config|lock))$"
+SENSITIVE = r"(?i)(?:^|/)(?:\.env(?:\.[^/]*)?|(?:env(?:ironment)?|credentials?|secrets?|tokens?|permissions?|polic(?:y|ies)|security)\.(?:jsonc?|ya?ml|toml|ini|conf|config))$"
+RUNTIME_MARKDOWN = r"(?i)(?:^|/)(?:assets/agents/[^/]+\.md|skills/[^/]+/skill\.md)$"
+HOT = r"(?i)(?:^|/)(?:auth|update|security|payments)(?:/|$)"
+RISK = r"(?i)(?:^|/)(?:auth|security|payments|permissions?|secrets?|credentials?|tokens?|polic(?:y|ies))(?:/|$)|(?:package(?:-lock)?\.json|pnpm-lock\.yaml|yarn\.lock)$"
+RESILIENCE = r"(?i)(?:^|/)(?:update|deploy|deployment|infra|infrastructure|ops|migrations?|rollback|recovery)(?:/|$)"
+RELIABILITY = r"(?i)(?:^|/)(?:tests?|specs?|runtime|api)(?:/|$)|(?:\.test|\.spec)\.[^/]+$"
+RISK_WORD = r"^(?:auth|authentication|authorization|update|updater|security|payments?|permissions?|shell|process|processes|secrets?|credentials?|tokens?)$"
+RISK_PHRASE = r"(?i)(?:data[-_/ ]?(?:exposure|loss)|privilege[-_/ ]?escalation)"
 
 
 def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -82,13 +101,21 @@ def allowance(limits: DataFrame) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Nearest-rank percentiles and the upper median, from running counts of distinct values.
+    """Nearest-rank percentiles and the upper median of each group, selected from sorted ranges.
 
-    No group's values are gathered: equal values are counted first.
+    Equal values are counted first.  Distinct values are dealt by ranges of (keys,
+    value), so that a group of any number of them spreads over many tasks; the counts
+    of the ranges before give each range its first rank, and only the ranges' own
+    values are summed in a task.  Null keys are a group of their own.
     """
-    counts = rows.groupBy(*keys, value).count()
-    step = W.partitionBy(*keys).orderBy(value)
-    placed = counts.withColumn("upto", F.sum("count").over(step)).withColumn("n", F.sum("count").over(W.partitionBy(*keys)))
+    counts = _cut(rows.groupBy(*keys, value).agg(F.count("*").alias("__n")).repartitionByRange(*keys, value).withColumn("__part", F.spark_partition_id()))
+    of = W.partitionBy(*keys)
+    spans = counts.groupBy(*keys, "__part").agg(F.sum("__n").alias("__sum"))
+    spans = spans.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.sum("__sum").over(of).alias("n"), F.coalesce(F.sum("__sum").over(of.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    placed = counts.join(spans, same).withColumn("upto", F.col("__before") + F.sum("__n").over(W.partitionBy(*keys, "__part").orderBy(value)))
     at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col(value)))
     p = lambda q: at(F.greatest(F.lit(1), F.ceil(F.col("n") * q)))
     return placed.groupBy(*keys).agg(F.min(value).alias("least"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("most"), at(F.floor(F.col("n") / 2) + 1).alias("upper_median"))
@@ -108,11 +135,29 @@ def latch(values: DataFrame, key: str, order: list[str], value: str, at: float)
     return values.withColumn("__fires", high & ~F.coalesce(before, F.lit(False))).where("__fires").drop("__fires")
 
 
-def risk(changes: DataFrame, keys: list[str], most_lines: int = 400) -> DataFrame:
-    """Per group: lines, whether any path is sensitive or all are documents, tier, and correction budget."""
-    lines = F.sum("lines")
-    tier = F.when(F.bool_or("sensitive") | (lines > most_lines), "high").when(F.every("document"), "low").otherwise("medium")
-    return changes.groupBy(*keys).agg(lines.alias("lines"), tier.alias("tier"), F.least(F.lit(200), F.ceil(lines / 2)).cast("long").alias("budget"))
+def risk(changes: DataFrame, keys: list[str], most_lines: int = SLICE_LINES) -> DataFrame:
+    """Per key of changes (keys, path, added, deleted, opaque): lines, tier, budget and lenses by the paths' own risk.
+
+    Generated goldens count nowhere, opaque changes (binaries and modes) have no lines.
+    high where the lines are more than ``most_lines`` or a path has a word or phrase of
+    high risk; low where nothing is opaque or configuration and all is documentation,
+    as where nothing is left; else medium.  The budget is half of the lines, at most
+    MOST_BUDGET.
+    """
+    path, authored = F.col("path"), ~F.col("path").rlike(GOLDEN)
+    opaque = F.coalesce(F.col("opaque"), F.lit(False))
+    grave = path.rlike(RISK_PHRASE) | F.exists(path_tokens(path), lambda x: x.rlike(RISK_WORD))
+    some = lambda test: F.coalesce(F.bool_or(authored & test), F.lit(False))
+    lines = F.sum(F.when(authored & ~opaque, F.coalesce("added", F.lit(0)) + F.coalesce("deleted", F.lit(0))).otherwise(0)).cast("long")
+    document = path.rlike(DOCUMENT) | extension(path).isin(".md", ".mdx", ".rst", ".adoc")
+    flags = changes.groupBy(*keys).agg(
+        lines.alias("lines"), some(grave).alias("grave"), some(opaque).alias("opaque"), some(path.rlike(CONFIGURATION)).alias("configuration"), some(~document).alias("other"), some(path.rlike(RESILIENCE)).alias("resilience"), some(path.rlike(RELIABILITY)).alias("reliability")
+    )
+    high = (F.col("lines") > most_lines) | F.col("grave")
+    low = ~high & ~F.col("opaque") & ~F.col("configuration") & ~F.col("other")
+    lens = F.when(F.col("resilience"), "review-resilience").when(F.col("reliability"), "review-reliability").otherwise("review-readability")
+    budget = F.least(F.lit(MOST_BUDGET), F.ceil(F.col("lines") / 2)).cast("long")
+    return flags.select(*keys, "lines", F.when(high, "high").when(low, "low").otherwise("medium").alias("tier"), budget.alias("budget"), F.when(high, ",".join(LENSES)).when(low, "").otherwise(lens).alias("lenses"))
 
 
 def latest(records: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -162,25 +207,40 @@ def usage_counters(asked: DataFrame, keys: list[str], most_shapes: int = 5) -> D
     return out.withColumn("saved", F.when(quarter < 0, F.ceil(quarter)).otherwise(F.floor(quarter)).cast("long"))
 
 
-def slice_size(changes: DataFrame, keys: list[str], most: int = 400) -> DataFrame:
-    """Per key: added and deleted lines but for generated paths and binaries (null counts), and whether they are more than ``most``."""
-    generated = F.col("path").rlike(r"(^|/)(dist|build|vendor|node_modules)/|\.(lock|snap|min\.js)$")
-    counted = F.sum(F.when(~generated & F.col("added").isNotNull() & F.col("deleted").isNotNull(), F.col("added") + F.col("deleted")).otherwise(0)).cast("long")
+def slice_size(changes: DataFrame, keys: list[str], most: int = SLICE_LINES) -> DataFrame:
+    """Per key: added and deleted lines but for generated paths (GENERATED) and binaries (null counts), and whether they are more than ``most``."""
+    counted = F.sum(F.when(~F.col("path").rlike(GENERATED) & F.col("added").isNotNull() & F.col("deleted").isNotNull(), F.col("added") + F.col("deleted")).otherwise(0)).cast("long")
     return changes.groupBy(*keys).agg(counted.alias("lines"), (counted > most).alias("large"))
 
 
-def review_route(changes: DataFrame, keys: list[str], hot: str, most: int = 400) -> DataFrame:
-    """Per key: the route of a review and its dominant lens, from flags over paths.
+def _document(path: Column) -> Column:
+    """Whether a path is documentation by its place and name, and no configuration, nor markdown that a package reads when it runs."""
+    return path.rlike(DOCUMENT) & ~path.rlike(CONFIGURATION) & ~path.rlike(RUNTIME_MARKDOWN)
+
+
+def review_route(changes: DataFrame, keys: list[str], most: int = SLICE_LINES, complete: str | None = None) -> DataFrame:
+    """Per key of changes (keys, path, lines): lines, route, lenses and reason of an ordinary review.
 
-    trivial where all paths are documents, full where one matches ``hot`` or the lines
-    are more than ``most``, else standard; lens: risk, resilience, reliability,
-    readability, in that order.
+    trivial where all paths are documentation and the evidence is complete
+    (``complete``, a boolean column; without one it is), full-4R where a path is hot or
+    the lines are more than ``most``, else standard with the one lens of the gravest
+    signal: risk, resilience, reliability, readability.
     """
-    some = lambda p: F.bool_or(F.col("path").rlike(p))
-    lines = F.sum(F.coalesce("lines", F.lit(0)))
-    route = F.when(F.every(F.col("path").rlike(r"\.(md|txt)$")), "trivial").when(some(hot) | (lines > most), "full").otherwise("standard")
-    lens = F.when(some(hot), "risk").when(some(r"(retry|queue|timeout)"), "resilience").when(some(r"(test|spec)"), "reliability").otherwise("readability")
-    return changes.groupBy(*keys).agg(lines.cast("long").alias("lines"), route.alias("route"), lens.alias("lens"))
+    path = F.col("path")
+    some = lambda p: F.bool_or(path.rlike(p))
+    lines = F.sum(F.coalesce("lines", F.lit(0))).cast("long")
+    whole = F.every(F.coalesce(F.col(complete), F.lit(False))) if complete else F.lit(True)
+    flags = changes.groupBy(*keys).agg(
+        lines.alias("lines"), (F.every(_document(path)) & whole).alias("trivial"), some(HOT).alias("hot"), (some(RISK) | some(SENSITIVE)).alias("risk"), some(RESILIENCE).alias("resilience"), some(RELIABILITY).alias("reliability")
+    )
+    large = F.col("lines") > most
+    lens = F.when(F.col("risk"), "review-risk").when(F.col("resilience"), "review-resilience").when(F.col("reliability"), "review-reliability").otherwise("review-readability")
+    full = F.col("hot") | large
+    trivial = F.coalesce("trivial", F.lit(False))
+    return flags.select(
+        *keys, "lines", F.when(trivial, "trivial").when(full, "full-4R").otherwise("standard").alias("route"), F.when(trivial, "").when(full, ",".join(LENSES)).otherwise(lens).alias("lenses"),
+        F.when(trivial, "objective triviality proven for every changed path").when(F.col("hot"), "non-trivial hot-path diff requires full 4R").when(large, f"diff exceeds {most} changed lines").otherwise("non-trivial or unproven diff uses one dominant-risk lens").alias("reason"),
+    )
 
 
 def verdict(executed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

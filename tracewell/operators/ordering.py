@@ -5,10 +5,16 @@ Reserved column names begin with two underscores; input columns of any other nam
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import WHITE, fold, fold_all
+
 
 def page_of(rows: DataFrame, order: list[str], offset: int, limit: int) -> tuple[DataFrame, int | None]:
     """One page and the next offset, None at the end; the limit is held between 1 and 50."""
@@ -24,16 +30,6 @@ def pages(rows: DataFrame, keys: list[str], order: list[str], size: int) -> Data
     return rows.withColumn("place", place.cast("long")).withColumn("page", F.floor((F.col("place") - 1) / size).cast("long"))
 
 
-def frozen(rows: DataFrame, order: list[str], generation: str, question: str) -> DataFrame:
-    """``rows`` in order with row_no and a cursor bound to the generation, the question and the content before it.
-
-    The cursor of a row is the digest of generation, question and row_no; a page is a
-    range of row_no, and a cursor of another generation or question names no row.
-    """
-    numbered = rows.withColumn("row_no", (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))  # an answer that was asked for, small
-    return numbered.withColumn("cursor", F.sha2(F.concat_ws("\n", F.lit(generation), F.lit(question), F.col("row_no")), 256))
-
-
 def text_pages(texts: DataFrame, size: int, text: str = "text") -> DataFrame:
     """Each text in pieces of ``size`` code points: page (from 0) and piece in place of the text; null and empty texts give none."""
     n = F.ceil(F.char_length(text) / size).cast("int")
@@ -106,24 +102,48 @@ def widget(tasks: DataFrame, now: int, recent_for: int, most: int) -> DataFrame:
     return shown.orderBy(F.desc("active"), F.desc(F.coalesce("ended", "started")), "id").limit(most).orderBy("started", "id")
 
 
-def visible_range(selected: int, total: int, most: int) -> tuple[int, int]:
-    """Rows [first, last) of a list, at most ``most``, with the selected one in the middle where there is room."""
-    first = max(0, min(selected - most // 2, total - most))
-    return first, min(total, first + most)
+def visible(rows: DataFrame, keys: list[str], order: list[str], selected: str, most: int) -> DataFrame:
+    """The rows of each list that a view of ``most`` rows shows: the selected one in the middle where there is room; adds place, from 0.
+
+    selected: a boolean column, true for one row at most; without one the first rows
+    are shown.
+    """
+    whole = W.partitionBy(*keys)
+    placed = rows.withColumns({"__at": F.row_number().over(whole.orderBy(*order)) - 1, "__n": F.count("*").over(whole)})
+    placed = placed.withColumn("__to", F.coalesce(F.max(F.when(F.col(selected), F.col("__at"))).over(whole), F.lit(0)))
+    first = F.greatest(F.lit(0), F.least(F.col("__to") - most // 2, F.col("__n") - most))
+    return placed.where((F.col("__at") >= first) & (F.col("__at") < first + most)).withColumn("place", F.col("__at").cast("long")).drop("__at", "__n", "__to")
+
+
+def collated(rows: DataFrame, keys: list[str], names: list[str], then: list[str]) -> DataFrame:
+    """``rows`` with place, from 1, in each group: by ``names`` as a reader sorts them - letters before accents before case - and ``then`` by value."""
+    order = [F.collate(F.col(c), "UNICODE") for c in names] + [F.col(c) for c in then]
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
 def fitting(rows: DataFrame, keys: list[str], order: list[str], size: str, most: int) -> DataFrame:
     """Rows that fit a budget of each group in order: one that is too large is left out, and smaller ones after it may still fit.
 
-    A fold over one array of sizes per group: the groups are answers that were asked
-    for, not tables.  A null size counts as 0.
+    Rows are sorted by group and pass one after the other; what is carried along is
+    the group's name and how much of its budget is used, so that a group of any length
+    takes no memory.  A null size counts as 0.
     """
-    placed = rows.withColumn("__at", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    lists = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")))).alias("__list"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
-    step = lambda acc, x: F.when(acc["used"] + x["n"] <= most, F.struct((acc["used"] + x["n"]).alias("used"), F.concat(acc["kept"], F.array(x["__at"])).alias("kept"))).otherwise(acc)
-    kept = lists.select(*keys, F.explode(F.aggregate("__list", start, step, lambda acc: acc["kept"])).alias("__at"))
-    return placed.join(kept, [*keys, "__at"]).drop("__at")
+    amount = F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__n")
+    group = F.to_json(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys])).alias("__group")
+    placed = rows.select(*[F.col(f"`{c}`") for c in rows.columns], amount, group).repartition("__group").sortWithinPartitions("__group", *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = None, 0
+        for batch in batches:
+            kept = []
+            for name, n in zip(batch.column("__group").to_pylist(), batch.column("__n").to_pylist(), strict=True):
+                at, used = name, used if name == at else 0
+                kept.append(used + n <= most)
+                used += n if kept[-1] else 0
+            yield batch.filter(pa.array(kept, pa.bool_())).select(columns)
+
+    columns = rows.columns
+    return placed.mapInArrow(run, rows.schema)
 
 
 def unique_or_unknown(peers: DataFrame, headers: DataFrame, activations: DataFrame) -> DataFrame:
@@ -141,15 +161,15 @@ def annotated(tasks: DataFrame, annotations: DataFrame, keys: list[str]) -> tupl
 
 def match_work(nodes: DataFrame, area: str | None = None, topic: str | None = None, tag: str | None = None, text: str | None = None, root: str | None = None) -> DataFrame:
     """(node, reasons) of nodes (node, label, area, topic, tags, root) that meet every filter given; without any, all, as "classified"."""
-    fold = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), fold)
+    low = lambda c: fold(F.coalesce(F.col(c), F.lit("")))
+    tags = fold_all(F.coalesce("tags", F.array().cast("array<string>")))
     tests = []
     for want, name, test in (
-        (area, "area", lambda w: fold(F.col("area")) == w), (topic, "topic", lambda w: fold(F.col("topic")) == w), (tag, "tag", lambda w: F.array_contains(tags, w)),
-        (text, "text", lambda w: F.exists(F.concat(F.array(fold(F.col("label")), fold(F.col("area")), fold(F.col("topic"))), tags), lambda x: F.contains(x, F.lit(w)))),
+        (area, "area", lambda w: low("area") == w), (topic, "topic", lambda w: low("topic") == w), (tag, "tag", lambda w: F.array_contains(tags, w)),
+        (text, "text", lambda w: F.exists(F.concat(F.array(low("label"), low("area"), low("topic")), tags), lambda x: F.contains(x, F.lit(w)))),
     ):
         if want is not None:
-            nodes = nodes.where(test(want.strip().lower()))
+            nodes = nodes.where(test(unicodedata.normalize("NFC", want).strip(WHITE).lower()))
             tests.append(name)
     if root is not None:
         nodes, tests = nodes.where(F.col("root") == root), [*tests, "repository_root"]

@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HERMETIC = ("hermetic_static", "hermetic_unit")
-#: Which status may follow which.
-TRANSITIONS = (("running", "passed"), ("running", "failed"), ("running", "cancelled"), ("passed", "expired"), ("failed", "expired"), ("cancelled", "expired"))
+#: Which status may follow which, and what may be reused.
+TRANSITIONS = (
+    ("running", "passed"), ("running", "failed"), ("running", "aborted"), ("passed", "stale"), ("passed", "expired"), ("passed", "invalidated"), ("failed", "stale"), ("failed", "invalidated"),
+)
+HARMLESS = ("pure_validation", "reproducible_build")
 
 
 def validity(proofs: DataFrame, coverage: DataFrame, digests: DataFrame, changed: DataFrame, reach: DataFrame, trust_hermetic: bool = False) -> DataFrame:
@@ -71,15 +74,49 @@ def transitions(moves: DataFrame) -> DataFrame:
     return moves.withColumn("allowed", F.coalesce(F.array_contains(pair, F.concat("before", F.lit(">"), "after")), F.lit(False)))
 
 
-def reuse(decisions: DataFrame) -> DataFrame:
-    """(id, action) of decisions (id, valid, confidence, effects, forced): run, reuse or ask; null flags count as false.
+def reuse(asked: DataFrame, proofs: DataFrame, now: int) -> DataFrame:
+    """(id, decision, reason, age) for each of ``asked`` (id, fingerprint) by its proof: execute, no_reuse or reuse.
 
-    Forced runs run; what is not valid runs; effects outside the sandbox run; hermetic
-    confidence is reused; anything else asks.
+    proofs: the current view (id, fingerprint, status, confidence, side_effects,
+    invalidation, finished); one proof an id.  No proof, another fingerprint, and any
+    status but passed execute; a failed proof is evidence and never blocks.  What
+    passed is reused only if its effects are HARMLESS and its confidence HERMETIC.
+    age is ``now`` less the time it finished, null without one.
     """
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    action = F.when(flag("forced") | ~flag("valid"), "run").when(F.coalesce(F.col("effects") == "external", F.lit(False)), "run").when(F.col("confidence").isin(*HERMETIC), "reuse").otherwise("ask")
-    return decisions.select("id", action.alias("action"))
+    p = proofs.select("id", F.col("fingerprint").alias("of"), "status", "confidence", "side_effects", "invalidation", "finished", F.lit(True).alias("found"))
+    rows = asked.join(p, "id", "left")
+    status = F.col("status")
+    ladder = [
+        (F.col("found").isNull(), "execute", F.lit("no-proof")),
+        (~F.col("of").eqNullSafe(F.col("fingerprint")), "execute", F.lit("mismatch")),
+        (status == "running", "execute", F.lit("in-flight")),
+        (status == "failed", "execute", F.lit("failed")),
+        (status.isin("stale", "expired", "invalidated"), "execute", F.concat_ws(": ", status, "invalidation")),
+        (status == "aborted", "execute", F.lit("aborted")),
+        (~F.coalesce(F.col("side_effects").isin(*HARMLESS), F.lit(False)), "no_reuse", F.lit("side-effects")),
+        (~F.coalesce(F.col("confidence").isin(*HERMETIC), F.lit(False)), "no_reuse", F.lit("confidence")),
+    ]
+    found = F.struct(F.lit("reuse").alias("decision"), F.lit("reusable").alias("reason"))
+    for test, decision, reason in reversed(ladder):
+        found = F.when(test, F.struct(F.lit(decision).alias("decision"), reason.alias("reason"))).otherwise(found)
+    return rows.select("id", found.alias("d"), (F.lit(now) - F.col("finished")).alias("age")).select("id", "d.decision", "d.reason", "age")
+
+
+def select_tests(inventory: DataFrame, proofs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(suite, name, action, reason, fallback): which tests of each suite may reuse their proof, and which run.
+
+    inventory: suite, name, fingerprint.  proofs: fingerprint, status.  verdicts: what
+    ``validity`` tells of each fingerprint (a test without a proof is judged by what it
+    covers).  A proof that passed and is valid is reused; all else executes.  fallback
+    is true for a whole suite where the reach of a change is unknown for any of its
+    tests that execute.  Every test of the inventory is told once.
+    """
+    has = proofs.select("fingerprint", "status").dropDuplicates(["fingerprint"])
+    rows = inventory.join(has, "fingerprint", "left").join(verdicts.select("fingerprint", "valid", F.col("reason").alias("why")), "fingerprint", "left")
+    kept = F.coalesce(F.col("valid") & (F.col("status") == "passed"), F.lit(False))
+    rows = rows.select("suite", "name", F.when(kept, "reuse").otherwise("execute").alias("action"), F.when(F.col("status").isNull(), "no-proof").otherwise(F.coalesce("why", F.lit("no-verdict"))).alias("reason"), (~kept & F.coalesce(F.col("why") == "unknown-reach", F.lit(False))).alias("unknown"))
+    suites = rows.groupBy("suite").agg(F.bool_or("unknown").alias("fallback"))
+    return rows.drop("unknown").join(suites, "suite")
 
 
 def broken_chains(events: DataFrame, key: str = "chain") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: After so many levels those found are written together, so that a plan stays short.
@@ -51,24 +52,26 @@ def flat_changes(changes: DataFrame) -> DataFrame:
     return changes.crossJoin(several).select(path.alias("path"), "added", "deleted")
 
 
-def closure(parents: DataFrame, kept: DataFrame) -> DataFrame:
-    """(id) of everything that must stay: ``kept`` (id) and all their ancestors over ``parents`` (id, parent)."""
-    seen = frontier = _cut(kept.select("id").where("id is not null").distinct())
-    while True:
-        step = parents.join(frontier, "id").select(F.col("parent").alias("id")).where("id is not null").distinct()
-        frontier = _cut(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where the session names none, a session of one process gets a temporary folder; on
+    a cluster that is an error, as the executors would not see it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tracewell-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Writes a level into the folder that ``spark.checkpoint.dir`` names and reads it back."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """Writes a level into the shared folder and reads it back."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import half_up
+from ..functions.scalars import fold, fold_all, half_up
 
 
 def _traits(nodes: DataFrame) -> Column:
     """Distinct, ordered (reason, value) of a node: area, topic within it, tags, and declared references where there is a column refs."""
-    fold = lambda c: F.lower(F.trim(c))
     area, topic = fold(F.col("area")), fold(F.col("topic"))
     trait = lambda reason, value: F.struct(F.lit(reason).alias("reason"), value.alias("value"))
     parts = [
         F.array(F.when(area != "", trait("area", area)), F.when((area != "") & (topic != ""), trait("topic", F.concat_ws("\n", area, topic)))),
-        F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.when(fold(t) != "", trait("tag", fold(t)))),
+        F.transform(fold_all(F.coalesce("tags", F.array().cast("array<string>"))), lambda t: F.when(t != "", trait("tag", t))),
     ]
     if "refs" in nodes.columns:
         ref = lambda r: F.when(r.isNotNull(), trait("ref", F.to_json(F.struct(r["kind"].alias("kind"), r["repository"].alias("repository"), r["id"].alias("id")))))

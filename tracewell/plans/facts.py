@@ -198,8 +198,8 @@ def facts_import_rows(spark, d):
     return facts.import_rows(imports(spark, d))
 
 
-@query(f"""WITH {SQL}, r AS (SELECT CASE WHEN target IS NOT NULL THEN 'resolved' WHEN specifier LIKE 'node:%' THEN 'builtin' WHEN specifier LIKE '.%' THEN 'relative' ELSE 'external' END AS category, specifier FROM eb)
-SELECT category, count(*) AS n, CASE WHEN category = 'relative' THEN (SELECT string_agg(specifier, ',' ORDER BY specifier) FROM (SELECT DISTINCT specifier FROM r WHERE category = 'relative' ORDER BY specifier LIMIT 3)) ELSE '' END AS examples FROM r GROUP BY category""")
+@query(f"""WITH {SQL}, r AS (SELECT CASE WHEN evidence IN ('typescript', 'filesystem') THEN 'resolved' WHEN specifier LIKE 'node:%' THEN 'builtin' WHEN specifier LIKE '.%' OR specifier LIKE '/%' THEN 'relative' ELSE 'external' END AS category, importer, specifier FROM eb WHERE evidence IN ('typescript', 'filesystem', 'unresolved'))
+SELECT category, count(*) AS n, CASE WHEN category = 'relative' THEN (SELECT string_agg(importer || ' -> ' || specifier, chr(10) ORDER BY importer, specifier) FROM (SELECT * FROM r WHERE category = 'relative' ORDER BY importer, specifier LIMIT 3)) ELSE '' END AS examples FROM r GROUP BY category""")
 def facts_resolution_summary(spark, d):
     b, _ = database(spark, d)
     return facts.resolution_summary(b["edges"])
@@ -214,15 +214,23 @@ def facts_boundary_edges(spark, d):
     return facts.boundary_edges(b["edges"], delta(b["files"], c["files"]).where("change <> 'untouched'"))
 
 
-@query(f"""WITH {SQL}, c AS (SELECT n % 5 AS change, CASE WHEN n % 5 = 0 THEN 'doc/' || n || '.md' ELSE path END AS path FROM f WHERE t IN (1, 2) AND n < 300),
-x AS (SELECT change, count(DISTINCT importer) AS dependents FROM c JOIN eb ON eb.target = c.path WHERE NOT EXISTS (SELECT 1 FROM c i WHERE i.change = c.change AND i.path = importer) GROUP BY change)
-SELECT change, count(DISTINCT path) AS files, coalesce(max(dependents), 0) AS dependents, CASE WHEN change = 0 THEN 'low' WHEN max(dependents) > 0 THEN 'high' ELSE 'medium' END AS tier FROM c LEFT JOIN x USING (change) GROUP BY change""")
+@query(f"""WITH {SQL}, c AS (SELECT DISTINCT n % 40 AS change, CASE WHEN n % 40 = 0 THEN 'docs/' || n || '.yaml' WHEN n % 40 = 1 THEN 'tests/' || n || '.ts' WHEN n % 40 = 2 THEN n || '.md' WHEN n % 40 = 3 THEN 'notes' || n || '.txt' ELSE path END AS path FROM f WHERE t IN (1, 2)),
+ed AS (SELECT DISTINCT importer, target FROM eb WHERE target IS NOT NULL),
+x AS (SELECT c.change, importer, target, true AS dep FROM c JOIN ed ON ed.target = c.path ANTI JOIN c AS i ON i.change = c.change AND i.path = ed.importer UNION ALL SELECT c.change, importer, target, false FROM c JOIN ed ON ed.importer = c.path ANTI JOIN c AS i ON i.change = c.change AND i.path = ed.target),
+y AS (SELECT change, count(DISTINCT CASE WHEN dep THEN importer END) AS dependents, count(*) AS boundary FROM x GROUP BY change),
+z AS (SELECT change, count(*) AS files, count_if(NOT regexp_matches(path, '^(tests|docs)/') AND NOT ends_with(path, '.md')) AS outside FROM c GROUP BY change),
+w AS (SELECT change, files, coalesce(dependents, 0) AS dependents, coalesce(boundary, 0) AS boundary, outside, CASE WHEN change % 3 = 0 THEN change ELSE 0 END AS open, CASE WHEN change % 3 = 0 THEN change % 2 ELSE 0 END AS fixed FROM z LEFT JOIN y USING (change))
+SELECT change, files, dependents, boundary, CASE WHEN outside = 0 THEN 'low' WHEN dependents > 0 THEN 'high' ELSE 'medium' END AS tier,
+array_to_string(list_sort(list_filter([CASE WHEN outside = 0 THEN 'all changed files are tests/docs/markdown: fixture or documentation-only change' WHEN dependents > 0 THEN 'changed files outside tests/docs affect ' || dependents || ' unchanged dependents: proposing high tier' WHEN boundary > 0 THEN boundary || ' module-boundary edge(s) touched: proposing at least medium tier' ELSE outside || ' changed file(s) outside tests/docs with no other signal: proposing medium tier' END,
+CASE WHEN outside > 0 AND dependents > 0 AND boundary > 0 THEN boundary || ' module-boundary edge(s) touched (context; high tier already applies)' END, CASE WHEN open > 0 THEN open || ' prior open advisories in ledger' END, CASE WHEN fixed > 0 THEN fixed || ' prior advisories fixed in ledger' END], lambda l: l IS NOT NULL)), chr(10)) AS rationale FROM w""")
 def facts_tier_proposal(spark, d):
+    """Forty changes over all orders and customers, four of them outside the code; every third has advisories."""
     b, _ = database(spark, d)
-    n = F.regexp_extract("path", r"(\d+)", 1).cast("long")
-    rows = read(spark, d, "orders").select(F.concat(F.lit("orders/"), "o_orderkey", F.lit(".ts")).alias("path")).unionByName(read(spark, d, "customer").select(F.concat(F.lit("customer/"), "c_custkey", F.lit(".ts")).alias("path")))
-    rows = rows.withColumn("n", n).where("n < 300").select((F.col("n") % 5).alias("change"), F.when(F.col("n") % 5 == 0, F.concat(F.lit("doc/"), "n", F.lit(".md"))).otherwise(F.col("path")).alias("path"))
-    return facts.tier_proposal(rows, b["edges"], ["change"])
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("n"), F.concat(F.lit("orders/"), "o_orderkey", F.lit(".ts")).alias("path")).unionByName(read(spark, d, "customer").select(F.col("c_custkey").alias("n"), F.concat(F.lit("customer/"), "c_custkey", F.lit(".ts")).alias("path")))
+    m = F.col("n") % 40
+    rows = rows.select(m.alias("change"), F.when(m == 0, F.concat(F.lit("docs/"), "n", F.lit(".yaml"))).when(m == 1, F.concat(F.lit("tests/"), "n", F.lit(".ts"))).when(m == 2, F.concat("n", F.lit(".md"))).when(m == 3, F.concat(F.lit("notes"), "n", F.lit(".txt"))).otherwise(F.col("path")).alias("path"))
+    ledger = rows.select("change").distinct().where("change % 3 = 0").select("change", F.col("change").alias("open"), (F.col("change") % 2).alias("fixed"))
+    return facts.tier_proposal(rows, b["edges"], ["change"], ledger)
 
 
 @query(f"WITH {SQL} SELECT (SELECT count(*) FROM fb) AS files, (SELECT count(*) FROM sy) AS symbols")
@@ -231,17 +239,34 @@ def facts_summary(spark, d):
     return facts.summary(b["files"], b["symbols"])
 
 
-@query(f"""WITH {SQL}, i AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'tests/o' ELSE 'src/o' END || o_orderkey || '.ts' AS importer, 'supplier/' || (o_orderkey % 150) || '.ts' AS path FROM orders)
-SELECT importer, id AS to_id, CASE WHEN importer LIKE 'tests/%' THEN 'validates' ELSE 'consumes' END AS kind FROM i JOIN en USING (path)""")
+IMPORTERS = """i AS (SELECT CASE o_orderkey % 7 WHEN 0 THEN 'test/o' WHEN 1 THEN 'src/__tests__/o' WHEN 2 THEN 'latest/o' ELSE 'src/o' END || o_orderkey || CASE o_orderkey % 5 WHEN 0 THEN '.test.mts' WHEN 1 THEN '.spec.helper.ts' ELSE '.ts' END AS importer, o_orderkey % 7 < 2 OR o_orderkey % 5 = 0 AS test, 'supplier/' || (o_orderkey % 150) || '.ts' AS path, o_orderkey % 7 = 1 AS deep FROM orders)"""
+
+
+def importers(spark, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    path = F.concat(F.when(k % 7 == 0, "test/o").when(k % 7 == 1, "src/__tests__/o").when(k % 7 == 2, "latest/o").otherwise("src/o"), k, F.when(k % 5 == 0, ".test.mts").when(k % 5 == 1, ".spec.helper.ts").otherwise(".ts"))
+    return read(spark, d, "orders").select(path.alias("path"), F.concat(F.when(k % 7 == 1, "../../").otherwise(".././"), F.lit("supplier/x/../"), k % 150, F.lit(".ts")).alias("specifier"))
+
+
+@query(f"""WITH {SQL}, {IMPORTERS} SELECT DISTINCT CASE WHEN test THEN 'test:' ELSE 'consumer:' END || importer AS from_id, importer, id AS to_id, CASE WHEN test THEN 'validates' ELSE 'consumes' END AS kind FROM i JOIN en USING (path)""")
 def facts_contract_edges(spark, d):
     b, _ = database(spark, d)
-    k = F.col("o_orderkey")
-    path = F.concat(F.when(k % 4 == 0, "tests/o").otherwise("src/o"), k, F.lit(".ts"))
-    return facts.contract_edges(read(spark, d, "orders").select(path.alias("path"), F.concat(F.lit(".././supplier/x/../"), k % 150, F.lit(".ts")).alias("specifier")), b["entities"])
+    return facts.contract_edges(importers(spark, d), b["entities"])
+
+
+@query(f"""WITH {SQL}, {IMPORTERS} SELECT DISTINCT CASE WHEN test THEN 'test:' ELSE 'consumer:' END || importer AS id, CASE WHEN test THEN 'test' ELSE 'consumer' END AS kind, regexp_extract(importer, '[^/]*$') AS name, importer AS path FROM i SEMI JOIN en USING (path)""")
+def facts_contract_consumers(spark, d):
+    b, _ = database(spark, d)
+    return facts.contract_entities(importers(spark, d), b["entities"])
+
+
+EXTENSIONS = (".ts", ".MTS", ".cjs", ".jsx", ".py", ".go", ".rs", "", ".d.cts", "/.py", ".mjs")
 
 
-@query(f"WITH {SQL} SELECT CASE WHEN path LIKE '%.ts' THEN 'TypeScript' ELSE 'other' END AS language, count(*) AS files FROM (SELECT path FROM fb UNION ALL SELECT source FROM documents) GROUP BY 1")
+@query(f"""WITH {SQL}, a AS (SELECT path FROM fb UNION ALL SELECT 'doc/' || doc_id || {list(EXTENSIONS)}[(doc_id % {len(EXTENSIONS)} + 1)::INT] FROM documents)
+SELECT CASE WHEN path LIKE '%/.py' THEN 'unknown' WHEN lower(path) SIMILAR TO '.*\\.(ts|tsx|mts|cts)' THEN 'typescript' WHEN lower(path) SIMILAR TO '.*\\.(js|jsx|mjs|cjs)' THEN 'javascript' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.go' THEN 'go' ELSE 'unknown' END AS language, count(*) AS files FROM a GROUP BY 1""")
 def facts_languages(spark, d):
     b, _ = database(spark, d)
-    paths = b["files"].select("path").unionByName(read(spark, d, "documents").select(F.col("source").alias("path")))
-    return paths.groupBy(facts.language(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
+    i = F.col("doc_id")
+    docs = read(spark, d, "documents").select(F.concat(F.lit("doc/"), i, F.element_at(F.array(*map(F.lit, EXTENSIONS)), (i % len(EXTENSIONS) + 1).cast("int"))).alias("path"))
+    return b["files"].select("path").unionByName(docs).groupBy(facts.language(F.col("path")).alias("language")).agg(F.count("*").alias("files"))

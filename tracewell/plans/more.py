@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dedup_key
-from ..operators import history, ledger, metrics, ordering, proofs, snapshots, stats
+from ..operators import branches, cursors, history, ledger, metrics, ordering, proofs, snapshots, stats
 from .registry import TODAY, query, read, usage
 
 E = "e AS (SELECT event_id, ts, user_id, event_type, value, (props->>'$.k')::BIGINT AS k FROM events)"
@@ -157,20 +157,49 @@ def changes(spark, d) -> DataFrame:
     return ev(spark, d).select("user_id", path.alias("path"), F.when(k % 9 > 0, k).alias("added"), F.when(k % 9 > 0, F.floor(k / 2)).alias("deleted"), "event_id")
 
 
-@query(f"WITH {CHANGES}, s AS (SELECT user_id, coalesce(sum(CASE WHEN path NOT LIKE 'dist/%' THEN added + deleted END), 0)::BIGINT AS lines FROM c GROUP BY 1) SELECT *, lines > 400 AS large FROM s")
+#: Paths, and what the rules of reviews say of each, told by hand: documentation, configuration, hot, risk, resilience, reliability, generated, of grave risk, documentation to the risk tier, golden.
+REVIEWED = (
+    ("src/auth/login.ts", "hot risk grave"), ("docs/guide.md", "doc doc2"), ("README.md", "doc doc2"), ("tests/a.ts", "rel"), ("package.json", "cfg risk"), ("src/update/x.ts", "hot res grave"), ("skills/x/SKILL.md", "doc2"),
+    ("infra/a.tf", "res"), ("build/x.ts", ""), ("app.min.css", "gen"), ("go.sum", "gen"), (".env.local", "cfg risk"), ("config/secrets.yaml", "cfg risk grave"), ("src/plain.ts", ""), ("lib/runtime/a.go", "rel"),
+    ("testdata/golden/a.txt", "golden"), ("docs/requirements.txt", "cfg doc2"), ("CONTRIBUTING", "doc doc2"), ("docs/skills/a/skill.md", "doc2"), ("data-loss.py", "grave"), ("src/pnpm-lock.yaml", "cfg risk gen"),
+)
+RULES = f"""p(i, path, say) AS (VALUES {', '.join(f"({i}, '{path}', ' {say} ')" for i, (path, say) in enumerate(REVIEWED))}),
+c AS (SELECT user_id, event_id // 100 AS change, path, CASE WHEN k % 9 > 0 THEN k END AS added, CASE WHEN k % 9 > 0 THEN k // 2 END AS deleted, {', '.join(f"contains(say, ' {w} ') AS {w}" for w in 'doc cfg hot risk res rel gen grave doc2 golden'.split())} FROM e JOIN p ON i = (k * 7 + user_id) % {len(REVIEWED)})"""
+
+
+def reviewed(spark, d) -> DataFrame:
+    k = F.col("k")
+    path = F.element_at(F.array(*[F.lit(x) for x, _ in REVIEWED]), ((k * 7 + F.col("user_id")) % len(REVIEWED) + 1).cast("int"))
+    return ev(spark, d).select("user_id", F.floor(F.col("event_id") / 100).alias("change"), path.alias("path"), F.when(k % 9 > 0, k).alias("added"), F.when(k % 9 > 0, F.floor(k / 2)).alias("deleted"), (k % 9 == 0).alias("opaque"))
+
+
+@query(f"WITH {E}, {RULES}, s AS (SELECT user_id, coalesce(sum(CASE WHEN NOT gen THEN added + deleted END), 0)::BIGINT AS lines FROM c GROUP BY 1) SELECT *, lines > 400 AS large FROM s")
 def slice_size(spark, d):
-    return metrics.slice_size(changes(spark, d), ["user_id"])
+    return metrics.slice_size(reviewed(spark, d), ["user_id"])
 
 
-@query(f"WITH {CHANGES} SELECT user_id, coalesce(sum(CASE WHEN path NOT LIKE 'tests/%' THEN added + deleted END), 0)::BIGINT AS lines FROM c GROUP BY 1")
-def authored_lines(spark, d):
-    return ledger.authored_lines(changes(spark, d), ["user_id"], "^tests/")
+FOUR = "'review-risk,review-resilience,review-readability,review-reliability'"
 
 
-@query(f"""WITH {CHANGES}, s AS (SELECT user_id, event_id // 100 AS change, coalesce(sum(added), 0)::BIGINT AS lines, bool_and(path LIKE '%.md') AS docs, bool_or(path LIKE 'src/purchase%') AS hot, bool_or(path LIKE 'tests/%') AS tests FROM c GROUP BY ALL)
-SELECT user_id, change, lines, CASE WHEN docs THEN 'trivial' WHEN hot OR lines > 100 THEN 'full' ELSE 'standard' END AS route, CASE WHEN hot THEN 'risk' WHEN tests THEN 'reliability' ELSE 'readability' END AS lens FROM s""")
+@query(f"""WITH {E}, {RULES}, s AS (SELECT user_id, change, coalesce(sum(added), 0)::BIGINT AS lines, bool_and(doc) AS docs, bool_or(hot) AS hot, bool_or(risk) AS risk, bool_or(res) AS res, bool_or(rel) AS rel FROM c GROUP BY ALL)
+SELECT user_id, change, lines, CASE WHEN docs THEN 'trivial' WHEN hot OR lines > 100 THEN 'full-4R' ELSE 'standard' END AS route,
+CASE WHEN docs THEN '' WHEN hot OR lines > 100 THEN {FOUR} WHEN risk THEN 'review-risk' WHEN res THEN 'review-resilience' WHEN rel THEN 'review-reliability' ELSE 'review-readability' END AS lenses,
+CASE WHEN docs THEN 'objective triviality proven for every changed path' WHEN hot THEN 'non-trivial hot-path diff requires full 4R' WHEN lines > 100 THEN 'diff exceeds 100 changed lines' ELSE 'non-trivial or unproven diff uses one dominant-risk lens' END AS reason FROM s""")
 def review_route(spark, d):
-    return metrics.review_route(changes(spark, d).select("user_id", F.floor(F.col("event_id") / 100).alias("change"), "path", F.col("added").alias("lines")), ["user_id", "change"], "^src/purchase", 100)
+    return metrics.review_route(reviewed(spark, d).withColumn("lines", F.col("added")), ["user_id", "change"], 100)
+
+
+@query(f"""WITH {E}, {RULES}, s AS (SELECT user_id, change, coalesce(sum(CASE WHEN NOT golden THEN added + deleted END), 0)::BIGINT AS lines, coalesce(bool_or(grave) FILTER (NOT golden), false) AS grave, coalesce(bool_or(added IS NULL) FILTER (NOT golden), false) AS opaque,
+coalesce(bool_or(cfg) FILTER (NOT golden), false) AS cfg, coalesce(bool_and(doc2) FILTER (NOT golden), true) AS docs, coalesce(bool_or(res) FILTER (NOT golden), false) AS res, coalesce(bool_or(rel) FILTER (NOT golden), false) AS rel FROM c GROUP BY ALL),
+t AS (SELECT *, CASE WHEN lines > 100 OR grave THEN 'high' WHEN NOT opaque AND NOT cfg AND docs THEN 'low' ELSE 'medium' END AS tier FROM s)
+SELECT user_id, change, lines, tier, least(200, ceil(lines / 2))::BIGINT AS budget, CASE WHEN tier = 'high' THEN {FOUR} WHEN tier = 'low' THEN '' WHEN res THEN 'review-resilience' WHEN rel THEN 'review-reliability' ELSE 'review-readability' END AS lenses FROM t""")
+def risk_tiers(spark, d):
+    return metrics.risk(reviewed(spark, d), ["user_id", "change"], 100)
+
+
+@query(f"WITH {CHANGES} SELECT user_id, coalesce(sum(CASE WHEN path NOT LIKE 'tests/%' THEN added + deleted END), 0)::BIGINT AS lines FROM c GROUP BY 1")
+def authored_lines(spark, d):
+    return ledger.authored_lines(changes(spark, d), ["user_id"], "^tests/")
 
 
 @query(f"WITH {CHANGES} SELECT user_id AS root, count(DISTINCT path) AS files, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted FROM c GROUP BY 1")
@@ -203,7 +232,7 @@ def snapshot_index_delta(spark, d):
 def graph_closure(spark, d):
     k = F.col("o_orderkey")
     o = read(spark, d, "orders")
-    return snapshots.closure(o.select(k.alias("id"), F.when(k % 2 == 0, F.floor(k / 2)).alias("parent")), o.where(k % 40 == 0).select(k.alias("id")))
+    return branches.closure(o.select(k.alias("id"), F.when(k % 2 == 0, F.floor(k / 2)).alias("parent")), o.where(k % 40 == 0).select(k.alias("id")))
 
 
 PROOFS = """pr AS (SELECT o_orderkey AS fingerprint, CASE o_orderkey % 11 WHEN 0 THEN 'expired' WHEN 1 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'hermetic_unit' ELSE 'open' END AS confidence FROM orders),
@@ -248,16 +277,47 @@ def proofs_by_prefix(spark, d):
     return proofs.by_prefix(o, asked)
 
 
-@query(f"WITH {E}, m AS (SELECT event_id, CASE k % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'passed' WHEN 2 THEN 'failed' END AS a, CASE k % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'expired' ELSE 'running' END AS b FROM e) SELECT event_id, a AS before, b AS after, coalesce((a = 'running' AND b = 'passed') OR (a IN ('passed', 'failed') AND b = 'expired'), false) AS allowed FROM m")
+STATUSES = ("running", "passed", "failed", "aborted", "stale", "expired", "invalidated")
+
+
+def _nth(values, at):
+    """The value at a place that counts from 0; null beyond the last."""
+    return F.get(F.array(*map(F.lit, values)), at.cast("int"))
+
+
+@query(f"""WITH {E}, m AS (SELECT event_id, {list(STATUSES)}[(k % 8 + 1)::INT] AS a, {list(STATUSES)}[(event_id % 8 + 1)::INT] AS b FROM e)
+SELECT event_id, a AS before, b AS after, coalesce(CASE a WHEN 'running' THEN b IN ('passed', 'failed', 'aborted') WHEN 'passed' THEN b IN ('stale', 'expired', 'invalidated') WHEN 'failed' THEN b IN ('stale', 'invalidated') END, false) AS allowed FROM m""")
 def proofs_transitions(spark, d):
-    k = F.col("k")
-    return proofs.transitions(ev(spark, d).select("event_id", F.when(k % 4 == 0, "running").when(k % 4 == 1, "passed").when(k % 4 == 2, "failed").alias("before"), F.when(k % 3 == 0, "passed").when(k % 3 == 1, "expired").otherwise("running").alias("after")))
+    return proofs.transitions(ev(spark, d).select("event_id", _nth(STATUSES, F.col("k") % 8).alias("before"), _nth(STATUSES, F.col("event_id") % 8).alias("after")))
 
 
-@query(f"WITH {E} SELECT event_id AS id, CASE WHEN k % 10 = 0 OR k % 3 = 0 OR k % 7 = 0 OR k % 7 = 1 THEN 'run' WHEN k % 2 = 0 THEN 'reuse' ELSE 'ask' END AS action FROM e")
+@query(f"""WITH {E}, p AS (SELECT event_id AS id, k, CASE WHEN k % 10 > 0 THEN {list(STATUSES)}[(CASE WHEN k % 3 = 0 THEN event_id % 7 ELSE 1 END + 1)::INT] END AS status, CASE WHEN k % 2 = 0 THEN 'mutating' WHEN k % 7 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'reproducible_build' ELSE 'pure_validation' END AS effects, CASE event_id % 3 WHEN 0 THEN 'hermetic_static' WHEN 1 THEN 'hermetic_unit' ELSE 'open' END AS confidence FROM e),
+r AS (SELECT id, k, CASE WHEN status IS NULL THEN 'no-proof' WHEN k % 13 = 0 THEN 'mismatch' WHEN status = 'running' THEN 'in-flight' WHEN status IN ('failed', 'aborted') THEN status WHEN status IN ('stale', 'expired', 'invalidated') THEN status || CASE WHEN k % 4 = 0 THEN ': inputs' ELSE '' END
+  WHEN coalesce(effects NOT IN ('pure_validation', 'reproducible_build'), true) THEN 'side-effects' WHEN confidence = 'open' THEN 'confidence' ELSE 'reusable' END AS reason FROM p)
+SELECT id, CASE WHEN reason IN ('side-effects', 'confidence') THEN 'no_reuse' WHEN reason = 'reusable' THEN 'reuse' ELSE 'execute' END AS decision, reason, CASE WHEN reason <> 'no-proof' AND k % 5 > 0 THEN 1000 - k END AS age FROM r""")
 def proofs_reuse(spark, d):
-    k = F.col("k")
-    return proofs.reuse(ev(spark, d).select(F.col("event_id").alias("id"), F.when(k % 7 > 0, k % 3 > 0).alias("valid"), F.when(k % 2 == 0, "hermetic_static").otherwise("open").alias("confidence"), F.when(k % 7 == 1, "external").alias("effects"), (k % 10 == 0).alias("forced")))
+    k, i = F.col("k"), F.col("event_id")
+    rows = ev(spark, d)
+    asked = rows.select(i.alias("id"), F.concat(F.lit("f"), i).alias("fingerprint"))
+    effects = F.when(k % 2 == 0, "mutating").when(k % 7 == 0, None).when(i % 2 == 0, "reproducible_build").otherwise("pure_validation")
+    found = rows.where(k % 10 > 0).select(
+        i.alias("id"), F.concat(F.lit("f"), F.when(k % 13 == 0, -1).otherwise(i)).alias("fingerprint"), _nth(STATUSES, F.when(k % 3 == 0, i % 7).otherwise(1)).alias("status"), _nth(("hermetic_static", "hermetic_unit", "open"), i % 3).alias("confidence"),
+        effects.alias("side_effects"), F.when(k % 4 == 0, "inputs").alias("invalidation"), F.when(k % 5 > 0, k).alias("finished"),
+    )
+    return proofs.reuse(asked, found, 1000)
+
+
+@query(f"""WITH {PROOFS}, pq AS (SELECT * REPLACE (CASE WHEN fingerprint % 6 = 0 THEN 'passed' ELSE status END AS status) FROM pr),
+v AS (SELECT fingerprint, status, CASE WHEN status = 'expired' THEN 'expired' WHEN status <> 'passed' THEN 'not-passed' WHEN stale > 0 THEN 'covered-changed' WHEN why IS NOT NULL THEN why WHEN n = 0 THEN 'unaffected' WHEN observed > 0 AND seen = 0 THEN 'observed' ELSE 'conservative' END AS reason FROM pq JOIN x USING (fingerprint)),
+r AS (SELECT o_custkey AS suite, fingerprint AS name, reason, fingerprint % 6 > 0 AND reason IN ('unaffected', 'observed') AS kept FROM v JOIN orders ON o_orderkey = fingerprint)
+SELECT suite, name, CASE WHEN kept THEN 'reuse' ELSE 'execute' END AS action, CASE WHEN name % 6 = 0 THEN 'no-proof' ELSE reason END AS reason, bool_or(NOT kept AND reason = 'unknown-reach') OVER (PARTITION BY suite) AS fallback FROM r""")
+def test_selection(spark, d):
+    """Each customer's orders are a suite; every sixth has no proof."""
+    t = proof_tables(spark, d)
+    no_proof = F.col("fingerprint") % 6 == 0
+    verdicts = proofs.validity(**t | {"proofs": t["proofs"].withColumn("status", F.when(no_proof, "passed").otherwise(F.col("status")))})
+    inventory = read(spark, d, "orders").select(F.col("o_custkey").alias("suite"), F.col("o_orderkey").alias("name"), F.col("o_orderkey").alias("fingerprint"))
+    return proofs.select_tests(inventory, t["proofs"].where(~no_proof), verdicts)
 
 
 @query(f"WITH {E}, c AS (SELECT user_id AS chain, event_id AS seq, event_id, CASE WHEN k % 20 = 0 THEN 0 ELSE lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS previous FROM e) SELECT chain, seq FROM (SELECT *, lag(event_id) OVER (PARTITION BY chain ORDER BY seq) AS want FROM c) WHERE previous IS DISTINCT FROM want")
@@ -279,7 +339,8 @@ def pages(spark, d):
 
 @query("WITH r AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_name) - 1 AS row_no FROM nation) SELECT n_nationkey, row_no, sha256('7' || chr(10) || 'nations' || chr(10) || row_no) AS cursor FROM r")
 def frozen_cursors(spark, d):
-    return ordering.frozen(read(spark, d, "nation"), ["n_name"], "7", "nations").select("n_nationkey", "row_no", "cursor")
+    rows = cursors.numbered(read(spark, d, "nation").select("n_name", "n_nationkey"), ["n_name"])
+    return rows.select("n_nationkey", "row_no", F.sha2(F.concat_ws("\n", F.lit("7"), F.lit("nations"), F.col("row_no")), 256).alias("cursor"))
 
 
 @query("SELECT conv_id, turn, i::INT AS page, substr(text, i * 100 + 1, 100) AS piece FROM (SELECT *, unnest(range(0, ceil(length(text) / 100)::BIGINT)) AS i FROM conversations)")
@@ -300,6 +361,18 @@ def palette(spark, d):
     return ordering.palette(p.select(F.col("p_size").alias("grp"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("label"), F.col("p_brand").alias("command"), F.col("p_type").alias("description")), " BR ").select("grp", "pos", "rank", "place")
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey, row_number() OVER w - 1 AS spot, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey)),
+s AS (SELECT *, max(CASE WHEN l_linenumber = l_orderkey % 7 + 1 AND x = 1 THEN spot END) OVER (PARTITION BY l_orderkey) AS sel FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_partkey, l_suppkey) AS x FROM l)),
+f AS (SELECT *, greatest(0, least(coalesce(sel, 0) - 1, n - 3)) AS first FROM s) SELECT l_orderkey, l_linenumber, spot AS place FROM f WHERE spot >= first AND spot < first + 3""")
+def visible_lines(spark, d):
+    """Three lines of each order around a selected one."""
+    from pyspark.sql import Window as W
+
+    x = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_quantity", "l_partkey", "l_suppkey"))
+    line = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", ((F.col("l_linenumber") == F.col("l_orderkey") % 7 + 1) & (x == 1)).alias("selected"))
+    return ordering.visible(line, ["l_orderkey"], ["l_linenumber", "l_quantity", "l_partkey", "l_suppkey"], "selected", 3).select("l_orderkey", "l_linenumber", "place")
+
+
 @query(f"WITH {E} SELECT user_id, event_type, min(event_id) AS event_id FROM e GROUP BY ALL")
 def first_seen(spark, d):
     return ordering.first_seen(ev(spark, d), ["user_id"], "event_type", "event_id")
@@ -339,11 +412,11 @@ def task_widget(spark, d):
     return ordering.widget(tasks(spark, d), 100, 20, 12).select("id", "started")
 
 
-@query("""WITH RECURSIVE m AS (SELECT conv_id, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS pos FROM conversations WHERE conv_id % 5 > 0),
+@query("""WITH RECURSIVE m AS (SELECT conv_id, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS pos FROM conversations),
 r AS (SELECT conv_id, 0::BIGINT AS pos, 0::BIGINT AS used, false AS kept FROM m WHERE pos = 1 UNION ALL SELECT m.conv_id, m.pos, CASE WHEN used + n <= 600 THEN used + n ELSE used END, used + n <= 600 FROM r JOIN m ON m.conv_id = r.conv_id AND m.pos = r.pos + 1)
 SELECT conv_id, count(*) AS kept, max(used) AS used FROM r WHERE kept GROUP BY conv_id""")
 def fitting_turns(spark, d):
-    c = conversations(spark, d).where("conv_id % 5 > 0").withColumn("n", F.char_length("text"))
+    c = conversations(spark, d).withColumn("n", F.char_length("text"))
     return ordering.fitting(c, ["conv_id"], ["turn", "role"], "n", 600).groupBy("conv_id").agg(F.count("*").alias("kept"), F.sum("n").alias("used"))
 
 

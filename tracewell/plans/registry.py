@@ -214,14 +214,6 @@ def monitor_latch(spark, d):
     return metrics.latch(usage(spark, d), "user_id", ["ms", "event_id"], "tokens", 90).select("user_id", "event_id")
 
 
-@query("""SELECT o_custkey, sum(l_quantity)::BIGINT AS lines, CASE WHEN bool_or(l_returnflag = 'R') OR sum(l_quantity) > 400 THEN 'high' WHEN bool_and(l_linestatus = 'O') THEN 'low' ELSE 'medium' END AS tier, least(200, ceil(sum(l_quantity) / 2))::BIGINT AS budget
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
-def risk_tiers(spark, d):
-    joined = read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_linestatus").join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = joined.select("o_custkey", F.col("l_quantity").cast("long").alias("lines"), (F.col("l_returnflag") == "R").alias("sensitive"), (F.col("l_linestatus") == "O").alias("document"))
-    return metrics.risk(rows, ["o_custkey"])
-
-
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
 def proofs_latest(spark, d):
     return metrics.latest(read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")

@@ -14,13 +14,15 @@ from .registry import query, read
 HALF = "floor({} + 0.5)::BIGINT"
 
 
-@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey * (o_orderkey % 97) * (o_orderkey % 13) AS n FROM orders)
-SELECT o_orderkey, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 10000 THEN NULL WHEN n < 1000000 THEN {HALF.format('n / 1000')} || 'k' WHEN n < 10000000 THEN NULL ELSE {HALF.format('n / 1000000')} || 'M' END AS tokens FROM o""")
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey * (o_orderkey % 97) * (o_orderkey % 13) AS n FROM orders UNION ALL SELECT -o_orderkey, 1000 + o_orderkey % 180 * 50 FROM orders)
+SELECT o_orderkey, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 10000 THEN CASE WHEN n % 500 = 250 THEN format('{{:.1f}}', (n + 50) / 1000.0::DOUBLE) ELSE format('{{:.1f}}', n / 1000.0::DOUBLE) END || 'k' WHEN n < 1000000 THEN {HALF.format('n / 1000')} || 'k'
+WHEN n < 10000000 THEN CASE WHEN n % 500000 = 250000 THEN format('{{:.1f}}', (n + 50000) / 1000000.0::DOUBLE) ELSE format('{{:.1f}}', n / 1000000.0::DOUBLE) END || 'M' ELSE {HALF.format('n / 1000000')} || 'M' END AS tokens FROM o""")
 def format_tokens(spark, d):
+    """All magnitudes, and every half of a tenth of a thousand."""
     k = F.col("o_orderkey")
     n = k * (k % 97) * (k % 13)
-    small = ((n >= 1000) & (n < 10_000)) | ((n >= 1_000_000) & (n < 10_000_000))  # ties of a half digit differ between formatters
-    return read(spark, d, "orders").select(k, F.when(~small, strings.tokens_text(n)).alias("tokens"))
+    o = read(spark, d, "orders").select(k, n.alias("n"))
+    return o.unionByName(o.select((-k).alias("o_orderkey"), (1000 + k % 180 * 50).alias("n"))).select("o_orderkey", strings.tokens_text(F.col("n")).alias("tokens"))
 
 
 @query("SELECT o_orderkey, CASE WHEN s = 604800 THEN 'week' WHEN s >= 86400 AND s % 86400 = 0 THEN s // 86400 || 'd' WHEN s >= 3600 AND s % 3600 = 0 THEN s // 3600 || 'h' ELSE floor(s / 60 + 0.5)::BIGINT || 'm' END AS label FROM (SELECT o_orderkey, (o_orderkey % 200) * 3600 + (o_orderkey % 3) * 1800 AS s FROM orders)")

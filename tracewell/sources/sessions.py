@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import trimmed
+
 
 def session_lines(spark: SparkSession, root: str) -> DataFrame:
     """file, block, row, line: the lines that are not blank of ``root/*/*.jsonl``, one directory deep.
@@ -12,7 +14,7 @@ def session_lines(spark: SparkSession, root: str) -> DataFrame:
     (block, row) orders the lines of a file; files stay splittable.
     """
     raw = spark.read.text(f"{root}/*/*.jsonl")
-    at = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.trim("value").alias("line"))
+    at = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), trimmed("value").alias("line"))
     return at.where("line <> ''")
 
 
@@ -53,5 +55,5 @@ def prompts(lines: DataFrame) -> DataFrame:
     """v, text, ts of stored prompts: the text must be a JSON string that is not blank; v is 1 if missing."""
     parsed = lines.withColumn("v", F.try_parse_json("line"))
     is_text = F.schema_of_variant(F.try_variant_get("v", "$.text", "variant")) == "STRING"
-    stored = parsed.where(is_text & (F.trim(_text("$.text")) != ""))
+    stored = parsed.where(is_text & (trimmed(_text("$.text")) != ""))
     return stored.select("file", "block", "row", F.coalesce(_number("$.v").cast("int"), F.lit(1)).alias("v"), _text("$.text").alias("text"), _number("$.ts").cast("long").alias("ts"))
