@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, texts
+from .common import read, settle, texts
 
 MIN_SALTS = 64
 GROUP_ROWS = 1_000_000
@@ -46,24 +46,32 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The three stages as above, with whole rows in place of ids, so that no verdict
     must be joined back.  Texts are equal when identical; null counts as empty; null
-    ids rank lowest; of rows with the same id and text any one stays.
+    ids rank lowest; of rows with the same id and text any one stays.  Columns of any
+    name stay as they are, and an empty table gives an empty result.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("__null"))
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), whole.alias("row"), F.struct(F.col(id_col).alias("id")).alias("rank"))
+    # The cells are a struct of their own, so that their names clash with none of these.
+    cells = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    whole = F.struct(cells.alias("cells"), F.col(f"`{text_col}`").isNull().alias("blank"))
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), whole.alias("row"), F.struct(F.col(f"`{id_col}`").alias("id")).alias("rank"))
     merged = lambda df, *keys: df.groupBy(*keys, "text_sha256", "text").agg(F.max_by("row", "rank").alias("row"), F.max("rank").alias("rank"))
     kept = merged(merged(_digests(rows, _salts(docs)), "salt"))
-    return kept.select(*[F.when(~F.col("row.__null"), F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[F.when(~F.col("row.blank"), F.col("text")).alias(c) if c == text_col else F.col(f"row.cells.`{c}`").alias(c) for c in docs.columns])
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanned: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty.  Of equal texts the
     largest id stays; null ids rank lowest.  Where rows repeat with the same id
     and text, exactly one of them is kept.  An empty table gives an empty result;
     columns other than the two named are ignored.
+
+    The plan runs over its input twice, and a row's salt is its partition.  Therefore
+    the two columns are written once, unless ``scanned`` says that ``docs`` is a plain
+    scan of files, which is cut into the same partitions whenever it runs.
     """
-    salted = local_groups(texts(docs, id_col, text_col), _salts(docs))
+    rows = texts(docs, id_col, text_col)
+    salted = local_groups(rows if scanned else settle(rows, "exact-rows"), _salts(docs))
     same = W.partitionBy("text_sha256", "text")
     # Both uses of ``salted`` take the same aggregate, and the join infers no filter, so that its shuffle of texts is made once.
     verdict = salted.select("salt", "text_sha256", "text", "winner", F.size("ids").cast("long").alias("n")).select(
@@ -88,7 +96,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_duplicates(read(spark, sf_dir, "documents"))
+    return exact_duplicates(read(spark, sf_dir, "documents"), scanned=True)
 
 
 OP8_SQL = """
