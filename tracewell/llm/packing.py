@@ -3,9 +3,11 @@
 Each task turns its share of the documents into pieces and packs them on its
 own: full windows are cut from overlong documents first, the remainders go,
 longest first, into the open window with the least room that still suffices.
-A segment tree over the capacities finds that window.  Nothing is shuffled and
-no count of the whole input is needed; a task's memory is a few numbers per
-piece of its block.
+A segment tree over the capacities finds that window.  Windows that keep more than
+SLACK tokens free are opened again: the pieces of all tasks' open windows - a few
+numbers each - are dealt out in groups of GROUP_PIECES and packed once more, so that
+padding does not grow with the number of tasks.  A task's memory is a few numbers
+per piece of its block or group.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .bpe import MARKS, TrieBpe, chunks_of
-from .common import Memo, blocks, read, texts
+from .common import Memo, blocks, read, settle, texts
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
@@ -34,8 +36,14 @@ CACHE = 400_000
 BLOCK_DOCS = 500
 #: Pieces that one task packs together; the next such block starts new windows.
 BLOCK_PIECES = 500_000
+#: Share of a window that may stay free without its pieces being packed again, and about how many pieces meet then in one task.
+SLACK = 1 / 200
+GROUP_PIECES = 250_000
+#: Sequences of the second packing are numbered from here on; those of the first are below.
+AGAIN = 1 << 61
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class CapacityTree:
@@ -172,11 +180,12 @@ class _Pieces:
             self.tokens.append(n)
 
     def packed(self, docs: list[pa.Array], window: int, first: int) -> tuple[Iterator[pa.RecordBatch], int]:
-        """Record batches of these pieces in sequences from ``first`` on, and the number of sequences."""
+        """Record batches of these pieces in sequences from ``first`` on, null in windows left open, and the number of sequences."""
         columns = [np.frombuffer(x, np.int64) for x in (self.start, self.length, self.crc, self.tokens)]
         sequence, offset, n = best_fit(columns[1], window)
+        free = window - np.bincount(sequence, columns[1], n)
         ids = pa.concat_arrays(docs).take(pa.array(np.frombuffer(self.doc, np.int64)))
-        whole = pa.RecordBatch.from_arrays([ids, *map(pa.array, columns), pa.array(sequence + first), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        whole = pa.RecordBatch.from_arrays([ids, *map(pa.array, columns), pa.array(sequence + first, mask=free[sequence] > window * SLACK), pa.array(offset)], names=["doc_id", *PIECES])
         return (whole.slice(at, 100_000) for at in range(0, len(self), 100_000)), n
 
 
@@ -195,7 +204,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A document is its ids and then ``end_id``; a null or empty text is that id
     alone.  sequence_id is unique over all tasks (the task's number in the upper
     bits) and the same when a task runs again on the same input split.  Repeated
-    rows are packed as documents of their own; other columns are ignored.
+    rows are packed as documents of their own; pieces of equal length go in the order
+    of the input; an empty table gives an empty result; other columns are ignored.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -221,7 +231,28 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if len(held):
             yield from held.packed(docs_, window, (part << 33) + first)[0]
 
-    return rows.mapInArrow(run, schema)
+    return _again(settle(rows.mapInArrow(run, schema), "packed"), window)
+
+
+def _again(pieces: DataFrame, window: int) -> DataFrame:
+    """``pieces`` with those of open windows (sequence_id is null) packed once more, in groups of about GROUP_PIECES."""
+    open_ = pieces.where("sequence_id is null")
+    groups = open_.count() // GROUP_PIECES + 1
+    # Dealt and sorted by what a piece is, so that a task that runs again sees the same pieces in the same order.
+    what = ["length", "ids_crc32", "doc_id", "start", "doc_tokens"]
+    dealt = open_.repartition(groups, F.xxhash64(*what)).sortWithinPartitions(*what).withColumn("part", F.spark_partition_id())
+    schema = pieces.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if whole is None or not whole.num_rows:
+            return
+        sequence, offset, _ = best_fit(whole["length"].to_numpy(), window)
+        first = AGAIN + (whole["part"][0].as_py() << 33)
+        whole = whole.select(schema.names[:-2]).append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
+        yield from whole.to_batches(100_000)
+
+    return pieces.where("sequence_id is not null").unionByName(dealt.mapInArrow(run, schema))
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
