@@ -459,3 +459,85 @@ def test_pipeline_stages_against_single_operators(spark, sf):
         if name == "secrets":
             assert ids == set(before) and not any(brute_spans(r.text) for r in after)
         docs = spark.createDataFrame(after, docs.schema)
+
+
+def test_exact_dedup_of_rows_that_are_dealt_out(spark, sf):
+    """Plans that run twice over other partitions, and results of which only some columns are asked for."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    n = table.count()
+    for rows in (table.repartition(7), table.unionByName(table.repartition(5)), table.orderBy("source")):
+        got = exact_dedup.exact_duplicates(rows)
+        assert got.count() == rows.count() == got.select("text_sha256").count() and got.where("kept").count() == table.select("text").distinct().count()
+    assert exact_dedup.distinct_rows(table.repartition(7)).count() == table.select("text").distinct().count() <= n
+
+
+def test_names_that_clash_in_exact_dedup(spark):
+    names = ["doc_id", "text", "__null", "row", "rank", "salt", "text_sha256", "blank", "cells", "none"]
+    rows = spark.createDataFrame([(1, "a", *"bcdefghi"), (2, "a", *"BCDEFGHI"), (3, None, *"jklmnopq")], ", ".join(f"{c} {'int' if c == 'doc_id' else 'string'}" for c in names))
+    got = exact_dedup.distinct_rows(rows)
+    assert got.columns == names and sorted(map(tuple, got.collect())) == [(2, "a", *"BCDEFGHI"), (3, None, *"jklmnopq")]
+
+
+def padding(pieces) -> float:
+    used: dict = {}
+    for r in pieces:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    return 1 - sum(used.values()) / (2048 * len(used))
+
+
+def test_padding_does_not_grow_with_partitions(spark, sf):
+    import os
+
+    table = spark.read.parquet(os.path.join(os.path.dirname(sf), "sf0.01", "documents.parquet")).select("doc_id", "text")
+    one = padding(packing.pack_documents(table.coalesce(1)).collect())
+    pieces = packing.pack_documents(table.repartition(64)).collect()
+    assert one < 0.01 and padding(pieces) < one + 0.01
+    spans = defaultdict(list)
+    for r in pieces:
+        spans[r.sequence_id].append((r.offset, r.length))
+    assert all([o for o, _ in sorted(x)] == [0, *np.cumsum([n for _, n in sorted(x)])[:-1]] and sum(n for _, n in x) <= 2048 for x in spans.values())
+    assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
+
+
+def test_gradients_of_toxicity_by_finite_differences():
+    rng = np.random.default_rng(3)
+    vector, weight, bias = rng.normal(size=(3, 11)), rng.normal(size=(2, 3)), rng.normal(size=2)
+    doc, bucket, value = np.array([0, 0, 1, 1, 1, 2]), np.array([1, 4, 4, 7, 9, 0]), rng.random(6)
+    args = doc, bucket, value, np.array([0, 1, 1]), np.array([1.0, 0.5, 2.0])
+    _, grads = toxicity.gradients(vector, weight, bias, *args)
+    for param, grad in zip((vector, weight, bias), grads, strict=True):
+        for at in np.ndindex(param.shape):
+            old, step = param[at], 1e-6
+            param[at] = old + step
+            up = toxicity.gradients(vector, weight, bias, *args)[0]
+            param[at] = old - step
+            down = toxicity.gradients(vector, weight, bias, *args)[0]
+            param[at] = old
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-6
+
+
+def test_toxicity_against_a_plain_scorer(spark, sf):
+    """Scores of whole texts by a loop over words and n-grams, with the numbers that the model comes down to."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(common.texts(docs), labels)
+
+    def plain(text: str) -> float:
+        words = text.lower().split()
+        total = 0.0
+        for w in words:
+            b, _ = toxicity.grams([w])
+            total += float(model.scores[b].astype(float).mean())
+        return 1 / (1 + np.exp(-(total / (len(words) + toxicity.PAD) + model.bias)))
+
+    texts_ = {r.doc_id: r.text or "" for r in docs.limit(40).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect() if r.doc_id in texts_}
+    assert all(abs(got[i] - plain(t)) < 1e-6 for i, t in texts_.items())
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Labelled texts of any length count: all of these are longer than 60,000 characters."""
+    words = lambda bad, i: " ".join([f"w{(i * 7 + j) % 50}" + ("zzbad" if bad and j % 4 == 0 else "") for j in range(14_000)])
+    rows = [(i, words(i % 2, i), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, spark.createDataFrame([(i, c) for i, _, c in rows], "doc_id long, toxic int")).collect()}
+    assert min(got[i] for i, _, c in rows if c) > max(got[i] for i, _, c in rows if not c)

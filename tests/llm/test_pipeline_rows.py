@@ -31,3 +31,16 @@ def test_stages_of_odd_rows(spark, sf):
         assert len(rows) == {"toxicity": 6, "exact_dedup": 3, "near_dedup": 3, "secrets": 3}[name]
         docs = spark.createDataFrame(rows, docs.schema)
     assert any(r.text == "[secret] and more" for r in docs.collect())
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    """Columns that the stages use by name inside come out as they went in."""
+    names = ["doc_id", "text", "__key", "__null", "key", "row", "class_id", "blank", "cells"]
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, long, *"abcdefg"), (2, long + " more", *"hijklmn"), (3, "other text altogether", *"opqrstu"), (3, "other text altogether", *"opqrstu"), (None, None, *"vwxyzAB")]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    once = corpus_pipeline.drop_copies(spark, docs, "")
+    kept = corpus_pipeline.drop_near_copies(spark, once, "")
+    assert once.columns == kept.columns == names
+    assert sorted(map(tuple, once.collect()), key=str) == sorted({rows[0], rows[1], rows[2], rows[4]}, key=str)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)

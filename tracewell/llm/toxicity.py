@@ -31,8 +31,6 @@ EPOCHS = 6
 STEPS = 200
 BATCH = 64
 RATE = 0.05
-#: Characters of the longest text that is fitted on, so that what the driver collects is bounded; scoring takes texts of any length.
-LONGEST = 50_000
 #: Standard errors by which a log-odds must differ from zero to count at the start.
 CERTAIN = 2.75
 DECAY = 1e-7
@@ -124,8 +122,34 @@ def bags(block: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(weights), np.array(ends)
 
 
-def fit(texts_: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Joint training of n-gram vectors and softmax by momentum on mini-batches, classes weighted alike.
+def bags_of(texts_: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, weights) of each text, as ``bags`` has them; at most BUCKETS of each."""
+    out = []
+    for at in range(0, len(texts_), BATCH):
+        bucket, value, ends = bags([tokens(t) for t in texts_[at : at + BATCH]])
+        out += [(bucket[i:j].astype(np.int32), value[i:j].astype(np.float32)) for i, j in zip(ends, ends[1:], strict=False)]
+    return out
+
+
+def gradients(vector: np.ndarray, weight: np.ndarray, bias: np.ndarray, doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Loss of a batch of bags (doc, bucket, value) with labels y, and its gradients by n-gram vectors, softmax weights and biases.
+
+    The loss is the mean over documents of ``share`` times the negative logarithm of the label's probability.
+    """
+    n, dim = len(y), len(vector)
+    docs = np.stack([np.bincount(doc, vector[d, bucket] * value, n) for d in range(dim)], 1)
+    logit = docs @ weight.T + bias
+    p = np.exp(logit - logit.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    loss = float(-(share * np.log(np.maximum(p[np.arange(n), y], 1e-300))).mean())
+    p[np.arange(n), y] -= 1
+    g = p * share[:, None] / n
+    back = g @ weight
+    return loss, [np.stack([np.bincount(bucket, back[doc, d] * value, vector.shape[1]) for d in range(dim)]), g.T @ docs, g.sum(0)]
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> Model:
+    """Joint training of n-gram vectors and softmax by momentum on mini-batches of bags, classes weighted alike.
 
     Steps are scaled by running norms of each entry.  N-grams start from what is
     certain of their log-odds, so that few labelled rows go far; README has both
@@ -136,9 +160,8 @@ def fit(texts_: list[str], labels: list[int], seed: int = 7) -> Model:
     if len(set(labels)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    parts = [bags([tokens(t) for t in texts_[at : at + BATCH]]) for at in range(0, len(y), BATCH)]
-    bucket, value = np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([p[1] for p in parts]).astype(np.float32)
-    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+    bucket, value = np.concatenate([b for b, _ in rows]), np.concatenate([v for _, v in rows])
+    ends = np.concatenate([[0], np.cumsum([len(b) for b, _ in rows])])
     share = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)])
     # Start: the first coordinate of an n-gram is what is certain of its log-odds, scaled to unit variance over documents.
     doc = np.repeat(np.arange(len(y)), np.diff(ends))
@@ -159,14 +182,7 @@ def fit(texts_: list[str], labels: list[int], seed: int = 7) -> Model:
             size = ends[ids + 1] - ends[ids]
             where = np.repeat(ends[ids] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             doc, b, v = np.repeat(np.arange(len(ids)), size), bucket[where], value[where]
-            docs = np.stack([np.bincount(doc, vector[d, b] * v, len(ids)) for d in range(DIM)], 1)
-            logit = docs @ weight.T + bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(ids)), y[ids]] -= 1
-            g = p * share[y[ids]][:, None] / len(ids)
-            back = g @ weight
-            grads = [np.stack([np.bincount(b, back[doc, d] * v, BUCKETS) for d in range(DIM)]), g.T @ docs, g.sum(0)]
+            grads = gradients(vector, weight, bias, doc, b, v, y[ids], share[y[ids]])[1]
             grads[0] += DECAY * vector
             for i, param in enumerate((vector, weight, bias)):
                 first[i] = 0.9 * first[i] + 0.1 * grads[i]
@@ -176,19 +192,29 @@ def fit(texts_: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` rows of each class, those with the least hash of their id, but for texts longer than LONGEST.
+    """Fits on at most ``sample`` rows of each class, those with the least hash of their id, whatever their texts' length.
 
     Only rows outside the held-out third are taken (crc32 of the id as text,
     modulo 3, is 1 for the held-out); labels other than 0 and 1 are left out.  Of rows
-    that share an id, the least text is taken; of labels that do, the greater.
+    that share an id, the least text is taken; of labels that do, the greater.  Tasks
+    turn whole texts into bags, and bags of at most BUCKETS entries come to the driver.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).withColumn("rank", F.xxhash64("doc_id"))
     chosen = [known.where(F.col("toxic") == c).orderBy("rank").limit(sample) for c in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "toxic"))  # at most 2 * sample rows
-    short = docs.where(F.char_length("text") <= LONGEST).join(picked, "doc_id")
-    rows = short.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+    rows = docs.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def make():
+        def run(block: list[str]) -> list:
+            got = bags_of(block)
+            return [pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())]
+
+        return run
+
+    found = map_texts(rows, make, "buckets binary, weights binary", BATCH).toArrow().sort_by("doc_id")
+    parts = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for b, w in zip(found["buckets"].to_pylist(), found["weights"].to_pylist(), strict=True)]
+    return fit(parts, [int(x) for x in found["toxic"].to_pylist()])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
