@@ -1,14 +1,15 @@
 """Workspace scans, branches, cursors, collation, monitors, and rules over paths, by written cases."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars, strings
-from tracewell.operators import branches, cursors, facts, ledger, metrics, ordering, proofs, search, work
-from tracewell.sources import sessions, workspace
-from tracewell.streaming import timers
+from tracewell.operators import branches, cursors, facts, history, ledger, metrics, ordering, proofs, search, work
+from tracewell.sources import agent_events, sessions, workspace
+from tracewell.streaming import framing, timers
 
 
 def blob(content: bytes) -> str:
@@ -323,3 +324,112 @@ def test_consumers_of_contracts(spark):
     assert got == [("consumer:src/a.ts", "e1", "consumes"), ("consumer:src/d.test.helper.ts", "e1", "consumes"), ("test:src/__tests__/b.ts", "e1", "validates"), ("test:src/c.test.mts", "e1", "validates")]
     assert sorted((r.id, r.name) for r in facts.contract_entities(imports, entities).collect())[0] == ("consumer:src/a.ts", "a.ts")
 
+
+
+def told(spark, *lines, **k):
+    raw = spark.createDataFrame([("t", i, x if isinstance(x, str) else json.dumps(x)) for i, x in enumerate(lines)], "task string, pos long, raw string")
+    return agent_events.task_events(raw)
+
+
+def update(**inner):
+    return {"type": "message_update", "assistantMessageEvent": inner}
+
+
+DENIAL = '403: {"type":"server_error","message":"Upstream request failed: Model access is disabled","secret":"never"}'
+
+
+def test_lines_of_agents_become_events(spark):
+    say = lambda text: {"content": [{"type": "text", "text": text}, {"type": "image"}]}
+    end = lambda **m: {"type": "agent_end", "messages": [{"role": "assistant", "content": [], **m}, {"role": "user"}]}
+    rows = told(
+        spark, update(type="text_delta", delta="Hi\u001b[31m!"), update(type="thinking_delta", delta="hm"), {"type": "tool_execution_start", "toolCallId": "c", "toolName": "bash"}, {"type": "tool_execution_update", "toolCallId": "c", "partialResult": say("a\nb")},
+        {"type": "tool_execution_end", "toolCallId": "c", "isError": True, "result": say("boom")}, {"type": "turn_end"}, end(stopReason="stop", content=[{"type": "text", "text": "done."}]), end(stopReason="error", errorMessage="payload"), end(stopReason="aborted"), end(stopReason="stop"),
+        {"type": "agent_end"}, {"type": "agent_settled"}, update(type="error", reason="error", error={"message": "limited"}), update(type="error", error={"message": DENIAL}), {"type": "extension_ui_request", "method": "confirm", "title": "Delete?"}, {"type": "extension_ui_request", "method": "setStatus"},
+        {"type": "extension_ui_request", "method": "notify", "message": "hi"}, {"type": "extension_ui_request", "method": "notify", "message": agent_events.MISSING_TOOLS + " x"}, {"type": "auto_retry_start", "attempt": 1, "maxAttempts": 3},
+        {"type": "message_end", "message": {"role": "assistant", "usage": {"totalTokens": 9, "cost": {"total": 0.5}}, "stopReason": "error", "errorMessage": DENIAL}}, {"type": "message_end", "message": {"role": "user", "usage": {"totalTokens": 9}}}, {"type": "queue_update"}, "garbage", "[1]",
+    ).orderBy("pos", "n").collect()
+    assert [(r.kind, r.text) for r in rows] == [
+        ("text", "Hi!"), ("thinking", "hm"), ("tool_start", "bash"), ("tool_update", "a\nb"), ("tool_end", "boom"), ("turn_end", None), ("agent_end", "done."), ("agent_end", ""), ("agent_end", ""), ("agent_end", ""), ("agent_end", ""), ("agent_settled", None),
+        ("error", "limited"), ("error", agent_events.DENIED_SAID), ("ask", "Delete?"), ("note", agent_events.MISSING_TOOLS + " x"), ("note", "retrying (1/3)"), ("usage", None), ("fatal_error", agent_events.DENIED_SAID),
+    ]
+    assert [(r.outcome, r.diagnostic) for r in rows if r.kind == "agent_end"] == [("success", None), ("error", agent_events.REPORTED_ERROR), ("aborted", agent_events.ABORTED), ("empty", agent_events.NO_REPORT), ("empty", agent_events.NO_REPORT)]
+    assert rows[4].is_error and (rows[17].tokens, rows[17].cost) == (9.0, 0.5)
+
+
+def test_records_and_threads_of_tasks(spark):
+    tool = lambda i, **k: {"type": f"tool_execution_{k.pop('step')}", "toolCallId": i, **k}
+    out = lambda text: {"content": [{"type": "text", "text": text}]}
+    events = told(
+        spark, tool("a", step="update", partialResult=out("early")), update(type="text_delta", delta="one "), tool("z", step="update", partialResult=out("lost")), update(type="text_delta", delta="two"), tool("a", step="start", toolName="ls"), tool("a", step="update", partialResult=out("x")),
+        tool("a", step="end", isError=True, result=out("0123456789")), update(type="text_delta", delta=""), update(type="text_delta", delta="three"), {"type": "extension_ui_request", "method": "input", "title": "Go?"},
+    )
+    show = lambda rows: [(r.item, r.kind, r.text, r.output, r.running, r.is_error, r.dropped) for r in rows.orderBy("item").collect()]
+    assert show(agent_events.task_threads(events, output_chars=5)) == [(0, "text", "one two", None, None, None, 0), (1, "tool", "ls", "…6789", False, True, 0), (2, "text", "three", None, None, None, 0), (3, "note", "asked: Go?", None, None, None, 0)]
+    assert show(agent_events.task_threads(events, most=2, text_chars=4)) == [(2, "text", "…ree", None, None, None, 2), (3, "note", "asked: Go?", None, None, None, 2)]
+    tasks = spark.createDataFrame([("t", "starting", "queued"), ("idle", "queued", "queued")], "task string, status string, last_step string")
+    record = lambda e: {r.task: (r.status, r.last_step, r.tool_calls, r.result, r.error) for r in agent_events.task_records(tasks, e).collect()}
+    assert record(events) == {"t": ("waiting", "asked: Go?", 1, None, None), "idle": ("queued", "queued", 0, None, None)}
+    assert record(told(spark, update(type="text_delta", delta="x")))["t"] == ("starting", "writing", 0, None, None)
+    assert record(told(spark, {"type": "extension_ui_request", "method": "input", "title": "Go?"}, {"type": "turn_end"}, {"type": "agent_end"}))["t"] == ("running", agent_events.NO_REPORT, 0, None, agent_events.NO_REPORT)
+
+
+def test_lines_span_chunks(spark):
+    width = framing.WIDTH
+    chunks = ["a", "b\nc\r", "\n", "", None, "x" * width, "yz\r\n", "é\n\nlast"]
+    rows = spark.createDataFrame([("j", i, c) for i, c in enumerate(chunks)] + [("k", 0, "one\n"), ("l", 0, None)], "job string, seq int, chunk string")
+    got = [(r.job, r.line_no, r.line) for r in framing.lines_of(rows.repartition(3)).orderBy("job", "line_no").collect()]
+    want, partial = [], ""
+    for i, c in enumerate(chunks):
+        done, partial = framing.frame(partial, c or "", i == len(chunks) - 1)
+        want += done
+    assert got == [("j", i, x) for i, x in enumerate(want)] + [("k", 0, "one"), ("k", 1, ""), ("l", 0, "")]
+    assert want == ["ab", "c", "…" + "x" * (width - 2) + "yz", "é", "", "last"] and partial == ""
+
+
+def test_a_stream_of_chunks(spark, tmp_path):
+    text = "first\nsecond line\r\n\n" + "w" * 5000 + "\nend"
+    rows = [("j", i, text[i * 7 : i * 7 + 7], i * 7 + 7 >= len(text)) for i in range(-(-len(text) // 7))]
+    frame = spark.createDataFrame(rows, "job string, seq int, chunk string, end boolean")
+    for i, part in enumerate((frame.where("seq < 3"), frame.where("seq >= 3 and seq < 400"), frame.where("seq >= 400"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        q = framing.line_stream(stream).writeStream.format("memory").queryName("framed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        got = [r.line for r in spark.table("framed").collect()]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(got) == sorted(["first", "second line", "", "…" + "w" * framing.WIDTH, "end"])
+
+
+def test_candidates_of_searches_leave_nothing_out(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    names = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(150)] + ["", "a", "ab"]
+    entries = spark.createDataFrame(list(enumerate(names)), "entry_index long, name string").selectExpr("*", "'k' AS kind").coalesce(1)
+    asked = names[::6] + ["A", "", "b-c", "zzz", "a b c"]
+    got = sorted((r.query, r.entry_index, r.score) for r in search.lexical_all(entries, spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "query int, text string")).collect())
+    low = [n.lower() for n in names]
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+
+    def score(name: str, q: str) -> float:
+        own, want = grams(name), grams(q) or {q}
+        words = scalars.query_tokens(q)
+        jaccard = len(own & want) / len(own | want)
+        return max(1.0 * (name == q), 0.75 * name.startswith(q), 0.6 * (bool(words) and all(w in name for w in words)), 0.5 * jaccard if own and jaccard >= 0.35 else 0)
+
+    want = sorted((i, k, int(score(n, q.lower()) * 1e4 + 0.5) / 1e4) for i, q in enumerate(asked) for k, n in enumerate(low) if score(n, q.lower()) > 0)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 2e-4 for a, b in zip(got, want, strict=True))
+
+
+def test_reasons_of_prices_and_contexts(spark):
+    rows = spark.createDataFrame([("a", 2.0, 6.0, 1.0, 2.0), ("b", None, None, 1.0, 2.0), ("c", 0.0, 1.0, 1.0, 2.0), ("d", 1.0, 1.0, None, None), ("e", 1.0, float("inf"), 1.0, 1.0)], "id string, input double, output double, base_input double, base_output double")
+    got = {r.id: (r.blended, r.reason) for r in work.price_ratio(rows.withColumn("base_id", F.lit("w"))).collect()}
+    assert got == {"a": (3.0, None), "b": (None, "no catalog price for b"), "c": (None, "zero or invalid price for c"), "d": (None, "no catalog price for w"), "e": (None, "zero or invalid price for e")}
+    said = spark.createDataFrame([("x", "user", "é"), ("x", "odd", "b"), ("y", "system", "c" * 400)], "ctx string, role string, text string")
+    got = {r.ctx: r for r in history.context_status(said, ["ctx"], 110, 20, 500).collect()}
+    assert (got["x"].user_bytes, got["x"].other_messages, got["x"].bytes) == (len('{"role":"user","text":"é"}'.encode()), 1, len('{"messages":[{"role":"user","text":"é"},{"role":"odd","text":"b"}]}'.encode())) and got["x"].status == "within_target"
+    assert got["y"].status == "overflow" and got["y"].headroom == 0 and got["y"].excess == got["y"].tokens - 90

@@ -100,3 +100,21 @@ def reset_text(seconds: Column) -> Column:
         .when(s < DAY, F.concat(F.lit("resets in "), n(s / HOUR), F.lit("h "), n(s % HOUR / MINUTE), F.lit("m")))
         .otherwise(F.concat(F.lit("resets in "), n(s / DAY), F.lit("d "), n(s % DAY / HOUR), F.lit("h")))
     )
+
+
+def age_text(ms: Column) -> Column:
+    """How long ago, by its largest unit: 999ms, 59s, 59m, 23h, 5d; what lies ahead is 0ms."""
+    ms = F.greatest(ms.cast("long"), F.lit(0))
+    n = lambda unit, name: F.concat(F.floor(ms / (unit * 1000)).cast("string"), F.lit(name))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < MINUTE * 1000, n(1, "s")).when(ms < HOUR * 1000, n(MINUTE, "m")).when(ms < DAY * 1000, n(HOUR, "h")).otherwise(n(DAY, "d"))
+
+
+def elapsed_text(ms: Column) -> Column:
+    """59s, 1m05s, 2h07m; what is below zero is 0s."""
+    s = F.greatest(F.floor(ms / 1000).cast("long"), F.lit(0))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    minutes = F.floor(s / MINUTE)
+    return (
+        F.when(s < MINUTE, F.concat(s.cast("string"), F.lit("s"))).when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"), two(s % MINUTE), F.lit("s")))
+        .otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), two(minutes % 60), F.lit("m")))
+    )

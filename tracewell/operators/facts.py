@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import extension
-from .snapshots import _cut, delta
+from .snapshots import MERGE_LEVELS, _cut, delta
 
 LOCAL = ("typescript", "filesystem")
 MEMBER = r"^\s*(?:(?:static|async)\s+)*([A-Za-z_$][A-Za-z0-9_$]*)"
@@ -100,8 +100,9 @@ def impact(base: dict[str, DataFrame], candidate: dict[str, DataFrame], transiti
     graphs = _cut(graph(base, "base").unionByName(graph(candidate, "candidate")))
     sides = F.explode(F.array(F.lit("base"), F.lit("candidate"))).alias("side")
     frontier = _cut(seeds.select(sides, F.col("path").alias("file"), F.array("path").alias("chain")))
-    seen, found = frontier.select("side", "file"), None
+    seen, found, depth = frontier.select("side", "file"), None, 0
     while True:
+        depth += 1
         step = graphs.join(frontier.select("side", F.col("file").alias("target"), "chain"), ["side", "target"])
         level = step.groupBy("side", F.col("importer").alias("file")).agg(F.min("chain").alias("chain")).join(seen, ["side", "file"], "left_anti")
         level = _cut(level.select("side", "file", F.concat("chain", F.array("file")).alias("chain")))
@@ -111,6 +112,8 @@ def impact(base: dict[str, DataFrame], candidate: dict[str, DataFrame], transiti
         seen, frontier = seen.unionByName(level.select("side", "file")), level
         if not transitive:
             break
+        if depth % MERGE_LEVELS == 0:
+            found, seen = _cut(found), _cut(seen)
     found = frontier.limit(0) if found is None else found
     return found.select("file", "side", (F.size("chain") - 1).cast("long").alias("depth"), F.element_at("chain", -2).alias("via"), F.element_at("chain", 1).alias("origin"))
 
@@ -157,6 +160,8 @@ def dependency_evidence(files: DataFrame, symbols: DataFrame, edges: DataFrame,
         seen = seen.unionByName(frontier)
         if not transitive:
             break
+        if depth % MERGE_LEVELS == 0:
+            found, seen = _cut(found), _cut(seen)
     return row(edges.limit(0), 0, "typescript") if found is None else found
 
 

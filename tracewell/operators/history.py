@@ -42,6 +42,31 @@ def context_budget(messages: DataFrame, keys: list[str], limit: int) -> DataFram
     return messages.groupBy(*keys, "role").agg(F.count("*").alias("messages"), size.alias("bytes"), tokens.alias("tokens"), F.greatest(F.lit(0), limit - tokens).cast("long").alias("headroom"), (tokens > limit).alias("exceeded"))
 
 
+#: What a role counts as; all others are "other".
+BUCKETS = {"system": "system", "user": "user", "assistant": "assistant", "toolResult": "tool_results"}
+
+
+def context_status(messages: DataFrame, keys: list[str], window: int, reserve: int, target: int) -> DataFrame:
+    """Per context (keys) of messages (role, and the other columns of a message): bytes and messages by bucket, and how it stands to its limits.
+
+    A message's size is that of its JSON; the whole is the JSON of all of them in a
+    list.  tokens: a quarter of the bytes, rounded up.  capacity is ``window`` less
+    ``reserve``; the target is at most that.  status: within_target, above_target or
+    overflow.
+    """
+    own = [c for c in messages.columns if c not in keys]
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in own])))
+    names = F.create_map(*[F.lit(x) for pair in BUCKETS.items() for x in pair])
+    bucket = F.coalesce(F.try_element_at(names, F.col("role")), F.lit("other"))
+    parts = [x for b in [*BUCKETS.values(), "other"] for x in (F.count_if(bucket == b).alias(f"{b}_messages"), F.coalesce(F.sum(F.when(bucket == b, size)), F.lit(0)).alias(f"{b}_bytes"))]
+    capacity = window - reserve
+    target = min(target, capacity)
+    frame = len('{"messages":[]}') - 1  # and a comma for each message but the first
+    out = messages.groupBy(*keys).agg(*parts, (F.sum(size) + F.count("*") + frame).alias("bytes")).withColumn("tokens", F.ceil(F.col("bytes") / 4).cast("long"))
+    status = F.when(F.col("tokens") <= target, "within_target").when(F.col("tokens") <= capacity, "above_target").otherwise("overflow")
+    return out.withColumns({"headroom": F.greatest(F.lit(0), capacity - F.col("tokens")), "excess": F.greatest(F.lit(0), F.col("tokens") - target), "status": status})
+
+
 def last_record(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last record of each key in ``order``."""
     whole, at = F.struct(*[F.col(f"`{c}`") for c in records.columns]), F.struct(*[F.col(c) for c in order])

@@ -7,11 +7,12 @@ whole part.  A shorter scope covers what lies below it.  What cannot be read as
 
 from __future__ import annotations
 
+import json
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that make a part a pattern, and those that are never read.
 WILD, OPAQUE = re.compile(r"[*?{}]"), re.compile(r"[\[\]()\\]")
@@ -64,20 +65,52 @@ def overlap(a: str | None, b: str | None) -> bool:
     return True
 
 
+PART = "array<struct<part: string, wild: boolean, pattern: string, head: string, tail: string, ascii: boolean>>"
+
+
+def _told(scope: str | None) -> str | None:
+    parts = parts_of(scope)
+    if parts is None:
+        return None
+    wild = [bool(WILD.search(p)) for p in parts]
+    return json.dumps([{"part": p, "wild": w, "pattern": f"^(?s:{_pattern(p).pattern})$" if w else None, "head": WILD.split(p)[0], "tail": WILD.split(p)[-1], "ascii": p.isascii()} for p, w in zip(parts, wild, strict=True)])
+
+
+def _read(scopes: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct (key, name, ``name``_parts, ``name``_plain): each scope read once; plain is how many of its first parts are no patterns, 0 where it cannot be read."""
+    told = F.pandas_udf(lambda s: s.map(_told), StringType())
+    rows = scopes.select(F.col("id").alias(key), F.col("scope").alias(name)).distinct().withColumn(f"{name}_parts", F.from_json(told(name), PART))
+    first = F.array_position(F.transform(f"{name}_parts", lambda x: x["wild"]), True)
+    return rows.withColumn(f"{name}_plain", F.coalesce(F.when(first > 0, first - 1).otherwise(F.size(f"{name}_parts")), F.lit(0)).cast("int")).withColumn(f"{name}_plain", F.when(F.col(f"{name}_parts").isNull(), 0).otherwise(F.col(f"{name}_plain")))
+
+
+def _meets(x: Column, y: Column) -> Column:
+    """Whether one name could match both parts, as ``_meet``."""
+    either = lambda test: test(x, y) | test(y, x)
+    both = either(lambda a, b: a["head"].startswith(b["head"])) & either(lambda a, b: a["tail"].endswith(b["tail"]))
+    return (
+        F.when(~x["wild"] & ~y["wild"], x["part"] == y["part"]).when(~x["ascii"] | ~y["ascii"], True).when(x["wild"] & y["wild"], both)
+        .when(x["wild"], F.call_function("rlike", y["part"], x["pattern"])).otherwise(F.call_function("rlike", x["part"], y["pattern"]))
+    )
+
+
 def overlapping(asked: DataFrame, scopes: DataFrame) -> DataFrame:
     """(id, scope, other_id, other) of each asked scope (id, scope) with each of ``scopes`` that it overlaps.
 
-    Scopes meet by their first part where both are plain; a scope that begins with a
-    pattern or cannot be read meets every first part there is.
+    Scopes are paths in a trie of parts.  Two of them can overlap only if the plain
+    beginning of one leads along that of the other: each scope stands at the node of
+    its whole plain beginning and asks at this node and all above, so that scopes
+    meet by equality, each pair once.  What is left of a pair - patterns, and parts up
+    to the first ``**`` - is decided by expressions.  A scope that begins with a
+    pattern or cannot be read stands at the root, which all ask.
     """
-    first = F.pandas_udf(lambda s: s.map(lambda x: (p := parts_of(x)) and not WILD.search(p[0]) and p[0] or None), "string")
-    hit = F.pandas_udf(lambda a, b: pd.Series([overlap(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
-    a = asked.select("id", "scope", first("scope").alias("head")).distinct()
-    b = scopes.select(F.col("id").alias("other_id"), F.col("scope").alias("other"), first("scope").alias("head")).distinct()
-    every = lambda df, heads: df.where("head is null").drop("head").crossJoin(heads)  # noqa: E731 - wild scopes with distinct first parts
-    heads = a.select("head").unionByName(b.select("head")).where("head is not null").distinct()
-    plain = a.where("head is not null").join(b.where("head is not null"), "head")
-    wild = every(a, heads).join(b.where("head is not null"), "head").unionByName(a.where("head is not null").join(every(b, heads), "head").select("head", "id", "scope", "other_id", "other"))
-    both = a.where("head is null").withColumn("k", F.lit(1)).join(b.where("head is null").withColumn("k", F.lit(1)).drop("head"), "k").select("head", "id", "scope", "other_id", "other")
-    pairs = plain.select("head", "id", "scope", "other_id", "other").unionByName(wild.select("head", "id", "scope", "other_id", "other")).unionByName(both)
-    return pairs.where(hit("scope", "other")).select("id", "scope", "other_id", "other").distinct()
+    a, b = _read(asked, "id", "scope"), _read(scopes, "other_id", "other")
+    node = lambda name, n: F.to_json(F.transform(F.slice(F.coalesce(f"{name}_parts", F.array().cast(PART)), F.lit(1), n), lambda x: x["part"]))
+    stands = lambda df, name: df.withColumn("node", node(name, F.col(f"{name}_plain")))
+    asks = lambda df, name, least: df.withColumn("up", F.explode(F.sequence(F.lit(0), F.col(f"{name}_plain") - least))).withColumn("node", node(name, F.col("up"))).drop("up")
+    # The asked scope's beginning is the shorter one or as long, or else it is the longer one.
+    pairs = stands(a, "scope").join(asks(b, "other", 0), "node").unionByName(asks(a.where("scope_plain > 0"), "scope", 1).join(stands(b, "other"), "node"))
+    till = lambda name: F.coalesce(F.nullif(F.array_position(F.transform(f"{name}_parts", lambda x: x["part"]), F.lit("**")) - 1, F.lit(-1)), F.size(f"{name}_parts"))
+    both = F.arrays_zip(F.slice("scope_parts", F.lit(1), F.least(till("scope"), till("other")).cast("int")).alias("x"), F.slice("other_parts", F.lit(1), F.least(till("scope"), till("other")).cast("int")).alias("y"))
+    hit = F.forall(both, lambda p: _meets(p["x"], p["y"]))
+    return pairs.where(F.coalesce(hit, F.lit(True))).select("id", "scope", "other_id", "other").distinct()

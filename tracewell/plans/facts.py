@@ -97,7 +97,7 @@ def facts_coverage(spark, d):
     return facts.coverage(b["files"], b["edges"], b["entities"], b["relations"])
 
 
-@query(f"WITH {SQL} SELECT edge_index, importer, target FROM eb WHERE {LOCAL}")
+@query(f"WITH {SQL}, h AS MATERIALIZED (SELECT DISTINCT path FROM fb), b AS MATERIALIZED (SELECT edge_index, importer, target FROM eb WHERE evidence IN ('typescript', 'filesystem')) SELECT b.edge_index, b.importer, b.target FROM b JOIN h AS i ON i.path = b.importer JOIN h AS t ON t.path = b.target")
 def facts_local_edges(spark, d):
     b, _ = database(spark, d)
     return facts.local_edges(b["edges"], b["files"]).select("edge_index", "importer", "target")

@@ -246,11 +246,26 @@ def phase_metrics(spark, d):
     return work.phases(read(spark, d, "events"), "event_type", "value")
 
 
-@query("""WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size > 5 THEN floor(p_size / 10.0::DOUBLE * 1e6 + 0.5) / 1e6 END AS input, CASE WHEN p_size > 5 THEN floor(p_retailprice / 900.0::DOUBLE * 1e6 + 0.5) / 1e6 END AS output FROM part)
-SELECT *, greatest(input, output) AS blended FROM r""")
+@query("""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size % 11 > 0 THEN CASE WHEN p_size > 5 THEN p_size ELSE 0 END END::DOUBLE AS i, CASE WHEN p_size % 11 > 0 THEN p_retailprice END::DOUBLE AS o, CASE WHEN p_size % 13 > 0 THEN 10 ELSE 0 END::DOUBLE AS b FROM part),
+r AS (SELECT *, CASE WHEN i IS NULL THEN 'no catalog price for ' || id WHEN i = 0 THEN 'zero or invalid price for ' || id WHEN b = 0 THEN 'zero or invalid price for base' END AS reason FROM p)
+SELECT id, CASE WHEN reason IS NULL THEN floor(i / b * 1e6 + 0.5) / 1e6 END AS input, CASE WHEN reason IS NULL THEN floor(o / 900.0::DOUBLE * 1e6 + 0.5) / 1e6 END AS output, CASE WHEN reason IS NULL THEN greatest(floor(i / b * 1e6 + 0.5) / 1e6, floor(o / 900.0::DOUBLE * 1e6 + 0.5) / 1e6) END AS blended, reason FROM r""")
 def price_ratios(spark, d):
-    size = F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).otherwise(0.0)
-    return work.price_ratio(read(spark, d, "part").select(F.col("p_partkey").alias("id"), size.alias("input"), F.col("p_retailprice").alias("output"), F.lit(10.0).alias("base_input"), F.lit(900.0).alias("base_output")))
+    """Some models have no price, some one of zero, and so has the base at times."""
+    size = F.col("p_size")
+    priced = lambda c: F.when(size % 11 > 0, c)
+    return work.price_ratio(read(spark, d, "part").select(F.col("p_partkey").alias("id"), priced(F.when(size > 5, size).otherwise(0).cast("double")).alias("input"), priced(F.col("p_retailprice")).alias("output"), F.lit("base").alias("base_id"), F.when(size % 13 > 0, 10.0).otherwise(0.0).alias("base_input"), F.lit(900.0).alias("base_output")))
+
+
+@query("""WITH m AS (SELECT conv_id % 7 AS ctx, conv_id, turn, role, strlen(json_object('conv_id', conv_id, 'turn', turn, 'role', r, 'text', text)) AS n, r FROM (SELECT *, CASE turn % 5 WHEN 3 THEN 'system' WHEN 4 THEN 'toolResult' WHEN 2 THEN 'note' ELSE role END AS r FROM conversations)),
+g AS (SELECT ctx, count_if(r = 'system')::BIGINT AS system_messages, coalesce(sum(n) FILTER (r = 'system'), 0)::BIGINT AS system_bytes, count_if(r = 'user')::BIGINT AS user_messages, coalesce(sum(n) FILTER (r = 'user'), 0)::BIGINT AS user_bytes, count_if(r = 'assistant')::BIGINT AS assistant_messages, coalesce(sum(n) FILTER (r = 'assistant'), 0)::BIGINT AS assistant_bytes,
+count_if(r = 'toolResult')::BIGINT AS tool_results_messages, coalesce(sum(n) FILTER (r = 'toolResult'), 0)::BIGINT AS tool_results_bytes, count_if(r = 'note')::BIGINT AS other_messages, coalesce(sum(n) FILTER (r = 'note'), 0)::BIGINT AS other_bytes, (sum(n) + count(*) + 14)::BIGINT AS bytes FROM m GROUP BY ctx), t AS (SELECT *, ceil(bytes / 4)::BIGINT AS tokens FROM g)
+SELECT *, greatest(0, 13000 - tokens) AS headroom, greatest(0, tokens - 11500) AS excess, CASE WHEN tokens <= 11500 THEN 'within_target' WHEN tokens <= 13000 THEN 'above_target' ELSE 'overflow' END AS status FROM t""")
+def context_statuses(spark, d):
+    """Seven contexts of all conversations, with limits that some of them pass."""
+    turn = F.col("turn") % 5
+    role = F.when(turn == 3, "system").when(turn == 4, "toolResult").when(turn == 2, "note").otherwise(F.col("role"))
+    rows = read(spark, d, "conversations").select((F.col("conv_id") % 7).alias("ctx"), "conv_id", "turn", role.alias("role"), "text")
+    return history.context_status(rows, ["ctx"], 15_000, 2_000, 11_500)
 
 
 @query("SELECT conv_id, turn, running FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations) WHERE running <= 500")
@@ -268,17 +283,16 @@ def work_related_all(spark, d):
     return work.related_all(nodes, nodes.where("node % 100 = 0"))
 
 
-@query("""WITH e AS (SELECT p_partkey AS entry_index, 'part' AS kind, p_name AS name FROM part UNION ALL SELECT doc_id, 'document', substr(text, 1, 60) FROM documents UNION ALL SELECT item_id, 'benchmark', substr(text, 1, 60) FROM benchmark),
+@query("""WITH e AS (SELECT p_partkey AS entry_index, 'part' AS kind, p_name AS name FROM part UNION ALL SELECT s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT item_id, 'benchmark', text FROM benchmark),
 n AS (SELECT DISTINCT name, lower(name) AS l FROM e WHERE name IS NOT NULL), g AS (SELECT *, list_distinct(CASE WHEN length(l) >= 3 THEN [substr(l, i, 3) for i in range(1, length(l) - 1)] ELSE [] END) AS t FROM n),
 d AS (SELECT DISTINCT lower(name) AS q FROM e WHERE entry_index % 100 = 0 AND name IS NOT NULL), w AS (SELECT q, list_distinct(CASE WHEN length(q) >= 3 THEN [substr(q, i, 3) for i in range(1, length(q) - 1)] ELSE [q] END) AS u, [x for x in string_split_regex(q, '[^a-z0-9]+') if x <> ''] AS words FROM d),
 s AS (SELECT *, len(list_intersect(t, u)) AS m FROM g, w), j AS (SELECT *, m / (len(u) + len(t) - m) AS j FROM s),
 x AS (SELECT q, name, greatest(CASE WHEN l = q THEN 1.0 ELSE 0 END, CASE WHEN starts_with(l, q) THEN 0.75 ELSE 0 END, CASE WHEN len(words) > 0 AND len([y for y in words if contains(l, y)]) = len(words) THEN 0.6 ELSE 0 END, CASE WHEN len(t) > 0 AND j >= 0.35 THEN 0.5 * j ELSE 0 END)::DOUBLE AS score FROM j)
 SELECT a.kind || ':' || a.entry_index AS query, e.kind, e.entry_index, floor(score * 1e4 + 0.5) / 1e4 AS score FROM e AS a JOIN x ON lower(a.name) = q JOIN e ON e.name = x.name WHERE a.entry_index % 100 = 0 AND score > 0""")
 def search_lexical_all(spark, d):
-    """Every part, document and benchmark item whose id is divisible by 100 against all of them."""
-    entry = lambda t, key, kind, name: read(spark, d, t).select(F.col(key).cast("long").alias("entry_index"), F.lit(kind).alias("kind"), name.alias("name"))
-    head = F.substring("text", 1, 60)
-    entries = entry("part", "p_partkey", "part", F.col("p_name")).unionByName(entry("documents", "doc_id", "document", head)).unionByName(entry("benchmark", "item_id", "benchmark", head))
+    """Every part, supplier and benchmark item whose id is divisible by 100 against all of them, by their whole names and texts."""
+    entry = lambda t, key, kind, name: read(spark, d, t).select(F.col(key).cast("long").alias("entry_index"), F.lit(kind).alias("kind"), F.col(name).alias("name"))
+    entries = entry("part", "p_partkey", "part", "p_name").unionByName(entry("supplier", "s_suppkey", "supplier", "s_name")).unionByName(entry("benchmark", "item_id", "benchmark", "text"))
     return search.lexical_all(entries, entries.where("entry_index % 100 = 0").select(F.concat_ws(":", "kind", "entry_index").alias("query"), F.col("name").alias("text")))
 
 

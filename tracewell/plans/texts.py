@@ -25,6 +25,15 @@ def format_tokens(spark, d):
     return o.unionByName(o.select((-k).alias("o_orderkey"), (1000 + k % 180 * 50).alias("n"))).select("o_orderkey", strings.tokens_text(F.col("n")).alias("tokens"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey * (o_orderkey % 101) * 37 - 5000 AS ms FROM orders), a AS (SELECT *, greatest(ms, 0) AS x, greatest(ms // 1000, 0) AS s FROM o)
+SELECT o_orderkey, CASE WHEN x < 1000 THEN x || 'ms' WHEN x < 60000 THEN x // 1000 || 's' WHEN x < 3600000 THEN x // 60000 || 'm' WHEN x < 86400000 THEN x // 3600000 || 'h' ELSE x // 86400000 || 'd' END AS age,
+CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE s // 3600 || 'h' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || 'm' END AS elapsed FROM a""")
+def ages(spark, d):
+    k = F.col("o_orderkey")
+    ms = k * (k % 101) * 37 - 5000
+    return read(spark, d, "orders").select(k, strings.age_text(ms).alias("age"), strings.elapsed_text(ms).alias("elapsed"))
+
+
 @query("SELECT o_orderkey, CASE WHEN s = 604800 THEN 'week' WHEN s >= 86400 AND s % 86400 = 0 THEN s // 86400 || 'd' WHEN s >= 3600 AND s % 3600 = 0 THEN s // 3600 || 'h' ELSE floor(s / 60 + 0.5)::BIGINT || 'm' END AS label FROM (SELECT o_orderkey, (o_orderkey % 200) * 3600 + (o_orderkey % 3) * 1800 AS s FROM orders)")
 def window_labels(spark, d):
     k = F.col("o_orderkey")
@@ -72,9 +81,13 @@ def contract_entities(spark, d):
     return contracts.entities(sql.unionByName(gql))
 
 
-@query()
+@query("""WITH s AS (SELECT p_partkey AS id, p_size, CASE WHEN p_size % 49 = 0 THEN '*/x' ELSE replace('src/' || lower(p_brand) || CASE p_size % 5 WHEN 0 THEN '/**' WHEN 1 THEN '/' || substr(p_type, 1, 3) || '*.ts' ELSE '/' || p_type || '.ts' END, '#', '-') END AS scope FROM part),
+p AS (SELECT id, scope, string_split(lower(scope), '/') AS x FROM s), q AS (SELECT a.id, a.scope, b.id AS other_id, b.scope AS other, a.x, b.x AS y, least(coalesce(nullif(list_position(a.x, '**'), 0) - 1, len(a.x)), coalesce(nullif(list_position(b.x, '**'), 0) - 1, len(b.x))) AS n FROM p AS a, p AS b WHERE a.id % 100 = 0)
+SELECT id, scope, other_id, other FROM q WHERE len(list_filter(range(1, n + 1), lambda i: NOT CASE WHEN NOT contains(x[i], '*') AND NOT contains(y[i], '*') THEN x[i] = y[i]
+  WHEN contains(x[i], '*') AND contains(y[i], '*') THEN (starts_with(string_split(x[i], '*')[1], string_split(y[i], '*')[1]) OR starts_with(string_split(y[i], '*')[1], string_split(x[i], '*')[1])) AND (ends_with(string_split(x[i], '*')[-1], string_split(y[i], '*')[-1]) OR ends_with(string_split(y[i], '*')[-1], string_split(x[i], '*')[-1]))
+  WHEN contains(x[i], '*') THEN regexp_full_match(y[i], replace(replace(x[i], '.', '[.]'), '*', '.*')) ELSE regexp_full_match(x[i], replace(replace(y[i], '.', '[.]'), '*', '.*')) END)) = 0""")
 def scope_overlap(spark, d):
-    """Every scope with an id divisible by 100 against all; no SQL: tests hold it against all pairs."""
+    """Every scope with an id divisible by 100 against all; tests hold it against all pairs."""
     size = F.col("p_size")
     scope = F.concat(F.lit("src/"), F.lower("p_brand"), F.when(size % 5 == 0, "/**").when(size % 5 == 1, F.concat(F.lit("/"), F.substring("p_type", 1, 3), F.lit("*.ts"))).otherwise(F.concat(F.lit("/"), "p_type", F.lit(".ts"))))
     scopes = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(size % 49 == 0, "*/x").otherwise(F.replace(scope, F.lit("#"), F.lit("-"))).alias("scope"))

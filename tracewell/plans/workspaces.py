@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import blob_sha
 from ..operators import branches, cursors, ordering, search
 from ..operators.snapshots import shared_dir
-from ..sources import workspace
-from ..streaming import timers
+from ..sources import agent_events, workspace
+from ..streaming import framing, timers
 from .registry import query, read
 
 
@@ -216,3 +216,62 @@ r AS (
 SELECT job, x.kind AS kind, x.reason AS reason, x.at_ms AS at_ms, least(x.n, 20)::BIGINT AS lines, greatest(x.n - 20, 0)::BIGINT AS omitted FROM t""")
 def monitor_notices(spark, d):
     return timers.monitors_batch(_jobs(spark, d)).withColumn("lines", F.size("lines").cast("long"))
+
+
+def _raw_events(spark, d) -> DataFrame:
+    """Events as lines of a protocol; a tool's id follows from its number, so that some repeat."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("pos"), "event_type", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    k = F.col("k")
+    obj = lambda **c: F.to_json(F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in c.items()]))
+    sub = lambda **c: F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in c.items()])
+    call = lambda by: F.concat(F.lit("c"), (k - by).cast("string"))
+    content = lambda t: sub(content=F.array(sub(type="text", text=t), sub(type="image", text="no")))
+    usage = sub(role=F.when(k % 24 == 5, "user").otherwise("assistant"), usage=sub(totalTokens=k, cost=sub(total=k / 4)))
+    last = F.array(sub(role="assistant", stopReason=F.when(k % 36 == 7, "error").when(k % 36 == 19, "aborted").otherwise("stop"), content=F.array(sub(type="text", text=F.concat(F.lit("r"), k)))))
+    raw = (
+        F.when(k % 12 == 0, obj(type="message_update", assistantMessageEvent=sub(type="text_delta", delta=F.when(k % 24 == 0, "").otherwise(F.concat(F.lit("t"), k)))))
+        .when(k % 12 == 1, obj(type="message_update", assistantMessageEvent=sub(type="thinking_delta", delta=F.concat(F.lit("h"), k))))
+        .when(k % 12 == 2, obj(type="tool_execution_start", toolCallId=call(0), toolName=F.col("event_type"))).when(k % 12 == 3, obj(type="tool_execution_update", toolCallId=call(1), partialResult=content(F.concat(F.lit("u"), "pos"))))
+        .when(k % 12 == 4, obj(type="tool_execution_end", toolCallId=call(2), isError=k % 24 == 4, result=content(F.concat(F.lit("e"), "pos")))).when(k % 12 == 5, obj(type="message_end", message=usage)).when(k % 12 == 6, obj(type="turn_end"))
+        .when(k % 12 == 7, obj(type="agent_end", messages=last)).when(k % 12 == 8, obj(type="extension_ui_request", method=F.when(k % 24 == 8, "confirm").otherwise("setStatus"), title=F.concat(F.lit("q"), k)))
+        .when(k % 12 == 9, obj(type="auto_retry_start", attempt=k)).when(k % 12 == 10, obj(type="message_update", assistantMessageEvent=sub(type="error", reason=F.concat(F.lit("x"), k)))).otherwise("{")
+    )
+    return e.select("task", "pos", raw.alias("raw"))
+
+
+AGENT_EVENTS = """r AS (SELECT user_id AS task, event_id AS pos, event_type, (props->>'$.k')::BIGINT AS k FROM events),
+ev AS (SELECT task, pos, k, CASE k % 12 WHEN 0 THEN 'text' WHEN 1 THEN 'thinking' WHEN 2 THEN 'tool_start' WHEN 3 THEN 'tool_update' WHEN 4 THEN 'tool_end' WHEN 5 THEN CASE WHEN k % 24 <> 5 THEN 'usage' END WHEN 6 THEN 'turn_end' WHEN 7 THEN 'agent_end' WHEN 8 THEN CASE WHEN k % 24 = 8 THEN 'ask' END WHEN 9 THEN 'note' WHEN 10 THEN 'error' END AS kind,
+CASE k % 12 WHEN 0 THEN CASE WHEN k % 24 = 0 THEN '' ELSE 't' || k END WHEN 1 THEN 'h' || k WHEN 2 THEN event_type WHEN 3 THEN 'u' || pos WHEN 4 THEN 'e' || pos WHEN 7 THEN CASE WHEN k % 36 = 31 THEN 'r' || k ELSE '' END WHEN 8 THEN 'q' || k WHEN 9 THEN 'retrying (' || k || '/?)' WHEN 10 THEN 'x' || k END AS text,
+CASE WHEN k % 12 IN (2, 3, 4) THEN 'c' || k - (k % 12 - 2) END AS call, k % 24 = 4 AS err, CASE k % 36 WHEN 7 THEN 'assistant reported an error' WHEN 19 THEN 'assistant aborted' END AS bad FROM r)"""
+
+
+@query(f"""WITH {AGENT_EVENTS}, v AS (SELECT *, CASE kind WHEN 'tool_start' THEN text WHEN 'agent_end' THEN coalesce(bad, 'responded') WHEN 'error' THEN 'error: ' || text WHEN 'ask' THEN 'asked: ' || text END AS label FROM ev WHERE kind IS NOT NULL),
+g AS (SELECT task, count_if(kind = 'tool_start') AS tool_calls, count_if(kind = 'turn_end') AS turns, coalesce(sum(CASE WHEN kind = 'usage' THEN k END), 0)::DOUBLE AS tokens, coalesce(sum(CASE WHEN kind = 'usage' THEN k / 4.0::DOUBLE END), 0) AS cost, arg_max(kind, pos) AS last, bool_or(kind = 'ask') AS asked, arg_max(label, pos) FILTER (label IS NOT NULL) AS step, bool_or(kind = 'text') AS wrote, arg_max(struct_pack(t := text, b := bad), pos) FILTER (kind = 'agent_end') AS e FROM v GROUP BY task)
+SELECT task, CASE WHEN last = 'ask' THEN 'waiting' WHEN asked OR task % 3 = 0 THEN 'running' ELSE 'starting' END AS status, coalesce(step, CASE WHEN wrote THEN 'writing' ELSE 'queued' END) AS last_step, tool_calls::BIGINT AS tool_calls, turns::BIGINT AS turns, tokens, cost, CASE WHEN e.b IS NULL THEN e.t END AS result, e.b AS error FROM g""")
+def agent_records(spark, d):
+    tasks = read(spark, d, "events").select(F.col("user_id").alias("task")).distinct().select("task", F.when(F.col("task") % 3 == 0, "waiting").otherwise("starting").alias("status"), F.lit("queued").alias("last_step"))
+    return agent_events.task_records(tasks, agent_events.task_events(_raw_events(spark, d)))
+
+
+@query(f"""WITH {AGENT_EVENTS}, m AS (SELECT * FROM ev WHERE (kind IN ('text', 'thinking') AND text <> '') OR kind IN ('tool_start', 'error', 'ask', 'note')),
+b AS (SELECT *, CASE WHEN kind IN ('text', 'thinking') AND lag(kind) OVER (PARTITION BY task ORDER BY pos) = kind THEN 0 ELSE 1 END AS begins FROM m),
+i AS (SELECT *, sum(begins) OVER (PARTITION BY task ORDER BY pos) - 1 AS item FROM b), j AS (SELECT *, max(item) OVER (PARTITION BY task) + 1 AS items FROM i),
+g AS (SELECT task, item, min(kind) AS kind, min(pos) AS pos, min(call) AS call, min(items) AS items, string_agg(text, '' ORDER BY pos) AS text FROM j WHERE item >= items - 20 GROUP BY task, item),
+f AS (SELECT task, call, min(pos) AS pos FROM m WHERE kind = 'tool_start' GROUP BY ALL),
+u AS (SELECT f.task, f.call, f.pos, arg_max(ev.text, ev.pos) AS output, bool_or(ev.kind = 'tool_end') AS ended, arg_max(ev.err, ev.pos) FILTER (ev.kind = 'tool_end') AS failed FROM f JOIN ev ON ev.task = f.task AND ev.call = f.call AND ev.kind IN ('tool_update', 'tool_end') AND ev.pos > f.pos GROUP BY ALL)
+SELECT g.task, item::BIGINT AS item, CASE kind WHEN 'tool_start' THEN 'tool' WHEN 'text' THEN 'text' WHEN 'thinking' THEN 'thinking' ELSE 'note' END AS kind, CASE kind WHEN 'error' THEN 'error: ' || text WHEN 'ask' THEN 'asked: ' || text WHEN 'text' THEN CASE WHEN length(text) > 8 THEN '…' || right(text, 7) ELSE text END WHEN 'thinking' THEN CASE WHEN length(text) > 8 THEN '…' || right(text, 7) ELSE text END ELSE text END AS text,
+CASE WHEN kind = 'tool_start' THEN g.call END AS call_id, CASE WHEN kind = 'tool_start' THEN CASE WHEN length(output) > 4 THEN '…' || right(output, 3) ELSE coalesce(output, '') END END AS output, CASE WHEN kind = 'tool_start' THEN NOT coalesce(ended, false) END AS running, CASE WHEN kind = 'tool_start' THEN coalesce(failed, false) END AS is_error, greatest(0, items - 20)::BIGINT AS dropped
+FROM g LEFT JOIN u ON u.task = g.task AND u.call = g.call AND u.pos = g.pos""")
+def agent_threads(spark, d):
+    """Threads of twenty items, texts of eight characters and outputs of four, so that all limits are met."""
+    return agent_events.task_threads(agent_events.task_events(_raw_events(spark, d)), 20, 4, 8)
+
+
+@query(r"""WITH c AS (SELECT conv_id AS job, string_agg(CASE WHEN turn % 3 = 0 THEN replace(text, ' ', chr(10)) ELSE text || chr(13) || chr(10) END, '' ORDER BY turn, role) AS x FROM conversations GROUP BY conv_id)
+SELECT job, i - 1 AS line_no, CASE WHEN length(regexp_replace(l[i], '\r$', '')) > 2000 THEN '…' || right(regexp_replace(l[i], '\r$', ''), 2000) ELSE regexp_replace(l[i], '\r$', '') END AS line FROM (SELECT job, string_split(x, chr(10)) AS l FROM c), unnest(range(1, len(l) + 1)) AS u(i)""")
+def framed_output(spark, d):
+    """Turns as chunks of a job's output, cut where turns end."""
+    c = read(spark, d, "conversations")
+    seq = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role"))
+    chunk = F.when(F.col("turn") % 3 == 0, F.replace("text", F.lit(" "), F.lit("\n"))).otherwise(F.concat("text", F.lit("\r\n")))
+    return framing.lines_of(c.select(F.col("conv_id").alias("job"), seq.alias("seq"), chunk.alias("chunk")))
