@@ -4,6 +4,11 @@ Dated list entries (key, action, listed_at) become validity intervals: an entry
 holds until the next entry of the same key.  A capture is looked up under every
 suffix of its host, as of its fetch time; the longest suffix with an active
 entry decides.
+
+The look-up is one as-of pass: entries and captures of a key stand in one order of
+time, and a capture takes the last entry before it.  They are dealt by ranges of (key,
+time), so that a key with very many entries or captures spreads over many tasks; the
+last entry of each range is handed on to the ranges after it.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, settle
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -34,29 +39,59 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("key", "action", F.col("listed_at").alias("valid_from"), F.lead("listed_at").over(step).alias("valid_to")).where("action <> 'remove'")
 
 
+def as_of(asked: DataFrame, entries: DataFrame, name: str = "url-times") -> DataFrame:
+    """``asked`` (key, at, host) with the action of the key's last entry at or before ``at``; null where there is none.
+
+    Of entries with one key and time the greatest action holds, before captures of that time.
+    """
+    listed = entries.where("key is not null and listed_at is not null").groupBy("key", F.col("listed_at").alias("at")).agg(F.max("action").alias("action"))
+    order = ["key", "at", "kind", "host"]
+    rows = listed.select("key", "at", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "action").unionByName(asked.select("key", "at", F.lit(1).alias("kind"), "host", F.lit(None).cast("string").alias("action")))
+    placed = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), name)
+    last = placed.where("kind = 0").groupBy("key", "part").agg(F.max_by("action", "at").alias("last"))
+    parts = placed.select("key", "part").distinct().join(last, ["key", "part"], "left")
+    carried = parts.withColumn("before", F.last("last", ignorenulls=True).over(W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("key", "part", "before")
+    own = F.last("action", ignorenulls=True).over(W.partitionBy("key", "part").orderBy("at", "kind", "host").rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("own", own).where("kind = 1").join(carried, ["key", "part"]).select("key", "at", "host", F.coalesce("own", "before").alias("action"))
+
+
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per capture (page_id, url, fetched_at): host, matched_key, verdict, kept.
 
     Captures that match nothing, or have no host or fetch time, are "unlisted"
     and kept.  Every distinct host and time is looked up once, under each suffix of
-    the host; the join is on the key, so a hot one is one that AQE may split.
+    the host, in one as-of pass.  "remove" ends what an entry before it said.
     Repeated rows each get their own verdict.  An empty list leaves every capture
     unlisted, no capture gives no row; columns other than the three are ignored.
     """
     rows = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched_at")
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    held = intervals(entries)
     # The verdict depends on host and time alone: evaluate each distinct pair once.
     pairs = rows.where("host <> '' and fetched_at is not null").select("host", "fetched_at").distinct()
-    keyed = pairs.select("host", "fetched_at", F.explode(suffixes).alias("key"))
-    hit = keyed.join(held, "key").where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
+    asked = pairs.select(F.explode(suffixes).alias("key"), F.col("fetched_at").alias("at"), "host")
+    # A suffix that no entry names is not looked up.
+    asked = asked.join(entries.select("key").distinct(), "key", "left_semi")
+    hit = as_of(asked, entries).where("action <> 'remove'").withColumnRenamed("at", "fetched_at")
     best = hit.groupBy("host", "fetched_at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias("best"))
     best = best.select("host", "fetched_at", F.col("best.key").alias("matched_key"), F.col("best.action").alias("verdict"))
     out = rows.join(best, ["host", "fetched_at"], "left")
     return out.select("page_id", "host", "fetched_at", "matched_key", F.coalesce("verdict", F.lit("unlisted")).alias("verdict"), (F.coalesce("verdict", F.lit("unlisted")) != "block").alias("kept"))
 
 
+#: A small dated list, as one is kept by hand: key, action, day of 2024 on which it was listed (at six in the morning).
+LIST = (
+    ("free-bets.example.com", "block", 20), ("cheap-pills.example.com", "block", 1), ("cheap-pills.example.com", "remove", 200), ("casino-win.example.com", "block", 45), ("casino-win.example.com", "allow", 300),
+    ("ads-track.example.com", "block", 0), ("spam-farm.example.com", "block", 10), ("spam-farm.example.com", "remove", 90), ("spam-farm.example.com", "block", 120), ("adult-x.example.net", "block", 5),
+)
+
+
+def listed_entries(spark) -> DataFrame:
+    """LIST as entries (key, action, listed_at)."""
+    rows = spark.createDataFrame(list(LIST), "key string, action string, day int")
+    return rows.select("key", "action", (F.expr("timestamp_ntz'2024-01-01 06:00:00'") + F.make_dt_interval("day")).alias("listed_at"))
+
+
 def demo_entries(pages: DataFrame) -> DataFrame:
     """Dated entries over the hosts of ``pages``, as the tables hold no list.
 
@@ -77,7 +112,7 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     """All pages; their fetch time is derived from page_id, as the table has none."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval((F.col("page_id") * 37 % 366).cast("int"))
-    return filter_captures(pages.select("page_id", "url", at.alias("fetched_at")), demo_entries(pages))
+    return filter_captures(pages.select("page_id", "url", at.alias("fetched_at")), demo_entries(pages).unionByName(listed_entries(spark)))
 
 
 OP6_SQL = r"""
@@ -99,6 +134,8 @@ WITH p AS (
   SELECT key, CASE WHEN k % 4 = 1 THEN 'allow' ELSE 'block' END AS action, listed_at FROM listed
   UNION ALL
   SELECT key, 'remove', listed_at + INTERVAL 60 DAY FROM listed WHERE k % 2 = 0
+  UNION ALL
+  SELECT key, action, TIMESTAMP '2024-01-01 06:00:00' + day * INTERVAL 1 DAY FROM (VALUES """ + ", ".join(map(str, LIST)) + r""") AS x(key, action, day)
 ), held AS (
   SELECT * FROM (SELECT key, action, listed_at AS valid_from, lead(listed_at) OVER (PARTITION BY key ORDER BY listed_at) AS valid_to FROM entries) WHERE action <> 'remove'
 ), hit AS (
