@@ -541,3 +541,40 @@ def test_toxicity_learns_from_long_texts(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score_documents(docs, spark.createDataFrame([(i, c) for i, _, c in rows], "doc_id long, toxic int")).collect()}
     assert min(got[i] for i, _, c in rows if c) > max(got[i] for i, _, c in rows if not c)
+
+
+def test_ledger_outlives_a_run(spark, tmp_path):
+    """A half-filled ledger, a path with several versions, and another rule version."""
+    path = str(tmp_path / "ledger")
+    old = spark.createDataFrame([(1, "password=hunter22"), (2, "nothing")], "doc_id long, text string")
+    new = old.unionByName(spark.createDataFrame([(1, "password=changed99"), (1, "nothing"), (3, "f" * 30), (None, None)], "doc_id long, text string"))
+    _, first = secrets.scan_history(old, path)
+    rows, second = secrets.scan_history(new, path)
+    assert (first.count(), second.count()) == (2, 3) and secrets.read_ledger(spark, path).count() == 5
+    want = {(r.doc_id, r.blob): [tuple(s) for s in r.findings] for r in secrets.scan_history(new)[0].collect()}
+    assert {(r.doc_id, r.blob): [tuple(s) for s in r.findings] for r in rows.collect()} == want and rows.count() == 6
+    assert secrets.scan_history(new, path)[1].count() == 0
+    rules = (("hex", r"f+", 0, 1, r"f"),)
+    other, third = secrets.scan_history(new, path, rules=rules, rule_version="base-2")
+    assert third.count() == 5 and sorted(len(r.findings) for r in other.collect()) == [0, 0, 0, 0, 0, 1]
+    assert secrets.read_ledger(spark, path).count() == 10 and secrets.scan_history(new, path)[1].count() == 0
+
+
+def test_url_filter_of_a_key_with_thousands_of_entries(spark):
+    entries = [("com", ("block", "allow", "remove")[t % 3], t) for t in range(0, 9000, 3)] + [("com", "block", t) for t in range(1, 9000, 3)] + [("b.com", "allow", 4000), ("b.com", "remove", 5000), ("com", None, None)]
+    captures = [(i, f"http://{'b.com' if i % 4 == 0 else 'x.com'}/{i}", (i * 37) % 9500 - 100) for i in range(3000)]
+    by: dict = {}
+    for k, action, t in entries:
+        if t is not None:
+            by.setdefault(k, {})[t] = max(action, by.get(k, {}).get(t, ""))
+
+    def plain(host: str, t: int) -> str:
+        for key in (host, "com"):
+            past = [x for x in by.get(key, {}) if x <= t]
+            if past and by[key][max(past)] != "remove":
+                return by[key][max(past)]
+        return "unlisted"
+
+    table = spark.createDataFrame(captures, "page_id long, url string, fetched_at int")
+    got = {r.page_id: r.verdict for r in url_filter.filter_captures(table, spark.createDataFrame(entries, "key string, action string, listed_at int")).collect()}
+    assert got == {i: plain(url.split("/")[2], t) for i, url, t in captures}
