@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Requests that ask a person, the mark of a notice that is kept, and the limits of a thread.
+#: Requests that ask a person, the mark of a notice that is kept (a host may put its name before it), and the limits of a thread.
 DIALOGS = ("select", "confirm", "input", "editor")
-MISSING_TOOLS = "gentle-agents: requested tools missing in child:"
+MISSING_TOOLS = "requested tools missing in child:"
 MOST_ITEMS, OUTPUT_CHARS, TEXT_CHARS = 400, 16_000, 20_000
 #: What is said of an answer that failed.
 NO_REPORT, REPORTED_ERROR, ABORTED = "assistant returned no final report", "assistant reported an error", "assistant aborted"
@@ -42,11 +42,11 @@ def tail(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.lit("…"), F.right(text, F.lit(most - 1)))).otherwise(text)
 
 
-def task_events(raw: DataFrame) -> DataFrame:
+def task_events(raw: DataFrame, mark: str = MISSING_TOOLS) -> DataFrame:
     """(task, pos, n, kind, text, call_id, is_error, tokens, cost, outcome, diagnostic) of raw lines (task, pos, raw): none, one or several each.
 
     Deltas carry their chunk only; usage counts for assistants; a request counts if it
-    asks a person; a notice only with its mark.  Lines that are no JSON or of another
+    asks a person; a notice only if it begins with ``mark``.  Lines that are no JSON or of another
     type give nothing.
     """
     j = lambda p: F.get_json_object("raw", p)
@@ -79,7 +79,7 @@ def task_events(raw: DataFrame) -> DataFrame:
         .when(kind == "tool_execution_end", one("tool_end", call_id=call, text=said("$.result.content"), is_error=F.coalesce(j("$.isError") == "true", F.lit(False))))
         .when(kind == "message_end", F.array_compact(F.array(usage, fatal))).when(kind == "turn_end", one("turn_end"))
         .when(kind == "agent_end", one("agent_end", text=F.when(outcome == "success", report).otherwise(""), outcome=outcome, diagnostic=told)).when(kind == "agent_settled", one("agent_settled"))
-        .when((kind == "extension_ui_request") & (method == "notify") & j("$.message").startswith(MISSING_TOOLS), one("note", text=clean(j("$.message"))))
+        .when((kind == "extension_ui_request") & (method == "notify") & j("$.message").startswith(mark), one("note", text=clean(j("$.message"))))
         .when((kind == "extension_ui_request") & method.isin(*DIALOGS), one("ask", text=title))
         .when(kind == "auto_retry_start", one("note", text=F.concat(F.lit("retrying ("), attempt("$.attempt"), F.lit("/"), attempt("$.maxAttempts"), F.lit(")"))))
         .when(kind == "extension_error", one("note", text=F.concat(F.lit("extension error: "), clean(j("$.error")))))
