@@ -88,13 +88,15 @@ def phases(timings: DataFrame, phase: str, value: str) -> DataFrame:
 def price_ratio(prices: DataFrame) -> DataFrame:
     """Ratios of input and output prices to a base's, the larger as blended, and the reason where there are none.
 
-    Prices are (id, input, output, base_id, base_input, base_output).  A ratio needs
+    Prices are (id, input, output, base_input, base_output) and base_id, "base" without
+    such a column.  A ratio needs
     all four prices, each a number above 0; reason names the first model, of the two,
     without a price or with one that is not.
     """
     bad = lambda i, o: F.when(F.col(i).isNull() & F.col(o).isNull(), "no catalog price for ").when(~F.coalesce((F.col(i) > 0) & (F.col(i) < float("inf")) & (F.col(o) > 0) & (F.col(o) < float("inf")), F.lit(False)), "zero or invalid price for ")
-    named = lambda why, name: F.when(why.isNotNull(), F.concat(why, F.col(name).cast("string")))
-    reason = F.coalesce(named(bad("input", "output"), "id"), named(bad("base_input", "base_output"), "base_id"))
+    named = lambda why, name: F.when(why.isNotNull(), F.concat(why, name.cast("string")))
+    base = F.col("base_id") if "base_id" in prices.columns else F.lit("base")
+    reason = F.coalesce(named(bad("input", "output"), F.col("id")), named(bad("base_input", "base_output"), base))
     ratio = lambda c: F.when(reason.isNull(), half_up(F.try_divide(F.col(c), F.col(f"base_{c}")), 6))
     return prices.select("id", ratio("input").alias("input"), ratio("output").alias("output"), F.greatest(ratio("input"), ratio("output")).alias("blended"), reason.alias("reason"))
 
