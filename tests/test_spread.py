@@ -32,3 +32,18 @@ def test_ranked_search_ranks_texts_once(spark):
         best = sorted((-r.score, *of[r.entry_index]) for r in search.lexical(chosen, text).collect())[:3]
         want |= {(q, "symbol", x[-1], -x[0], at + 1) for q in range(half, 30, 2) for at, x in enumerate(best)}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_related_nodes_are_not_shuffled(spark):
+    rows = [(i, f"A{i % 3}", f"T{i % 2}", [f"x{i % 5}"], None) for i in range(90)] + [(7, "A2", "T0", ["x1"], None), (7, "A2", "T0", ["x1"], None)]
+    nodes = spark.createDataFrame(rows, "node int, area string, topic string, tags array<string>, refs array<struct<kind: string, repository: string, id: string>>")
+    got = work.related_all(nodes, nodes.where("node % 10 = 7"))
+    assert unshuffled(got)
+
+    def why(a, b):
+        both = a[1] == b[1]
+        return ",".join([*["area"] * both, *["tag"] * bool(set(a[3]) & set(b[3])), *["topic"] * (both and a[2] == b[2])])
+
+    want = {(a[0], b[0], why(a, b)) for a in rows if a[0] % 10 == 7 for b in rows if a[0] != b[0] and why(a, b)}
+    found = [tuple(r) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want)

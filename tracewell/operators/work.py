@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold, fold_all, half_up
+from .spread import dealt, lists
 
 
 def _traits(nodes: DataFrame) -> Column:
@@ -39,16 +40,22 @@ def related(nodes: DataFrame, source: str | int) -> DataFrame:
 def related_all(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, reasons) as ``related`` of every node that ``sources`` (node) names.
 
-    Nodes of equal traits are one profile; profiles meet by trait, and only what is
-    related comes back to nodes.
+    Nodes of equal traits are one profile; profiles meet by trait, each pair at the
+    first trait that both have, so that none is found twice, and only then come the
+    nodes, from arrays.  A node that is told several times has all its traits in one
+    profile, each telling apart.
     """
     traits = nodes.select("node", _traits(nodes).alias("traits")).where(F.size("traits") > 0)
-    of = traits.select("node", F.sha2(F.to_json("traits"), 256).alias("profile"), "traits")
-    rows = of.groupBy("profile").agg(F.first("traits").alias("traits")).select("profile", F.explode("traits").alias("t")).select("profile", "t.reason", "t.value")
-    asked = of.join(sources.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("source"), F.col("profile").alias("own"))
-    wanted = rows.join(asked.select(F.col("own").alias("profile")).distinct(), "profile", "left_semi").withColumnRenamed("profile", "own")
-    pairs = wanted.join(rows, ["reason", "value"]).groupBy("own", "profile").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
-    return asked.join(pairs, "own").join(of.select("node", "profile"), "profile").where("node <> source").select("source", "node", "reasons").distinct()
+    of = traits.groupBy("node").agg(F.array_sort(F.collect_set("traits")).alias("told"))
+    of = of.select("node", F.sha2(F.to_json("told"), 256).alias("profile"), "told")
+    asked = of.join(sources.select("node").distinct(), "node", "left_semi")
+    told = of.groupBy("profile").agg(F.first("told").alias("told")).withColumn("traits", F.array_sort(F.array_distinct(F.flatten("told"))))
+    met = lambda members, name: told.join(lists(members, ["profile"], F.col("node"), name), "profile").withColumn("trait", F.explode("traits")).select("trait", F.xxhash64("profile").alias(f"{name}_at"), F.col("told").alias(f"{name}_told"), F.col("traits").alias(f"{name}_traits"), name)
+    both = dealt(met(asked, "sources"), met(of, "nodes"), ["trait"], "nodes_at").where(F.col("trait") == F.array_min(F.array_intersect("sources_traits", "nodes_traits")))
+    shared = lambda a, b: F.array_join(F.array_sort(F.array_distinct(F.transform(F.array_intersect(a, b), lambda t: t["reason"]))), ",")
+    ways = F.flatten(F.transform("sources_told", lambda a: F.transform("nodes_told", lambda b: shared(a, b))))
+    pairs = both.select("sources", "nodes", F.explode(F.array_distinct(F.filter(ways, lambda w: w != ""))).alias("reasons"))
+    return pairs.select("sources", F.explode("nodes").alias("node"), "reasons").select(F.explode("sources").alias("source"), "node", "reasons").where("node <> source")
 
 
 def symbols(entries: DataFrame, name: str | None = None, file: str | None = None, kind: str | None = None) -> DataFrame:
