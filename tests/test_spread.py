@@ -47,3 +47,12 @@ def test_related_nodes_are_not_shuffled(spark):
     want = {(a[0], b[0], why(a, b)) for a in rows if a[0] % 10 == 7 for b in rows if a[0] != b[0] and why(a, b)}
     found = [tuple(r) for r in got.collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+def test_scopes_of_equal_text_are_read_once(spark):
+    texts = ["src/a/**", "src/a/x*.ts", "src/b/y.ts", None, "src/a/xy.ts"]
+    table = spark.createDataFrame([(i, texts[i % 5]) for i in range(60)] + [(0, texts[0])], "id int, scope string")
+    got = surfaces.overlapping(table.where("id < 6"), table)
+    assert unshuffled(got)
+    want = sorted((i, j) for i in range(6) for j in range(60) if surfaces.overlap(texts[i % 5], texts[j % 5]))
+    assert sorted((r.id, r.other_id) for r in got.collect()) == want
