@@ -56,3 +56,14 @@ def test_scopes_of_equal_text_are_read_once(spark):
     assert unshuffled(got)
     want = sorted((i, j) for i in range(6) for j in range(60) if surfaces.overlap(texts[i % 5], texts[j % 5]))
     assert sorted((r.id, r.other_id) for r in got.collect()) == want
+
+
+def test_entries_of_one_name_are_not_shuffled(spark):
+    entries = entries_of(spark).drop("file")
+    asked = spark.createDataFrame([(i, "Big Ring") for i in range(20)] + [(None, "small ring")], "query int, text string")
+    got = search.lexical_all(entries, asked)
+    assert unshuffled(got)
+    found = [(r.query, r.entry_index, r.score) for r in got.collect()]
+    want = {(r.entry_index, r.score) for r in search.lexical(entries, "big ring").collect()}
+    assert len(found) == len(set(found)) and all({(e, s) for q, e, s in found if q == i} == want for i in range(20))
+    assert {(e, s) for q, e, s in found if q is None} == {(r.entry_index, r.score) for r in search.lexical(entries, "small ring").collect()}
