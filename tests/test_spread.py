@@ -67,3 +67,12 @@ def test_entries_of_one_name_are_not_shuffled(spark):
     want = {(r.entry_index, r.score) for r in search.lexical(entries, "big ring").collect()}
     assert len(found) == len(set(found)) and all({(e, s) for q, e, s in found if q == i} == want for i in range(20))
     assert {(e, s) for q, e, s in found if q is None} == {(r.entry_index, r.score) for r in search.lexical(entries, "small ring").collect()}
+
+
+def test_symbols_of_one_name_are_not_shuffled(spark):
+    entries = entries_of(spark)
+    asked = spark.createDataFrame([(1, "BIG ring", None, None), (2, "BIG ring", None, None), (3, None, "f1", "file"), (4, None, None, None), (5, "big ring", "f1", None)], "query int, name string, file string, kind string")
+    got = work.symbols_all(entries, asked)
+    assert unshuffled(got)
+    want = [(q.query, e.entry_index) for q in asked.collect() for e in entries.collect() if (q.name is None or q.name.lower() == e.name) and q.file in (None, e.file) and q.kind in (None, e.kind)]
+    assert sorted((r.query, r.entry_index) for r in got.collect()) == sorted(want) and got.columns == ["query", *entries.columns]

@@ -68,18 +68,22 @@ def symbols(entries: DataFrame, name: str | None = None, file: str | None = None
 def symbols_all(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """``symbols`` for a table of queries (query, name, file, kind): every entry with the query in front; null asks nothing.
 
-    Queries are joined by equality on the first of name, file and kind that they ask for.
+    Distinct questions are joined by equality on the first of name, file and kind that
+    they ask for, with distinct such entries; queries and entries come last, from arrays.
     """
-    q = queries.select("query", F.lower("name").alias("want_name"), F.col("file").alias("want_file"), F.col("kind").alias("want_kind"))
-    e = entries.withColumn("__name", F.lower("name"))
     own = {"want_name": "__name", "want_file": "file", "want_kind": "kind"}
-    found = q.where(" and ".join(f"{w} is null" for w in own)).crossJoin(e)
+    q = queries.select("query", F.lower("name").alias("want_name"), F.col("file").alias("want_file"), F.col("kind").alias("want_kind")).withColumn("__asks", F.to_json(F.array(*own)))
+    e = entries.withColumn("__name", F.lower("name")).withColumn("__class", F.to_json(F.array(*own.values())))
+    asks, kinds = q.select("__asks", *own).distinct(), e.select("__class", *own.values()).distinct()
+    found = asks.where(" and ".join(f"{w} is null" for w in own)).crossJoin(kinds)
     for i, want in enumerate(own):
-        asked = q.where(" and ".join([f"{want} is not null", *[f"{w} is null" for w in list(own)[:i]]]))
-        found = found.unionByName(asked.join(e, F.col(want) == F.col(own[want])))
+        asked = asks.where(" and ".join([f"{want} is not null", *[f"{w} is null" for w in list(own)[:i]]]))
+        found = found.unionByName(asked.join(kinds, F.col(want) == F.col(own[want])))
     for want, column in own.items():
         found = found.where(F.col(want).isNull() | (F.col(want) == F.col(column)))
-    return found.select("query", *entries.columns)
+    asking = found.select("__asks", "__class").join(lists(q, ["__asks"], F.col("query"), "__asking"), "__asks")
+    both = dealt(asking, lists(e, ["__class"], F.struct(*[F.col(f"`{c}`") for c in entries.columns]), "__held"), ["__class"], "__held", 4)
+    return both.select("__asking", F.explode("__held").alias("__e")).select(F.explode("__asking").alias("query"), "__e.*")
 
 
 def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
