@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import search, surfaces, work
+from tracewell.operators import proofs, search, surfaces, work
 
 
 def above(df, node: str) -> list[str]:
@@ -76,3 +76,21 @@ def test_symbols_of_one_name_are_not_shuffled(spark):
     assert unshuffled(got)
     want = [(q.query, e.entry_index) for q in asked.collect() for e in entries.collect() if (q.name is None or q.name.lower() == e.name) and q.file in (None, e.file) and q.kind in (None, e.kind)]
     assert sorted((r.query, r.entry_index) for r in got.collect()) == sorted(want) and got.columns == ["query", *entries.columns]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reach_is_asked_by_pairs_of_files(spark):
+    """A path that very many proofs cover, and of which very many pairs are known, does not meet by itself."""
+    n = 60
+    proof = spark.createDataFrame([(i, "passed", "open", None) for i in range(n)], "fingerprint int, status string, confidence string, observed array<string>")
+    covered = spark.createDataFrame([(i, "hot", "d") for i in range(n)], "fingerprint int, path string, digest string")
+    now = spark.createDataFrame([("hot", "d")], "path string, digest string")
+    changed = spark.createDataFrame([(i, f"c{i}", 0) for i in range(n - 1)], "fingerprint int, path string, pos int")
+    reach = spark.createDataFrame([(f"c{i}", "hot", i % 2 == 0) for i in range(n - 2)], "changed string, covered string, reaches boolean")
+    got = proofs.validity(proof, covered, now, changed, reach)
+    assert "Join Inner, (path#" not in plan_of(got)
+    want = {i: "reached" if i % 2 == 0 else "conservative" for i in range(n - 2)} | {n - 2: "unknown-reach", n - 1: "unaffected"}
+    assert {r.fingerprint: r.reason for r in got.collect()} == want

@@ -24,15 +24,18 @@ def validity(proofs: DataFrame, coverage: DataFrame, digests: DataFrame, changed
 
     expired, not-passed, covered-changed, unknown-reach, reached, hermetic, observed,
     conservative, unaffected - in this order; unknown-reach and reached by the first
-    changed file that decides.  Pairs of files meet over known reachability alone: a
-    changed file of which fewer pairs are known than files are covered is unknown.
+    changed file that decides.  The files that a proof covers meet its changed files, of
+    which anything is known, and only these pairs meet reachability: a changed file of
+    which fewer pairs are known than files are covered is unknown.
     """
-    of = coverage.select("fingerprint", "path", "digest").dropDuplicates(["fingerprint", "path"])
+    # Dealt by fingerprint once, which serves all that is grouped or joined by it.
+    of = coverage.select("fingerprint", "path", "digest").repartition("fingerprint").dropDuplicates(["fingerprint", "path"])
     now = digests.select("path", F.col("digest").alias("now")).dropDuplicates(["path"])
     stale = of.join(now, "path", "left").where(~F.col("digest").eqNullSafe(F.col("now"))).groupBy("fingerprint").agg(F.count("*").alias("stale"))
     size = of.groupBy("fingerprint").agg(F.count("*").alias("covered_files"))
     known = reach.where("reaches is not null").select("changed", F.col("covered").alias("path"), "reaches").dropDuplicates(["changed", "path"])
-    pairs = of.select("fingerprint", "path").join(known, "path").join(changed.select("fingerprint", F.col("path").alias("changed")).distinct(), ["fingerprint", "changed"])
+    met = changed.select("fingerprint", F.col("path").alias("changed")).distinct().join(known.select("changed").distinct(), "changed", "left_semi")
+    pairs = of.select("fingerprint", "path").join(met, "fingerprint").join(known, ["changed", "path"])
     told = pairs.groupBy("fingerprint", "changed").agg(F.count("*").alias("known"), F.bool_or("reaches").alias("reached"))
     rows = changed.withColumnRenamed("path", "changed").join(told, ["fingerprint", "changed"], "left").join(size, "fingerprint", "left")
     unknown = F.coalesce("known", F.lit(0)) < F.coalesce("covered_files", F.lit(0))
