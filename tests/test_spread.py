@@ -1,8 +1,10 @@
 """Results that are far larger than their input: repeated rows against plain loops, and no shuffle above what takes classes apart."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from tracewell.operators import proofs, search, surfaces, work
+from tracewell.operators import facts, proofs, search, surfaces, work
 
 
 def above(df, node: str) -> list[str]:
@@ -94,3 +96,13 @@ def test_reach_is_asked_by_pairs_of_files(spark):
     assert "Join Inner, (path#" not in plan_of(got)
     want = {i: "reached" if i % 2 == 0 else "conservative" for i in range(n - 2)} | {n - 2: "unknown-reach", n - 1: "unaffected"}
     assert {r.fingerprint: r.reason for r in got.collect()} == want
+
+
+def test_relations_are_distinct_between_their_ends(spark):
+    files = spark.createDataFrame([("a",), ("b",)], "path string")
+    edges = spark.createDataFrame([("a", "b", "typescript"), ("a", "gone", "typescript"), ("b", "a", "unresolved")], "importer string, target string, evidence string")
+    entities = spark.createDataFrame([(f"p{i}", f"part{i % 2}") for i in range(20)] + [("s", "server"), ("none", None)], "id string, path string")
+    relations = spark.createDataFrame([(f"p{i}", to, k) for i in range(20) for to in ("s", "gone", "p0", "none") for k in ("serves", "consumes")], "from_id string, to_id string, kind string")
+    got = facts.reverse_adjacency(files, edges, entities, relations)
+    assert re.search(r"Aggregate \[importer#\d+, to_id#\d+\]", plan_of(got))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "b"), ("part0", "server"), ("part1", "part0"), ("part1", "server")]

@@ -42,8 +42,11 @@ def language(path: Column) -> Column:
 
 
 def local_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges that resolve inside the index: both ends indexed, evidence of the compiler or the file system."""
-    known = files.select("path").distinct()
+    """Edges that resolve inside the index: both ends indexed, evidence of the compiler or the file system.
+
+    Paths are held as a hash table in each partition, so that no edges are sorted.
+    """
+    known = files.select("path").distinct().hint("shuffle_hash")
     here = edges.where(F.col("evidence").isin(*LOCAL))
     return here.join(known.withColumnRenamed("path", "importer"), "importer", "left_semi").join(known.withColumnRenamed("path", "target"), "target", "left_semi").select(edges.columns)
 
@@ -56,9 +59,15 @@ def entity_edges(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def reverse_adjacency(files: DataFrame, edges: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Distinct (importer, target) over local import edges and relations between entities of different files."""
-    own = local_edges(edges, files).select("importer", "target")
-    return own.unionByName(entity_edges(entities, relations).where("importer <> target").select("importer", "target")).distinct()
+    """Distinct (importer, target) over local import edges and relations between entities of different files.
+
+    Relations are made distinct after each end is mapped to its file, so that an id that
+    very many name comes to the next join once for each file.
+    """
+    of = lambda end, path: entities.select(F.col("id").alias(end), F.col("path").alias(path)).dropDuplicates([end]).where(F.col(path).isNotNull())
+    one = relations.select("from_id", "to_id").join(of("from_id", "importer"), "from_id").select("importer", "to_id").distinct()
+    two = one.join(of("to_id", "target"), "to_id").where("importer <> target").select("importer", "target")
+    return local_edges(edges.select("importer", "target", "evidence"), files).select("importer", "target").unionByName(two).distinct()
 
 
 def coverage(files: DataFrame, edges: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
