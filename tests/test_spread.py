@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tracewell.operators import facts, proofs, search, surfaces, work
+from tracewell.sources import workspace
 
 
 def above(df, node: str) -> list[str]:
@@ -106,3 +107,14 @@ def test_relations_are_distinct_between_their_ends(spark):
     got = facts.reverse_adjacency(files, edges, entities, relations)
     assert re.search(r"Aggregate \[importer#\d+, to_id#\d+\]", plan_of(got))
     assert sorted(tuple(r) for r in got.collect()) == [("a", "b"), ("part0", "server"), ("part1", "part0"), ("part1", "server")]
+
+
+def test_folders_are_asked_once_for_all_commands(spark):
+    commands = spark.createDataFrame([(i, "r", "a/b" if i % 2 else "c") for i in range(50)] + [(1, "r", "a"), (None, "r", "a")], "id int, root string, folder string")
+    files = spark.createDataFrame([("r", "yarn.lock")], "root string, path string")
+    manifests = spark.createDataFrame([("r", "a/package.json", '{"scripts": {"test": "x"}}')], "root string, path string, text string")
+    got = workspace.receipts(commands, files, manifests)
+    assert re.search(r"Aggregate \[root#\d+, (folder|from)#\d+\]", plan_of(got))
+    rows = [(r.id, r.package_path, r.package_manager, r.test_command) for r in got.collect()]
+    one = ("a/package.json", "yarn", "yarn test")
+    assert sorted(rows, key=str) == sorted([*[(i, *(one if i % 2 else (None, None, None))) for i in range(50)], (1, *one), (None, None, None, None)], key=str)

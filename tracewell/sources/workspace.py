@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blob_sha
+from ..operators.spread import dealt
 
 #: The largest source that is hashed, and lock files in the order in which they tell the package manager.
 MOST_BYTES = 1024 * 1024
@@ -106,8 +107,8 @@ def receipts(commands: DataFrame, files: DataFrame, manifests: DataFrame) -> Dat
     """Per command (id, root, folder): package_path, package_manager and the commands of the nearest manifest above its folder.
 
     files: root, path of all files.  manifests: root, path, text of the manifests.
-    Each folder and those above it are asked for by a join, and the least distance
-    wins.  The package manager is the nearest that a manifest declares or a lock file
+    Each distinct folder and those above it are asked for by a join, and the least
+    distance wins.  The package manager is the nearest that a manifest declares or a lock file
     tells, a declaration before lock files in one folder, else npm.  Null where no
     manifest is found, or where the nearest one is not an object.
     """
@@ -122,8 +123,13 @@ def receipts(commands: DataFrame, files: DataFrame, manifests: DataFrame) -> Dat
     manager = F.element_at(F.create_map(*[F.lit(x) for pair in LOCK_FILES for x in pair]), name)
     locks = files.where(name.isin([f for f, _ in LOCK_FILES])).groupBy("root", folder_of("path").alias("folder")).agg(F.min(F.struct(rank.alias("rank"), manager.alias("manager")))["manager"].alias("locked"))
     told = known.join(locks, ["root", "folder"], "full_outer").select("root", "folder", "manifest", F.coalesce("manifest.declared", "locked").alias("manager"))
-    asked = commands.select("id", "root", F.inline(ancestors(F.col("folder"))))
-    near = asked.join(told, ["root", "folder"]).groupBy("id").agg(*[F.min(F.when(F.col(c).isNotNull(), F.struct("up", c)))[c].alias(n) for c, n in (("manifest", "m"), ("manager", "manager"))])
+    least = lambda rows, *keys: rows.groupBy(*keys).agg(*[F.min(F.when(F.col(c).isNotNull(), F.struct("up", c))).alias(c) for c in ("manifest", "manager")])
+    asked = commands.select("root", F.col("folder").alias("from")).distinct().select("root", "from", F.inline(ancestors(F.col("from"))))
+    folders = least(asked.join(told, ["root", "folder"]), "root", "from").where("manifest is not null or manager is not null")
+    # Commands of one folder may be very many: each is dealt with its folder's answer, and an id that repeats takes the nearest of all.
+    met = dealt(folders, commands.select("id", "root", F.col("folder").alias("from")), ["root", "from"], "id", 1 << 16)
+    pick = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.up").alias("up"), F.col(f"{c}.{c}").alias(c))))[c]
+    near = met.groupBy("id").agg(pick("manifest").alias("m"), pick("manager").alias("manager"))
     full = F.coalesce("manager", F.lit("npm"))
     run = lambda x, words: F.when(F.col(f"m.{x}"), F.concat(F.substring_index(full, "@", 1), F.lit(words)))
     some = F.col("m").isNotNull()
