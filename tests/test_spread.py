@@ -72,6 +72,24 @@ def test_entries_of_one_name_are_not_shuffled(spark):
     assert {(e, s) for q, e, s in found if q is None} == {(r.entry_index, r.score) for r in search.lexical(entries, "small ring").collect()}
 
 
+def test_alike_names_meet_without_their_pairs_being_kept(spark, monkeypatch):
+    """Names that all share their grams: each pair is told once where it is met, whatever its ways, in parts, and for large sets too."""
+    names = [f"Part#{i:05d}" for i in range(0, 300, 7)] + ["big ring", "Ring big", "big", "", "ri", "a ring of the big king"]
+    entries = spark.createDataFrame([(i, "k", x) for i, x in enumerate(names)] + [(900, "k", "big ring"), (901, "k", None)], "entry_index long, kind string, name string")
+    texts = ["Part#00014", "part#00014 part", "ring big", "big ring", "ri", "", "g", "the big king"]
+    asked = spark.createDataFrame(list(enumerate([*texts, "Big Ring", None])), "query int, text string")
+    want = {t: {(r.entry_index, r.score) for r in search.lexical(entries, t).collect()} for t in {*map(str.lower, texts)}}
+    for most, small in ((1 << 16, 128), (40, 9)):
+        monkeypatch.setattr(search, "MOST", most)
+        monkeypatch.setattr(search, "SMALL", small)
+        got = search.lexical_all(entries, asked)
+        found = [(r.query, r.entry_index, r.score) for r in got.collect()]
+        assert len(found) == len(set(found))
+        for q, t in enumerate([*texts, "Big Ring"]):
+            assert {(e, s) for n, e, s in found if n == q} == want[t.lower()], t
+    assert not re.search(r"Aggregate \[q#\d+, name#\d+\]", plan_of(got)) and {q for q, _, _ in found} <= set(range(9))
+
+
 def test_symbols_of_one_name_are_not_shuffled(spark):
     entries = entries_of(spark)
     asked = spark.createDataFrame([(1, "BIG ring", None, None), (2, "BIG ring", None, None), (3, None, "f1", "file"), (4, None, None, None), (5, "big ring", "f1", None)], "query int, name string, file string, kind string")
