@@ -117,6 +117,24 @@ def test_reach_is_asked_by_pairs_of_files(spark):
     assert {r.fingerprint: r.reason for r in got.collect()} == want
 
 
+def test_verdicts_are_made_once(spark):
+    """Each suite takes its fallback where its tests are, and coverage is dealt once for what it is counted and met by."""
+    have = spark.createDataFrame([(i, "passed", "open", [f"c{i % 4}"] if i % 2 else None) for i in range(12)], "fingerprint int, status string, confidence string, observed array<string>")
+    covered = spark.createDataFrame([(i, p, "d") for i in range(12) for p in ("x", "y", "x")] + [(None, "x", "d")], "fingerprint int, path string, digest string")
+    now = spark.createDataFrame([("x", "d"), ("y", "d")], "path string, digest string")
+    changed = spark.createDataFrame([(i, f"c{(i + j) % 4}", j) for i in range(8) for j in (0, 1, 1)] + [(None, "c0", 0)], "fingerprint int, path string, pos int")
+    reach = spark.createDataFrame([(f"c{i}", p, i == 1) for i in range(3) for p in "xy"] + [("c3", "x", False), ("c3", "y", None)], "changed string, covered string, reaches boolean")
+    told = proofs.validity(have, covered, now, changed, reach)
+    first = {0: "reached", 1: "reached", 2: "unknown-reach", 3: "unknown-reach"}
+    want = {i: first[i % 4] if i < 8 else "unaffected" for i in range(12)}
+    assert {r.fingerprint: r.reason for r in told.collect()} == want
+    inventory = spark.createDataFrame([(i % 4 if i else None, f"t{i}", i) for i in range(12)], "suite int, name string, fingerprint int")
+    got = proofs.select_tests(inventory, have, told)
+    assert sorted(tuple(r) for r in got.select("suite", "name", "action", "fallback").collect()) == sorted((i % 4, f"t{i}", "reuse" if i >= 8 else "execute", i % 4 > 1) for i in range(1, 12))
+    read = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert read(got) == read(told) + 2
+
+
 def test_relations_are_distinct_between_their_ends(spark):
     files = spark.createDataFrame([("a",), ("b",)], "path string")
     edges = spark.createDataFrame([("a", "b", "typescript"), ("a", "gone", "typescript"), ("b", "a", "unresolved")], "importer string, target string, evidence string")

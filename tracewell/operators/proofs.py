@@ -9,6 +9,7 @@ covered, reaches; null and missing pairs are unknown).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HERMETIC = ("hermetic_static", "hermetic_unit")
@@ -24,25 +25,23 @@ def validity(proofs: DataFrame, coverage: DataFrame, digests: DataFrame, changed
 
     expired, not-passed, covered-changed, unknown-reach, reached, hermetic, observed,
     conservative, unaffected - in this order; unknown-reach and reached by the first
-    changed file that decides.  The files that a proof covers meet its changed files, of
-    which anything is known, and only these pairs meet reachability: a changed file of
-    which fewer pairs are known than files are covered is unknown.
+    changed file that decides.  The files that a proof covers meet its changed files, and
+    only these pairs meet reachability; a pair that meets nothing is unknown.
     """
-    # Dealt by fingerprint once, which serves all that is grouped or joined by it.
+    # Covered and changed files are dealt by fingerprint once; what is grouped or joined by it needs no other shuffle.
+    coverage, changed = (x.where("fingerprint is not null") for x in (coverage, changed))
     of = coverage.select("fingerprint", "path", "digest").repartition("fingerprint").dropDuplicates(["fingerprint", "path"])
+    files = coverage.select("fingerprint", "path").repartition("fingerprint").distinct()
+    asked = changed.select("fingerprint", F.col("path").alias("changed"), "pos").repartition("fingerprint")
     now = digests.select("path", F.col("digest").alias("now")).dropDuplicates(["path"])
     stale = of.join(now, "path", "left").where(~F.col("digest").eqNullSafe(F.col("now"))).groupBy("fingerprint").agg(F.count("*").alias("stale"))
-    size = of.groupBy("fingerprint").agg(F.count("*").alias("covered_files"))
     known = reach.where("reaches is not null").select("changed", F.col("covered").alias("path"), "reaches").dropDuplicates(["changed", "path"])
-    met = changed.select("fingerprint", F.col("path").alias("changed")).distinct().join(known.select("changed").distinct(), "changed", "left_semi")
-    pairs = of.select("fingerprint", "path").join(met, "fingerprint").join(known, ["changed", "path"])
-    told = pairs.groupBy("fingerprint", "changed").agg(F.count("*").alias("known"), F.bool_or("reaches").alias("reached"))
-    rows = changed.withColumnRenamed("path", "changed").join(told, ["fingerprint", "changed"], "left").join(size, "fingerprint", "left")
-    unknown = F.coalesce("known", F.lit(0)) < F.coalesce("covered_files", F.lit(0))
-    rows = rows.withColumn("why", F.when(unknown, "unknown-reach").when(F.coalesce("reached", F.lit(False)), "reached"))
-    of_change = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(F.when(F.col("why").isNotNull(), F.struct("pos", "why")))["why"].alias("why"))
-    seen = changed.join(proofs.select("fingerprint", F.explode("observed").alias("path")).distinct(), ["fingerprint", "path"]).groupBy("fingerprint").agg(F.count("*").alias("seen"))
-    all_ = proofs.join(stale, "fingerprint", "left").join(of_change, "fingerprint", "left").join(seen, "fingerprint", "left").na.fill(0, ["stale", "n", "seen"])
+    pairs = files.join(asked.groupBy("fingerprint", "changed").agg(F.min("pos").alias("pos")), "fingerprint").join(known, ["changed", "path"], "left")
+    rows = pairs.select("fingerprint", "changed", "pos", "reaches").repartition("fingerprint").groupBy("fingerprint", "changed", "pos").agg(F.bool_or(F.col("reaches").isNull()).alias("unknown"), F.bool_or("reaches").alias("reached"))
+    of_change = rows.withColumn("why", F.when(F.col("unknown"), "unknown-reach").when(F.col("reached"), "reached")).groupBy("fingerprint").agg(F.min(F.when(F.col("why").isNotNull(), F.struct("pos", "why")))["why"].alias("why"))
+    n = asked.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    seen = asked.join(proofs.select("fingerprint", "observed"), "fingerprint").where(F.array_contains("observed", F.col("changed"))).groupBy("fingerprint").agg(F.count("*").alias("seen"))
+    all_ = proofs.join(stale, "fingerprint", "left").join(n, "fingerprint", "left").join(of_change, "fingerprint", "left").join(seen, "fingerprint", "left").na.fill(0, ["stale", "n", "seen"])
     ladder = [
         (F.col("status") == "expired", False, "policy-expiry", F.lit("expired")),
         (~F.coalesce(F.col("status") == "passed", F.lit(False)), False, "policy-expiry", F.lit("not-passed")),
@@ -118,13 +117,11 @@ def select_tests(inventory: DataFrame, proofs: DataFrame, verdicts: DataFrame) -
     rows = inventory.join(has, "fingerprint", "left").join(verdicts.select("fingerprint", "valid", F.col("reason").alias("why")), "fingerprint", "left")
     kept = F.coalesce(F.col("valid") & (F.col("status") == "passed"), F.lit(False))
     rows = rows.select("suite", "name", F.when(kept, "reuse").otherwise("execute").alias("action"), F.when(F.col("status").isNull(), "no-proof").otherwise(F.coalesce("why", F.lit("no-verdict"))).alias("reason"), (~kept & F.coalesce(F.col("why") == "unknown-reach", F.lit(False))).alias("unknown"))
-    suites = rows.groupBy("suite").agg(F.bool_or("unknown").alias("fallback"))
-    return rows.drop("unknown").join(suites, "suite")
+    # A window, so that the verdicts are not made once for the suites and once for their tests.
+    return rows.where("suite is not null").withColumn("fallback", F.bool_or("unknown").over(W.partitionBy("suite"))).drop("unknown")
 
 
 def broken_chains(events: DataFrame, key: str = "chain") -> DataFrame:
     """(chain, seq) of events (chain, seq, event_id, previous) that do not name the event before them; the first must name none."""
-    from pyspark.sql import Window as W
-
     before = F.lag("event_id").over(W.partitionBy(key).orderBy("seq"))
     return events.withColumn("__want", before).where(~F.col("previous").eqNullSafe(F.col("__want"))).select(key, "seq")
