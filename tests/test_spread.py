@@ -145,6 +145,19 @@ def test_relations_are_distinct_between_their_ends(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("a", "b"), ("part0", "server"), ("part1", "part0"), ("part1", "server")]
 
 
+def test_resolutions_of_a_file_are_not_gathered(spark):
+    edge = "importer string, specifier string, target string, evidence string, reason string"
+    rows = [(f, f"./{i}", f"t{i}", "typescript", None) for f in ("hot", "same", "less", "more") for i in range(50)] + [(None, "x", None, "unresolved", None)]
+    old, new = spark.createDataFrame(rows, edge), spark.createDataFrame([r for r in rows if r[:2] not in (("less", "./7"), ("hot", "./7"))] + [("hot", "./7", None, "unresolved", "not found"), ("more", "./50", "t50", "typescript", None), rows[60], ("fresh", "a", None, "unresolved", "")], edge)
+    entities = spark.createDataFrame([(f"p{i}", f"part{i % 3}") for i in range(30)], "id string, path string")
+    relation = "from_id string, to_id string, kind string"
+    both = [(f"p{i}", f"p{j}", "serves") for i in range(30) for j in range(5)]
+    one, two = spark.createDataFrame([*both, ("p1", "p9", "serves")], relation), spark.createDataFrame([*both, ("p2", "gone", "serves")], relation)
+    got = facts.resolution_changes(facts.signatures(old, entities, one), facts.signatures(new, entities, two))
+    assert "collect" not in plan_of(got)
+    assert sorted(r.path for r in got.collect()) == ["fresh", "hot", "less", "more", "part1"]
+
+
 def test_folders_are_asked_once_for_all_commands(spark):
     commands = spark.createDataFrame([(i, "r", "a/b" if i % 2 else "c") for i in range(50)] + [(1, "r", "a"), (None, "r", "a")], "id int, root string, folder string")
     files = spark.createDataFrame([("r", "yarn.lock")], "root string, path string")

@@ -80,17 +80,20 @@ def coverage(files: DataFrame, edges: DataFrame, entities: DataFrame, relations:
 
 
 def signatures(edges: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(importer, signature): the sorted distinct resolutions of each file's imports and relations."""
+    """(importer, signature): a row for each resolution of a file's imports and relations; rows may repeat."""
     text = lambda *c: F.to_json(F.array(*[F.coalesce(F.col(x).cast("string"), F.lit("\u0000")) for x in c]))
-    rows = edges.select("importer", text("specifier", "target", "evidence", "reason").alias("one"))
-    rows = rows.unionByName(entity_edges(entities, relations).select("importer", text("kind", "from_id", "to_id").alias("one")))
-    return rows.groupBy("importer").agg(F.array_join(F.array_sort(F.collect_set("one")), "\n").alias("signature"))
+    rows = edges.select("importer", text("specifier", "target", "evidence", "reason").alias("signature"))
+    return rows.unionByName(entity_edges(entities, relations).select("importer", text("kind", "from_id", "to_id").alias("signature")))
 
 
 def resolution_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path) of importers whose signature differs between two tables of ``signatures``; a missing one counts as empty."""
-    both = before.withColumnRenamed("signature", "old").join(after.withColumnRenamed("signature", "new"), "importer", "full_outer")
-    return both.where(F.coalesce("old", F.lit("")) != F.coalesce("new", F.lit(""))).select(F.col("importer").alias("path"))
+    """(path) of importers whose sets of ``signatures`` differ between two tables.
+
+    Rows are compared one by one, so that the resolutions of a file that has very many
+    never come together.
+    """
+    sides = before.withColumn("side", F.lit(1)).unionByName(after.withColumn("side", F.lit(2)))
+    return sides.groupBy("importer", "signature").agg(F.bit_or("side").alias("side")).where("side <> 3").select(F.col("importer").alias("path")).distinct()
 
 
 def impact(base: dict[str, DataFrame], candidate: dict[str, DataFrame], transitive: bool = True) -> DataFrame:
