@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import facts, proofs, search, surfaces, work
+from tracewell.operators import facts, proofs, search, spread, surfaces, work
 from tracewell.sources import workspace
 
 
@@ -52,6 +52,25 @@ def test_related_nodes_are_not_shuffled(spark):
     assert set(found) == want and len(found) == len(want)
 
 
+def test_profiles_of_equal_tags_and_refs_meet_together(spark, monkeypatch):
+    """Nodes of which no two have the same traits: what meets is far less than the pairs that are told."""
+    met = []
+    monkeypatch.setattr(work, "dealt", lambda *a: met.append(spread.dealt(*a)) or met[-1])
+    rows = [(i, f"A{i % 4}\nb", f"T{i // 8}", [f"x{i % 3}", "Y "], [("k", "r", str(i % 2))]) for i in range(240)] + [(None, "A0", "T0", ["y"], None), (240, "a0", "b\nt0", ["y", "", None], []), (248, None, "t0", None, [("k", "r", "0"), None])]
+    nodes = spark.createDataFrame(rows, "node int, area string, topic string, tags array<string>, refs array<struct<kind: string, repository: string, id: string>>")
+
+    def why(a, b):
+        area, ref = a[1] is not None and b[1] is not None and a[1].lower() == b[1].lower(), set(a[4] or []) & set(b[4] or []) - {None}
+        tags = [{t.strip().lower() for t in x[3] or [] if t and t.strip()} for x in (a, b)]
+        return ",".join([*["area"] * area, *["ref"] * bool(ref), *["tag"] * bool(tags[0] & tags[1]), *["topic"] * (area and a[2].lower() == b[2].lower())])
+
+    want = {(a[0], b[0], why(a, b)) for a in rows if a[0] is not None and a[0] % 8 == 0 for b in rows if b[0] is not None and a[0] != b[0] and why(a, b)}
+    got = work.related_all(nodes, nodes.where("node % 8 = 0"))
+    found = [tuple(r) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert sum(m.count() for m in met) < len(want) / 10
+
+
 def test_scopes_of_equal_text_are_read_once(spark):
     texts = ["src/a/**", "src/a/x*.ts", "src/b/y.ts", None, "src/a/xy.ts"]
     table = spark.createDataFrame([(i, texts[i % 5]) for i in range(60)] + [(0, texts[0])], "id int, scope string")

@@ -7,21 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold, fold_all, half_up
+from .snapshots import _cut
 from .spread import dealt, lists
 
 
-def _traits(nodes: DataFrame) -> Column:
-    """Distinct, ordered (reason, value) of a node: area, topic within it, tags, and declared references where there is a column refs."""
-    area, topic = fold(F.col("area")), fold(F.col("topic"))
-    trait = lambda reason, value: F.struct(F.lit(reason).alias("reason"), value.alias("value"))
-    parts = [
-        F.array(F.when(area != "", trait("area", area)), F.when((area != "") & (topic != ""), trait("topic", F.concat_ws("\n", area, topic)))),
-        F.transform(fold_all(F.coalesce("tags", F.array().cast("array<string>"))), lambda t: F.when(t != "", trait("tag", t))),
-    ]
-    if "refs" in nodes.columns:
-        ref = lambda r: F.when(r.isNotNull(), trait("ref", F.to_json(F.struct(r["kind"].alias("kind"), r["repository"].alias("repository"), r["id"].alias("id")))))
-        parts.append(F.coalesce(F.transform("refs", ref), F.array()))
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*parts))))
+def _apart(nodes: DataFrame) -> DataFrame:
+    """(node, area, topic, tags, refs): the traits of a node by their reasons, tags and refs distinct and in order.
+
+    A topic is told with its area and null without one, blank areas are null, and refs
+    are empty where there is no such column.
+    """
+    text = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    ref = lambda r: F.when(r.isNotNull(), F.to_json(F.struct(r["kind"].alias("kind"), r["repository"].alias("repository"), r["id"].alias("id"))))
+    refs = F.transform("refs", ref) if "refs" in nodes.columns else F.lit(None)
+    some = lambda c: F.sort_array(F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: t != "")))
+    folded = nodes.select("node", fold(F.col("area")).alias("area"), fold(F.col("topic")).alias("topic"), fold_all(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), refs.cast("array<string>").alias("refs"))
+    return folded.select("node", text("area"), F.when((F.col("area") != "") & (F.col("topic") != ""), F.to_json(F.array("area", "topic"))).alias("topic"), some(F.col("tags")).alias("tags"), some(F.col("refs")).alias("refs"))
 
 
 def related(nodes: DataFrame, source: str | int) -> DataFrame:
@@ -32,30 +33,54 @@ def related(nodes: DataFrame, source: str | int) -> DataFrame:
     with those of the source, so no pairs of nodes are made.  Comparison ignores case,
     but for refs; a null or blank trait relates nothing.
     """
-    rows = nodes.select("node", F.explode(_traits(nodes)).alias("t")).select("node", "t.reason", "t.value")
+    traits = lambda reason, values: F.transform(values, lambda v: F.struct(F.lit(reason).alias("reason"), v.alias("value")))
+    one = lambda reason: traits(reason, F.array_compact(F.array(reason)))
+    rows = _apart(nodes).select("node", F.explode(F.concat(one("area"), one("topic"), traits("tag", F.col("tags")), traits("ref", F.col("refs")))).alias("t")).select("node", "t.reason", "t.value")
     own = rows.where(F.col("node") == source).select("reason", "value").distinct()
     return rows.where(F.col("node") != source).join(own, ["reason", "value"]).groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
+def _grouped(tellings: DataFrame, name: str) -> DataFrame:
+    """(reason, value, tags, refs, ``name``): tellings of equal tags and refs in arrays of (area, topic, node), with each of these, and those of equal area too, with their area."""
+    member = F.struct("area", "topic", "node")
+    trait = lambda reason, column: F.transform(column, lambda v: F.struct(F.lit(reason).alias("reason"), v.alias("value")))
+    sets = lists(tellings.where(F.size("tags") + F.size("refs") > 0), ["tags", "refs"], member, name).select("tags", "refs", name, F.explode(F.concat(trait("ref", "refs"), trait("tag", "tags"))).alias("t")).select("t.reason", "t.value", "tags", "refs", name)
+    return sets.unionByName(lists(tellings, ["area", "tags", "refs"], member, name).select(F.lit("area").alias("reason"), F.col("area").alias("value"), "tags", "refs", name))
+
+
+def _told(sources: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, node, reasons) of each pair of tellings that share a trait, told where they meet at their first: the area, else the least ref, else the least tag.
+
+    What tags and refs have in common is found once for all tellings that have the same
+    ones, so that a pair costs no more than to compare its areas and topics.
+    """
+    both = dealt(_grouped(sources, "sources").withColumnsRenamed({"tags": "s_tags", "refs": "s_refs"}), _grouped(nodes, "nodes").withColumnsRenamed({"tags": "n_tags", "refs": "n_refs"}), ["reason", "value"], "nodes")
+    least = lambda of: F.array_min(F.array_intersect(f"s_{of}", f"n_{of}"))
+    at, shares = (lambda reason: F.col("reason") == reason), (lambda of: F.arrays_overlap(f"s_{of}", f"n_{of}"))
+    both = both.where(F.when(at("ref"), F.col("value") == least("refs")).when(at("tag"), ~shares("refs") & (F.col("value") == least("tags"))).otherwise(True))
+    why = lambda *more: F.concat_ws(",", F.when(at("area"), "area"), F.when(shares("refs"), "ref"), F.when(shares("tags"), "tag"), *more)
+    both = both.select("sources", "nodes", at("area").alias("here"), why().alias("why"), why(F.lit("topic")).alias("why_topic"))
+    pairs = both.select(F.explode("sources").alias("s"), "nodes", "here", "why", "why_topic").select(F.col("s.node").alias("source"), F.col("s.area").alias("area"), F.col("s.topic").alias("topic"), F.explode("nodes").alias("n"), "here", "why", "why_topic")
+    pairs = pairs.where((F.col("source") != F.col("n.node")) & (F.col("here") | F.coalesce(F.col("area") != F.col("n.area"), F.lit(True))))
+    return pairs.select("source", F.col("n.node").alias("node"), F.when(F.col("topic") == F.col("n.topic"), F.col("why_topic")).otherwise(F.col("why")).alias("reasons"))
+
+
 def related_all(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, reasons) as ``related`` of every node that ``sources`` (node) names.
 
-    Nodes of equal traits are one profile; profiles meet by trait, each pair at the
-    first trait that both have, so that none is found twice, and only then come the
-    nodes, from arrays.  A node that is told several times has all its traits in one
-    profile, each telling apart.
+    Nodes come last, from arrays, so that no result row is shuffled.  Only of nodes that
+    are told several times, each telling apart, the rows are made distinct.
     """
-    traits = nodes.select("node", _traits(nodes).alias("traits")).where(F.size("traits") > 0)
-    of = traits.groupBy("node").agg(F.array_sort(F.collect_set("traits")).alias("told"))
-    of = of.select("node", F.sha2(F.to_json("told"), 256).alias("profile"), "told")
-    asked = of.join(sources.select("node").distinct(), "node", "left_semi")
-    told = of.groupBy("profile").agg(F.first("told").alias("told")).withColumn("traits", F.array_sort(F.array_distinct(F.flatten("told"))))
-    met = lambda members, name: told.join(lists(members, ["profile"], F.col("node"), name), "profile").withColumn("trait", F.explode("traits")).select("trait", F.xxhash64("profile").alias(f"{name}_at"), F.col("told").alias(f"{name}_told"), F.col("traits").alias(f"{name}_traits"), name)
-    both = dealt(met(asked, "sources"), met(of, "nodes"), ["trait"], "nodes_at").where(F.col("trait") == F.array_min(F.array_intersect("sources_traits", "nodes_traits")))
-    shared = lambda a, b: F.array_join(F.array_sort(F.array_distinct(F.transform(F.array_intersect(a, b), lambda t: t["reason"]))), ",")
-    ways = F.flatten(F.transform("sources_told", lambda a: F.transform("nodes_told", lambda b: shared(a, b))))
-    pairs = both.select("sources", "nodes", F.explode(F.array_distinct(F.filter(ways, lambda w: w != ""))).alias("reasons"))
-    return pairs.select("sources", F.explode("nodes").alias("node"), "reasons").select(F.explode("sources").alias("source"), "node", "reasons").where("node <> source")
+    asked = sources.select("node").distinct()
+    of = lambda tellings: tellings.join(asked, "node", "left_semi")
+    # Traits take long, so they are made once, and by all tasks where a small file is read by one.
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = _cut(_apart(nodes.where("node is not null").repartition(n, "node")))
+    repeated = told.groupBy("node").count().where("count > 1").select("node")
+    if repeated.isEmpty():
+        return _told(of(told), told)
+    once, several = told.join(repeated, "node", "left_anti"), told.join(repeated, "node", "left_semi").distinct()
+    return _told(of(once), once).unionByName(_told(of(several), once.unionByName(several)).unionByName(_told(of(once), several)).distinct())
 
 
 def symbols(entries: DataFrame, name: str | None = None, file: str | None = None, kind: str | None = None) -> DataFrame:
