@@ -109,6 +109,22 @@ def test_alike_names_meet_without_their_pairs_being_kept(spark, monkeypatch):
     assert not re.search(r"Aggregate \[q#\d+, name#\d+\]", plan_of(got)) and {q for q, _, _ in found} <= set(range(9))
 
 
+def test_pairs_are_counted_before_what_scores_higher_is_looked_for(spark, monkeypatch):
+    """All words are looked for at the meeting by words alone, and what is taken apart at once stays small."""
+    met, matches = [], search.matches
+    monkeypatch.setattr(search, "matches", lambda *a: met.append(matches(*a)) or met[-1])
+    names = ["a big ring", "big ring", "ring of the big", "bigring x", "big-ring", "the big ringing"]
+    entries = spark.createDataFrame([(i, "k", names[0]) for i in range(700)] + [(1000 + i, "k", x) for i, x in enumerate(names)], "entry_index long, kind string, name string")
+    texts = [names[0]] * 300 + ["ring big", "big rin", "g", "", "xx big ring"]
+    got = search.lexical_all(entries, spark.createDataFrame(list(enumerate(texts)), "query int, text string"))
+    assert sum("forall(" in line for line in plan_of(got).splitlines() if "Join Inner" in line) == 1
+    assert met[0].selectExpr("max(size(held) * size(asking))").first()[0] <= 1 << 14
+    want = {t: {(r.entry_index, r.score) for r in search.lexical(entries, t).collect()} for t in set(texts)}
+    found = [(r.query, r.entry_index, r.score) for r in got.collect()]
+    assert len(found) == len(set(found)) == sum(len(want[t]) for t in texts)
+    assert set(found) == {(q, *x) for q, t in enumerate(texts) for x in want[t]}
+
+
 def test_symbols_of_one_name_are_not_shuffled(spark):
     entries = entries_of(spark)
     asked = spark.createDataFrame([(1, "BIG ring", None, None), (2, "BIG ring", None, None), (3, None, "f1", "file"), (4, None, None, None), (5, "big ring", "f1", None)], "query int, name string, file string, kind string")
