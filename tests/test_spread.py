@@ -180,6 +180,20 @@ def test_relations_are_distinct_between_their_ends(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("a", "b"), ("part0", "server"), ("part1", "part0"), ("part1", "server")]
 
 
+def test_paths_meet_all_edges_at_once(spark):
+    """Edges of several kinds, few of some: the paths are not gathered again for each kind, nor held where they can't spill."""
+    files = spark.createDataFrame([(f"f{i}",) for i in range(30)] + [("f1",), (None,)], "path string")
+    kinds = [[(f"f{i}", f"f{i % 4}", k) for i in range(0, 40, step)] for step, k in ((1, "typescript"), (7, "filesystem"), (20, "unresolved"), (5, "typescript"))]
+    edges, rows = None, [*sum(kinds, []), (None, "f1", "typescript"), ("f1", None, "typescript"), ("f1", "gone", "typescript")]
+    for part in (*kinds, rows[-3:]):
+        one = spark.createDataFrame(part, "importer string, target string, evidence string")
+        edges = one if edges is None else edges.unionByName(one)
+    got = facts.local_edges(edges, files)
+    assert plan_of(got).count("Join ") == 2 and "shuffle_hash" not in plan_of(got)
+    want = sorted(r for r in rows if r[2] != "unresolved" and all(p and p != "gone" and int(p[1:]) < 30 for p in r[:2]))
+    assert sorted(tuple(r) for r in got.collect()) == want and got.columns == edges.columns
+
+
 def test_resolutions_of_a_file_are_not_gathered(spark):
     edge = "importer string, specifier string, target string, evidence string, reason string"
     rows = [(f, f"./{i}", f"t{i}", "typescript", None) for f in ("hot", "same", "less", "more") for i in range(50)] + [(None, "x", None, "unresolved", None)]

@@ -44,11 +44,16 @@ def language(path: Column) -> Column:
 def local_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Edges that resolve inside the index: both ends indexed, evidence of the compiler or the file system.
 
-    Paths are held as a hash table in each partition, so that no edges are sorted.
+    Paths are dealt once, over a given number of partitions, and met by joins that can
+    spill.  A semi-join would go below a union of edges, and few edges of one kind would
+    gather all paths in few tasks.
     """
-    known = files.select("path").distinct().hint("shuffle_hash")
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = files.select("path").repartition(n, "path").distinct()
     here = edges.where(F.col("evidence").isin(*LOCAL))
-    return here.join(known.withColumnRenamed("path", "importer"), "importer", "left_semi").join(known.withColumnRenamed("path", "target"), "target", "left_semi").select(edges.columns)
+    for end in ("importer", "target"):
+        here = here.repartition(n, end).join(known.withColumnRenamed("path", end), end).select(edges.columns)
+    return here
 
 
 def entity_edges(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -90,10 +95,12 @@ def resolution_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path) of importers whose sets of ``signatures`` differ between two tables.
 
     Rows are compared one by one, so that the resolutions of a file that has very many
-    never come together.
+    never come together.  They are dealt first, as hardly any repeats in the task that
+    made it.
     """
+    n = int(before.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = before.withColumn("side", F.lit(1)).unionByName(after.withColumn("side", F.lit(2)))
-    return sides.groupBy("importer", "signature").agg(F.bit_or("side").alias("side")).where("side <> 3").select(F.col("importer").alias("path")).distinct()
+    return sides.repartition(n, "importer", "signature").groupBy("importer", "signature").agg(F.bit_or("side").alias("side")).where("side <> 3").select(F.col("importer").alias("path")).distinct()
 
 
 def impact(base: dict[str, DataFrame], candidate: dict[str, DataFrame], transitive: bool = True) -> DataFrame:
